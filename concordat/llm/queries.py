@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, quality_rules, simhash, url_filter
+from . import ann, bpe, chat, classifier, quality_rules, simhash, url_filter
 from ._common import table
 
 
@@ -17,6 +17,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    trees = chat.as_threads(turns.unionByName(chat.forged_conversation(spark)))
+    return chat.digests(chat.format_trees(trees, distinct_nodes=True))
+
+
 #: Entries of the URL query: action, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -47,5 +53,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op4_url_filter, op6_quality_classifier, op7_byte_bpe, op8_nearest_neighbours, op9_simhash)
+    own = (op1_quality_rules, op2_chat_formatting, op4_url_filter, op6_quality_classifier, op7_byte_bpe, op8_nearest_neighbours, op9_simhash)
     return {f.__name__: f for f in own}
