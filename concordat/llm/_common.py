@@ -22,17 +22,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, a laptop)."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="concordat-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the cluster's shared checkpoint folder.
 
-    The lineage is cut, so a lost executor costs a re-read and not a recomputation. The folder is
-    the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
-    temporary folder chosen.
+    The lineage is cut, so a lost executor costs a re-read and not a recomputation.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="concordat-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

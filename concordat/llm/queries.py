@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, classifier, quality_rules, simhash, url_filter
+from . import ann, bpe, chat, classifier, licenses, packing, quality_rules, simhash, url_filter, warc
 from ._common import table
 
 
@@ -23,6 +23,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_trees(trees, distinct_nodes=True))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 #: Entries of the URL query: action, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -31,6 +35,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.captures_of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.resolve_revisits(records)
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classifier.score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -52,6 +63,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.known_licenses(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_chat_formatting, op4_url_filter, op6_quality_classifier, op7_byte_bpe, op8_nearest_neighbours, op9_simhash)
+    own = (
+        op1_quality_rules,
+        op2_chat_formatting,
+        op3_best_fit_packing,
+        op4_url_filter,
+        op5_warc_revisits,
+        op6_quality_classifier,
+        op7_byte_bpe,
+        op8_nearest_neighbours,
+        op9_simhash,
+        op10_license_scan,
+    )
     return {f.__name__: f for f in own}
