@@ -1,15 +1,609 @@
-"""All registered queries of the engine and the SQL that each is held against."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import normalize as N
+from ..functions.text import short_hash
+from ..operators import context, extract, facts, metrics, pages, planner, relations
+from ..sources import store, views
+from . import oracle
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def joined(c: str, sep: str = "|"):
+    return F.array_join(F.array_sort(F.col(c)), sep).alias(c.split(".")[-1])
+
+
+# -- pages ------------------------------------------------------------------------------------------
+
+
+@query
+def doc_identity(spark, d):
+    docs = views.table(spark, d, "documents")
+    return docs.select("doc_id", short_hash(F.col("text")).alias("document_id"), F.length("text").alias("char_count"), (F.trim("text") != "").alias("has_text"))
+
+
+@query
+def newline_clean(spark, d):
+    rows = views.table(spark, d, "pages").select("page_id", pages.newline_clean(F.concat("url", F.lit("\r\n"), "html", F.lit("\r"))).alias("t"))
+    return rows.select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("digest"))
+
+
+@query
+def page_signals(spark, d):
+    rows = pages.page_signals(views.pages(spark, d))
+    lists = ("currencies", "units", "metrics", "temporals", "boilerplates")
+    return rows.select("document_id", "page_number", "n_numbers", F.array_join("sample_numbers", "|").alias("sample_numbers"), "table_rows", *(joined(c) for c in lists))
+
+
+def _scored(spark, d, threshold=pages.THRESHOLD):
+    return pages.score_pages(views.pages(spark, d), threshold)
+
+
+@query
+def page_relevance(spark, d):
+    rows = _scored(spark, d)
+    parts = F.array_sort(F.transform(F.map_entries("breakdown"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 100).cast("int").cast("string"))))
+    return rows.select("document_id", "page_number", "score", "selected", F.array_join(parts, ",").alias("breakdown"))
+
+
+@query
+def page_selected(spark, d):
+    return pages.select_pages(views.pages(spark, d), 0.30).select("document_id", "page_number", "score")
+
+
+@query
+def page_limits(spark, d):
+    p = views.pages(spark, d)
+    first = pages.limit_pages(p, first=3).select("document_id", "page_number", F.lit("first").alias("kind"))
+    return first.unionByName(pages.limit_pages(p, numbers_=[2, 5, 7]).select("document_id", "page_number", F.lit("given").alias("kind")))
+
+
+@query
+def eligible_pages(spark, d):
+    return pages.eligible_pages(views.pages(spark, d)).select("document_id", "page_number")
+
+
+@query
+def layout_blocks(spark, d):
+    rows = pages.layout_blocks(views.html_pages(spark, d), "page_id")
+    return rows.groupBy("page_id").agg(F.count_if(F.col("block_type") == "heading").alias("n_headings"), F.count_if(F.col("block_type") == "paragraph").alias("n_paragraphs"))
+
+
+@query
+def page_complexity(spark, d):
+    return pages.page_complexity(views.pages(spark, d))
+
+
+# -- context ----------------------------------------------------------------------------------------
+
+
+@query
+def line_regions(spark, d):
+    rows = context.line_regions(views.pages(spark, d))
+    return rows.select("document_id", "page_number", "line_no", "anchor_text", F.array_join("signals", "|").alias("signals"), F.length("line_text").alias("n_chars"))
+
+
+@query
+def context_windows(spark, d):
+    rows = context.context_windows(views.pages(spark, d))
+    return rows.select("document_id", "page_number", "start_line", "end_line", joined("anchors", "\n"), joined("signals"), "char_count", F.sha2("source_text", 256).alias("digest"))
+
+
+@query
+def page_context(spark, d):
+    rows = context.page_context(views.pages(spark, d))
+    return rows.select("document_id", "page_number", "original_chars", "selected_chars", "compression_ratio", F.size("windows").alias("n_windows"), joined("signals"), F.length("combined_text").alias("combined_chars"), "is_empty")
+
+
+@query
+def radius_sweep(spark, d):
+    return context.radius_sweep(views.pages(spark, d))
+
+
+@query
+def gold_coverage(spark, d):
+    p = views.pages(spark, d).filter("doc_id % 5 = 0")
+    gold = p.select(
+        "document_id",
+        "page_number",
+        F.lit("g").alias("fact_id"),
+        F.create_map(F.lit("value"), F.array(F.regexp_extract("text", r"(\d{2,})", 1)), F.lit("metric"), F.array(F.substring("text", 1, 12), F.lit("no such text")), F.lit("unit"), F.array().cast("array<string>")).alias("elements"),
+    )
+    rows = context.gold_coverage(context.page_context(p), gold, ["document_id", "page_number"])
+    return rows.select("document_id", "page_number", *(F.element_at("kept", F.lit(k)).alias(f"kept_{k}") for k in ("value", "metric", "unit")), "recalled")
+
+
+# -- planning ---------------------------------------------------------------------------------------
+
+
+def _plan(spark, d, budget=3, size=5):
+    return planner.plan_pages(_scored(spark, d).filter("has_text"), budget, size)
+
+
+@query
+def quota_plan(spark, d):
+    return _plan(spark, d)
+
+
+@query
+def quota_summary(spark, d):
+    return planner.plan_summary(_plan(spark, d), 3, 5)
+
+
+@query
+def batch_prompt(spark, d):
+    texts = context.prompt_text(context.page_context(views.pages(spark, d)))
+    rows = planner.batch_prompts(_plan(spark, d), texts)
+    return rows.select("document_id", "batch_id", "n_pages", F.length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("digest"))
+
+
+@query
+def batch_payload(spark, d):
+    texts = context.prompt_text(context.page_context(views.pages(spark, d)))
+    return planner.batch_payload(_plan(spark, d), texts)
+
+
+@query
+def batch_sweep(spark, d):
+    return planner.batch_sweep(context.page_context(views.pages(spark, d)))
+
+
+@query
+def budget_simulation(spark, d):
+    return planner.budget_simulation(_scored(spark, d, 0.30).filter("selected"))
+
+
+@query
+def size_projection(spark, d):
+    return planner.size_projection(spark)
+
+
+@query
+def latency_projection(spark, d):
+    mean = views.requests(spark, d).filter("batch_id > 0").groupBy(F.col("batch_id").alias("batch_size")).agg(F.floor(F.avg("latency_ms")).alias("mean_ms"))
+    return planner.latency_projection(spark, mean)
+
+
+@query
+def input_fingerprint(spark, d):
+    texts = context.prompt_text(context.page_context(views.pages(spark, d)))
+    rows = planner.batch_prompts(_plan(spark, d), texts)
+    key = F.concat_ws("\n", "document_id", F.col("batch_id").cast("string"), "prompt")
+    return rows.select("document_id", "batch_id", F.sha2(key, 256).alias("fingerprint"), short_hash(key).alias("short_fingerprint"))
+
+
+# -- extraction -------------------------------------------------------------------------------------
+
+
+@query
+def rule_extract(spark, d):
+    rows = extract.rule_claims(views.pages(spark, d))
+    return rows.select("document_id", "page_number", "value_raw", "entity", "metric", "value_numeric", "unit", "period_label", "epistemic_status", F.length("supporting_text").alias("n_chars"), "fact_id")
+
+
+@query
+def epistemic_detect(spark, d):
+    rows = views.claims(spark, d).select("pos", F.concat_ws(" ", "supporting_text", "data_vintage", "epistemic_status").alias("t"))
+    label = extract.epistemic_label(F.col("t"))
+    return rows.select("pos", label.alias("label"), extract.epistemic_status(label).alias("status"))
+
+
+@query
+def numeric_candidate(spark, d):
+    return views.claims(spark, d).select("pos", extract.numeric_candidate(F.col("value_raw")).alias("number"))
+
+
+@query
+def fact_id(spark, d):
+    return views.claims(spark, d).select("pos", "fact_id")
+
+
+def _snippets(spark, d):
+    """Claims whose evidence is cut from a page, or from the next page, or from nowhere."""
+    p = views.pages(spark, d)
+    base = p.filter("doc_id % 3 = 0 AND has_text")
+    shift = F.col("doc_id") % 6
+    text = F.when(shift == 0, F.substring("text", 11, 40)).otherwise(F.concat(F.substring("text", 11, 40), F.lit(" §")))
+    own = base.select(
+        F.col("doc_id").alias("pos"), "document_id",
+        (F.col("page_number") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)).cast("int").alias("page_number"),
+        F.when(F.col("doc_id") % 21 == 0, "").otherwise(F.lit("E")).alias("entity"), F.lit("m").alias("metric"), F.lit("1").alias("value_raw"),
+        F.lit(1.0).alias("value_numeric"), F.concat(F.lit("P"), (F.col("doc_id") % 4).cast("string")).alias("period_label"),
+        F.concat(F.lit("  "), text, F.lit("\n")).alias("supporting_text"),
+    )
+    return p, own.withColumn("fact_id", F.concat(F.lit("f"), (F.col("pos") % 50).cast("string")))
+
+
+@query
+def grounding(spark, d):
+    p, c = _snippets(spark, d)
+    return extract.with_grounding(c, p).select("pos", "is_grounded", "is_exact")
+
+
+@query
+def contamination(spark, d):
+    p, c = _snippets(spark, d)
+    batches = planner.plan_pages(p.filter("has_text")).select("document_id", "page_number", "batch_id")
+    return extract.with_contamination(c, p, batches).select("pos", "is_grounded", "is_contaminated")
+
+
+@query
+def duplicate_reject(spark, d):
+    return extract.with_duplicates(_snippets(spark, d)[1]).select("pos", "fact_id", "is_duplicate")
+
+
+@query
+def reject_reasons(spark, d):
+    p, c = _snippets(spark, d)
+    batches = planner.plan_pages(p.filter("has_text"), 4, 5).filter("planned").select("document_id", "page_number")
+    rows = extract.reject_reason(extract.with_grounding(c, p), batches)
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def read_candidates(spark, d):
+    c = views.claims(spark, d)
+    row = F.struct(
+        "page_number", "entity", "metric", "value_raw", (F.col("pos") % 97).cast("string").alias("value_numeric"), "unit",
+        F.struct(F.when(F.col("pos") % 5 != 0, F.col("period_label")).alias("label")).alias("time_period"),
+        F.when(F.col("pos") % 3 == 0, "Guessed").otherwise(F.col("epistemic_status")).alias("epistemic_status"), "supporting_text",
+        F.when(F.col("pos") % 2 == 0, "1.7").otherwise("high").alias("extraction_confidence"),
+    )
+    raw = c.select("document_id", F.col("pos").cast("string").alias("batch_id"), F.to_json(F.struct(F.array(row).alias("facts"))).alias("output"))
+    return extract.read_candidates(raw).select(F.col("batch_id").cast("long").alias("pos"), "page_number", "value_numeric", "period_label", "epistemic_status", "extraction_confidence", "fact_id")
+
+
+def _outcomes(spark, d):
+    plan = _plan(spark, d, budget=6)
+    number = F.regexp_extract("document_id", r"(\d+)$", 1).cast("int")
+    outcome = F.when((F.col("batch_id") == number % 7) & (number % 3 == 0), "quota").when((F.col("batch_id") == number % 5) & (number % 4 == 1), "error").otherwise("ok")
+    return plan, plan.filter("planned").select("document_id", "batch_id").distinct().withColumn("outcome", outcome)
+
+
+@query
+def extraction_status(spark, d):
+    plan, batches = _outcomes(spark, d)
+    return extract.extraction_status(batches, plan)
+
+
+@query
+def status_rollup(spark, d):
+    plan, batches = _outcomes(spark, d)
+    return extract.overall_status(extract.extraction_status(batches, plan))
+
+
+@query
+def unprocessed_pages(spark, d):
+    plan = _plan(spark, d)
+    return extract.unprocessed_pages(plan, plan.filter("planned").select("document_id", "page_number"))
+
+
+# -- normalisation ----------------------------------------------------------------------------------
+
+#: Raw value, unit and number of cases at the edges of the rules.
+EDGE_VALUES = [
+    ("₹8,142 Cr", None, None), ("₹81,415.38 million", None, None), ("Rs. 500 Cr", None, None), ("$500 million", None, None),
+    ("US$ 500 million", None, None), (">4.8Mn tonnes", None, None), ("17,000+", None, None), ("—5.3%", None, None),
+    ("15.5 percent decline", None, None), ("2023-24", None, None), ("N/A or unavailable", None, None), ("33,278", "customers", None),
+    ("4.8Mn tonnes (1)", None, None), ("−3.2%", None, None), ("1.2.3", None, 7.5), ("12", "lakh", -12.0), ("about 5 bn", "euros", None),
+    (">= 10", "pounds", None), ("~7 k", "units", None), ("", None, 3.0), ("approx. 1.5 lakh crore", "INR", None), ("loss of 4", "USD", None),
+]
+EDGE_PERIODS = [
+    ("FY24", None), ("FY24", "april-march"), ("FY 2023-24", None), ("Q4 FY24", None), ("Q4 FY24", "april-march"), ("Q1 FY 2023-24", None),
+    ("Q4 FY 2023-2024", None), ("March 31, 2024", None), ("31 March 2024", None), ("as of 1st Sept 2023", None), ("2024-03-31", None),
+    ("2024-03", None), ("CY2024", None), ("Calendar Year 2021", None), ("2024", None), ("Period of Growth", None), ("  ", None), ("Foo 12, 2024", None),
+]
+
+
+def _edge_values(spark):
+    rows = F.array(*(F.struct(F.lit(i).alias("case_id"), F.lit(v).alias("value_raw"), F.lit(u).cast("string").alias("unit"), F.lit(n).cast("double").alias("value_numeric")) for i, (v, u, n) in enumerate(EDGE_VALUES)))
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query
+def value_normalize(spark, d):
+    return _edge_values(spark).select("case_id", N.value(F.col("value_raw"), F.col("unit"), F.col("value_numeric")).alias("v")).select("case_id", "v.*")
+
+
+@query
+def value_qualifier(spark, d):
+    c = views.claims(spark, d).select("pos", N.qualifier(F.col("value_raw")).alias("value_qualifier"))
+    return c.unionByName(_edge_values(spark).select((-1 - F.col("case_id")).cast("long").alias("pos"), N.qualifier(F.col("value_raw")).alias("value_qualifier")))
+
+
+@query
+def semantic_unit(spark, d):
+    docs = views.table(spark, d, "documents").filter("lang = 'en'")
+    return docs.select("doc_id", N.semantic_unit(F.substring("text", 1, 60)).alias("semantic_unit"))
+
+
+@query
+def period_normalize(spark, d):
+    rows = F.array(*(F.struct(F.lit(i).alias("case_id"), F.lit(p).alias("label"), F.lit(c).cast("string").alias("calendar")) for i, (p, c) in enumerate(EDGE_PERIODS)))
+    cases = spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+    return cases.select("case_id", N.period(F.col("label"), F.col("calendar")).alias("p")).select("case_id", "p.*")
+
+
+@query
+def entity_normalize(spark, d):
+    names = views.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("n"))
+    suffix = F.element_at(F.array(*(F.lit(s) for s in (" Limited", ", Inc.", " Pvt. Ltd", "  S.A.", " plc.", " Holdings,", " GmbH"))), (F.col("s_suppkey") % 7 + 1).cast("int"))
+    return names.select("s_suppkey", N.entity(F.concat(F.lit(" "), "n", suffix)).alias("entity"))
+
+
+@query
+def metric_normalize(spark, d):
+    return views.table(spark, d, "part").select("p_partkey", N.metric(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("\t ")), F.lit(" Count "))).alias("metric"))
+
+
+def _facts(spark, d):
+    return facts.normalize_facts(views.claims(spark, d))
+
+
+@query
+def normalized_facts(spark, d):
+    rows = _facts(spark, d)
+    return rows.select("pos", "canonical_entity", "canonical_metric", "numeric_value", "canonical_unit", "scale", "value_qualifier", "currency", "normalization_status", "norm_start", "norm_end", F.array_join("warnings", "|").alias("warnings"))
+
+
+# -- pairs ------------------------------------------------------------------------------------------
+
+
+def _candidates(spark, d):
+    return facts.candidate_pairs(_facts(spark, d))
+
+
+@query
+def candidate_pairs(spark, d):
+    return _candidates(spark, d).groupBy("a_ekey", "candidate_score").agg(F.count("*").alias("n"))
+
+
+@query
+def candidate_scores(spark, d):
+    rows = _candidates(spark, d).filter("a_period_label = b_period_label")
+    return rows.select("a_pos", "b_pos", "candidate_score", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query
+def unit_veto(spark, d):
+    f = _facts(spark, d).select("pos", "ekey", "canonical_unit", "currency", "norm_start")
+    side = lambda p: f.select(*(F.col(c).alias(p + c) for c in f.columns))
+    pairs = side("a_").join(side("b_"), (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_norm_start") == F.col("b_norm_start")) & (F.col("a_pos") < F.col("b_pos")))
+    return pairs.groupBy(F.col("a_canonical_unit").alias("unit_a"), F.col("b_canonical_unit").alias("unit_b"), facts.units_agree().alias("agree")).agg(F.count("*").alias("n"))
+
+
+def _compared(spark, d):
+    return relations.compare(facts.pair_up(_facts(spark, d), exact_metric=True))
+
+
+@query
+def comparability(spark, d):
+    return _compared(spark, d).select("a_pos", "b_pos", "status", F.array_join("codes", "|").alias("codes"), "dim_unit", "dim_time_period", "dim_scope", "dim_geography", "dim_epistemic_status", "dim_data_vintage")
+
+
+@query
+def comparability_reasons(spark, d):
+    return _compared(spark, d).select("status", F.explode("codes").alias("code")).groupBy("status", "code").agg(F.count("*").alias("n"))
+
+
+@query
+def surfaced_pairs(spark, d):
+    return relations.surface(_compared(spark, d)).select("a_pos", "b_pos", "surface_code", "should_surface")
+
+
+@query
+def temporal_language(spark, d):
+    rows = views.claims(spark, d).select("pos", "supporting_text")
+    docs = views.table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("pos"), F.col("text").alias("supporting_text"))
+    return rows.unionByName(docs).select("pos", relations.temporal_language(F.col("supporting_text"), F.lit("grew from 5% to 7%")).alias("with_range"), relations.temporal_language(F.col("supporting_text"), F.lit("")).alias("alone"))
+
+
+def _related(spark, d):
+    return relations.relate(_facts(spark, d))
+
+
+@query
+def relationships(spark, d):
+    rows = _related(spark, d)
+    return rows.select("relationship_id", "a_fact_id", "b_fact_id", "relationship_type", "confidence", F.array_join("reason_codes", "|").alias("reason_codes"), F.array_join("contextual_factors", "|").alias("contextual_factors"), "explanation")
+
+
+@query
+def relationship_counts(spark, d):
+    return _related(spark, d).groupBy("relationship_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def relationship_counts_by_customer(spark, d):
+    normalized = facts.normalize_facts(views.claims(spark, d, by="customer"))
+    return relations.relate(normalized).groupBy("relationship_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def relationship_ids(spark, d):
+    return _related(spark, d).select("a_pos", "b_pos", "relationship_id")
+
+
+@query
+def display_resolution(spark, d):
+    rows = _facts(spark, d).select("pos", relations.resolution(F.col("value_raw"), F.col("scale")).cast("double").alias("resolution"))
+    return rows
+
+
+@query
+def pair_reason(spark, d):
+    rows = relations.classify(relations.compare(_candidates(spark, d).filter("a_pos % 7 = 0")))
+    return rows.select("a_pos", "b_pos", "status", "step", "relationship_type", "confidence")
+
+
+# -- summaries --------------------------------------------------------------------------------------
+
+
+@query
+def analysis_summary(spark, d):
+    f = _facts(spark, d)
+    out = store.summarize(f.select("document_id").distinct(), f, relations.relate(f))
+    return out.select(F.array_join("document_ids", ",").alias("document_ids"), "n_documents", "n_facts", "n_relationships")
+
+
+@query
+def facts_per_page(spark, d):
+    return views.claims(spark, d).groupBy("page_number").agg(F.count("*").alias("n"))
+
+
+@query
+def facts_per_document(spark, d):
+    known = views.pages(spark, d).select("document_id").distinct().unionByName(views.claims(spark, d).select("document_id").distinct())
+    counts = views.claims(spark, d).groupBy("document_id").agg(F.count("*").alias("n"))
+    return known.join(counts, "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def quality_metrics(spark, d):
+    p, c = _snippets(spark, d)
+    return metrics.quality_metrics(extract.with_grounding(c, p))
+
+
+@query
+def threshold_sweep(spark, d):
+    labels = views.table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("truth"))
+    return metrics.threshold_sweep(_scored(spark, d).join(labels, "doc_id"))
+
+
+@query
+def corpus_rollup(spark, d):
+    return metrics.corpus_rollup(_scored(spark, d))
+
+
+@query
+def local_recall(spark, d):
+    found = extract.rule_claims(views.pages(spark, d)).select("document_id", "page_number", "value_raw")
+    gold = views.pages(spark, d).select("document_id", "page_number", F.regexp_extract("text", r"(\d{4,})", 1).alias("value_raw")).filter("value_raw <> ''")
+    return metrics.recall_precision(found, gold, ["document_id", "page_number", "value_raw"])
+
+
+@query
+def latency_stats(spark, d):
+    return metrics.latency_stats(views.requests(spark, d))
+
+
+@query
+def provider_summary(spark, d):
+    return metrics.provider_summary(views.requests(spark, d))
+
+
+@query
+def failure_histogram(spark, d):
+    return metrics.failure_histogram(views.requests(spark, d))
+
+
+@query
+def run_pivot(spark, d):
+    return metrics.run_pivot(views.requests(spark, d))
+
+
+@query
+def speed_summary(spark, d):
+    return metrics.speed_summary(views.requests(spark, d))
+
+
+@query
+def interval_overlap(spark, d):
+    return metrics.interval_overlap(views.requests(spark, d))
+
+
+@query
+def last_rate_limit(spark, d):
+    return metrics.last_known(views.requests(spark, d))
+
+
+def _signatures(spark, d):
+    # The reports differ in names and notation; a canonical form of both makes them meet.
+    f = _facts(spark, d).withColumns({"value_raw": F.regexp_replace("value_raw", r"\+", ""), "page_number": F.col("page_number") % 10})
+    return metrics.signatures(f)
+
+
+def _signature_query(how: str) -> Query:
+    def run(spark, d):
+        return metrics.signature_sets(_signatures(spark, d), "presentation", "press-note", how)
+
+    run.__name__ = f"signature_{how}"
+    return query(run)
+
+
+for _how in ("union", "intersect", "except", "symmetric"):
+    _signature_query(_how)
+
+
+@query
+def run_agreement(spark, d):
+    r = views.requests(spark, d).filter("outcome = 'purchase'")
+    sums = r.groupBy("run_id", "batch_id").agg(short_hash((F.sum("latency_ms") % 2).cast("string")).alias("fingerprint"))
+    return metrics.run_agreement(sums.filter("run_id + batch_id < 8"), 0, 1)
+
+
+# -- storage ----------------------------------------------------------------------------------------
+
+
+@query
+def read_analysis(spark, d):
+    f = _facts(spark, d)
+    return store.read_back(f, relations.relate(f), f.filter("pos % 3 < 2").select("fact_id"))
+
+
+@query
+def relationship_search(spark, d):
+    f = _facts(spark, d)
+    rows = store.search_relations(relations.relate(f), f, "CROR", None).unionByName(store.search_relations(relations.relate(f), f, "limited", "CONTRADICTS"))
+    return rows.select("relationship_id", "relationship_type")
+
+
+@query
+def fact_search(spark, d):
+    c = views.claims(spark, d)
+    return store.search_facts(c, "RESTATED").unionByName(store.search_facts(c, "crore", "reported")).select("pos")
+
+
+@query
+def latest_per_key(spark, d):
+    c = views.claims(spark, d).select("pos", "value_raw", F.concat_ws("|", "metric", "period_label", F.col("page_number").cast("string")).alias("key"))
+    return store.latest_per_key(c, ["key"], "pos")
+
+
+@query
+def document_overwrite(spark, d):
+    c = views.claims(spark, d).select("document_id", "pos", F.lit(1).alias("run"))
+    arrived = c.filter("document_id = 'presentation' AND pos % 2 = 0").withColumn("run", F.lit(2))
+    return store.overwrite_documents(c, arrived).groupBy("document_id", "run").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+
+
+@query
+def union_all_facts(spark, d):
+    c = views.claims(spark, d)
+    parts = [c.filter(F.col("document_id") == r).select("document_id", "pos") for r in views.REPORTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationship_counts(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.oracle_sql().items() if k in QUERIES}
