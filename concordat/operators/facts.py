@@ -13,7 +13,8 @@ from ..functions.text import strip
 CARRIED = (
     "pos", "fact_id", "document_id", "page_number", "metric", "value_raw", "period_label", "scope", "geography",
     "epistemic_status", "data_vintage", "supporting_text", "canonical_entity", "canonical_metric", "numeric_value",
-    "canonical_unit", "currency", "scale", "norm_start", "norm_end", "ekey", "mkey",
+    "canonical_unit", "currency", "norm_start", "norm_end", "ekey", "mkey", "scope_key", "geography_key", "vintage_key",
+    "vintage_label", "restates", "resolution", "evidence", "says_time", "opens_time", "says_was", "n_in_year", "unit_kind",
 )
 
 
@@ -25,7 +26,7 @@ def normalize_facts(facts: DataFrame, calendar: str | None = None) -> DataFrame:
     bounded = F.col("__p.start").isNotNull() & F.col("__p.end").isNotNull()
     named = rows.withColumns({"canonical_entity": N.entity(F.col("entity")), "canonical_metric": N.metric(F.col("metric"))})
     key = lambda c, raw: F.lower(strip(F.coalesce(F.nullif(c, F.lit("")), raw, F.lit(""))))
-    return named.select(
+    out = named.select(
         *facts.columns,
         "canonical_entity",
         "canonical_metric",
@@ -41,6 +42,62 @@ def normalize_facts(facts: DataFrame, calendar: str | None = None) -> DataFrame:
         key(F.col("canonical_entity"), F.col("entity")).alias("ekey"),
         key(F.col("canonical_metric"), F.col("metric")).alias("mkey"),
     )
+    return with_pair_keys(out)
+
+
+def with_pair_keys(facts: DataFrame) -> DataFrame:
+    """What pairs are compared by, made once for a fact and not once for a pair."""
+    said = lambda c: F.when(F.col(c) != "", F.lower(strip(F.col(c))))  # noqa: E731  white space only stays an empty text
+    evidence = F.lower(strip(F.coalesce("supporting_text", F.lit(""))))
+    context = F.lower(F.concat(F.coalesce("data_vintage", F.lit("")), F.lit(" "), F.coalesce("supporting_text", F.lit(""))))
+    unit = F.lower(strip(F.coalesce("canonical_unit", F.lit(""))))
+    kind = (
+        F.when(unit.isin("", "count"), "free")
+        .when(unit == "percent", "percent")
+        .when(unit.isin(*V.CURRENCY_UNITS) | F.col("currency").isNotNull(), "money")
+        .otherwise("other")
+    )
+    return facts.withColumns(
+        {
+            "scope_key": said("scope"),
+            "geography_key": said("geography"),
+            "vintage_key": said("data_vintage"),
+            "vintage_label": F.lower(strip(F.coalesce("data_vintage", F.lit("")))),
+            "restates": F.greatest(*(F.contains(context, F.lit(w)) for w in V.SUPERSESSION)),
+            "resolution": resolution(F.col("value_raw"), F.col("scale")),
+            "evidence": evidence,
+            "unit_kind": kind,
+            "says_time": says_time(evidence),
+            "opens_time": F.regexp_like(evidence, F.lit(_OPENS)),
+            "says_was": F.regexp_like(evidence, F.lit(r"\bwas\b")),
+            "n_in_year": F.regexp_count(evidence, F.lit(r"\bin(?:\s+\d{4}\b|$)")),
+        }
+    )
+
+
+#: Ends of a text with which a comparison of times may begin that goes on in the next text.
+_OPENS = (
+    r"\b(?:up|down|increased|decreased|rose|fell|grown|declined|compared|year|quarter|from|(?:year|quarter)[- ]on"
+    r"|from\s+\S+|from\s+\S+\s+to)$"
+)
+
+
+def says_time(text: Column) -> Column:
+    """Whether a lower-case text compares times by itself."""
+    out = F.lit(False)
+    for phrase in V.TEMPORAL_PHRASES:
+        out = out | F.contains(text, F.lit(phrase))
+    for pattern in V.TEMPORAL_PATTERNS:
+        out = out | F.regexp_like(text, F.lit(pattern))
+    return out
+
+
+def resolution(raw: Column, scale: Column) -> Column:
+    """The smallest step that a value's notation shows, as an exact decimal."""
+    kept = F.regexp_replace(F.regexp_replace(raw, r"[^0-9.\-+]", ""), r"^\++", "")
+    places = F.least(F.length(F.coalesce(F.try_element_at(F.split(kept, r"\."), F.lit(2)), F.lit(""))), F.lit(12))
+    step = F.element_at(F.array(*(F.lit(f"1e-{k}").cast("decimal(13,12)") for k in range(13))), places + 1)
+    return (step * N.power_of_ten(scale)).cast("decimal(28,12)")
 
 
 def _side(facts: DataFrame, prefix: str) -> DataFrame:
@@ -59,17 +116,13 @@ def pair_up(facts: DataFrame, exact_metric: bool) -> DataFrame:
     on = (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id"))
     if exact_metric:
         on = on & (F.col("a_mkey") == F.col("b_mkey"))
-    return a.join(b, on).filter(units_agree())
+    return a.hint("merge").join(b, on).filter(units_agree())  # a broadcast side would leave the pairs to few tasks
 
 
 def units_agree() -> Column:
     """False if one side of a pair is in a currency and the other in percent."""
-    unit = lambda p: F.lower(strip(F.coalesce(F.col(p + "canonical_unit"), F.lit(""))))
-    a, b = unit("a_"), unit("b_")
-    money = lambda p, u: u.isin(*V.CURRENCY_UNITS) | F.col(p + "currency").isNotNull()
-    free = a.isin("", "count") | b.isin("", "count")
-    clash = (money("a_", a) & (b == "percent")) | ((a == "percent") & money("b_", b))
-    return free | ~clash
+    a, b = F.col("a_unit_kind"), F.col("b_unit_kind")
+    return ~(((a == "money") & (b == "percent")) | ((a == "percent") & (b == "money")))
 
 
 def metric_tokens(metric: Column) -> Column:
@@ -99,7 +152,7 @@ def candidate_pairs(facts: DataFrame) -> DataFrame:
     a = able.select(*(F.col(c).alias("a_" + c) for c in (*CARRIED, "tokens")))
     b = able.select(*(F.col(c).alias("b_" + c) for c in (*CARRIED, "tokens")))
     on = (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id"))
-    pairs = a.join(b, on).filter(units_agree())
+    pairs = a.hint("merge").join(b, on).filter(units_agree())
     ta, tb = F.col("a_tokens"), F.col("b_tokens")
     core = lambda t: F.filter(t, lambda x: ~x.isin(*V.QUANTITY_WORDS))
     pairs = pairs.withColumns({"common": F.array_intersect(ta, tb), "n_union": F.size(F.array_union(ta, tb)), "core_a": core(ta), "core_b": core(tb)})

@@ -103,7 +103,7 @@ def failure_histogram(requests: DataFrame, ok: str = "view") -> DataFrame:
 
 def run_pivot(requests: DataFrame, runs: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """Requests of every batch in each run, one column a run, and their mean."""
-    out = requests.groupBy("batch_id").pivot("run_id", list(runs)).agg(F.count("*"))
+    out = requests.groupBy("batch_id").pivot("run_id", list(runs)).agg(F.count("request_id"))
     counts = [F.coalesce(F.col(str(r)), F.lit(0)).alias(f"run_{r}") for r in runs]
     rows = out.select("batch_id", *counts)
     return rows.withColumn("mean_yield", F.bround(sum((F.col(f"run_{r}") for r in runs), F.lit(0)) / len(runs), 1))

@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import normalize as N
 from ..functions import vocab as V
-from ..functions.text import short_hash, strip
+from ..functions.text import short_hash
 
 HARD = ("ENTITY_MISMATCH", "METRIC_MISMATCH", "UNIT_MISMATCH", "TIME_MISMATCH", "SCOPE_MISMATCH", "GEOGRAPHY_MISMATCH")
 
 
-def _said(c: str) -> Column:
-    """A free field, stripped and in lower case; empty is null, but white space is not."""
-    return F.when(F.col(c) != "", F.lower(strip(F.col(c))))
-
-
 def _quote(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("None")) for p in parts))
 
@@ -50,7 +44,7 @@ def compare(pairs: DataFrame) -> DataFrame:
         .otherwise(_quote("mismatch (", s1, "..", e1, " vs ", s2, "..", e2, ")"))
     )
     for name in ("scope", "geography"):
-        a, b = _said(f"a_{name}"), _said(f"b_{name}")
+        a, b = F.col(f"a_{name}_key"), F.col(f"b_{name}_key")
         told = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
         up = name.upper()
         codes.append(F.when(told & (a != b), f"{up}_MISMATCH").when(~told & ~a.eqNullSafe(b), f"MISSING_{up}"))
@@ -63,16 +57,20 @@ def compare(pairs: DataFrame) -> DataFrame:
     ep_a, ep_b = F.col("a_epistemic_status"), F.col("b_epistemic_status")
     codes.append(F.when(ep_a != ep_b, "EPISTEMIC_STATUS_DIFFERENCE"))
     dims["epistemic_status"] = F.when(ep_a != ep_b, _quote("differs ('", ep_a, "' vs '", ep_b, "')")).otherwise(_quote("matching ('", ep_a, "')"))
-    v_a, v_b = _said("a_data_vintage"), _said("b_data_vintage")
+    v_a, v_b = F.col("a_vintage_key"), F.col("b_vintage_key")
     differ = (F.coalesce(v_a, F.lit("")) != "") & (F.coalesce(v_b, F.lit("")) != "") & (v_a != v_b)
     codes.append(F.when(differ, "DATA_VINTAGE_DIFFERENCE"))
     dims["data_vintage"] = F.when(differ, _quote("differs ('", v_a, "' vs '", v_b, "')")).otherwise("compatible / unspecified")
 
-    out = pairs.withColumn("codes", F.array_compact(F.array(*codes)))
-    hard = F.exists("codes", lambda c: F.endswith(c, F.lit("_MISMATCH")))
-    lacking = F.exists("codes", lambda c: F.startswith(c, F.lit("MISSING_")))
+    # The code of each dimension is a column of its own, so that deciding needs no array.
+    out = pairs.withColumns({f"code_{k}": c for k, c in zip(V.DIMENSIONS, codes, strict=True)})
+    gating = [F.coalesce(f"code_{k}", F.lit("")) for k in V.DIMENSIONS[:6]]
+    hard, lacking = F.lit(False), F.lit(False)
+    for code in gating:
+        hard, lacking = hard | F.endswith(code, F.lit("_MISMATCH")), lacking | F.startswith(code, F.lit("MISSING_"))
     status = F.when(hard, "NON_COMPARABLE").when(lacking, "INSUFFICIENT_CONTEXT").otherwise("COMPARABLE")
-    return out.withColumn("status", status).withColumns({f"dim_{k}": dims[k] for k in V.DIMENSIONS})
+    listed = F.array_compact(F.array(*(F.col(f"code_{k}") for k in V.DIMENSIONS)))
+    return out.withColumns({"status": status, "codes": listed} | {f"dim_{k}": dims[k] for k in V.DIMENSIONS})
 
 
 def compared_dimensions() -> Column:
@@ -80,23 +78,27 @@ def compared_dimensions() -> Column:
     return F.create_map(*(x for k in V.DIMENSIONS for x in (F.lit(k), F.col(f"dim_{k}"))))
 
 
-def temporal_language(a: Column, b: Column) -> Column:
-    """Whether the supporting texts compare times: a phrase in one of them, or a pattern across both."""
-    x, y = (F.lower(strip(F.coalesce(t, F.lit("")))) for t in (a, b))
-    out = F.lit(False)
-    for phrase in V.TEMPORAL_PHRASES:
-        out = out | F.contains(x, F.lit(phrase)) | F.contains(y, F.lit(phrase))
-    both = F.concat(x, F.lit(" "), y)
+def temporal_language(pairs_of: tuple[str, str] = ("a_", "b_")) -> Column:
+    """Whether a pair's supporting texts compare times: either by itself, or a pattern across both.
+
+    The patterns run over both texts only where the first can begin what the second goes on with.
+    """
+    a, b = pairs_of
+    c = F.col
+    across = c(a + "opens_time") | (c(a + "says_was") & (c(a + "n_in_year") + c(b + "n_in_year") >= 2))
+    both = F.concat(c(a + "evidence"), F.lit(" "), c(b + "evidence"))
+    hit = F.lit(False)
     for pattern in V.TEMPORAL_PATTERNS:
-        out = out | F.regexp_like(both, F.lit(pattern))
-    return out
+        hit = hit | F.regexp_like(both, F.lit(pattern))
+    return c(a + "says_time") | c(b + "says_time") | (across & hit)
 
 
 def surface(compared: DataFrame, metric_match: Column | None = None) -> DataFrame:
     """Compared pairs with ``should_surface`` and ``surface_code``; pairs of the pipeline match in metric."""
     match = F.lit(True) if metric_match is None else F.coalesce(metric_match, F.lit(False))
-    has = lambda c: F.array_contains("codes", c)
-    linked = temporal_language(F.col("a_supporting_text"), F.col("b_supporting_text"))
+    column = {"ENTITY": "entity", "METRIC": "metric", "TIME": "time_period", "UNIT": "unit"}
+    has = lambda c: F.coalesce(F.col(f"code_{column[c.split('_')[0]]}") == c, F.lit(False))
+    linked = temporal_language()
     conflict = has("ENTITY_MISMATCH") | has("METRIC_MISMATCH") | has("TIME_MISMATCH") | has("UNIT_MISMATCH")
     code = (
         F.when(F.col("a_fact_id") == F.col("b_fact_id"), "SAME_DOCUMENT_DUPLICATE")
@@ -112,14 +114,6 @@ def surface(compared: DataFrame, metric_match: Column | None = None) -> DataFram
     return compared.withColumn("surface_code", code).withColumn("should_surface", shown)
 
 
-def resolution(raw: Column, scale: Column) -> Column:
-    """The smallest step that a value's notation shows, as an exact decimal."""
-    kept = F.regexp_replace(F.regexp_replace(raw, r"[^0-9.\-+]", ""), r"^\++", "")
-    places = F.least(F.length(F.coalesce(F.try_element_at(F.split(kept, r"\."), F.lit(2)), F.lit(""))), F.lit(12))
-    step = F.element_at(F.array(*(F.lit(f"1e-{k}").cast("decimal(13,12)") for k in range(13))), places + 1)
-    return (step * N.power_of_ten(scale)).cast("decimal(28,12)")
-
-
 def relation_id(a: Column, b: Column, kind: Column) -> Column:
     return F.concat(F.lit("rel-"), short_hash(F.concat_ws("|", a, b, kind)))
 
@@ -127,21 +121,19 @@ def relation_id(a: Column, b: Column, kind: Column) -> Column:
 def classify(compared: DataFrame) -> DataFrame:
     """The relation of every compared pair: type, confidence, reason codes, factors, explanation and id."""
     c = F.col
-    text = lambda p: F.lower(F.concat(F.coalesce(c(p + "data_vintage"), F.lit("")), F.lit(" "), F.coalesce(c(p + "supporting_text"), F.lit(""))))
-    restated = lambda p: F.greatest(*(F.contains(text(p), F.lit(w)) for w in V.SUPERSESSION))
     planned, observed = ("target", "projected"), ("reported", "audited")
     st_a, st_b = c("a_epistemic_status"), c("b_epistemic_status")
     apart = (st_a.isin(*planned) & st_b.isin(*observed)) | (st_b.isin(*planned) & st_a.isin(*observed))
-    v_a, v_b = (F.lower(strip(F.coalesce(c(p + "data_vintage"), F.lit("")))) for p in ("a_", "b_"))
+    v_a, v_b = c("a_vintage_label"), c("b_vintage_label")
     steps = sorted("|".join(sorted(pair)) for pair in V.VINTAGE_STEPS)
     pair = F.array_join(F.array_sort(F.array(v_a, v_b)), "|")
     x, y = c("a_numeric_value"), c("b_numeric_value")
-    coarse = F.greatest(resolution(c("a_value_raw"), c("a_scale")), resolution(c("b_value_raw"), c("b_scale")))
+    coarse = F.greatest(c("a_resolution"), c("b_resolution"))
     step = (
         F.when(c("status") == "NON_COMPARABLE", "gate")
         .when(c("status") == "INSUFFICIENT_CONTEXT", "context")
         .when(apart, "epistemic")
-        .when(restated("b_") | restated("a_"), "supersedes")
+        .when(c("b_restates") | c("a_restates"), "supersedes")
         .when((v_a != "") & (v_b != "") & (v_a != v_b) & pair.isin(steps), "evolves")
         .when((v_a != "") & (v_b != "") & (v_a != v_b), "vintage")
         .when(x.isNull() | y.isNull(), "non_numeric")
@@ -149,7 +141,7 @@ def classify(compared: DataFrame) -> DataFrame:
         .when(F.abs(x - y) <= (coarse * F.lit("0.5").cast("decimal(2,1)")).cast("double"), "rounding")
         .otherwise("conflict")
     )
-    rows = compared.withColumns({"step": step, "__res": coarse, "__b_restates": restated("b_")})
+    rows = compared.withColumns({"step": step, "__res": coarse})
     by = lambda table, default=None: _by_step(table, default)
     kind = by({"supersedes": "SUPERSEDES", "evolves": "EVOLVES_FROM", "equal": "CORROBORATES", "rounding": "CONTEXT_RESOLVES", "conflict": "CONTRADICTS"}, "UNRESOLVED")
     confidence = by({"gate": 0.0, "context": 0.0, "epistemic": 0.9, "supersedes": 0.95, "evolves": 0.95, "vintage": 0.8, "non_numeric": 0.5, "equal": 1.0, "rounding": 0.95}, 0.95)
@@ -180,7 +172,7 @@ def classify(compared: DataFrame) -> DataFrame:
     )
     unit = F.coalesce(c("a_canonical_unit"), F.lit(""))
     listed = F.array_join("codes", ", ")
-    newer, older = F.when(c("__b_restates"), "Fact B").otherwise("Fact A"), F.when(c("__b_restates"), "Fact A").otherwise("Fact B")
+    newer, older = F.when(c("b_restates"), "Fact B").otherwise("Fact A"), F.when(c("b_restates"), "Fact A").otherwise("Fact B")
     money = lambda v: F.format_number(v, 2)
     told = by(
         {
@@ -197,7 +189,7 @@ def classify(compared: DataFrame) -> DataFrame:
         }
     )
     out = rows.withColumns({"relationship_type": kind, "confidence": confidence, "reason_codes": reasons, "contextual_factors": factors, "explanation": told})
-    return out.withColumn("relationship_id", relation_id(c("a_fact_id"), c("b_fact_id"), c("relationship_type"))).drop("__res", "__b_restates")
+    return out.withColumn("relationship_id", relation_id(c("a_fact_id"), c("b_fact_id"), c("relationship_type"))).drop("__res")
 
 
 def _by_step(table: dict, default) -> Column:

@@ -379,7 +379,7 @@ def candidate_scores(spark, d):
 
 @query
 def unit_veto(spark, d):
-    f = _facts(spark, d).select("pos", "ekey", "canonical_unit", "currency", "norm_start")
+    f = _facts(spark, d).select("pos", "ekey", "canonical_unit", "unit_kind", "norm_start")
     side = lambda p: f.select(*(F.col(c).alias(p + c) for c in f.columns))
     pairs = side("a_").join(side("b_"), (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_norm_start") == F.col("b_norm_start")) & (F.col("a_pos") < F.col("b_pos")))
     return pairs.groupBy(F.col("a_canonical_unit").alias("unit_a"), F.col("b_canonical_unit").alias("unit_b"), facts.units_agree().alias("agree")).agg(F.count("*").alias("n"))
@@ -406,9 +406,17 @@ def surfaced_pairs(spark, d):
 
 @query
 def temporal_language(spark, d):
+    """Each text beside three others, of which one has a comparison that only both texts make."""
     rows = views.claims(spark, d).select("pos", "supporting_text")
     docs = views.table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("pos"), F.col("text").alias("supporting_text"))
-    return rows.unionByName(docs).select("pos", relations.temporal_language(F.col("supporting_text"), F.lit("grew from 5% to 7%")).alias("with_range"), relations.temporal_language(F.col("supporting_text"), F.lit("")).alias("alone"))
+    cut = F.when(F.col("pos") % 3 == 0, F.concat("supporting_text", F.lit(" rose"))).when(F.col("pos") % 3 == 1, F.concat("supporting_text", F.lit(" was 5 in 2001"))).otherwise(F.col("supporting_text"))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("scope", "string"), ("geography", "string"), ("data_vintage", "string"), ("value_raw", "string"), ("scale", "string"), ("canonical_unit", "string"), ("currency", "string"))]
+    keyed = lambda df: facts.with_pair_keys(df.select("*", *empty))
+    a = keyed(rows.unionByName(docs).withColumn("supporting_text", cut))
+    told = F.array(*(F.struct(F.lit(i).alias("case"), F.lit(t).alias("supporting_text")) for i, t in enumerate(("From 3 to 5.", "and 6 in 2002", "plain"))))
+    b = keyed(spark.range(1).select(F.explode(told).alias("t")).select("t.*"))
+    both = a.select(*(F.col(c).alias("a_" + c) for c in a.columns)).crossJoin(F.broadcast(b.select(*(F.col(c).alias("b_" + c) for c in b.columns))))  # three literals
+    return both.select(F.col("a_pos").alias("pos"), F.col("b_case").alias("case_id"), relations.temporal_language().alias("linked"))
 
 
 def _related(spark, d):
@@ -439,7 +447,7 @@ def relationship_ids(spark, d):
 
 @query
 def display_resolution(spark, d):
-    rows = _facts(spark, d).select("pos", relations.resolution(F.col("value_raw"), F.col("scale")).cast("double").alias("resolution"))
+    rows = _facts(spark, d).select("pos", F.col("resolution").cast("double").alias("resolution"))
     return rows
 
 
