@@ -14,7 +14,7 @@ CARRIED = (
     "pos", "fact_id", "document_id", "page_number", "metric", "value_raw", "period_label", "scope", "geography",
     "epistemic_status", "data_vintage", "supporting_text", "canonical_entity", "canonical_metric", "numeric_value",
     "canonical_unit", "currency", "norm_start", "norm_end", "ekey", "mkey", "scope_key", "geography_key", "vintage_key",
-    "vintage_label", "restates", "resolution", "evidence", "says_time", "opens_time", "says_was", "n_in_year", "unit_kind",
+    "vintage_label", "restates", "resolution", "evidence", "time_marks", "unit_kind",
 )
 
 
@@ -67,10 +67,7 @@ def with_pair_keys(facts: DataFrame) -> DataFrame:
             "resolution": resolution(F.col("value_raw"), F.col("scale")),
             "evidence": evidence,
             "unit_kind": kind,
-            "says_time": says_time(evidence),
-            "opens_time": F.regexp_like(evidence, F.lit(_OPENS)),
-            "says_was": F.regexp_like(evidence, F.lit(r"\bwas\b")),
-            "n_in_year": F.regexp_count(evidence, F.lit(r"\bin(?:\s+\d{4}\b|$)")),
+            "time_marks": time_marks(evidence),
         }
     )
 
@@ -82,6 +79,20 @@ _OPENS = (
 )
 
 
+#: Bits of a text's time marks; above them stands how often it says "in" a year.
+SAYS_TIME, OPENS_TIME, SAYS_WAS, IN_YEAR = 1, 2, 4, 8
+
+
+def time_marks(text: Column) -> Column:
+    """All that pairs ask about the times in a lower-case text, as one number.
+
+    Both sides of a pair carry the same columns, so that one shuffle can serve both sides of the join.
+    """
+    bit = lambda test, b: F.when(test, b).otherwise(0)
+    was = F.regexp_like(text, F.lit(r"\bwas\b"))
+    return bit(says_time(text), SAYS_TIME) + bit(F.regexp_like(text, F.lit(_OPENS)), OPENS_TIME) + bit(was, SAYS_WAS) + IN_YEAR * F.regexp_count(text, F.lit(r"\bin(?:\s+\d{4}\b|$)"))
+
+
 def says_time(text: Column) -> Column:
     """Whether a lower-case text compares times by itself."""
     out = F.lit(False)

@@ -7,67 +7,78 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import short_hash
-
-HARD = ("ENTITY_MISMATCH", "METRIC_MISMATCH", "UNIT_MISMATCH", "TIME_MISMATCH", "SCOPE_MISMATCH", "GEOGRAPHY_MISMATCH")
-
+from .facts import OPENS_TIME, SAYS_TIME, SAYS_WAS, pair_up
 
 def _quote(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("None")) for p in parts))
 
 
+def gates() -> dict[str, tuple[Column, Column]]:
+    """For each gating dimension of a pair whether something is missing, and whether it does not match."""
+    out: dict[str, tuple[Column, Column]] = {}
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    for name, column in (("entity", "ekey"), ("metric", "mkey"), ("unit", "canonical_unit")):
+        both = filled(f"a_{column}") & filled(f"b_{column}")
+        out[name] = (~both, both & (F.col(f"a_{column}") != F.col(f"b_{column}")))
+    bounded = F.col("a_norm_start").isNotNull() & F.col("b_norm_start").isNotNull()
+    equal = (F.col("a_norm_start") == F.col("b_norm_start")) & F.col("a_norm_end").eqNullSafe(F.col("b_norm_end"))
+    out["time_period"] = (~bounded, bounded & ~equal)
+    for name in ("scope", "geography"):
+        a, b = F.col(f"a_{name}_key"), F.col(f"b_{name}_key")
+        told = filled(f"a_{name}_key") & filled(f"b_{name}_key")
+        out[name] = (~told & ~a.eqNullSafe(b), told & (a != b))
+    return out
+
+
+def _any(flags) -> Column:
+    out = F.lit(False)
+    for f in flags:
+        out = out | f
+    return out
+
+
 def compare(pairs: DataFrame) -> DataFrame:
     """Pairs with comparability ``status``, ``codes`` and ``dim_<dimension>`` (what was found for each dimension).
 
     A mismatch makes a pair NON_COMPARABLE, else what is missing makes it INSUFFICIENT_CONTEXT; epistemic
-    status and vintage are noted only.
+    status and vintage are noted only. The codes by dimension are columns too (``code_<dimension>``).
     """
-    codes: list[Column] = []
+    c = F.col
+    flags = gates()
+    said = {"entity": "ENTITY", "metric": "METRIC", "unit": "UNIT", "time_period": "TIME", "scope": "SCOPE", "geography": "GEOGRAPHY"}
+    codes = [F.when(flags[k][0], f"MISSING_{k.upper()}").when(flags[k][1], f"{name}_MISMATCH") for k, name in said.items()]
     dims: dict[str, Column] = {}
 
-    def both(name: str, a: Column, b: Column, missing: str) -> None:
-        absent = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
-        up = name.upper()
-        codes.append(F.when(absent, f"MISSING_{up}").when(a != b, f"{up}_MISMATCH"))
-        text = _quote("unresolved unit (fact_a='", a, "', fact_b='", b, "')") if name == "unit" else F.lit(missing)
-        dims[name] = F.when(absent, text).when(a != b, _quote("mismatch ('", a, "' != '", b, "')")).otherwise(_quote("compatible ('", a, "')"))
-
-    both("entity", F.col("a_ekey"), F.col("b_ekey"), "unresolved (missing entity)")
-    both("metric", F.col("a_mkey"), F.col("b_mkey"), "unresolved (missing metric)")
-    both("unit", F.col("a_canonical_unit"), F.col("b_canonical_unit"), "")
-
-    s1, e1, s2, e2 = (F.col(c) for c in ("a_norm_start", "a_norm_end", "b_norm_start", "b_norm_end"))
-    unbounded, equal = s1.isNull() | s2.isNull(), (s1 == s2) & e1.eqNullSafe(e2)
-    codes.append(F.when(unbounded, "MISSING_TIME_PERIOD").when(~equal, "TIME_MISMATCH"))
+    def told(name: str, a: Column, b: Column, missing: Column, neither: Column | None = None) -> None:
+        lacking, differing = flags[name]
+        out = F.when(lacking, missing).when(differing, _quote("mismatch ('", a, "' != '", b, "')"))
+        out = out if neither is None else out.when(neither, "compatible (both unspecified)")
+        dims[name] = out.otherwise(_quote("compatible ('", a, "')"))
+
+    told("entity", c("a_ekey"), c("b_ekey"), F.lit("unresolved (missing entity)"))
+    told("metric", c("a_mkey"), c("b_mkey"), F.lit("unresolved (missing metric)"))
+    u_a, u_b = c("a_canonical_unit"), c("b_canonical_unit")
+    told("unit", u_a, u_b, _quote("unresolved unit (fact_a='", u_a, "', fact_b='", u_b, "')"))
+    s1, e1, s2, e2 = (c(x) for x in ("a_norm_start", "a_norm_end", "b_norm_start", "b_norm_end"))
     dims["time_period"] = (
-        F.when(unbounded, "unresolved interval")
-        .when(equal, _quote("compatible (", s1, " to ", e1, ")"))
-        .otherwise(_quote("mismatch (", s1, "..", e1, " vs ", s2, "..", e2, ")"))
+        F.when(flags["time_period"][0], "unresolved interval")
+        .when(flags["time_period"][1], _quote("mismatch (", s1, "..", e1, " vs ", s2, "..", e2, ")"))
+        .otherwise(_quote("compatible (", s1, " to ", e1, ")"))
     )
     for name in ("scope", "geography"):
-        a, b = F.col(f"a_{name}_key"), F.col(f"b_{name}_key")
-        told = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
-        up = name.upper()
-        codes.append(F.when(told & (a != b), f"{up}_MISMATCH").when(~told & ~a.eqNullSafe(b), f"MISSING_{up}"))
-        dims[name] = (
-            F.when(told & (a == b), _quote("compatible ('", a, "')"))
-            .when(told, _quote("mismatch ('", a, "' != '", b, "')"))
-            .when(~a.eqNullSafe(b), _quote("unspecified on one claim (fact_a='", a, "', fact_b='", b, "')"))
-            .otherwise("compatible (both unspecified)")
-        )
-    ep_a, ep_b = F.col("a_epistemic_status"), F.col("b_epistemic_status")
+        a, b = c(f"a_{name}_key"), c(f"b_{name}_key")
+        told(name, a, b, _quote("unspecified on one claim (fact_a='", a, "', fact_b='", b, "')"), F.coalesce(a, F.lit("")) == "")
+    ep_a, ep_b = c("a_epistemic_status"), c("b_epistemic_status")
     codes.append(F.when(ep_a != ep_b, "EPISTEMIC_STATUS_DIFFERENCE"))
     dims["epistemic_status"] = F.when(ep_a != ep_b, _quote("differs ('", ep_a, "' vs '", ep_b, "')")).otherwise(_quote("matching ('", ep_a, "')"))
-    v_a, v_b = F.col("a_vintage_key"), F.col("b_vintage_key")
+    v_a, v_b = c("a_vintage_key"), c("b_vintage_key")
     differ = (F.coalesce(v_a, F.lit("")) != "") & (F.coalesce(v_b, F.lit("")) != "") & (v_a != v_b)
     codes.append(F.when(differ, "DATA_VINTAGE_DIFFERENCE"))
     dims["data_vintage"] = F.when(differ, _quote("differs ('", v_a, "' vs '", v_b, "')")).otherwise("compatible / unspecified")
 
     # The code of each dimension is a column of its own, so that deciding needs no array.
     out = pairs.withColumns({f"code_{k}": c for k, c in zip(V.DIMENSIONS, codes, strict=True)})
-    gating = [F.coalesce(f"code_{k}", F.lit("")) for k in V.DIMENSIONS[:6]]
-    hard, lacking = F.lit(False), F.lit(False)
-    for code in gating:
-        hard, lacking = hard | F.endswith(code, F.lit("_MISMATCH")), lacking | F.startswith(code, F.lit("MISSING_"))
+    hard, lacking = _any(f[1] for f in flags.values()), _any(f[0] for f in flags.values())
     status = F.when(hard, "NON_COMPARABLE").when(lacking, "INSUFFICIENT_CONTEXT").otherwise("COMPARABLE")
     listed = F.array_compact(F.array(*(F.col(f"code_{k}") for k in V.DIMENSIONS)))
     return out.withColumns({"status": status, "codes": listed} | {f"dim_{k}": dims[k] for k in V.DIMENSIONS})
@@ -85,12 +96,14 @@ def temporal_language(pairs_of: tuple[str, str] = ("a_", "b_")) -> Column:
     """
     a, b = pairs_of
     c = F.col
-    across = c(a + "opens_time") | (c(a + "says_was") & (c(a + "n_in_year") + c(b + "n_in_year") >= 2))
+    mark = lambda p, bit: c(p + "time_marks").bitwiseAND(bit) != 0
+    in_year = lambda p: F.shiftright(p + "time_marks", 3)
+    across = mark(a, OPENS_TIME) | (mark(a, SAYS_WAS) & (in_year(a) + in_year(b) >= 2))
     both = F.concat(c(a + "evidence"), F.lit(" "), c(b + "evidence"))
     hit = F.lit(False)
     for pattern in V.TEMPORAL_PATTERNS:
         hit = hit | F.regexp_like(both, F.lit(pattern))
-    return c(a + "says_time") | c(b + "says_time") | (across & hit)
+    return mark(a, SAYS_TIME) | mark(b, SAYS_TIME) | (across & hit)
 
 
 def surface(compared: DataFrame, metric_match: Column | None = None) -> DataFrame:
@@ -114,6 +127,17 @@ def surface(compared: DataFrame, metric_match: Column | None = None) -> DataFram
     return compared.withColumn("surface_code", code).withColumn("should_surface", shown)
 
 
+def surfaces() -> Column:
+    """Whether a pair that matches in metric surfaces, straight from its keys.
+
+    The same decision as of ``surface``, small enough to be evaluated inside of the join.
+    """
+    flags = gates()
+    hard = _any(f[1] for f in flags.values())
+    linked = flags["time_period"][1] & ~flags["metric"][1] & temporal_language()
+    return (F.col("a_fact_id") != F.col("b_fact_id")) & (~hard | linked)
+
+
 def relation_id(a: Column, b: Column, kind: Column) -> Column:
     return F.concat(F.lit("rel-"), short_hash(F.concat_ws("|", a, b, kind)))
 
@@ -202,6 +226,4 @@ def _by_step(table: dict, default) -> Column:
 
 def relate(normalized: DataFrame) -> DataFrame:
     """Relations that surface among normalised facts: the pipeline from claims to audited edges."""
-    from .facts import pair_up
-
-    return classify(surface(compare(pair_up(normalized, exact_metric=True))).filter("should_surface"))
+    return classify(compare(pair_up(normalized, exact_metric=True).filter(surfaces())))
