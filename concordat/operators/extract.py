@@ -62,7 +62,7 @@ def line_values(line: Column) -> Column:
 def rule_claims(pages: DataFrame) -> DataFrame:
     """Claims read off lines by patterns and keyword ladders, one for each value of a line."""
     able = lambda x: F.length(strip(x)) > 3
-    digits = lambda x: F.regexp_like(x, F.lit("[0-9]|,{4}"))  # noqa: E731  no value without
+    digits = lambda x: F.regexp_like(x, F.lit("[0-9,]"))  # noqa: E731  no value without
     rows = pages.select("document_id", "page_number", F.posexplode(F.filter(F.filter(lines(F.col("text")), able), digits)).alias("segment", "raw"))
     rows = rows.select("document_id", "page_number", "segment", strip(F.col("raw")).alias("supporting_text"))
     rows = rows.withColumn("low", F.lower("supporting_text")).select("*", F.posexplode(line_values(F.col("supporting_text"))).alias("value_no", "value_raw"))
