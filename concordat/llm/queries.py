@@ -39,7 +39,8 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.captures_of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     found = warc.resolve_revisits(records)
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return found.withColumn("headers", F.array_join(lines, "\n"))
+    time = lambda c, name: F.unix_seconds(c).alias(name)
+    return found.select("record_id", "url", time("date", "revisit_time"), "outcome", "response_id", time("response_date", "response_time"), "payload_digest", F.array_join(lines, "\n").alias("headers"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
