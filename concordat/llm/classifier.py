@@ -214,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         .limit(MAX_TRAIN_ROWS)  # the documented bound of the sample, and of what is broadcast below
         .select(F.col("doc_id").alias("__id"), "label")
     )
-    texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["__id"]).select(F.xxhash64("__id").alias("at"), "label", F.col("text").cast("string").alias("text"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = own.join(F.broadcast(sample), own["doc_id"] == sample["__id"]).select(F.xxhash64("__id").alias("at"), "label", "text")
     rows = texts.mapInArrow(_examples, "at long, label int, idx binary, val binary")
     model = rows.repartition(1).mapInArrow(_train, "weights binary, bias double").first()
     if model is None:

@@ -94,10 +94,16 @@ TEXTS = {
 }
 
 
+#: Lines that state a copyright: the word with a year, a sign or an owner, a sign with a year, or the usual claim.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}|\bby\b)|\(c\)[^\n]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+)
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical form of every line, still one to a line."""
     x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.regexp_replace(x, r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b(?! (?:owner|holder|notice|law))|\(c\)|©|all rights reserved)[^\n]*$", "")
+    x = F.regexp_replace(x, COPYRIGHT_LINE, "")
     x = F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", " ")
     any_other = r"\b(?:" + "|".join(SPELLINGS) + r")s?\b"
 

@@ -92,7 +92,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_i
 def _op10() -> str:
     def canonical(x: str) -> str:
         x = f"lower(coalesce({x}, ''))"
-        x = rf"regexp_replace({x}, '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+        x = f"regexp_replace({x}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
         x = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
         for other, one in licenses.SPELLINGS.items():
             x = rf"regexp_replace({x}, '\b{other}(s?)\b', '{one}\1', 'g')"

@@ -88,7 +88,7 @@ def _by_trie(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def _by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """The same by hash joins: each URL asks for its host suffixes and its path prefixes of known lengths."""
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"), F.col("host").alias("host"), "action")
-    rules = rules.groupBy("h", "p").agg(F.max(F.struct((F.col("action") == "block").alias("b"), F.concat("host", "path").alias("rule"), "action")).alias("r"))
+    rules = rules.groupBy("h", "p").agg(F.max(F.struct((F.col("action") == "block").alias("b"), F.concat("host", "p").alias("rule"), "action")).alias("r"))
     lengths = rules.groupBy("h").agg(F.collect_set(F.length("p")).alias("n"))
     labels = F.split("__host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("depth"), F.concat_ws(".", F.slice(labels, -i, i)).alias("h")))
