@@ -100,17 +100,23 @@ COPYRIGHT_LINE = (
 )
 
 
+def spelling_patterns(group_sign: str) -> list[tuple[str, str]]:
+    """Pattern and replacement of each spelling; words of a phrase may stand on two lines, and stay so if both have two."""
+    kept = lambda a, b: " " in a and " " in b
+    return [(a.replace(" ", r"(\s)" if kept(a, b) else r"\s"), b.replace(" ", f"{group_sign}1") if kept(a, b) else b) for a, b in SPELLINGS.items()]
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical form of every line, still one to a line."""
     x = F.lower(F.coalesce(text, F.lit("")))
     x = F.regexp_replace(x, COPYRIGHT_LINE, "")
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", " ")
-    any_other = r"\b(?:" + "|".join(SPELLINGS) + r")s?\b"
+    x = F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n")
+    any_other = r"\b(?:" + "|".join(p for p, _ in spelling_patterns("$")) + r")s?\b"
 
     def respelt(y: Column) -> Column:
         z = y
-        for other, one in SPELLINGS.items():
-            z = F.regexp_replace(z, rf"\b{other}(?=s?\b)", one)
+        for pattern, one in spelling_patterns("$"):
+            z = F.regexp_replace(z, rf"\b{pattern}(?=s?\b)", one)
         return F.when(F.regexp_like(y, F.lit(any_other)), z).otherwise(y)
 
     return let(x, respelt)

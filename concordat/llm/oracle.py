@@ -93,10 +93,10 @@ def _op10() -> str:
     def canonical(x: str) -> str:
         x = f"lower(coalesce({x}, ''))"
         x = f"regexp_replace({x}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
-        x = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
-        for other, one in licenses.SPELLINGS.items():
-            x = rf"regexp_replace({x}, '\b{other}(s?)\b', '{one}\1', 'g')"
-        return rf"regexp_replace({x}, ' ?\n ?', chr(10), 'g')"
+        x = rf"regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
+        for pattern, one in licenses.spelling_patterns("\\"):
+            x = rf"regexp_replace({x}, '\b{pattern}(s?)\b', '{one}\{2 if '(' in pattern else 1}', 'g')"
+        return x
 
     flat = lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
     known = [(i, t) for i, ts in licenses.NOTICES.items() for t in ts] + list(licenses.TEXTS.items())
