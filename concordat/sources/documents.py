@@ -1,7 +1,7 @@
 """Documents from files: bytes to pages.
 
 Files are read by Spark's own binary source, so that any store works that Spark reaches. Text files are
-paged at form feeds. PDF needs a parser, which is given as a function from bytes to page texts; the
+paged at form feeds; files of no bytes give no row, as Spark's reader passes them over. PDF needs a parser, which is given as a function from bytes to page texts; the
 library brings none.
 """
 
