@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import let
+from ._common import durable, let
 
 MAX_BROADCAST = 100_000
 
@@ -143,8 +143,10 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     side = F.broadcast(side) if size["rows"] <= MAX_BROADCAST else side
     canon = docs.select("doc_id", canonical_lines(F.col("text")).alias("c"))
     able = lambda x: (F.length(F.trim(x)) > 0) & (F.length(F.trim(x)) <= F.lit(size["longest"] or 0))
-    whole = canon.select("doc_id", digest_of(F.col("c")).alias("canonical_sha256"), F.filter(F.split("c", "\n"), able).alias("lines"))
-    found = whole.select("doc_id", F.explode("lines").alias("line")).select("doc_id", digest_of(F.col("line")).alias("digest"))
+    digests = F.transform(F.filter(F.split("c", "\n"), able), digest_of)
+    # Texts are read and brought to their canonical form once; both joins then start from the digests.
+    whole = durable(canon.select("doc_id", digest_of(F.col("c")).alias("canonical_sha256"), digests.alias("lines")))
+    found = whole.select("doc_id", F.explode("lines").alias("digest"))
     notices = found.join(side, "digest").select(F.col("doc_id").alias("__id"), F.explode("ids").alias("id"))
     notices = notices.groupBy("__id").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("notice_licenses"))
     named = whole.select("doc_id", "canonical_sha256").join(side.select(F.col("digest").alias("canonical_sha256"), F.array_join("ids", ",").alias("whole_license")), "canonical_sha256", "left")
