@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import collapse, lines, short_hash, strip
+from ..shipping import ship
 
 #: The schema that model output is read by.
 CANDIDATES = (
@@ -200,6 +201,7 @@ def call_model(prompts: DataFrame, caller: Callable[[str], str], partitions: int
                 rows.append((r.document_id, r.batch_id, output, error))
             yield pd.DataFrame(rows, columns=["document_id", "batch_id", "output", "error"])
 
+    ship(prompts.sparkSession)
     dealt = prompts.select("document_id", "batch_id", "prompt").repartition(partitions, "document_id", "batch_id")
     return dealt.mapInPandas(run, "document_id string, batch_id int, output string, error string")
 

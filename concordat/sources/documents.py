@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
 from ..operators.pages import newline_clean, with_metadata
+from ..shipping import ship
 
 Parser = Callable[[bytes], list[str]]
 
@@ -53,6 +54,7 @@ def parse(documents: DataFrame, parser: Parser = split_form_feeds) -> DataFrame:
             out = pd.DataFrame(rows, columns=["document_id", "document_name", "page_number", "text", "error"])
             yield out.astype({"page_number": "Int32"})
 
+    ship(documents.sparkSession)
     raw = documents.select("document_id", "document_name", "content")
     pages = raw.mapInPandas(run, "document_id string, document_name string, page_number int, text string, error string")
     return with_metadata(pages.withColumn("text", newline_clean(F.col("text"))))
