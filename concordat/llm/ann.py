@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 QUERY_BLOCK = 32_768
 #: Elements of one tile (queries x candidates).
 TILE = 1 << 22
@@ -142,6 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Both tables have vec_id and embedding.
     """
     spark = vectors.sparkSession
+    ship(spark)
     asked, rows = usable(queries), usable(vectors)
     n = asked.count()
     blocks = max(1, -(-n // QUERY_BLOCK))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 # Character classes.
 OTHER, LETTER, NUMBER, SPACE, BLANK, APOS = range(6)  # SPACE: U+0020; BLANK: other white space
 #: Unicode's White_Space property.
@@ -275,6 +277,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(texts)), ids, offs], ["doc_id", "ids", "offsets"])
                 done += len(texts)
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
 
 
@@ -287,6 +290,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
             out = [None if x is None else vocab.decode(np.array(x, "<i4").tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
+    ship(coded.sparkSession)
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
@@ -309,5 +313,6 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 done += len(texts)
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

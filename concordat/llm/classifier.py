@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 DIM_BITS = 18
 DIM = 1 << DIM_BITS
 MAX_TRAIN_ROWS = 8_000
@@ -206,6 +208,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and bias from a bounded sample of the labels that may be learnt from."""
+    ship(docs.sparkSession)
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -225,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
     """A column function from text to score; the model is broadcast once."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

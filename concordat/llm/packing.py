@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ._common import WS_CHARS, WS_RUN, durable, word_count
 
 CAPACITY = 2_048
@@ -76,6 +77,7 @@ def _pack_shard(capacity: int):
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """bin_id, doc_id, piece, start and n_words (in words) and position of every piece of every document."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     same = F.xxhash64(F.regexp_replace(F.lower(F.trim(text, F.lit(WS_CHARS))), WS_RUN, " "))
     sized = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.alias("cluster"), word_count(text).alias("n")))

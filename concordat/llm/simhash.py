@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ._common import durable
 
 BITS, PARTS, LIMIT, SEED, SHINGLE = 64, 4, 3, 42, 3
@@ -76,6 +77,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
@@ -248,6 +250,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (u > v, by smallest doc_id) that connect all nodes (fp, rep) within the limit."""
     spark = nodes.sparkSession
+    ship(spark)
     n = nodes.count()
     together = np.zeros(BITS * BITS, np.int64)
     for row in nodes.select("fp").mapInArrow(_bit_sums, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():

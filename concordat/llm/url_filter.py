@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BROADCAST_RULES = 500_000
 
@@ -74,6 +76,7 @@ class Trie:
 
 
 def _by_trie(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    ship(parts.sparkSession)
     shared = parts.sparkSession.sparkContext.broadcast(Trie(rules))
 
     @F.pandas_udf("rule string, action string")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 SPAN_DAYS = 2
 #: Headers that a not-modified answer may replace.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -175,6 +177,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         columns = [[list(r[f].items()) if f == "headers" else r[f] for r in rows] for f in fields]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
+    ship(spark)
     raw = spark.read.format("binaryFile").load(path).select("content")
     parsed = raw.mapInArrow(run, RECORD.replace("date timestamp", "date string"))
     return parsed.withColumn("date", F.try_to_timestamp("date")).select(*fields)
@@ -209,6 +212,7 @@ def warc_files(records: DataFrame) -> DataFrame:
             rows = [r | {"headers": dict(r["headers"] or [])} for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([format_warc(rows)], pa.binary())], ["file_no", "content"])
 
+    ship(records.sparkSession)
     return records.select(*[f.split()[0] for f in RECORD.split(", ")]).mapInArrow(run, "file_no int, content binary")
 
 
