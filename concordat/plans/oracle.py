@@ -527,7 +527,7 @@ def candidates() -> str:
 SNIPPETS = PAGES + """, snip AS (
   SELECT doc_id AS pos, document_id, (page_number + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END)::INT AS page_number, CASE WHEN doc_id % 21 = 0 THEN '' ELSE 'E' END AS entity, 'm' AS metric, '1' AS value_raw,
     'P' || doc_id % 4 AS period_label, '  ' || substr(text, 11, 40) || CASE WHEN doc_id % 6 = 0 THEN '' ELSE ' §' END || chr(10) AS supporting_text, 'f' || doc_id % 50 AS fact_id
-  FROM pages_v WHERE doc_id % 3 = 0 AND has_text), ground AS (
+  FROM pages_v WHERE has_text), ground AS (
   SELECT s.*, t <> '' AND contains(coalesce(p.text, ''), t) AS is_exact, t <> '' AND (contains(coalesce(p.text, ''), t) OR contains({cp}, {ct})) AS is_grounded
   FROM (SELECT *, {st} AS t FROM snip) s LEFT JOIN pages_v p USING (document_id, page_number))""".replace("{cp}", collapse("coalesce(p.text, '')")).replace("{ct}", collapse("t")).replace("{st}", strip("supporting_text"))
 
@@ -573,8 +573,7 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     sweep += """, per AS (SELECT p.document_id, p.page_number, r.radius, length(p.text) AS whole, count(w.island)::INT AS n, coalesce(sum(length(array_to_string(a.lines[w.start_line + 1:w.end_line + 1], chr(10)))), 0) AS sel
   FROM pages_v p CROSS JOIN radii r JOIN arr a USING (document_id, page_number) LEFT JOIN wins w ON w.document_id = p.document_id AND w.page_number = p.page_number AND w.radius = r.radius WHERE p.has_text GROUP BY ALL)"""
     out["radius_sweep"] = w(sweep, f"SELECT radius, count(*) AS n_pages, sum(whole)::BIGINT AS original_chars, sum(sel)::BIGINT AS selected_chars, {round_even('100 * (1 - sum(sel) / sum(whole))', 2)} AS reduction_pct, sum(n)::BIGINT AS n_windows, max(n) AS max_windows, quantile_cont(n, 0.5)::DOUBLE AS median_windows FROM per GROUP BY radius")
-    gold = "SELECT document_id, page_number, contains(lower(combined_text), regexp_extract(text, '(\\d{2,})', 1)) AS kept_value, contains(lower(combined_text), lower(substr(text, 1, 12))) OR contains(lower(combined_text), 'no such text') AS kept_metric, true AS kept_unit FROM ctx WHERE doc_id % 5 = 0"
-    # Windows of the sample only look at their own page, so the context of all pages serves.
+    gold = "SELECT document_id, page_number, contains(lower(combined_text), regexp_extract(text, '(\\d{2,})', 1)) AS kept_value, contains(lower(combined_text), lower(substr(text, 1, 12))) OR contains(lower(combined_text), 'no such text') AS kept_metric, true AS kept_unit FROM ctx"
     out["gold_coverage"] = w(CONTEXT, f"SELECT *, kept_value AND kept_metric AS recalled FROM ({gold})")
 
     planned = SCORES + plan()
@@ -634,7 +633,7 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     cases = "edge AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(v)}, {lit(u)}::VARCHAR, {lit(n_)}::DOUBLE)" for i, (v, u, n_) in enumerate(EDGE_VALUES)) + ") AS e(case_id, value_raw, unit, value_numeric))"
     out["value_normalize"] = w(cases + ", " + values("edge"), "SELECT case_id, numeric_value, canonical_unit, scale, value_qualifier, currency, status, note FROM val_v")
     out["value_qualifier"] = w(claims() + ", " + cases, f"SELECT pos, {qualifier('value_raw')} AS value_qualifier FROM claims_v UNION ALL SELECT (-1 - case_id)::BIGINT, {qualifier('value_raw')} FROM edge")
-    out["semantic_unit"] = f"SELECT doc_id, {semantic('substr(text, 1, 60)')} AS semantic_unit FROM documents WHERE lang = 'en'"
+    out["semantic_unit"] = f"SELECT doc_id, {semantic('text')} AS semantic_unit FROM documents"
     labels = "edge AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(p)}, {lit(c)}::VARCHAR)" for i, (p, c) in enumerate(EDGE_PERIODS)) + ") AS e(case_id, period_label, calendar))"
     out["period_normalize"] = w(labels + ", " + periods("edge", "calendar"), 'SELECT case_id, norm_start AS "start", norm_end AS "end", warning FROM per_v')
     suffixes = [" Limited", ", Inc.", " Pvt. Ltd", "  S.A.", " plc.", " Holdings,", " GmbH"]
@@ -644,8 +643,8 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["normalized_facts"] = w(facts(), "SELECT pos, canonical_entity, canonical_metric, numeric_value, canonical_unit, scale, value_qualifier, currency, status AS normalization_status, norm_start, norm_end, concat_ws('|', note, CASE WHEN norm_start IS NULL THEN warning END) AS warnings FROM facts_v")
 
     out["candidate_pairs"] = w(candidates(), "SELECT a_ekey, candidate_score, count(*) AS n FROM cand_v GROUP BY 1, 2")
-    out["candidate_scores"] = w(candidates(), "SELECT a_pos, b_pos, candidate_score, reasons FROM cand_v WHERE a_label = b_label")
-    out["unit_veto"] = w(facts(), f"SELECT a.canonical_unit AS unit_a, b.canonical_unit AS unit_b, {UNITS_AGREE} AS agree, count(*) AS n FROM facts_v a JOIN facts_v b ON a.ekey = b.ekey AND a.norm_start = b.norm_start AND a.pos < b.pos GROUP BY 1, 2, 3")
+    out["candidate_scores"] = w(candidates(), "SELECT a_pos, b_pos, candidate_score, reasons FROM cand_v")
+    out["unit_veto"] = w(facts(), f"SELECT a.canonical_unit AS unit_a, b.canonical_unit AS unit_b, {UNITS_AGREE} AS agree, count(*) AS n FROM facts_v a JOIN facts_v b ON a.ekey = b.ekey AND a.pos < b.pos GROUP BY 1, 2, 3")
     out["comparability"] = w(compared(), f"SELECT a_pos, b_pos, status, {bar('codes')} AS codes, dim_unit, dim_time_period, dim_scope, dim_geography, dim_epistemic_status, dim_data_vintage FROM compared_v")
     out["comparability_reasons"] = w(compared(), "SELECT status, code, count(*) AS n FROM (SELECT status, unnest(codes) AS code FROM compared_v) GROUP BY 1, 2")
     out["surfaced_pairs"] = w(compared() + SURFACED, "SELECT a_pos, b_pos, surface_code, surface_code IN ('MEANINGFUL_COMPARISON', 'EXPLICIT_TEMPORAL_COMPARISON', 'INSUFFICIENT_CONTEXT_MEANINGFUL') AS should_surface FROM surfaced")
@@ -656,7 +655,7 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["relationship_counts_by_customer"] = w(compared("customer") + SURFACED + classified(), "SELECT relationship_type, confidence, count(*) AS n FROM related GROUP BY 1, 2")
     out["relationship_ids"] = w(RELATED, "SELECT a_pos, b_pos, relationship_id FROM related")
     out["display_resolution"] = w(facts(), "SELECT pos, resolution::DOUBLE AS resolution FROM facts_v")
-    pair_rows = candidates() + compared("nation", "a.ekey = b.ekey").removeprefix(facts()) + ", chosen AS (SELECT c.* FROM compared_v c JOIN cand_v USING (a_pos, b_pos) WHERE a_pos % 7 = 0)" + classified("chosen")
+    pair_rows = candidates() + compared("nation", "a.ekey = b.ekey").removeprefix(facts()) + ", chosen AS (SELECT c.* FROM compared_v c JOIN cand_v USING (a_pos, b_pos))" + classified("chosen")
     out["pair_reason"] = w(pair_rows, "SELECT a_pos, b_pos, status, step, relationship_type, confidence FROM related")
 
     out["analysis_summary"] = w(RELATED, "SELECT (SELECT string_agg(DISTINCT document_id, ',' ORDER BY document_id) FROM claims_v) AS document_ids, (SELECT count(DISTINCT document_id) FROM claims_v) AS n_documents, (SELECT count(*) FROM claims_v) AS n_facts, (SELECT count(*) FROM related) AS n_relationships")
@@ -686,13 +685,13 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["signature_intersect"] = w(sig, "SELECT * FROM one INTERSECT SELECT * FROM two")
     out["signature_except"] = w(sig, "SELECT * FROM one EXCEPT SELECT * FROM two")
     out["signature_symmetric"] = w(sig, "(SELECT * FROM one EXCEPT SELECT * FROM two) UNION (SELECT * FROM two EXCEPT SELECT * FROM one)")
-    out["run_agreement"] = w(REQUESTS + ", fp AS (SELECT run_id, batch_id, substr(sha256((sum(latency_ms) % 2)::BIGINT::VARCHAR), 1, 16) AS f FROM req WHERE outcome = 'purchase' GROUP BY 1, 2 HAVING run_id + batch_id < 8)", "SELECT coalesce(a.batch_id, b.batch_id) AS batch_id, a.f AS fingerprint_one, b.f AS fingerprint_other, coalesce(a.f = b.f, false) AS is_equal FROM (SELECT * FROM fp WHERE run_id = 0) a FULL JOIN (SELECT * FROM fp WHERE run_id = 1) b ON a.batch_id = b.batch_id")
+    out["run_agreement"] = w(REQUESTS + ", fp AS (SELECT run_id, batch_id, substr(sha256((sum(latency_ms) % 2)::BIGINT::VARCHAR), 1, 16) AS f FROM req WHERE outcome = 'purchase' GROUP BY 1, 2)", "SELECT coalesce(a.batch_id, b.batch_id) AS batch_id, a.f AS fingerprint_one, b.f AS fingerprint_other, coalesce(a.f = b.f, false) AS is_equal FROM (SELECT * FROM fp WHERE run_id = 0) a FULL JOIN (SELECT * FROM fp WHERE run_id = 1) b ON a.batch_id = b.batch_id")
 
-    out["read_analysis"] = w(RELATED, "SELECT relationship_id, relationship_type, a_fact_id AS fact_a_id, b_fact_id AS fact_b_id, fa.entity AS entity_a, fa.value_raw AS value_a, fb.entity AS entity_b, fb.value_raw AS value_b FROM related WHERE a_pos % 3 < 2 AND b_pos % 3 < 2")
+    out["read_analysis"] = w(RELATED, "SELECT relationship_id, relationship_type, a_fact_id AS fact_a_id, b_fact_id AS fact_b_id, fa.entity AS entity_a, fa.value_raw AS value_a, fb.entity AS entity_b, fb.value_raw AS value_b FROM related WHERE fa.canonical_unit = 'INR' AND fb.canonical_unit = 'INR'")
     whole = "lower(explanation || chr(10) || fa.entity || chr(10) || fa.metric || chr(10) || fa.value_raw || chr(10) || fb.entity || chr(10) || fb.metric || chr(10) || fb.value_raw)"
     out["relationship_search"] = w(RELATED, f"SELECT relationship_id, relationship_type FROM related WHERE contains({whole}, 'cror') UNION ALL SELECT relationship_id, relationship_type FROM related WHERE contains({whole}, 'limited') AND relationship_type = 'CONTRADICTS'")
     out["fact_search"] = w(claims(), "SELECT pos FROM claims_v WHERE contains(lower(supporting_text), 'restated') UNION ALL SELECT pos FROM claims_v WHERE contains(lower(supporting_text), 'crore') AND epistemic_status = 'reported'")
     out["latest_per_key"] = w(claims(), "SELECT pos, value_raw, metric || '|' || period_label || '|' || page_number AS key FROM claims_v QUALIFY row_number() OVER (PARTITION BY metric, period_label, page_number ORDER BY pos DESC) = 1")
-    out["document_overwrite"] = w(claims(), "SELECT document_id, CASE WHEN document_id = 'presentation' THEN 2 ELSE 1 END AS run, count(*) AS n, sum(pos)::BIGINT AS sum_pos FROM claims_v WHERE document_id <> 'presentation' OR pos % 2 = 0 GROUP BY 1, 2")
+    out["document_overwrite"] = w(claims(), "SELECT document_id, CASE WHEN document_id = 'presentation' THEN 2 ELSE 1 END AS run, count(*) AS n, sum(pos)::BIGINT AS sum_pos FROM claims_v WHERE document_id <> 'presentation' OR scope IS NULL GROUP BY 1, 2")
     out["union_all_facts"] = w(claims(), "SELECT document_id, pos FROM claims_v")
     return out
