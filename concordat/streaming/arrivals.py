@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.facts import CARRIED, normalize_facts, units_agree
-from ..operators.relations import classify, compare, surface
+from ..operators.relations import classify, compare, surfaces
 
 
 def distinct_claims(stream: DataFrame, time: str = "arrived", delay: str = "1 hour") -> DataFrame:
@@ -20,7 +20,7 @@ def relate_to(arrived: DataFrame, stored: DataFrame) -> DataFrame:
     a = stored.filter("ekey <> '' AND mkey <> ''").select(*(F.col(c).alias("a_" + c) for c in CARRIED))
     b = arrived.filter("ekey <> '' AND mkey <> ''").select(*(F.col(c).alias("b_" + c) for c in CARRIED))
     on = (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_mkey") == F.col("b_mkey")) & (F.col("a_fact_id") != F.col("b_fact_id"))
-    return classify(surface(compare(a.join(b, on).filter(units_agree()))).filter("should_surface"))
+    return classify(compare(a.hint("merge").join(b, on).filter(units_agree() & surfaces())))
 
 
 def run(stream: DataFrame, facts_path: str, relations_path: str, checkpoint: str, **trigger) -> StreamingQuery:
