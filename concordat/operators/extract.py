@@ -142,11 +142,22 @@ def reject_reason(claims: DataFrame, batches: DataFrame) -> DataFrame:
     return rows.withColumn("reject_reason", reason).drop("__in")
 
 
-def read_candidates(raw: DataFrame) -> DataFrame:
-    """Claims of model output (document_id, batch_id, output as JSON), with types coerced and defaults set."""
+def evidence(document: Column, page: Column, text: Column, date: Column | None = None) -> Column:
+    """A reference to a text on a page; pages are numbered from 1, and any other number raises an error."""
+    bad = F.raise_error(F.concat(F.lit("page_number must be >= 1 (1-indexed), got "), F.coalesce(page.cast("string"), F.lit("null"))))
+    number = F.when(page >= 1, page).otherwise(bad.cast("int"))
+    return F.struct(document.alias("document_id"), (F.lit(None).cast("string") if date is None else date).alias("document_date"), number.alias("page_number"), text.alias("supporting_text"))
+
+
+def read_candidates(raw: DataFrame, lenient: bool = False) -> DataFrame:
+    """Claims of model output (document_id, batch_id, output as JSON), with types coerced and defaults set.
+
+    ``lenient`` output may lack an entity or metric, which is then ``Unknown``, and has no data vintage.
+    """
     rows = raw.select("document_id", "batch_id", F.posexplode(F.from_json("output", CANDIDATES)["facts"]).alias("candidate_no", "f"))
     text = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     some = lambda c: F.nullif(text(c), F.lit(""))
+    named = lambda c: F.coalesce(some(c), F.lit("Unknown")) if lenient else text(c)
     status = F.lower(text("f.epistemic_status"))
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("f.extraction_confidence").try_cast("double"), F.lit(0.0))))
     out = rows.select(
@@ -154,8 +165,8 @@ def read_candidates(raw: DataFrame) -> DataFrame:
         "batch_id",
         "candidate_no",
         F.col("f.page_number").alias("page_number"),
-        text("f.entity").alias("entity"),
-        text("f.metric").alias("metric"),
+        named("f.entity").alias("entity"),
+        named("f.metric").alias("metric"),
         text("f.value_raw").alias("value_raw"),
         F.col("f.value_numeric").try_cast("double").alias("value_numeric"),
         some("f.unit").alias("unit"),
@@ -165,7 +176,7 @@ def read_candidates(raw: DataFrame) -> DataFrame:
         some("f.scope").alias("scope"),
         some("f.geography").alias("geography"),
         F.when(status.isin(*V.EPISTEMIC), status).otherwise("reported").alias("epistemic_status"),
-        some("f.data_vintage").alias("data_vintage"),
+        (F.lit(None).cast("string") if lenient else some("f.data_vintage")).alias("data_vintage"),
         text("f.supporting_text").alias("supporting_text"),
         confidence.alias("extraction_confidence"),
     )

@@ -69,11 +69,35 @@ def score_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     total = F.greatest(F.lit(0), F.least(F.lit(100), sum((F.col(f"__p.{k}") for k in points), F.lit(0))))
     entries = F.array(*(F.struct(F.lit(k).alias("key"), (F.col(f"__p.{k}") / 100).alias("value")) for k in points))
     hundredths = F.coalesce(F.when(F.col("has_text"), total), F.lit(0))
+    first = lambda c, k: F.array_join(F.slice(c, 1, k), ",")
+    named = lambda test, name, inside=None: F.when(F.col("has_text") & test, F.lit(name) if inside is None else F.concat(F.lit(name + "("), inside, F.lit(")")))
+    triggered = F.array_compact(
+        F.array(
+            named(n > 0, "numeric_density", n.cast("string")),
+            named(some("currencies"), "currency_indicator", first("currencies", 3)),
+            named(some("units"), "quantitative_unit", first("units", 3)),
+            named(some("metrics"), "metric_keyword", first("metrics", 3)),
+            named(F.col("table_rows") > 0, "tabular_structure", F.concat(F.col("table_rows").cast("string"), F.lit("_rows"))),
+            named(some("temporals"), "temporal_marker", first("temporals", 2)),
+            named(F.col("__p.neighbor_context") > 0, "neighbor_metric_context"),
+            named(F.col("__p.boilerplate_penalty") < 0, "boilerplate_penalty", first("boilerplates", 2)),
+        )
+    )
+    why = F.when(~F.col("has_text"), "Page contains no extractable text content.").otherwise(
+        F.concat(
+            F.lit("Score: "),
+            F.format_number(hundredths / 100, 3),
+            F.lit(f" (Threshold: {threshold}); "),
+            F.when(F.size(triggered) > 0, F.concat(F.lit("Signals: "), F.array_join(triggered, ", "))).otherwise("No quantitative signals identified."),
+        )
+    )
     return scored.select(
         *pages.columns,
         (hundredths / 100).alias("score"),
         (F.col("has_text") & (hundredths >= round(threshold * 100))).alias("selected"),
         F.coalesce(F.map_from_entries(F.filter(entries, lambda e: e["value"] != 0)), F.create_map().cast("map<string,double>")).alias("breakdown"),
+        triggered.alias("signals_triggered"),
+        why.alias("explanation"),
     )
 
 

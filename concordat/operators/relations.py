@@ -9,6 +9,18 @@ from ..functions import vocab as V
 from ..functions.text import short_hash
 from .facts import OPENS_TIME, SAYS_TIME, SAYS_WAS, pair_up
 
+#: What is said of each surfacing decision.
+SURFACE_TEXTS = {
+    "SAME_DOCUMENT_DUPLICATE": "Duplicate or self-comparison of the same extracted fact.",
+    "MEANINGFUL_COMPARISON": "Claims are comparable across all verified dimensions.",
+    "METRIC_MISMATCH_SUPPRESSED": "Claims represent different metrics/measurements.",
+    "EXPLICIT_TEMPORAL_COMPARISON": "Source evidence explicitly contains temporal comparison language connecting the periods.",
+    "DIFFERENT_TIME_PERIOD_NO_LINK": "Claims describe different bounded time periods without explicit comparative language in source text.",
+    "INSUFFICIENT_CONTEXT_MEANINGFUL": "Meaningful claim comparison with unresolved missing contextual dimensions.",
+    "WEAK_SEMANTIC_CANDIDATE": "Candidate pair lacks sufficient core alignment to surface as an unresolved relationship.",
+}
+
+
 def _quote(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("None")) for p in parts))
 
@@ -81,7 +93,25 @@ def compare(pairs: DataFrame) -> DataFrame:
     hard, lacking = _any(f[1] for f in flags.values()), _any(f[0] for f in flags.values())
     status = F.when(hard, "NON_COMPARABLE").when(lacking, "INSUFFICIENT_CONTEXT").otherwise("COMPARABLE")
     listed = F.array_compact(F.array(*(F.col(f"code_{k}") for k in V.DIMENSIONS)))
-    return out.withColumns({"status": status, "codes": listed} | {f"dim_{k}": dims[k] for k in V.DIMENSIONS})
+    differs = lambda k, text: F.when(flags[k][1], text)
+    versus = lambda a, b: _quote("'", a, "' vs '", b, "'.")
+    free = lambda k, one, many: (
+        F.when(flags[k][1], F.concat(F.lit(f"Conflicting {many}: "), versus(c(f"a_{k}_key"), c(f"b_{k}_key"))))
+        .when(flags[k][0], f"{one} is specified on one claim but unspecified on the other.")
+    )
+    notes = [
+        differs("entity", F.concat(F.lit("Different entities: "), versus(c("a_ekey"), c("b_ekey")))),
+        differs("metric", F.concat(F.lit("Different metrics: "), versus(c("a_mkey"), c("b_mkey")))),
+        F.when(flags["unit"][0], "Unit/currency could not be safely resolved on one or both facts.").when(flags["unit"][1], F.concat(F.lit("Incompatible units: "), versus(u_a, u_b))),
+        F.when(flags["time_period"][0], "Time period interval not safely bounded on one or both facts.").when(
+            flags["time_period"][1], _quote("Different measurement periods: [", s1, " to ", e1, "] vs [", s2, " to ", e2, "].")
+        ),
+        free("scope", "Scope", "scopes"),
+        free("geography", "Geography", "geographies"),
+        F.when(ep_a != ep_b, F.concat(F.lit("Epistemic status differs: "), versus(ep_a, ep_b))),
+        F.when(differ, F.concat(F.lit("Data vintage differs: "), versus(v_a, v_b))),
+    ]
+    return out.withColumns({"status": status, "codes": listed, "notes": F.array_compact(F.array(*notes))} | {f"dim_{k}": dims[k] for k in V.DIMENSIONS})
 
 
 def compared_dimensions() -> Column:
@@ -124,7 +154,14 @@ def surface(compared: DataFrame, metric_match: Column | None = None) -> DataFram
         .otherwise("WEAK_SEMANTIC_CANDIDATE")
     )
     shown = F.col("surface_code").isin("MEANINGFUL_COMPARISON", "EXPLICIT_TEMPORAL_COMPARISON", "INSUFFICIENT_CONTEXT_MEANINGFUL")
-    return compared.withColumn("surface_code", code).withColumn("should_surface", shown)
+    also = F.when(
+        F.col("surface_code").isin("METRIC_MISMATCH_SUPPRESSED", "DIFFERENT_TIME_PERIOD_NO_LINK", "WEAK_SEMANTIC_CANDIDATE"), F.array(F.lit("NON_COMPARABLE_NOT_MEANINGFUL"))
+    ).when(F.col("surface_code") == "NON_COMPARABLE_NOT_MEANINGFUL", F.col("codes")).otherwise(F.array().cast("array<string>"))
+    told = F.when(F.col("surface_code") == "NON_COMPARABLE_NOT_MEANINGFUL", _quote("Claims are fundamentally non-comparable (", F.array_join("codes", ", "), ")."))
+    for k, text in SURFACE_TEXTS.items():
+        told = told.when(F.col("surface_code") == k, text)
+    out = compared.withColumn("surface_code", code).withColumn("should_surface", shown)
+    return out.withColumns({"surface_reasons": F.concat(F.array("surface_code"), also), "surface_explanation": told})
 
 
 def surfaces() -> Column:

@@ -554,6 +554,19 @@ def oracle_sql() -> dict[str, str]:
     names = ("numeric_density", "currency", "unit", "metric", "table_structure", "temporal", "neighbor_context", "boilerplate_penalty")
     parts = ", ".join(f"CASE WHEN p{i + 1} <> 0 AND has_text THEN '{n}=' || p{i + 1} END" for i, n in enumerate(names))
     out["page_relevance"] = w(SCORES, f"SELECT document_id, page_number, h / 100 AS score, h >= 35 AND has_text AS selected, {bar(f'list_sort(list_filter([{parts}], lambda x: x IS NOT NULL))', ',')} AS breakdown FROM scored")
+    fst = lambda c, k: f"array_to_string({c}[1:{k}], ',')"
+    trig = [
+        "CASE WHEN len(nums) > 0 THEN 'numeric_density(' || len(nums) || ')' END",
+        f"CASE WHEN len(currencies) > 0 THEN 'currency_indicator(' || {fst('currencies', 3)} || ')' END",
+        f"CASE WHEN len(units) > 0 THEN 'quantitative_unit(' || {fst('units', 3)} || ')' END",
+        f"CASE WHEN len(metrics) > 0 THEN 'metric_keyword(' || {fst('metrics', 3)} || ')' END",
+        "CASE WHEN table_rows > 0 THEN 'tabular_structure(' || table_rows || '_rows)' END",
+        f"CASE WHEN len(temporals) > 0 THEN 'temporal_marker(' || {fst('temporals', 2)} || ')' END",
+        "CASE WHEN p7 > 0 THEN 'neighbor_metric_context' END",
+        f"CASE WHEN p8 < 0 THEN 'boilerplate_penalty(' || {fst('boilerplates', 2)} || ')' END",
+    ]
+    told = f"SELECT *, list_filter([{', '.join(trig)}], lambda x: x IS NOT NULL AND has_text) AS ts FROM scored"
+    out["page_explanations"] = w(SCORES, f"SELECT document_id, page_number, {bar('ts')} AS signals, CASE WHEN NOT has_text THEN 'Page contains no extractable text content.' ELSE 'Score: ' || format('{{:.3f}}', h / 100) || ' (Threshold: 0.35); ' || CASE WHEN len(ts) > 0 THEN 'Signals: ' || array_to_string(ts, ', ') ELSE 'No quantitative signals identified.' END END AS explanation FROM ({told})")
     out["page_selected"] = w(SCORES, "SELECT document_id, page_number, h / 100 AS score FROM scored WHERE has_text AND h >= 30")
     out["eligible_pages"] = w(SCORES, "SELECT document_id, page_number FROM scored WHERE has_text AND h >= 30")
     out["page_limits"] = w(PAGES, "SELECT document_id, page_number, 'first' AS kind FROM pages_v WHERE page_number <= 3 UNION ALL SELECT document_id, page_number, 'given' FROM pages_v WHERE page_number IN (2, 5, 7)")
@@ -617,6 +630,8 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["duplicate_reject"] = w(SNIPPETS, "SELECT pos, fact_id, row_number() OVER (PARTITION BY fact_id ORDER BY pos) > 1 AS is_duplicate FROM snip")
     out["reject_reasons"] = w(SNIPPETS, "SELECT CASE WHEN NOT g.page_number <= 20 OR p.page_number IS NULL THEN 'page_outside_batch' WHEN entity = '' THEN 'missing_field' WHEN NOT is_grounded THEN 'not_grounded' ELSE 'accepted' END AS reason, count(*) AS n FROM ground g LEFT JOIN (SELECT document_id, page_number FROM pages_v WHERE has_text) p ON p.document_id = g.document_id AND p.page_number = g.page_number GROUP BY 1")
     out["read_candidates"] = w(claims(), f"SELECT pos, page_number, (pos % 97)::DOUBLE AS value_numeric, l AS period_label, CASE WHEN pos % 3 = 0 THEN 'reported' ELSE epistemic_status END AS epistemic_status, CASE WHEN pos % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS extraction_confidence, {FACT_ID.format(d='document_id', p='page_number', e='entity', m='metric', v='value_raw', l='l')} AS fact_id FROM (SELECT *, CASE WHEN pos % 5 <> 0 THEN period_label ELSE 'Unspecified' END AS l FROM claims_v)")
+    out["lenient_candidates"] = w(claims(), f"SELECT pos, e AS entity, m AS metric, NULL::VARCHAR AS data_vintage, {FACT_ID.format(d='document_id', p='page_number', e='e', m='m', v='value_raw', l=q('Unspecified'))} AS fact_id FROM (SELECT *, CASE WHEN page_number % 4 > 0 THEN entity ELSE 'Unknown' END AS e, CASE WHEN page_number % 3 > 0 THEN metric ELSE 'Unknown' END AS m FROM claims_v)")
+    out["evidence"] = w(claims(), "SELECT pos, document_id, period_label AS document_date, page_number, supporting_text FROM claims_v")
     number_ = "regexp_extract(document_id, '(\\d+)$', 1)::INT"
     outcome = SCORES + plan(6) + f""", outc AS (SELECT DISTINCT document_id, batch_id, CASE WHEN batch_id = {number_} % 7 AND {number_} % 3 = 0 THEN 'quota' WHEN batch_id = {number_} % 5 AND {number_} % 4 = 1 THEN 'error' ELSE 'ok' END AS outcome FROM plan_v WHERE planned), stops AS (
   SELECT document_id, min(batch_id) AS b, arg_min(outcome, batch_id) AS o FROM outc WHERE outcome <> 'ok' GROUP BY 1), stat_0 AS (
@@ -648,6 +663,21 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["comparability"] = w(compared(), f"SELECT a_pos, b_pos, status, {bar('codes')} AS codes, dim_unit, dim_time_period, dim_scope, dim_geography, dim_epistemic_status, dim_data_vintage FROM compared_v")
     out["comparability_reasons"] = w(compared(), "SELECT status, code, count(*) AS n FROM (SELECT status, unnest(codes) AS code FROM compared_v) GROUP BY 1, 2")
     out["surfaced_pairs"] = w(compared() + SURFACED, "SELECT a_pos, b_pos, surface_code, surface_code IN ('MEANINGFUL_COMPARISON', 'EXPLICIT_TEMPORAL_COMPARISON', 'INSUFFICIENT_CONTEXT_MEANINGFUL') AS should_surface FROM surfaced")
+    why = {
+        "MEANINGFUL_COMPARISON": "Claims are comparable across all verified dimensions.",
+        "EXPLICIT_TEMPORAL_COMPARISON": "Source evidence explicitly contains temporal comparison language connecting the periods.",
+        "DIFFERENT_TIME_PERIOD_NO_LINK": "Claims describe different bounded time periods without explicit comparative language in source text.",
+        "INSUFFICIENT_CONTEXT_MEANINGFUL": "Meaningful claim comparison with unresolved missing contextual dimensions.",
+    }
+    texts = "CASE surface_code " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in why.items()) + " ELSE 'Claims are fundamentally non-comparable (' || array_to_string(codes, ', ') || ').' END"
+    out["surfacing_texts"] = w(compared() + SURFACED, f"SELECT {texts} AS surface_explanation, surface_code || CASE surface_code WHEN 'DIFFERENT_TIME_PERIOD_NO_LINK' THEN '|NON_COMPARABLE_NOT_MEANINGFUL' WHEN 'NON_COMPARABLE_NOT_MEANINGFUL' THEN '|' || array_to_string(codes, '|') ELSE '' END AS reasons, count(*) AS n FROM surfaced GROUP BY 1, 2")
+    pair = lambda k: f"'''' || fa.{k} || ''' vs ''' || fb.{k} || '''.'"
+    note = f"""concat_ws(' ', CASE c_uni WHEN 'MISSING_UNIT' THEN 'Unit/currency could not be safely resolved on one or both facts.' WHEN 'UNIT_MISMATCH' THEN 'Incompatible units: ' || {pair('canonical_unit')} END,
+      CASE c_tim WHEN 'MISSING_TIME_PERIOD' THEN 'Time period interval not safely bounded on one or both facts.' WHEN 'TIME_MISMATCH' THEN 'Different measurement periods: [' || fa.norm_start || ' to ' || fa.norm_end || '] vs [' || fb.norm_start || ' to ' || fb.norm_end || '].' END,
+      CASE c_sco WHEN 'SCOPE_MISMATCH' THEN 'Conflicting scopes: ' || {pair('sk')} WHEN 'MISSING_SCOPE' THEN 'Scope is specified on one claim but unspecified on the other.' END,
+      CASE c_geo WHEN 'GEOGRAPHY_MISMATCH' THEN 'Conflicting geographies: ' || {pair('gk')} WHEN 'MISSING_GEOGRAPHY' THEN 'Geography is specified on one claim but unspecified on the other.' END,
+      CASE WHEN c_epi IS NOT NULL THEN 'Epistemic status differs: ' || {pair('epistemic_status')} END, CASE WHEN c_vin IS NOT NULL THEN 'Data vintage differs: ' || {pair('vk')} END)"""
+    out["comparability_notes"] = w(compared(), f"SELECT a_pos, b_pos, {note} AS notes FROM compared_v")
     cut = "supporting_text || CASE pos_ % 3 WHEN 0 THEN ' rose' WHEN 1 THEN ' was 5 in 2001' ELSE '' END"
     out["temporal_language"] = w(claims(), f"""SELECT pos_ AS pos, case_id, {temporal('x', 'told')} AS linked FROM (SELECT pos AS pos_, supporting_text, {cut.replace('pos_', 'pos')} AS x FROM (SELECT pos, supporting_text FROM claims_v UNION ALL SELECT -1 - doc_id, text FROM documents)), (VALUES (0, 'From 3 to 5.'), (1, 'and 6 in 2002'), (2, 'plain')) AS told_v(case_id, told)""")
     out["relationships"] = w(RELATED, "SELECT relationship_id, a_fact_id, b_fact_id, relationship_type, confidence, reason_codes, contextual_factors, explanation FROM related")
@@ -676,6 +706,16 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["latency_stats"] = w(REQUESTS, f"SELECT batch_id, {stats}, avg(latency_ms) AS mean_ms, quantile_cont(latency_ms, 0.5)::DOUBLE AS median_ms, max(latency_ms) AS max_ms, min(latency_ms) AS min_ms FROM req GROUP BY 1")
     out["provider_summary"] = w(REQUESTS, f"SELECT run_id, {stats}, {round_even('avg(latency_ms)', 1)} AS mean_ms, quantile_cont(latency_ms, 0.5)::DOUBLE AS median_ms, list_sort(list(latency_ms))[round_even(0.95 * (count(*) - 1), 0)::INT + 1] AS p95_ms FROM req GROUP BY 1")
     out["failure_histogram"] = w(REQUESTS, "SELECT outcome, count(*) AS n FROM req WHERE outcome <> 'view' GROUP BY 1")
+    status = "([200, 429, 400, 401, 403, 404, 408, 500, 503, 302, 200, NULL])[request_id % 12 + 1]"
+    resp = REQUESTS + f", resp AS (SELECT *, {status} AS status FROM req)"
+    out["failure_classes"] = w(resp, "SELECT CASE WHEN status IS NULL OR status = 408 THEN '408_TIMEOUT' WHEN status = 200 THEN CASE WHEN request_id % 5 > 0 THEN 'OK' ELSE 'STRUCTURED_OUTPUT_PARSE_ERROR' END WHEN status = 429 THEN '429_QUOTA_RATE_LIMIT' WHEN status = 400 THEN '400_REQUEST_SCHEMA' WHEN status IN (401, 403) THEN '401_403_AUTH_PERMISSION' WHEN status = 404 THEN '404_MODEL_NOT_FOUND' WHEN status >= 500 THEN '5XX_SERVER_ERROR' ELSE 'UNKNOWN_ERROR' END AS failure_class, count(*) AS n FROM resp GROUP BY 1")
+    out["rate_limit_headers"] = w(REQUESTS, "SELECT request_id, '6000' AS limit_tokens, latency_ms::VARCHAR AS remaining_requests, NULL::VARCHAR AS reset_tokens, 2 AS n_headers FROM req")
+    out["run_totals"] = w(resp, "SELECT run_id, count(*) AS n_requests, count(*) FILTER (status = 200) AS n_ok, count(*) FILTER (status <> 200) AS n_failed, count(*) FILTER (status = 429) AS n_429, count(*) FILTER (status = 503) AS n_503, sum(request_id % 3)::BIGINT AS n_retries FROM resp GROUP BY 1")
+    kinds = {"n_requests": "MEASURED", "n_ok": "MEASURED", "n_failed": "MEASURED", "mean_ms": "MEASURED", "median_ms": "MEASURED", "p95_ms": "DERIVED"}
+    long = " UNION ALL ".join(f"SELECT run_id, '{c}' AS metric, '{k}' AS classification, {c}::DOUBLE AS value FROM s" for c, k in kinds.items())
+    long += "".join(f" UNION ALL SELECT run_id, '{c}', 'N/A', NULL FROM s" for c in ("precision", "recall"))
+    out["provider_metrics"] = f"WITH s AS ({out['provider_summary']}) {long}"
+    out["entities_by_type"] = "SELECT p_partkey, string_agg(l || '=' || ts, ';' ORDER BY l) AS entities FROM (SELECT p_partkey, l, string_agg(t, '+' ORDER BY i) AS ts FROM (SELECT p_partkey, 'len' || length(t) AS l, t, i FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS t, unnest(range(len(string_split(p_name, ' ')))) AS i FROM part)) GROUP BY 1, 2) GROUP BY 1"
     out["run_pivot"] = w(REQUESTS, f"SELECT *, {round_even('(run_0 + run_1 + run_2) / 3', 1)} AS mean_yield FROM (SELECT batch_id, count(*) FILTER (run_id = 0) AS run_0, count(*) FILTER (run_id = 1) AS run_1, count(*) FILTER (run_id = 2) AS run_2 FROM req GROUP BY 1)")
     out["speed_summary"] = w(REQUESTS, f"SELECT *, {round_even('mean_one / mean_other', 4)} AS speedup, {round_even('100 * (1 - mean_other / mean_one)', 2)} AS reduction_pct FROM (SELECT avg(latency_ms) FILTER (run_id = 0) AS mean_one, avg(latency_ms) FILTER (run_id = 1) AS mean_other, quantile_cont(latency_ms, 0.5) FILTER (run_id = 0)::DOUBLE AS median_one, quantile_cont(latency_ms, 0.5) FILTER (run_id = 1)::DOUBLE AS median_other FROM req)")
     out["interval_overlap"] = w(REQUESTS, "SELECT a.run_id, a.request_id, count(*) AS n_active FROM req a JOIN req b ON a.run_id = b.run_id AND NOT (a.end_ms < b.start_ms OR a.start_ms > b.end_ms) GROUP BY 1, 2")

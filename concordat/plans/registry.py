@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.text import short_hash
-from ..operators import context, extract, facts, metrics, pages, planner, relations
+from ..operators import context, extract, facts, metrics, pages, planner, provider, relations
 from ..sources import store, views
 from . import oracle
 
@@ -59,6 +59,11 @@ def page_relevance(spark, d):
     return rows.select("document_id", "page_number", "score", "selected", F.array_join(parts, ",").alias("breakdown"))
 
 
+@query
+def page_explanations(spark, d):
+    return _scored(spark, d).select("document_id", "page_number", F.array_join("signals_triggered", "|").alias("signals"), "explanation")
+
+
 @query
 def page_selected(spark, d):
     return pages.select_pages(views.pages(spark, d), 0.30).select("document_id", "page_number", "score")
@@ -266,6 +271,21 @@ def read_candidates(spark, d):
     return extract.read_candidates(raw).select(F.col("batch_id").cast("long").alias("pos"), "page_number", "value_numeric", "period_label", "epistemic_status", "extraction_confidence", "fact_id")
 
 
+@query
+def lenient_candidates(spark, d):
+    c = views.claims(spark, d)
+    row = F.struct("page_number", F.when(F.col("page_number") % 4 > 0, F.col("entity")).alias("entity"), F.when(F.col("page_number") % 3 > 0, F.col("metric")).alias("metric"), "value_raw", "supporting_text", "data_vintage")
+    raw = c.select("document_id", F.col("pos").cast("string").alias("batch_id"), F.to_json(F.struct(F.array(row).alias("facts"))).alias("output"))
+    return extract.read_candidates(raw, lenient=True).select(F.col("batch_id").cast("long").alias("pos"), "entity", "metric", "data_vintage", "fact_id")
+
+
+@query
+def evidence(spark, d):
+    c = views.claims(spark, d)
+    e = extract.evidence(F.col("document_id"), F.col("page_number"), F.col("supporting_text"), F.col("period_label"))
+    return c.select("pos", e.alias("e")).select("pos", "e.*")
+
+
 def _outcomes(spark, d):
     plan = _plan(spark, d, budget=6)
     number = F.regexp_extract("document_id", r"(\d+)$", 1).cast("int")
@@ -404,6 +424,17 @@ def surfaced_pairs(spark, d):
     return relations.surface(_compared(spark, d)).select("a_pos", "b_pos", "surface_code", "should_surface")
 
 
+@query
+def surfacing_texts(spark, d):
+    rows = relations.surface(_compared(spark, d))
+    return rows.groupBy("surface_explanation", F.array_join("surface_reasons", "|").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query
+def comparability_notes(spark, d):
+    return _compared(spark, d).select("a_pos", "b_pos", F.array_join("notes", " ").alias("notes"))
+
+
 @query
 def temporal_language(spark, d):
     """Each text beside three others, of which one has a comparison that only both texts make."""
@@ -518,6 +549,45 @@ def failure_histogram(spark, d):
     return metrics.failure_histogram(views.requests(spark, d))
 
 
+def _responses(spark, d):
+    """Requests as HTTP responses: a status, retries and headers that follow from the request."""
+    codes = F.array(*(F.lit(c) for c in (200, 429, 400, 401, 403, 404, 408, 500, 503, 302, 200)), F.lit(None).cast("int"))
+    r = views.requests(spark, d).withColumn("status", F.element_at(codes, (F.col("request_id") % 12 + 1).cast("int")))
+    left = F.col("latency_ms").cast("string")
+    headers = F.create_map(F.lit("X-RateLimit-Remaining-Requests"), left, F.lit("x-ratelimit-limit-tokens"), F.lit("6000"), F.lit("Server"), F.lit("edge"))
+    return r.withColumns({"parsed": F.col("request_id") % 5 > 0, "retries": (F.col("request_id") % 3).cast("int"), "headers": headers})
+
+
+@query
+def failure_classes(spark, d):
+    r = _responses(spark, d)
+    return r.groupBy(F.coalesce(provider.failure_class(F.col("status"), F.col("parsed")), F.lit("OK")).alias("failure_class")).agg(F.count("*").alias("n"))
+
+
+@query
+def rate_limit_headers(spark, d):
+    r = _responses(spark, d).select("request_id", provider.rate_limits(F.col("headers")).alias("l"))
+    return r.select("request_id", "l.limit_tokens", "l.remaining_requests", "l.reset_tokens", F.size("l.raw").alias("n_headers"))
+
+
+@query
+def run_totals(spark, d):
+    return provider.run_totals(_responses(spark, d))
+
+
+@query
+def provider_metrics(spark, d):
+    return provider.long_metrics(metrics.provider_summary(views.requests(spark, d)), "run_id", derived=("p95_ms",), absent=("precision", "recall"))
+
+
+@query
+def entities_by_type(spark, d):
+    words = views.table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("start", "text"))
+    rows = provider.entities_by_type(words.withColumn("label", F.concat(F.lit("len"), F.length("text").cast("string"))), "p_partkey")
+    listed = F.transform(F.map_entries("entities"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+")))
+    return rows.select("p_partkey", F.array_join(listed, ";").alias("entities"))
+
+
 @query
 def run_pivot(spark, d):
     return metrics.run_pivot(views.requests(spark, d))
