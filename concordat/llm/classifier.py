@@ -36,7 +36,9 @@ EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1e-4, 1e-4
 #: Feature values are shares of a text's tokens times this.
 SCALE = 8.0
 #: Texts are read in chunks of so many bytes, which bounds the arrays besides one hash for each token.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Texts are taken from a batch in groups of about so many bytes, so that only a group's arrays are held at a time.
+GROUP = 1 << 18
 
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
@@ -129,22 +131,23 @@ def _encode(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def _pieces(texts: list[bytes], most: int = 4 * CHUNK) -> Iterator[tuple[int, list[bytes]]]:
-    """Groups of whole texts of about ``most`` bytes, with the number of the first."""
-    first, size = 0, 0
+def _pieces(texts, most: int = GROUP) -> Iterator[tuple[int, list[bytes]]]:
+    """Groups of whole texts of about ``most`` characters, encoded, with the number of the first."""
+    first, size, group = 0, 0, []
     for i, t in enumerate(texts):
-        size += len(t)
+        group += _encode([t])
+        size += len(group[-1])
         if size >= most:
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+            yield first, group
+            first, size, group = i + 1, 0, []
+    if group:
+        yield first, group
 
 
 def dots(texts, weights: np.ndarray, bias: float) -> np.ndarray:
     """The probability of label 1 for each text."""
     out = []
-    for _, group in _pieces(_encode(texts)):
+    for _, group in _pieces(texts):
         doc, index, n = features(group)
         out.append(np.bincount(doc, weights[index], len(group)) * (SCALE / np.maximum(n, 1)))
     z = np.concatenate(out) if out else np.zeros(0)
@@ -180,8 +183,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, done = _encode(b.column(2).to_pylist()), 0
-        for first, group in _pieces(texts):
+        for first, group in _pieces(x.as_py() for x in b.column(2)):
             doc, index, n = features(group)
             key, counts = np.unique(doc * DIM + index, return_counts=True)
             cut = np.searchsorted(key, np.arange(len(group) + 1) * DIM)
@@ -234,7 +236,7 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         weights, bias = shared.value
-        return pd.Series(dots(texts.tolist(), weights, bias))
+        return pd.Series(dots(texts, weights, bias))
 
     return score
 
