@@ -6,7 +6,7 @@ digits, or the punctuation itself), and pairs marked as seen earlier in the same
 value is its share of the text's tokens, so the score is a sparse dot product, read in one pass over
 the text with array operations on bytes.
 
-Training takes at most ``MAX_TRAIN_ROWS`` labelled documents (those with the smallest hash of their id)
+Training takes at most ``MAX_TRAIN_ROWS`` labelled documents that exist (those with the smallest hash of their id)
 and at most ``MAX_TRAIN_FEATURES`` non-zero values of them, in the order of that hash, through
 per-coordinate follow-the-regularised-leader updates in one task; only the finished weights (a fixed
 2 MB) come to the driver and are broadcast. Everything is scored, whole.
@@ -211,8 +211,10 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and bias from a bounded sample of the labels that may be learnt from."""
     ship(docs.sparkSession)
+    there = docs.select("doc_id").distinct()  # labels without a document take no place in the sample
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
+        .join(there, "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.max((F.col("quality") == 1).cast("int")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -248,7 +250,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that score at least ``least``, with their columns."""
-    score = scorer(docs, train(docs, labels))
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, learn_from: DataFrame | None = None) -> DataFrame:
+    """The documents that score at least ``least``, with their columns.
+
+    The labels' texts are those of ``learn_from``, or of ``docs`` itself if there is none. Where ``docs`` has been
+    filtered by quality already, the bad examples are only in the whole table.
+    """
+    score = scorer(docs, train(docs if learn_from is None else learn_from, labels))
     return docs.filter(score(F.col("text").cast("string")) >= least)

@@ -20,8 +20,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under one half go."""
-    return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that score under one half go; all labelled documents are learnt from, rejected ones too."""
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn_from=whole)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

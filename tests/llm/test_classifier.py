@@ -66,3 +66,10 @@ def test_odd_tables(spark):
     assert C.score_quality(docs, strange).count() == 40
     kept = C.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() <= 40
+
+
+def test_labels_without_a_document_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_TRAIN_ROWS", 30)
+    docs = spark.createDataFrame([(i, ("good plain words " if i % 2 else "$$$ %%% ### ") * 9) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(1000, 9000)], "doc_id long, quality int")
+    assert {r["doc_id"] for r in C.keep_good(docs, labels).collect()} == set(range(1, 60, 2))

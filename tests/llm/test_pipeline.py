@@ -43,3 +43,17 @@ def test_run_places_every_word(spark, tmp_path):
     for r in P.run(spark, str(tmp_path)).collect():
         words[r["doc_id"]] = words.get(r["doc_id"], 0) + r["n_words"]
     assert words == {i: len(t.split()) for i, t in good.items()}
+
+
+def test_classifier_stage_rejects_what_the_rules_let_pass(spark, tmp_path):
+    corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    passed = docs.filter("doc_id < 1200 OR doc_id BETWEEN 1200 AND 1204")  # of the junk, five documents are left
+    gone = docs.filter("doc_id > 1204 AND doc_id < 1350")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    unlabelled = labels.filter("doc_id NOT BETWEEN 1200 AND 1204")
+    (tmp_path / "few").mkdir()
+    passed.unionByName(gone).write.parquet(f"{tmp_path}/few/documents.parquet")
+    unlabelled.write.parquet(f"{tmp_path}/few/labels.parquet")
+    kept = {r["doc_id"] for r in P.quality_classifier_stage(spark, passed, f"{tmp_path}/few").select("doc_id").collect()}
+    assert kept == set(range(1200))
