@@ -72,14 +72,14 @@ def fingerprint(text: str | None, step: int = 1 << 16) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and the ``carried`` long columns of every row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 # -- partitions and thresholds ----------------------------------------------------------------------
@@ -314,12 +314,27 @@ def fingerprint_hex(fp) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group left: that with the smallest id (repeated rows: one of them)."""
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with one row of each group of linked texts left, rows without an id included."""
     from pyspark.sql import Window
 
-    first = near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["__first"], "left_semi")
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")
-    ranked = kept.select("doc_id", whole).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return ranked.filter("__n = 1").select("__doc.*")
+    # Two hashes of 128 bits together stand for a row, so that texts are neither compared nor carried along.
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*(c.isNull().cast("int").cast("string") for c in columns))  # xxhash64 passes over nulls
+    marked = docs.withColumns({"__h0": F.xxhash64(nulls, *columns), "__h1": F.xxhash64(F.lit(1), nulls, *columns)})
+    own = durable(fingerprints(marked, "__h0", "__h1"))
+    # The fingerprint itself is the node's name: an id may stand for several texts, or for none.
+    nodes = durable(own.select("fp").distinct().withColumn("rep", F.col("fp")))
+    found = components(links(nodes))
+    grouped = own.join(found, own["fp"] == found["node"], "left").withColumn("__group", F.coalesce("component", "fp"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__h0", "__h1")
+    first = grouped.groupBy("__group").agg(F.min(order).alias("m")).select(F.col("m.__h0").alias("__f0"), F.col("m.__h1").alias("__f1"))
+    kept = marked.join(first, (F.col("__h0") == F.col("__f0")) & (F.col("__h1") == F.col("__f1")), "left_semi")
+    whole = F.struct(*columns).alias("__doc")
+    same = Window.partitionBy("__h0", "__h1").orderBy("__h0")  # rows that are equal in all columns
+    return kept.select("__h0", "__h1", whole).withColumn("__n", F.row_number().over(same)).filter("__n = 1").select("__doc.*")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """Of ``keep_one_of_each`` the documents that have an id; rows without one are left out."""
+    return keep_one_of_each(docs).filter("doc_id IS NOT NULL")

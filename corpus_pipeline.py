@@ -26,8 +26,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return simhash.keep_one_each(docs)
+    """Of each group of linked texts the one with the smallest id stays, or one row where none has an id."""
+    return simhash.keep_one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

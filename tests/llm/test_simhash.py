@@ -119,3 +119,24 @@ def test_one_of_each_stays(spark):
     kept = S.keep_one_each(df)
     ids = sorted(r["doc_id"] for r in kept.collect())
     assert kept.columns == df.columns and ids == ([3, 5, 8, 20, 21] if 5 in ids else [3, 8, 20, 21])
+
+
+def kept_rows(spark, rows):
+    df = spark.createDataFrame([(i, t, "c", "c", s) for i, t, s in rows], DOCS).repartition(3)
+    out = S.keep_one_of_each(df)
+    assert out.columns == df.columns
+    return sorted(((r["doc_id"], r["text"], r["source"]) for r in out.collect()), key=repr)
+
+
+def test_rows_without_id_stay_unless_linked(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(300)) for w in "abc")
+    rows = [(4, a, "s"), (None, a, "s"), (None, a.upper(), "t"), (None, b, "s"), (None, b, "s"), (None, b.upper(), "s"), (None, None, "s"), (None, " ", "s"), (6, c, None), (6, c, None)]
+    got = kept_rows(spark, rows)
+    assert sorted(((i, (t or "").lower().strip()) for i, t, _ in got), key=repr) == sorted([(4, a), (6, c), (None, ""), (None, b)], key=repr)
+    assert got == kept_rows(spark, rows[::-1])
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(300)) for w in "abc")
+    assert {(i, t) for i, t, _ in kept_rows(spark, [(20, a, "s"), (20, b, "s"), (20, b.upper(), "t"), (20, c, "s"), (3, a, "s")])} - {(20, b), (20, b.upper())} == {(3, a), (20, c)}
+    assert len(kept_rows(spark, [(20, a, "s"), (20, b, "s"), (20, b.upper(), "t"), (20, c, "s"), (3, a, "s")])) == 3
