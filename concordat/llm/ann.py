@@ -15,7 +15,9 @@ nearest are kept in a heap of ``k``, first by task and then, merged, by query.
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part; a
 query meets candidates of its own length only; equal distances go to the smaller vec_id; with fewer
 candidates than ``k`` all are returned; rows that repeat a vec_id are separate candidates, of which
-those with the query's id are left out; an empty table gives no rows. Extra columns are ignored.
+those with the query's id are left out; an empty table gives no rows. Extra columns are ignored. A query is a
+distinct (vec_id, embedding): equal query rows count once, and different vectors under one id each get their
+own ranks 1 to ``k`` (all under that query_id), told apart by ``query_row``, a number that is unique in a run.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ._common import durable
 
 QUERY_BLOCK = 32_768
 #: Elements of one tile (queries x candidates).
@@ -79,8 +82,8 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Search:
     """The ``k`` nearest so far of every query of one length."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k, self.quant = ids, x, k, Quantised(x)
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        self.numbers, self.ids, self.x, self.k, self.quant = numbers, ids, x, k, Quantised(x)
         self.best_d = np.full((len(ids), k), np.inf)
         self.best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
 
@@ -122,12 +125,12 @@ class Search:
     def rows(self) -> pa.RecordBatch:
         found = self.best_id != np.iinfo(np.int64).max
         at = np.nonzero(found)[0]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[at]), pa.array(self.best_id[found]), pa.array(self.best_d[found])], ["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.numbers[at]), pa.array(self.ids[at]), pa.array(self.best_id[found]), pa.array(self.best_d[found])], ["query_row", "query_id", "vec_id", "score"])
 
 
 def _pass(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {x.shape[1]: Search(ids, x, k) for ids, x in shared.value}
+        searches = {x.shape[1]: Search(numbers, ids, x, k) for numbers, ids, x in shared.value}
         for b in batches:
             for ids, x in _matrices(b):
                 if x.shape[1] in searches:
@@ -139,30 +142,32 @@ def _pass(shared, k: int):
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id and score (distance) of the ``k`` nearest vectors of every query.
+    """query_row, query_id, rank, vec_id and score (distance) of the ``k`` nearest vectors of every query.
 
     Both tables have vec_id and embedding.
     """
     spark = vectors.sparkSession
     ship(spark)
-    asked, rows = usable(queries), usable(vectors)
+    rows = usable(vectors)
+    # Numbered once and written, so that every pass sees the same numbers.
+    asked = durable(usable(queries).distinct().withColumn("query_row", F.monotonically_increasing_id()))
     n = asked.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     found = None
     for block in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block) if blocks > 1 else asked
+        own = asked.filter(F.pmod("query_row", F.lit(blocks)) == block) if blocks > 1 else asked
         by_size: dict[int, list] = {}
         for row in own.toLocalIterator() if blocks > 1 else own.collect():  # at most about QUERY_BLOCK vectors
             by_size.setdefault(len(row["vector"]), []).append(row)
-        shared = spark.sparkContext.broadcast([(np.array([r["vec_id"] for r in rs], np.int64), np.array([r["vector"] for r in rs], np.float64)) for rs in by_size.values()])
-        part = rows.mapInArrow(_pass(shared, k), "query_id long, vec_id long, score double")
+        shared = spark.sparkContext.broadcast([(np.array([r["query_row"] for r in rs], np.int64), np.array([r["vec_id"] for r in rs], np.int64), np.array([r["vector"] for r in rs], np.float64)) for rs in by_size.values()])
+        part = rows.mapInArrow(_pass(shared, k), "query_row long, query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)
     return _merged(found, k)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """Tasks' heaps merged by query; the rank filter prunes each task's rows before the shuffle."""
+    """Tasks' heaps merged by query row; the rank filter prunes each task's rows before the shuffle."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")

@@ -56,7 +56,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,12 @@ def test_bounds_hold():
     q = ann.Quantised(x)
     back = q.q * q.scale[:, None]
     assert (np.sqrt(((x - back) ** 2).sum(1)) <= q.error).all()
+
+
+def test_repeated_query_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    rows = [(i, v) for i, v in vectors(150, 4) if i % 100]
+    twins = [[0.5, 0.5, 0.5, 0.5], [9.0, 9.0, 9.0, 9.0]]
+    own = [brute([*rows, (1000, v)]) for v in twins]
+    assert search(spark, [*rows, (1000, twins[0]), (1000, twins[0])]) == own[0]
+    assert search(spark, [*rows, (1000, twins[0]), (1000, twins[1]), (1000, twins[1])]) == sorted(own[0] + own[1])
