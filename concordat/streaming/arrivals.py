@@ -1,4 +1,4 @@
-"""Claims as they arrive: duplicates dropped within a watermark, each batch related to what is stored."""
+"""Claims as they arrive: duplicates dropped within a watermark, each batch related to what is stored and to itself."""
 
 from __future__ import annotations
 
@@ -23,6 +23,12 @@ def relate_to(arrived: DataFrame, stored: DataFrame) -> DataFrame:
     return classify(compare(a.hint("merge").join(b, on).filter(units_agree() & surfaces())))
 
 
+def relate_batch(arrived: DataFrame, stored: DataFrame) -> DataFrame:
+    """Relations of a batch with stored facts, and among its own, of which the smaller (pos, fact_id) comes first."""
+    first = F.struct("a_pos", "a_fact_id") < F.struct("b_pos", "b_fact_id")
+    return relate_to(arrived, stored).unionByName(relate_to(arrived, arrived).filter(first))
+
+
 def run(stream: DataFrame, facts_path: str, relations_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Appends each batch's facts and relations; a batch that is run again writes the same partition again."""
 
@@ -37,7 +43,7 @@ def run(stream: DataFrame, facts_path: str, relations_path: str, checkpoint: str
                 raise
             stored = facts.limit(0)
         overwrite = lambda df, path: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-        overwrite(relate_to(facts, stored).withColumn("batch_id", F.lit(batch_id)), relations_path)
+        overwrite(relate_batch(facts, stored).withColumn("batch_id", F.lit(batch_id)), relations_path)
         overwrite(facts, facts_path)
 
     return distinct_claims(stream).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -93,3 +93,11 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/facts").count() == 3
     got = {(r["a_fact_id"], r["b_fact_id"]): r["relationship_type"] for r in spark.read.parquet(f"{tmp_path}/relations").collect()}
     assert got == {("f1", "f2"): "CORROBORATES", ("f1", "f3"): "CONTRADICTS"}
+
+
+def test_facts_that_arrive_together_are_related(spark):
+    claim = "pos long, fact_id string, document_id string, page_number int, entity string, metric string, value_raw string, value_numeric double, unit string, period_label string, scope string, geography string, epistemic_status string, data_vintage string, supporting_text string"
+    row = lambda pos, i, v: (pos, f"f{i}", "d", 1, "Acme", "Revenue", v, None, None, "FY 2023-24", None, None, "reported", None, "t")
+    facts = arrivals.normalize_facts(spark.createDataFrame([row(1, 2, "₹50 million"), row(1, 3, "₹9 crore"), row(None, 4, "₹5 crore")], claim))
+    got = {(r["a_fact_id"], r["b_fact_id"]): r["relationship_type"] for r in arrivals.relate_batch(facts, facts.limit(0)).collect()}
+    assert got == {("f2", "f3"): "CONTRADICTS", ("f4", "f2"): "CORROBORATES", ("f4", "f3"): "CONTRADICTS"}
