@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -140,3 +141,9 @@ def test_texts_that_share_an_id_are_kept_apart(spark):
     a, b, c = (" ".join(f"{w}{i}" for i in range(300)) for w in "abc")
     assert {(i, t) for i, t, _ in kept_rows(spark, [(20, a, "s"), (20, b, "s"), (20, b.upper(), "t"), (20, c, "s"), (3, a, "s")])} - {(20, b), (20, b.upper())} == {(3, a), (20, c)}
     assert len(kept_rows(spark, [(20, a, "s"), (20, b, "s"), (20, b.upper(), "t"), (20, c, "s"), (3, a, "s")])) == 3
+
+
+def test_unsettled_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        S.components(edges, max_rounds=2)
