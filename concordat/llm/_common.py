@@ -1,20 +1,23 @@
-"""Shared helpers: reading inputs, let-bindings for native expressions, durable intermediate results."""
+"""Helpers of the training-data operators: reading inputs, let-bindings for native expressions, words."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import durable, join_frequent, shared_folder, spread, tables_removed, written
+
+__all__ = ["durable", "join_frequent", "let", "shared_folder", "spread", "table", "tables_removed", "word_count", "words", "written"]
+
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,26 +25,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, a laptop)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="concordat-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder.
-
-    The lineage is cut, so a lost executor costs a re-read and not a recomputation.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def words(text: Column) -> Column:
     """The words of a text in order, as an array; empty for a null or blank text."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))
