@@ -2,13 +2,16 @@
 
 Rules are (action, host, path). A rule fits its host and all subdomains if the URL's path starts with
 the rule's path. Of several fitting rules the one with the most host labels wins, then the longest
-path; between an allow and a block entry for the same host and path, block wins. The trie is built
-once, checked against ``MAX_BROADCAST_RULES`` and broadcast; a longer list is instead joined by hash on
-the (host suffix, path prefix) keys that a URL can match, at path lengths that occur in the rules.
-
-Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; A-Z in
-hosts are lower-cased, in the URL and in the rules; a port or user part is part of the host and keeps
-it from fitting; repeated rows each get a verdict; URLs that fit no rule get the default verdict.
+path; between an allow and a block entry for the same host and path, block wins. Rules are brought to
+one form first: A-Z in hosts lower-cased, one entry for a host and path, which is what ``rule`` shows.
+The trie is built once and broadcast if there are at most ``MAX_BROADCAST_RULES`` entries of
+``MAX_BROADCAST_CHARS`` characters together; a longer list is instead joined by hash on the (host
+suffix, path prefix) keys that a URL can match, at path lengths that occur in the rules.
+
+Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; a rule
+whose action, host or path is null is left out (an empty host fits every host, an empty path every path);
+a port or user part is part of the host and keeps it from fitting; repeated rows each get a verdict;
+URLs that fit no rule get the default verdict; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BROADCAST_RULES = 500_000
+MAX_BROADCAST_RULES = 100_000
+MAX_BROADCAST_CHARS = 8_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -35,21 +39,43 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def canonical_rules(rules: Iterable[tuple[str | None, str | None, str | None]]) -> list[tuple[str, str, str]]:
+    """Rules in their one form: lower-case hosts, no nulls, block before allow for one host and path."""
+    lower = str.maketrans(UPPER, LOWER)
+    known: dict[tuple[str, str], str] = {}
+    for action, host, path in rules:
+        if action is not None and host is not None and path is not None:
+            key = (host.translate(lower), path)
+            known[key] = "block" if "block" in (action, known.get(key)) else max(action, known.get(key, action))
+    return [(action, host, path) for (host, path), action in known.items()]
+
+
+def canonical_table(rules: DataFrame) -> DataFrame:
+    """The same of a table: action, host and path, one row for a host and path."""
+    named = rules.dropna(subset=["action", "host", "path"]).select("action", F.translate("host", UPPER, LOWER).alias("host"), F.col("path"))
+    action = F.when(F.bool_or(F.col("action") == "block"), "block").otherwise(F.max("action")).alias("action")
+    return named.groupBy("host", "path").agg(action).select("action", "host", "path")
+
+
 class Trie:
     """Host labels from the right, then path segments; a node holds the entries that end there."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
+        ends: list[dict] = []
         for action, host, path in rules:
             node = self.root
-            for label in reversed(host.translate(str.maketrans(UPPER, LOWER)).split(".") if host else []):
+            for label in reversed(host.split(".") if host else []):
                 node = node.setdefault(("h", label), {})
             *whole, rest = path.split("/")
             for segment in whole:  # segments that a slash ends
                 node = node.setdefault(("p", segment), {})
-            ends = node.setdefault("ends", {})  # what the next segment must start with -> verdict
-            if ends.get(rest, ("", "allow"))[1] != "block":
-                ends[rest] = (f"{host}{path}", action)
+            if "ends" not in node:
+                node["ends"] = {}
+                ends.append(node)
+            node["ends"][rest] = (f"{host}{path}", action)  # by what the next segment must start with
+        for node in ends:  # the lengths that occur, longest first, so that a look-up needs no pass over the entries
+            node["lengths"] = tuple(sorted({len(e) for e in node["ends"]}, reverse=True))
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
         """The rule and action of the longest match: deepest host first, then longest path."""
@@ -62,11 +88,12 @@ class Trie:
                     break
             at = node
             for k, segment in enumerate(segments):
-                ends = at.get("ends")
-                if ends:
-                    hit = max((e for e in ends if segment.startswith(e)), key=len, default=None)
-                    if hit is not None:
-                        best = ends[hit]
+                if "ends" in at:
+                    ends = at["ends"]
+                    for n in at["lengths"]:
+                        if n <= len(segment) and segment[:n] in ends:
+                            best = ends[segment[:n]]
+                            break
                 if k == len(segments) - 1:
                     break
                 at = at.get(("p", segment))
@@ -90,8 +117,8 @@ def _by_trie(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 def _by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """The same by hash joins: each URL asks for its host suffixes and its path prefixes of known lengths."""
-    rules = rules.select(F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"), F.col("host").alias("host"), "action")
-    rules = rules.groupBy("h", "p").agg(F.max(F.struct((F.col("action") == "block").alias("b"), F.concat("host", "p").alias("rule"), "action")).alias("r"))
+    hit = F.struct(F.concat("host", "path").alias("rule"), "action").alias("r")
+    rules = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), hit)
     lengths = rules.groupBy("h").agg(F.collect_set(F.length("p")).alias("n"))
     labels = F.split("__host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("depth"), F.concat_ws(".", F.slice(labels, -i, i)).alias("h")))
@@ -111,12 +138,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("__host"), path_of(F.col("url")).alias("__path"))
     if isinstance(rules, DataFrame):
-        few = rules.select("action", "host", "path").limit(MAX_BROADCAST_RULES + 1).collect() if rules.count() <= MAX_BROADCAST_RULES else None
-        hits = _by_join(parts, rules) if few is None else _by_trie(parts, [tuple(r) for r in few])
-    elif len(rules) > MAX_BROADCAST_RULES:
-        hits = _by_join(parts, parts.sparkSession.createDataFrame(rules, "action string, host string, path string"))
+        known = canonical_table(rules)
+        size = known.agg(F.count("*").alias("n"), F.sum(F.length("host") + F.length("path")).alias("chars")).first()
+        small = size["n"] <= MAX_BROADCAST_RULES and (size["chars"] or 0) <= MAX_BROADCAST_CHARS
+        hits = _by_trie(parts, [tuple(r) for r in known.collect()]) if small else _by_join(parts, known)
     else:
-        hits = _by_trie(parts, rules)
+        listed = canonical_rules(rules)
+        small = len(listed) <= MAX_BROADCAST_RULES and sum(len(h) + len(p) for _, h, p in listed) <= MAX_BROADCAST_CHARS
+        hits = _by_trie(parts, listed) if small else _by_join(parts, parts.sparkSession.createDataFrame(listed, "action string, host string, path string"))
     return hits.select(
         "page_id",
         F.col("__host").alias("host"),

@@ -44,13 +44,23 @@ def test_contract_rules(spark):
 
 def test_many_rules_by_trie_and_by_join(spark, monkeypatch):
     rules = [*RULES, ("block", "", "/english"), ("allow", "a.example.net", "/en"), ("block", "a.example.net", "/en"), ("block", "ORG", "/f"), ("allow", "com", "/"), ("block", "b.org", "/fr/")]
+    rules += [("block", "Example.NET", "/en/"), ("allow", "example.net", "/EN/"), ("allow", "example.net", "/en/x"), ("allow", "COM", "/"), ("block", "u@x.net", "")]
     want = [brute(u, rules) for u in urls()]
-    lower = [(h, p, r.lower() if r else r, v) for h, p, r, v in run(spark, rules)]
-    assert lower == want
-    monkeypatch.setattr(U, "MAX_BROADCAST_RULES", 2)
-    assert [(h, p, r.lower() if r else r, v) for h, p, r, v in run(spark, rules)] == want
-    table = spark.createDataFrame(rules, "action string, host string, path string")
-    assert [(h, p, r.lower() if r else r, v) for h, p, r, v in run(spark, table)] == want
+    odd = [*rules, (None, "net", "/en"), ("block", None, "/"), ("block", "org", None)]  # left out
+    assert run(spark, odd) == want
+    table = spark.createDataFrame(odd, "action string, host string, path string")
+    assert run(spark, table) == want
+    for bound in ("MAX_BROADCAST_RULES", "MAX_BROADCAST_CHARS"):
+        with monkeypatch.context() as m:
+            m.setattr(U, bound, 2)
+            assert run(spark, odd) == want and run(spark, table) == want
+
+
+def test_many_paths_of_one_host_are_not_searched_one_by_one():
+    trie = U.Trie([("block", "x.org", f"/a/{i:05}") for i in range(20_000)])
+    assert trie.find("www.x.org", "/a/01234/more") == ("x.org/a/01234", "block") and trie.find("x.org", "/a/x") == (None, None)
+    node = trie.root["h", "org"]["h", "x"]["p", ""]["p", "a"]
+    assert node["lengths"] == (5,) and len(node["ends"]) == 20_000
 
 
 def test_no_rules_and_no_pages(spark):
