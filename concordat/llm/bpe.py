@@ -12,8 +12,15 @@ The slices between boundaries are merged pair by pair by rank; merged slices are
 cache. Each token's length in bytes is known from its id, so the byte offsets of a text's tokens are
 the running sum of lengths, and decoding gathers the vocabulary's bytes for all ids at once.
 
+Letters and numbers are those of Unicode 16.0, as in the tokenizer's own library: Python's table, with
+what 16.0 added where Python's is older. The finished table is checked against its digest, so that
+another Python raises an error and does not give other ids.
+
+The vocabulary file is read by the driver's path and sent to the executors by Spark.
+
 Defined results: a null text is encoded like an empty one (no ids); ids outside of the vocabulary raise
-an error; a text of any length is encoded whole; equal texts have equal ids; extra columns are ignored.
+an error; a text of any length is encoded whole; equal texts have equal ids; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +28,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -39,6 +48,16 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: Endings that an apostrophe opens, with its own length.
 SHORT_ENDINGS, LONG_ENDINGS = ("s", "t", "m", "d"), ("re", "ve", "ll")
 
+#: Letters and numbers that Unicode 16.0 has beyond 15.1, as first and last code points.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Fixed value: SHA-256 of the classes (0 other, 1 letter, 2 number) of all code points.
+CLASSES_SHA256 = "f8f427506a2760101bde8049cdb38b50ad92853242a0935c587ec3724ddc8621"
+
 # Symbols of the automaton.
 CUT, SYM_L, SYM_N, SYM_O, SYM_A2, SYM_A3, LAST_SPACE, LAST_BLANK, INNER_WS = range(9)
 # States: what stands to the left.
@@ -52,6 +71,11 @@ CACHE_SLICES, CACHE_BYTES = 150_000, 48
 def class_table() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    for kind, ranges in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)):
+        for first, last in ranges:
+            table[first : last + 1] = kind
+    if hashlib.sha256(table.tobytes()).hexdigest() != CLASSES_SHA256:
+        raise RuntimeError(f"the letters of Unicode {unicodedata.unidata_version} are not those that the tokenizer knows")
     table[list(WHITE_SPACE)] = BLANK
     table[0x20] = SPACE
     table[ord("'")] = APOS
@@ -263,11 +287,19 @@ def _groups(column: pa.Array) -> Iterator[list[str | None]]:
         yield group
 
 
+def _sent(spark: SparkSession, path: str) -> str:
+    """The name under which the executors find a file that the driver has."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) and offsets (byte offset of each token, then the text's length) of every text."""
 
+    name = _sent(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(name))
         for b in batches:
             done = 0
             for texts in _groups(b.column(1)):
@@ -284,8 +316,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """doc_id and bytes (binary) of every row of ids; null ids stay null."""
 
+    name = _sent(coded.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(name))
         for b in batches:
             out = [None if x is None else vocab.decode(np.array(x, "<i4").tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
@@ -297,8 +331,10 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes every text and decodes its ids again; only the digests leave the task."""
 
+    name = _sent(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(name))
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for b in batches:
             done = 0

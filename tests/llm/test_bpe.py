@@ -46,6 +46,33 @@ def test_encoding_matches_the_library(reference, vocab):
         assert offsets[-1] == len(text.encode()) and all(vocab.decode(got[4 * i : 4 * i + 4]) == text.encode()[offsets[i] : offsets[i + 1]] for i in range(min(5, len(ids(got)))))
 
 
+def test_classes_of_all_code_points_are_the_librarys():
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    table = bpe.class_table()
+    for pattern, kinds in ((r"\p{L}", [bpe.LETTER]), (r"\p{N}", [bpe.NUMBER]), (r"\s", [bpe.SPACE, bpe.BLANK])):
+        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        want = [ord(c) for c in one.decode(one.encode_ordinary(every))]
+        assert np.flatnonzero(np.isin(table, kinds)).tolist() == want
+
+
+def test_all_assigned_code_points_in_contexts(reference, vocab):
+    import unicodedata
+
+    added = [c for a, b in (*bpe.LETTERS_16, *bpe.NUMBERS_16) for c in range(a, b + 1)]
+    points = sorted({c for c in range(0x110000) if unicodedata.category(chr(c))[0] != "C"} | set(added))
+    for at in range(0, len(points), 20_000):
+        rows = [f(chr(c)) for c in points[at : at + 20_000] for f in ("{0}'s".format, "!{0}!".format, "1{0}1".format)]
+        for text, got in zip(rows, vocab.encode(rows)):
+            if ids(got) != reference.encode_ordinary(text):
+                raise AssertionError(repr(text))
+
+
+def test_another_unicode_is_an_error(monkeypatch):
+    monkeypatch.setattr(bpe, "LETTERS_16", bpe.LETTERS_16[1:])
+    with pytest.raises(RuntimeError, match="Unicode"):
+        bpe.class_table.__wrapped__()
+
+
 def test_long_slices_merge_like_short_ones(vocab):
     rnd = random.Random(9)
     for _ in range(200):
