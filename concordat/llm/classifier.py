@@ -6,14 +6,17 @@ digits, or the punctuation itself), and pairs marked as seen earlier in the same
 value is its share of the text's tokens, so the score is a sparse dot product, read in one pass over
 the text with array operations on bytes.
 
-Training takes at most ``MAX_TRAIN_ROWS`` labelled documents that exist (those with the smallest hash of their id)
-and at most ``MAX_TRAIN_FEATURES`` non-zero values of them, in the order of that hash, through
-per-coordinate follow-the-regularised-leader updates in one task; only the finished weights (a fixed
-2 MB) come to the driver and are broadcast. Everything is scored, whole.
+Training takes at most ``MAX_TRAIN_ROWS`` labelled documents that exist (those with the smallest hash of
+their id) and at most ``MAX_TRAIN_FEATURES`` non-zero values of them, in the order of that hash, through
+per-coordinate follow-the-regularised-leader updates in one task. One text counts for an id, and values
+beyond the bound are left out before that task, so that it holds 160 MB of values at most. Only the
+finished weights (a fixed 2 MB) come to the driver and are broadcast. Everything is scored, whole.
 
 Defined results: null and blank texts have no features and score the model's bias; repeated labels of a
-document count as good if any does; labels without a document are ignored; without labels of both
-classes the score is the smoothed share of good labels (0.5 with none). Extra columns are ignored.
+document count as good if any does; of different texts under one labelled id the one with the smallest
+hash is learnt from, all are scored; labels without a document or with a null id or quality are ignored;
+rows with a null id are scored and never held out; without labels of both classes the score is the
+smoothed share of good labels (0.5 with none); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ._common import durable
 
 DIM_BITS = 18
 DIM = 1 << DIM_BITS
@@ -74,45 +78,71 @@ def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, h, np.where(kind[starts] == 2, h, shape)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-    """Texts joined to chunks, longer ones cut at white space where there is any: data, document numbers, offsets."""
+def _long_token(data: bytes, at: int) -> tuple[int, int, int]:
+    """End, hash and shape code of the token that starts at ``at``, read in steps: the same as of ``_tokens``."""
+    kind, total, power, shape = _KIND[data[at]], 0, 1, 8 * (65 <= data[at] <= 90)
+    end = at
+    while end < len(data):
+        b = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - end), end)
+        other = np.flatnonzero(_KIND[b] != kind)
+        b = b[: other[0]] if len(other) else b
+        part = int(((b.astype(np.uint64) + _U(1)) * _POWERS[: len(b)]).sum(dtype=np.uint64)) if len(b) else 0
+        total = (total + part * power) & (2**64 - 1)
+        power = power * pow(_P, len(b), 2**64) & (2**64 - 1)
+        for bit, lo, hi in ((1, 97, 122), (2, 65, 90), (4, 48, 57)):
+            shape |= bit * bool(((b >= lo) & (b <= hi)).any())
+        end += len(b)
+        if len(other):
+            break
+    h = int(_mix(np.array([total], np.uint64))[0])
+    return end, h, h if kind == 2 else shape
+
+
+def _token_end(data: bytes, at: int, stop: int) -> int:
+    """The last place after ``at`` and up to ``stop`` where a token or white space ends; ``at`` if there is none."""
+    kind = _KIND[np.frombuffer(data, np.uint8, min(len(data), stop + 1) - at, at)]
+    ends = np.flatnonzero(kind[1:] != kind[:-1])
+    return at + int(ends[-1]) + 1 if len(ends) else at
+
+
+def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document numbers, hashes and shape codes of all tokens in order, read in chunks that never cut a token."""
     data, docs, offs, size = [], [], [], 0
+
+    def read() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, h, shape = _tokens(b"\n".join(data))
+        return np.asarray(docs)[np.searchsorted(offs, starts, "right") - 1], h, shape
+
     for i, t in enumerate(texts):
         at = 0
-        while at < len(t) or (at == 0 and not t):
-            room = CHUNK - size - 1
+        while at < len(t):
+            if size and len(t) - at > CHUNK - size - 1:  # start a new chunk
+                yield read()
+                data, docs, offs, size = [], [], [], 0
             stop = len(t)
-            if stop - at > room:
-                if size:  # start a new chunk
-                    yield b"\n".join(data), docs, offs
-                    data, docs, offs, size = [], [], [], 0
+            if stop - at > CHUNK - 1:
+                stop = _token_end(t, at, at + CHUNK - 1)
+                if stop == at:  # one token fills the chunk, or one run of white space
+                    blank = _KIND[t[at]] == 0
+                    at, h, shape = _long_token(t, at)
+                    if not blank:
+                        yield np.array([i]), np.array([h], np.uint64), np.array([shape], np.uint64)
                     continue
-                stop = at + room
-                cut = max(t.rfind(w, at, stop) for w in (b" ", b"\n"))
-                stop = cut + 1 if cut > at else stop
             data.append(t[at:stop])
             docs.append(i)
             offs.append(size)
             size += stop - at + 1
             at = stop
-            if not t:
-                break
-    if docs:
-        yield b"\n".join(data), docs, offs
+    if data:
+        yield read()
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document number and index of every n-gram occurrence, and the number of tokens of every document."""
-    doc, hashes, shapes = [], [], []
-    for data, docs, offs in _chunks(texts):
-        if data:
-            starts, h, shape = _tokens(data)
-            doc.append(np.asarray(docs)[np.searchsorted(offs, starts, "right") - 1])
-            hashes.append(h)
-            shapes.append(shape)
-    if not doc:
+    runs = list(_runs(texts))
+    if not sum(len(d) for d, _, _ in runs):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    doc, h, shape = np.concatenate(doc), np.concatenate(hashes), np.concatenate(shapes)
+    doc, h, shape = (np.concatenate(x) for x in zip(*runs))
     same = doc[1:] == doc[:-1]
     pair = _mix(h[:-1] * _U(0xC2B2AE3D27D4EB4F) + h[1:])[same]
     shapes2 = _mix(shape[:-1] * _U(0x165667B19E3779F9) + shape[1:] + _U(77))[same]
@@ -163,6 +193,7 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     z, n, bias, bias_n = np.zeros(DIM), np.zeros(DIM), float(prior), 1.0
     for _ in range(EPOCHS):
         for y, i, x in examples:
+            x = x.astype(np.float64)
             zi, ni = z[i], n[i]
             root = np.sqrt(ni)
             w = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + root) / ALPHA + L2))
@@ -190,7 +221,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idx = [(key[a:z] % DIM).astype("<i4").tobytes() for a, z in zip(cut, cut[1:])]
             val = [(counts[a:z] * SCALE / max(m, 1)).astype("<f4").tobytes() for a, z, m in zip(cut, cut[1:], n)]
             part = b.slice(first, len(group))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["at", "label", "idx", "val"])
+            n_values = pa.array((cut[1:] - cut[:-1]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n_values, pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["at", "label", "n_values", "idx", "val"])
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +230,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows += zip(*(c.to_pylist() for c in b.columns))
     rows.sort(key=lambda r: (r[0], r[2], r[3]))
-    examples, total = [], 0
-    for _, label, idx, val in rows:
-        total += len(idx) // 4
-        if total > MAX_TRAIN_FEATURES and examples:
-            break
-        examples.append((label, np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f4").astype(np.float64)))
-    weights, bias = fit(examples)
+    weights, bias = fit([(label, np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f4")) for _, label, idx, val in rows])
     yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
 
@@ -221,10 +247,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         .limit(MAX_TRAIN_ROWS)  # the documented bound of the sample, and of what is broadcast below
         .select(F.col("doc_id").alias("__id"), "label")
     )
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    texts = own.join(F.broadcast(sample), own["doc_id"] == sample["__id"]).select(F.xxhash64("__id").alias("at"), "label", "text")
-    rows = texts.mapInArrow(_examples, "at long, label int, idx binary, val binary")
-    model = rows.repartition(1).mapInArrow(_train, "weights binary, bias double").first()
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(sample), own["doc_id"] == sample["__id"]).withColumn("h", F.xxhash64("text"))
+    # One text for an id, whatever its repeats; each task passes on one row for an id at most.
+    texts = texts.groupBy("__id", "label").agg(F.min(F.struct("h", "text"))["text"].alias("text")).select(F.xxhash64("__id").alias("at"), "label", "text")
+    rows = durable(texts.mapInArrow(_examples, "at long, label int, n_values long, idx binary, val binary"))
+    sizes = np.array(rows.select("at", "n_values").collect(), np.int64).reshape(-1, 2)  # at most MAX_TRAIN_ROWS numbers
+    sizes = sizes[np.argsort(sizes[:, 0], kind="stable")]
+    within = (sizes[:, 1].cumsum() <= MAX_TRAIN_FEATURES) | (np.arange(len(sizes)) == 0)
+    if not len(sizes):
+        return np.zeros(DIM), 0.0
+    chosen = rows.filter(F.col("at") <= int(sizes[within, 0].max())).select("at", "label", "idx", "val")
+    model = chosen.repartition(1).mapInArrow(_train, "weights binary, bias double").first()
     if model is None:
         return np.zeros(DIM), 0.0
     return np.frombuffer(model["weights"], "<f8"), model["bias"]

@@ -55,6 +55,73 @@ def test_features_do_not_depend_on_company_or_chunks(monkeypatch):
     assert sorted(zip(doc, index)) == sorted(zip(doc2, index2)) and list(n) == list(n2)
 
 
+def test_chunks_never_cut_a_token(monkeypatch):
+    long = "x" * 3000 + "\t" + "Ab9" * 1000 + " \t\n" * 900 + "é" * 2000 + "$" * 700 + "\v".join(f"w{i}" for i in range(500))
+    texts = [t.encode() for t in (long, "tab\tseparated\t" * 2000, "日本語" * 700, "a", "", " " * 5000, "end" + " " * 4000 + "End")]
+    want = C.features(texts)
+    for chunk in (16, 63, 64, 65, 1000):
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        got = C.features(texts)
+        assert sorted(zip(*got[:2])) == sorted(zip(*want[:2])) and list(got[2]) == list(want[2])
+    monkeypatch.undo()
+    assert C.features([b"ab\t" * 200_000])[2].tolist() == [200_000]
+    assert C.features([b"a" * (C.CHUNK + 5) + b" b"])[2].tolist() == [2]
+
+
+def naive_fit(examples):
+    """One coordinate after another, as the updates are written in the literature."""
+    import math
+
+    good = sum(y for y, _, _ in examples)
+    bias, bias_n = math.log((good + 1) / (len(examples) - good + 1)), 1.0
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= C.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * C.L1) / ((C.BETA + math.sqrt(n[i])) / C.ALPHA + C.L2)
+
+    for _ in range(C.EPOCHS):
+        for y, idx, val in examples:
+            w = {int(i): weight(int(i)) for i in idx}
+            p = 1 / (1 + math.exp(-(sum(w[int(i)] * float(x) for i, x in zip(idx, val)) + bias)))
+            for i, x in zip(map(int, idx), map(float, val)):
+                g = (p - y) * x
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / C.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += (p - y) ** 2
+            bias -= 0.05 / math.sqrt(bias_n) * (p - y)
+    return {i: weight(i) for i in z}, bias
+
+
+def test_fit_is_ftrl_proximal():
+    rnd = np.random.default_rng(4)
+    examples = []
+    for _ in range(60):
+        idx = np.sort(rnd.choice(50, rnd.integers(1, 12), replace=False)).astype("<i4")
+        examples.append((int(rnd.random() < 0.6), idx, rnd.random(len(idx)).astype("<f4")))
+    weights, bias = C.fit(examples)
+    want, want_bias = naive_fit(examples)
+    assert np.isclose(bias, want_bias) and all(np.isclose(weights[i], w) for i, w in want.items())
+    assert np.flatnonzero(weights).tolist() == sorted(i for i, w in want.items() if w)
+
+
+def test_training_is_bounded_before_its_task(spark, monkeypatch):
+    docs, labels = corpus(spark, 60)
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("text", C.F.lit(None).cast("string")).limit(5))
+    ranked = sorted(r["at"] for r in docs.filter(~C.held_out(C.F.col("doc_id"))).select(C.F.xxhash64("doc_id").alias("at")).collect())
+    seen = []
+    monkeypatch.setattr(C, "MAX_TRAIN_FEATURES", 300)
+    original = C.durable
+    monkeypatch.setattr(C, "durable", lambda df: seen.append(original(df)) or seen[-1])
+    C.train(twice, labels)
+    rows = seen[0].orderBy("at").collect()
+    assert [r["at"] for r in rows] == ranked  # one row for an id
+    assert sum(r["n_values"] for r in rows) > 300 and all(len(r["idx"]) == 4 * r["n_values"] for r in rows)
+
+
 def test_odd_tables(spark):
     docs, labels = corpus(spark, 40)
     none = C.score_quality(docs, labels.limit(0)).collect()
