@@ -70,19 +70,20 @@ def tables_removed(spark: SparkSession) -> Iterator[None]:
         del _written[first:]
 
 
-def join_frequent(rows: DataFrame, named: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def join_frequent(rows: DataFrame, named: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``named`` (one row for a key), with no task that takes all rows of a frequent key.
 
-    ``counts`` has the key and ``n``, its number of rows. Of the keys at most ``MOST_HOT_KEYS`` can have over
-    ``total / MOST_HOT_KEYS`` rows; those are broadcast and joined where the rows are, all others by a shuffle.
-    Null keys match nothing. ``how``: inner or left.
+    ``counts`` has the key and ``n``, its number of rows, of which there are ``total`` at most. At most
+    ``MOST_HOT_KEYS`` keys can have over ``total / MOST_HOT_KEYS`` rows; those are broadcast and joined where the
+    rows are, all others by a shuffle. ``how``: inner, or left, which keeps rows with a null key.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_HOT_ROWS, -(-total // MOST_HOT_KEYS))
-    hot = counts.filter(F.col("n") > least).select(key)
-    frequent = F.broadcast(named.join(F.broadcast(hot), key, "left_semi"))
-    rare = rows.join(F.broadcast(hot), key, "left_anti")
-    often = rows.join(F.broadcast(hot), key, "left_semi")
+    if total <= least:  # no key can be frequent
+        return rows.join(named, key, how)
+    hot = F.broadcast(counts.filter(F.col("n") > least).select(key))
+    frequent = F.broadcast(named.join(hot, key, "left_semi"))
+    rare = rows.join(hot, key, "left_anti")
+    often = rows.join(hot, key, "left_semi")
     return rare.join(named, key, how).unionByName(often.join(frequent, key, how))
 
 
