@@ -14,9 +14,12 @@
    probes. Nodes under one key are verified against one another; a task emits for every group of
    linked nodes only the edges to one of them, so its output is linear. A key with more than
    ``SPLIT_ROWS`` nodes is filed again by four parts of the remaining bits, which is exact as well:
-   two linked nodes under the key agree in at least one of these.
+   two linked nodes under the key agree in at least one of these. This is repeated until no key is
+   as full (or no bits are left to part), so that what a task holds is bounded.
 5. *Components*: alternating large-star and small-star rounds on the edges, each written to the
-   checkpoint folder, until nothing changes.
+   checkpoint folder, until nothing changes. Hubs are joined apart from all other nodes, so that no
+   task takes all edges of one. Rounds grow with the logarithm of a component's size; should they
+   not settle, an error is raised and no partial result returned.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; a text of
 fewer than three words is one shingle; rows with equal ids each get a result; a row with a null doc_id
@@ -34,14 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import MOST_HOT_KEYS
 from ..shipping import ship
-from ._common import durable
+from ._common import durable, join_frequent
 
 BITS, PARTS, LIMIT, SEED, SHINGLE = 64, 4, 3, 42, 3
 WIDTH = BITS // PARTS
 #: Most units (threshold + 1) that one part is given; 2 means all values at one bit's distance.
 MOST_UNITS = 2
-#: Keys with more nodes than this are filed again by parts of the remaining bits.
+#: Keys with more rows than this are filed again by parts of the remaining bits.
 SPLIT_ROWS = 20_000
 #: Groups up to this size are compared by shifted copies of the sorted rows, larger ones by search.
 SMALL_GROUP = 48
@@ -158,17 +162,20 @@ def _file(parts: list[list[int]], counts) -> callable:
                 values = part_values(fps.view(np.uint64), parts)
                 units = thresholds(values, counts.value)
                 rows = np.arange(len(fps))
-                keys, who = [], []
+                keys, who, used = [], [], []
                 for k in range(PARTS):
                     keys.append((k << WIDTH) | values[k])
                     who.append(rows)
+                    before = sum(map(len, keys[:-1]))
                     probing = rows[units[k] == 2]
                     for bit in range(WIDTH):
                         keys.append((k << WIDTH) | (values[k][probing] ^ (1 << bit)))
                         who.append(probing)
-                who = np.concatenate(who)
+                    mask = np.array([sum(1 << bit for bit in parts[k])], np.uint64).view(np.int64)[0]
+                    used.append(np.full(sum(map(len, keys)) - before, mask))
+                who, used = np.concatenate(who), np.concatenate(used)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(fps[who]), pa.array(rep[who])], ["key", "fp", "rep"]
+                    [pa.array(np.concatenate(keys)), pa.array(used), pa.array(fps[who]), pa.array(rep[who])], ["key", "used", "fp", "rep"]
                 )
 
     return run
@@ -261,43 +268,69 @@ def links(nodes: DataFrame) -> DataFrame:
     keys = F.array(*(value(bits) + F.lit(k << WIDTH) for k, bits in enumerate(parts)))
     for row in nodes.select(F.explode(keys).alias("key")).groupBy("key").count().collect():
         counts[row["key"] >> WIDTH, row["key"] & ((1 << WIDTH) - 1)] = row["count"]  # at most 4 x 65,536 rows
-    filed = nodes.mapInArrow(_file(parts, spark.sparkContext.broadcast(counts)), "key long, fp long, rep long")
-    full = [(k, int(v)) for k, v in zip(*np.nonzero(counts > SPLIT_ROWS))]
-    if full:
-        # A value's key holds at most the nodes with the value and those that probe it. At most
-        # PARTS * nodes / SPLIT_ROWS values are this full, so the list below is short.
-        again = F.col("key").isin([int((k << WIDTH) | v) for k, v in full])
-        sub = F.array()
-        for k, bits in enumerate(parts):
-            rest = [b for b in range(BITS) if b not in bits]
-            step = len(rest) // PARTS
-            keys = F.array(
-                *(
-                    F.shiftleft(F.col("key"), 16) + F.lit(((j + 1) << 40)) + value(rest[j * step : (j + 1) * step])
-                    for j in range(PARTS)
-                )
-            )
-            sub = F.when(F.shiftright("key", WIDTH) == k, keys).otherwise(sub.cast("array<long>"))
-        filed = filed.select(F.explode(F.when(again, sub).otherwise(F.array("key"))).alias("key"), "fp", "rep")
-    dealt = filed.repartition("key").sortWithinPartitions("key")
+    filed = nodes.mapInArrow(_file(parts, spark.sparkContext.broadcast(counts)), "key long, used long, fp long, rep long")
+    around = [counts[k] + sum(counts[k][np.arange(1 << WIDTH) ^ (1 << bit)] for bit in range(WIDTH)) for k in range(PARTS)]
+    if np.max(around) > SPLIT_ROWS:  # some key may be too full: a value's nodes and all that could probe it
+        filed = _split_full(filed)
+    dealt = filed.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_verify, "u long, v long").distinct()
 
 
+def _split_full(filed: DataFrame) -> DataFrame:
+    """Filed rows of which no key has over ``SPLIT_ROWS`` rows, or more than a 50,000th of all, if its bits can be parted."""
+    done = None
+    while True:
+        filed = durable(filed)
+        counts = filed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.bit_count("used")).alias("used"))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        least = max(SPLIT_ROWS, -(-total // MOST_HOT_KEYS))  # so that full keys are few enough to broadcast
+        full = F.broadcast(counts.filter((F.col("n") > least) & (F.col("used") <= BITS - PARTS)).select("key"))
+        again = filed.join(full, "key", "left_semi")
+        rest = filed.join(full, "key", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        if again.isEmpty():
+            return done
+        filed = again.mapInArrow(_file_again, "key long, used long, fp long, rep long")
+
+
+def _file_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows under their values of four parts of the bits that their key does not use yet."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1 << 15):
+            b = whole.slice(at, 1 << 15)
+            key, used, fps, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for mask in np.unique(used):
+                rows = np.flatnonzero(used == mask)
+                free = [bit for bit in range(BITS) if not int(mask) >> bit & 1]
+                for j, bits in enumerate(np.array_split(free, PARTS)):
+                    value = part_values(fps[rows].view(np.uint64), [bits.tolist()])[0]
+                    # The old key, the part and the value as one number; should two meet, rows are only compared needlessly.
+                    old = key[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed = (old ^ (old >> np.uint64(29))) + (value.view(np.uint64) * np.uint64(PARTS) + np.uint64(j)) * np.uint64(0xBF58476D1CE4E5B9)
+                    now = np.uint64(sum(1 << int(bit) for bit in bits)) | np.array([mask], np.int64).view(np.uint64)[0]
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mixed.view(np.int64)), pa.array(np.full(n, now, np.uint64).view(np.int64)), pa.array(fps[rows]), pa.array(rep[rows])], ["key", "used", "fp", "rep"]
+                    )
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for every node of ``edges`` (u, v)."""
     edges = durable(edges.select("u", "v"))
-    seen = None
+    n, seen = edges.count(), None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = join_frequent(both, least.select("u", F.least("u", "m").alias("m")), "u", least.select("u", "n"), 2 * n)
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_frequent(large, least.select("u", "m"), "u", least.select("u", "n"), 2 * n)
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = durable(small.filter("u <> v").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state == seen:
             break
-        seen = state
+        n, seen = state["n"], state
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -306,10 +339,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every document row."""
     own = durable(fingerprints(docs))
-    nodes = durable(own.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes))
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    able = nodes.filter("rep IS NOT NULL").select("fp", "rep")
+    found = components(links(able))
+    named = able.join(found, able["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return join_frequent(own, named, "fp", nodes.select("fp", "n"), own.count(), "left").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp) -> F.Column:
@@ -326,9 +360,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     marked = docs.withColumns({"__h0": F.xxhash64(nulls, *columns), "__h1": F.xxhash64(F.lit(1), nulls, *columns)})
     own = durable(fingerprints(marked, "__h0", "__h1"))
     # The fingerprint itself is the node's name: an id may stand for several texts, or for none.
-    nodes = durable(own.select("fp").distinct().withColumn("rep", F.col("fp")))
-    found = components(links(nodes))
-    grouped = own.join(found, own["fp"] == found["node"], "left").withColumn("__group", F.coalesce("component", "fp"))
+    counts = durable(own.groupBy("fp").agg(F.count("*").alias("n")))
+    found = components(links(counts.select("fp", F.col("fp").alias("rep")))).select(F.col("node").alias("fp"), "component")
+    grouped = join_frequent(own, found, "fp", counts, own.count(), "left").withColumn("__group", F.coalesce("component", "fp"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__h0", "__h1")
     first = grouped.groupBy("__group").agg(F.min(order).alias("m")).select(F.col("m.__h0").alias("__f0"), F.col("m.__h1").alias("__f1"))
     kept = marked.join(first, (F.col("__h0") == F.col("__f0")) & (F.col("__h1") == F.col("__f1")), "left_semi")

@@ -74,6 +74,29 @@ def test_full_keys_are_filed_again(spark, monkeypatch):
     assert components_of(spark, fps) == brute_components(fps)
 
 
+def test_refiled_keys_that_are_still_full_are_filed_once_more(spark, monkeypatch):
+    monkeypatch.setattr(S, "SPLIT_ROWS", 6)
+    rnd = np.random.default_rng(5)
+    base = 0x123456789ABCDEF
+    # All share three parts' bits, so that every first key and most of the next are full.
+    fps = list(dict.fromkeys(base ^ (int(x) << 50) for x in rnd.integers(0, 1 << 14, 300)))
+    rounds = []
+    original = S._file_again
+    monkeypatch.setattr(S, "durable", lambda df, f=S.durable: rounds.append(1) or f(df))
+    assert original is S._file_again and components_of(spark, fps) == brute_components(fps)
+    assert len(rounds) > 4
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    from concordat import shared
+
+    monkeypatch.setattr(shared, "LEAST_HOT_ROWS", 5)
+    n = 60
+    pairs = [(i, 0) for i in range(1, n)] + [(i + 1000, i) for i in range(1, n, 2)] + [(5000, 1001), (7001, 7000)]
+    got = {r["node"]: r["component"] for r in S.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert set(got.values()) == {0, 7000} and got[5000] == 0 and len(got) == n - 1 + n // 2 + 2
+
+
 def test_thresholds_sum_up_and_prefer_rare_values():
     counts = np.ones((S.PARTS, 1 << S.WIDTH))
     counts[0, 5] = 1e6
