@@ -1,16 +1,19 @@
 """Nearest neighbours by a block matrix join with quantised distances and error bounds.
 
-Queries are taken in blocks of at most ``QUERY_BLOCK`` vectors; a block is the only thing broadcast, so
-what is broadcast has a fixed bound and more queries mean more passes, not larger ones. In a pass each
-task walks over its candidates in tiles: both sides are scaled to int8, a tile's inner products are one
-matrix product of the int8 values (carried in floats, where these integers are exact), and
+Queries are dealt into blocks and candidates into tiles of a bounded number of values; every block meets
+every tile in one cell, whose two sides are brought together by a cogrouped shuffle. Nothing passes
+through the driver but counts. Inside of a cell both sides are scaled to int8, a part's inner products
+are one matrix product of the int8 values (carried in floats, where these integers are exact), and
 
     |d(q, c) - d(q', c')| <= |q - q'| + |c - c'|
 
 bounds the distance by that of the quantised vectors and the two known quantisation errors. A pair is
 dropped only if its lower bound exceeds the query's tenth upper bound so far, so no neighbour is lost
 (recall is 1). Survivors are recomputed from the original vectors in double precision, and each query's
-nearest are kept in a heap of ``k``, first by task and then, merged, by query.
+nearest are kept in a heap of ``k``, first by cell and then, merged, by query.
+
+Each candidate is shuffled once for a block and each query once for a tile, against which a cell does
+the work of all its pairs: thousands of operations for a byte moved, at any size.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part; a
 query meets candidates of its own length only; equal distances go to the smaller vec_id; with fewer
@@ -22,8 +25,6 @@ own ranks 1 to ``k`` (all under that query_id), told apart by ``query_row``, a n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,11 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ._common import durable
 
-QUERY_BLOCK = 32_768
-#: Elements of one tile (queries x candidates).
+#: Values (vectors x length) of a query block and of a candidate tile.
+BLOCK_VALUES, TILE_VALUES = 1 << 21, 1 << 23
+#: Tiles are made smaller than that, down to so many candidates, where there are fewer cells than shuffle partitions.
+LEAST_CANDIDATES = 512
+#: Elements of one distance matrix (queries x candidates).
 TILE = 1 << 22
 QUERY_TILE = 4_096
 
@@ -46,16 +50,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
-def _matrices(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrix of each vector length in a batch."""
-    ids = b.column(0).to_numpy(zero_copy_only=False)
-    column = b.column(1)
-    offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
-    sizes = np.diff(offsets)
-    for n in np.unique(sizes):
-        rows = np.flatnonzero(sizes == n)
-        yield ids[rows], flat[offsets[rows][:, None] + np.arange(n)]
+def _matrix(side: pa.Table) -> np.ndarray:
+    """The vectors of a cell's side, which are of one length."""
+    flat = side.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(side.num_rows, -1)
 
 
 class Quantised:
@@ -128,15 +126,14 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(self.numbers[at]), pa.array(self.ids[at]), pa.array(self.best_id[found]), pa.array(self.best_d[found])], ["query_row", "query_id", "vec_id", "score"])
 
 
-def _pass(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {x.shape[1]: Search(numbers, ids, x, k) for numbers, ids, x in shared.value}
-        for b in batches:
-            for ids, x in _matrices(b):
-                if x.shape[1] in searches:
-                    searches[x.shape[1]].add(ids, x)
-        for s in searches.values():
-            yield s.rows()
+def _cell(k: int):
+    def run(asked: pa.Table, there: pa.Table) -> pa.Table:
+        numbers, ids = (asked.column(c).to_numpy() for c in ("query_row", "vec_id"))
+        if not asked.num_rows or not there.num_rows:
+            return pa.table({"query_row": numbers[:0], "query_id": ids[:0], "vec_id": ids[:0], "score": np.zeros(0)})
+        search = Search(numbers, ids, _matrix(asked), k)
+        search.add(there.column("vec_id").to_numpy(), _matrix(there))
+        return pa.Table.from_batches([search.rows()])
 
     return run
 
@@ -148,20 +145,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = usable(vectors)
-    # Numbered once and written, so that every pass sees the same numbers.
+    # Numbered once and written, so that a lost executor's rows come back with the same numbers.
+    there = durable(usable(vectors).withColumn("n", F.monotonically_increasing_id()))
     asked = durable(usable(queries).distinct().withColumn("query_row", F.monotonically_increasing_id()))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        own = asked.filter(F.pmod("query_row", F.lit(blocks)) == block) if blocks > 1 else asked
-        by_size: dict[int, list] = {}
-        for row in own.toLocalIterator() if blocks > 1 else own.collect():  # at most about QUERY_BLOCK vectors
-            by_size.setdefault(len(row["vector"]), []).append(row)
-        shared = spark.sparkContext.broadcast([(np.array([r["query_row"] for r in rs], np.int64), np.array([r["vec_id"] for r in rs], np.int64), np.array([r["vector"] for r in rs], np.float64)) for rs in by_size.values()])
-        part = rows.mapInArrow(_pass(shared, k), "query_row long, query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    size = F.size("vector").alias("size")
+    measured = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
+    (n_there, v_there), (_, v_asked) = measured(there), measured(asked)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-v_asked // BLOCK_VALUES))
+    tiles = max(1, -(-v_there // TILE_VALUES), min(-(-wanted // blocks), -(-n_there // LEAST_CANDIDATES)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    place = lambda c, n, name: F.pmod(c, F.lit(n)).cast("long").alias(name)
+    key = ["size", "block", "tile"]
+    left = asked.select("*", size, place("query_row", blocks, "block"), every(tiles, "tile"))
+    right = there.select("vec_id", "vector", size, every(blocks, "block"), place("n", tiles, "tile"))
+    cells = min(blocks * tiles, 100_000)
+    left, right = (x.repartition(cells, *key).groupBy(*key) for x in (left, right))
+    found = left.cogroup(right).applyInArrow(_cell(k), "query_row long, query_id long, vec_id long, score double")
     return _merged(found, k)
 
 
