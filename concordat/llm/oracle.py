@@ -73,8 +73,8 @@ def _op5() -> str:
     return rf"""WITH p AS (
   SELECT page_id, regexp_replace(coalesce(url, ''), '(?s)#.*$', '') AS bare, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS etag, 'sha256:' || sha256(coalesce(html, '')) AS digest,
     1704067200 + page_id % 365 * 86400 + page_id % 86400 AS t0, CASE WHEN page_id % 11 = 0 THEN 1700000000 + page_id % 86400 ELSE 1704067200 + page_id % 365 * 86400 + page_id % 86400 + 3600 + page_id % 30 * 86400 END AS t1 FROM pages), k AS (
-  SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '(?s)\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_[a-z]+|gclid|fbclid|ref)(?:=|$)'))) AS kept,
-    regexp_replace(regexp_replace({host}, '^www\d*\.', ''), ':(?:80|443)$', '') || regexp_replace(regexp_extract(bare, '(?s)^[^:/?]*://[^/?]*([^?]*)', 1), '/+$', '') AS front FROM p), c AS (
+  SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '(?s)\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_[a-z]+|gclid|fbclid)(?:=|$)'))) AS kept,
+    regexp_replace(CASE WHEN bare ILIKE 'https://%' THEN regexp_replace({host}, ':443$', '') WHEN bare ILIKE 'http://%' THEN regexp_replace({host}, ':80$', '') ELSE {host} END, '^www\d*\.', '') || regexp_replace(regexp_extract(bare, '(?s)^[^:/?]*://[^/?]*([^?]*)', 1), '/+$', '') AS front FROM p), c AS (
   SELECT *, front || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS u FROM k), hits AS (
   SELECT v.page_id, v.u, v.t1, s.page_id AS sid, s.t0, s.digest, s.etag, CASE WHEN v.page_id % 5 = 0 THEN NULL WHEN v.page_id % 7 = 0 THEN '"changed"' ELSE v.etag END AS said
   FROM c v LEFT JOIN c s ON v.u = s.u AND v.u <> '' AND s.t0 < v.t1 QUALIFY row_number() OVER (PARTITION BY v.page_id ORDER BY s.t0 DESC NULLS LAST, 'urn:response:' || s.page_id DESC) = 1), o AS (

@@ -2,25 +2,31 @@
 
 ``resolve_revisits`` joins each revisit to the latest earlier full response of its canonical URL (an
 as-of join), checks the validators, and merges into the response's headers those that a not-modified
-answer may replace. Records are put into (URL, span of days) cells; a running window inside of a cell
-finds the response in the same span, and a second one over each cell's last response (one row for a
-cell) finds it in earlier spans, so that a URL captured very often is spread over many tasks. Payloads
-are never shuffled: a resolved revisit carries the response's record id and payload digest.
+answer may replace. Records are range-partitioned by URL, time and a row number into cells of about
+``CELL_ROWS``, however often a URL was captured; a running window inside of a cell finds the response in
+the same cell, and a second one over each cell's last response (one row for a URL and cell) finds it in
+earlier cells. Payloads are never shuffled: a resolved revisit carries the response's record id and
+payload digest.
 
 Outcomes: ``resolved``; ``changed`` (the ETags, or without both of these the Last-Modified values,
 differ); ``unvalidated`` (nothing on both sides to compare); ``no_response`` (none is earlier).
 
+``parse_warc`` unpacks a file member by member and holds one record at a time; what cannot be read (a
+file cut off, a length that is no number, a record of over ``MAX_RECORD`` bytes, bad compression) is a
+row of its own with its ``error``, and reading goes on at the next record where there is one.
+
 Defined results: only responses with status 200 are full; of responses at the same time the greater
 record id is the later; a response at the revisit's own time is not earlier; a record without a date
 or URL is never a match, and a revisit without one has ``no_response``; header names are compared
-without case, and of repeated ones the last counts; repeated rows each get a result; extra columns are
-ignored.
+without case, and of repeated ones the last counts; a default port is dropped for its own scheme only;
+repeated rows each get a result; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,14 +34,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-
-SPAN_DAYS = 2
+from ._common import durable
+
+#: Rows of a cell, about.
+CELL_ROWS = 16_384
+#: A record of more bytes is given as an error.
+MAX_RECORD = 1 << 30
+#: Files are unpacked in steps of so many bytes.
+STEP = 1 << 20
 #: Headers that a not-modified answer may replace.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not change a page.
-TRACKING = r"utm_[a-z]+|gclid|fbclid|ref"
+TRACKING = r"utm_[a-z]+|gclid|fbclid"
 
-RECORD = "record_id string, type string, target_uri string, date timestamp, status int, headers map<string,string>, payload binary, payload_digest string, refers_to string"
+RECORD = "record_id string, type string, target_uri string, date timestamp, status int, headers map<string,string>, payload binary, payload_digest string, refers_to string, error string"
 
 
 def canonical_url(url: Column) -> Column:
@@ -43,7 +55,9 @@ def canonical_url(url: Column) -> Column:
     url = F.coalesce(url, F.lit(""))
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     host = F.lower(F.regexp_extract(bare, r"(?s)^[^:/?]*://([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r"^www\d*\.", ""), r":(?:80|443)$", "")
+    port = F.when(F.regexp_like(bare, F.lit(r"^(?i:https)://")), ":443").when(F.regexp_like(bare, F.lit(r"^(?i:http)://")), ":80").otherwise("")
+    host = F.when((port != "") & F.endswith(host, port), F.left(host, F.length(host) - F.length(port))).otherwise(host)
+    host = F.regexp_replace(host, r"^www\d*\.", "")
     path = F.regexp_replace(F.regexp_extract(bare, r"(?s)^[^:/?]*://[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.regexp_extract(bare, r"(?s)\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(rf"^(?i:{TRACKING})(?:=|$)")))
@@ -75,19 +89,23 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     ``records``: record_id, type, target_uri, date, status, headers, payload_digest.
     """
-    span = F.floor(F.unix_seconds("date") / (86_400 * SPAN_DAYS))
     is_full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("date").isNotNull() & (F.col("url") != "")
     events = (
         records.filter(F.col("type").isin("response", "revisit"))
-        .select("record_id", "type", "date", "status", _lower_keys(F.col("headers")).alias("headers"), "payload_digest", canonical_url(F.col("target_uri")).alias("url"), span.alias("span"))
+        .select("record_id", "type", "date", "status", _lower_keys(F.col("headers")).alias("headers"), "payload_digest", canonical_url(F.col("target_uri")).alias("url"))
         .withColumn("full", F.when(is_full, F.struct("date", "record_id", "payload_digest", "headers")))
         .filter((F.col("type") == "revisit") | F.col("full").isNotNull())
+        .select("record_id", "type", "url", "date", "headers", "full", F.monotonically_increasing_id().alias("row"))
     )
+    read = durable(events)
     able = F.col("date").isNotNull() & (F.col("url") != "")
     # Revisits stand before responses of the same time, which are not earlier.
-    running = Window.partitionBy("url", "span").orderBy("date", F.col("full").isNotNull(), "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = events.filter(able).withColumn("near", F.last("full", ignorenulls=True).over(running)).filter(F.col("type") == "revisit")
-    last = events.filter("full IS NOT NULL").groupBy("url", "span").agg(F.max_by("full", F.struct("date", "record_id")).alias("last"))
+    order = ["url", "date", F.col("full").isNotNull(), "record_id", "row"]
+    cells_wanted = max(1, -(-read.count() // CELL_ROWS))
+    events = durable(read.filter(able).repartitionByRange(cells_wanted, *order).withColumn("span", F.spark_partition_id()))
+    running = Window.partitionBy("url", "span").orderBy("date", F.col("full").isNotNull(), "record_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = events.withColumn("near", F.last("full", ignorenulls=True).over(running)).filter(F.col("type") == "revisit")
+    last = events.filter("full IS NOT NULL").groupBy("url", "span").agg(F.max_by("full", F.struct("date", "record_id", "row")).alias("last"))
     asked = inside.filter("near IS NULL").select("url", "span").distinct()
     cells = last.unionByName(asked.select("url", "span", F.lit(None).cast(last.schema["last"].dataType).alias("last")))
     cells = cells.groupBy("url", "span").agg(F.first("last", ignorenulls=True).alias("last"))
@@ -95,7 +113,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = cells.withColumn("far", F.last("last", ignorenulls=True).over(earlier)).filter("far IS NOT NULL").select(F.col("url").alias("u"), F.col("span").alias("s"), "far")
     here = inside.filter("near IS NOT NULL").select("record_id", "url", "date", "headers", F.col("near").alias("hit"))
     before = inside.filter("near IS NULL").join(carried, (F.col("url") == F.col("u")) & (F.col("span") == F.col("s")), "left").select("record_id", "url", "date", "headers", F.col("far").alias("hit"))
-    never = events.filter(~able & (F.col("type") == "revisit")).select("record_id", "url", "date", "headers", F.lit(None).cast(last.schema["last"].dataType).alias("hit"))
+    never = read.filter(~F.coalesce(able, F.lit(False)) & (F.col("type") == "revisit")).select("record_id", "url", "date", "headers", F.lit(None).cast(last.schema["last"].dataType).alias("hit"))
     joined = here.unionByName(before).unionByName(never)
     outcome = F.when(F.col("hit").isNull(), "no_response").otherwise(_validates(F.col("headers"), F.col("hit.headers")))
     resolved = F.col("outcome") == "resolved"
@@ -124,25 +142,133 @@ def _parse_headers(block: bytes) -> tuple[str, dict[str, str]]:
     return first, out
 
 
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of a file, gzipped by record, as a whole, or not at all, in steps of bounded size."""
+    if content[:2] != b"\x1f\x8b":
+        for at in range(0, len(content), STEP):
+            yield content[at : at + STEP]
+        return
+    view, at = memoryview(content), 0
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(content):
+                raise EOFError("the file is cut off inside of a compressed member")
+            part = view[at : at + STEP]
+            at += len(part)
+            out = member.decompress(part, STEP)
+            while out or member.unconsumed_tail:
+                if out:
+                    yield out
+                out = member.decompress(member.unconsumed_tail, STEP) if member.unconsumed_tail else b""
+        at -= len(member.unused_data)
+        while at < len(content) and content[at] == 0:  # padding between members
+            at += 1
+
+
+class _Reader:
+    """Bytes of a file taken as they are asked for."""
+
+    def __init__(self, content: bytes):
+        self.parts, self.held, self.fault = _unpacked(content), bytearray(), None
+
+    def more(self) -> bool:
+        try:
+            self.held += next(self.parts)
+        except StopIteration:
+            return False
+        except (zlib.error, EOFError) as e:
+            self.fault = self.fault or f"{type(e).__name__}: {e}"
+            return False
+        return True
+
+    def find(self, mark: bytes, most: int) -> int:
+        """Where ``mark`` begins, reading on as needed; -1 if it doesn't within ``most`` bytes."""
+        at = 0
+        while True:
+            found = self.held.find(mark, at)
+            if found >= 0 or len(self.held) > most:
+                return found
+            at = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return -1
+
+    def take(self, n: int) -> bytes | None:
+        """The next ``n`` bytes; None, and all that is left dropped, if there are fewer."""
+        while len(self.held) < n:
+            if not self.more():
+                self.held.clear()
+                return None
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def skip(self, n: int) -> bool:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.more():
+                return False
+        del self.held[:n]
+        return True
+
+
+#: A record's own headers end within so many bytes.
+MAX_HEAD = 1 << 20
+
+
+def _failed(why: str, head: dict[str, str] | None = None) -> dict:
+    head = head or {}
+    return {
+        "record_id": head.get("warc-record-id", "").strip("<>") or None, "type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"),
+        "date": head.get("warc-date"), "status": None, "headers": {}, "payload": None, "payload_digest": None, "refers_to": None, "error": why,
+    }
+
+
 def parse_warc(content: bytes) -> Iterator[dict]:
-    """The records of a WARC file, gzipped by record, as a whole, or not at all; a cut-off end is left out."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", start)
-        if stop < 0:
+    """The records of a WARC file; what cannot be read is a record with ``error``, and nothing is raised."""
+    source, told = _Reader(content), False  # told: what is passed over now has been given as an error
+    while True:
+        start = source.find(b"WARC/", MAX_HEAD)
+        if start < 0:
+            left = bytes(source.held).strip(b"\r\n\0 ")
+            if len(source.held) > MAX_HEAD:  # no record begins here: on to where one may
+                del source.held[: len(source.held) - 5]
+                continue
+            if source.fault or (left and not told):
+                yield _failed(source.fault or "what follows the last record is none")
             return
-        _, head = _parse_headers(data[start:stop])
-        size = int(head.get("content-length", 0))
-        body = data[stop + 4 : stop + 4 + size]
-        if len(body) < size:
+        del source.held[:start]
+        told = False
+        stop = source.find(b"\r\n\r\n", MAX_HEAD)
+        if stop < 0:
+            yield _failed(source.fault or "a record's headers have no end")
+            if len(source.held) <= MAX_HEAD:
+                return
+            del source.held[:5]
+            told = True
+            continue
+        _, head = _parse_headers(source.take(stop + 4)[:-4])
+        length = head.get("content-length", "0")
+        if not (length.isascii() and length.isdigit()):
+            yield _failed(f"Content-Length is no number: {length!r}", head)
+            told = True
+            continue
+        if int(length) > MAX_RECORD:
+            yield _failed(f"the record has {length} bytes, more than {MAX_RECORD}", head)
+            if not source.skip(int(length)):
+                return
+            continue
+        body = source.take(int(length))
+        if body is None:
+            yield _failed(source.fault or "the record is cut off", head)
             return
-        at = stop + 4 + size
         status, headers, payload = None, {}, body
         if body.startswith(b"HTTP/"):
             top, _, payload = body.partition(b"\r\n\r\n")
             line, headers = _parse_headers(top)
-            status = int(line.split()[1]) if len(line.split()) > 1 and line.split()[1].isdigit() else None
+            code = line.split()[1] if len(line.split()) > 1 else ""
+            status = int(code) if code.isascii() and code.isdigit() and len(code) <= 9 else None
         yield {
             "record_id": head.get("warc-record-id", "").strip("<>"),
             "type": head.get("warc-type"),
@@ -153,23 +279,29 @@ def parse_warc(content: bytes) -> Iterator[dict]:
             "payload": payload,
             "payload_digest": head.get("warc-payload-digest"),
             "refers_to": head.get("warc-refers-to", "").strip("<>") or None,
+            "error": None,
         }
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the files at ``path``, read through Spark's own file access, one file to a row."""
+    """All records of the files at ``path``, read through Spark's own file access, one file to a row.
+
+    A file's packed bytes are held by its task, so its size is bounded by ``spark.sql.sources.binaryFile.maxLength``
+    and the worker's memory; unpacked, one record is held at a time. Rows with ``error`` tell what could not be read.
+    """
     fields = [f.split()[0] for f in RECORD.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                group: list[dict] = []
-                for record in parse_warc(content.as_py()):
+                group, size = [], 0
+                for record in parse_warc(content.as_py() or b""):
                     group.append(record)
-                    if len(group) == 256:
+                    size += len(record["payload"] or b"")
+                    if len(group) == 256 or size > 16 * STEP:
                         yield batch(group)
-                        group = []
+                        group, size = [], 0
                 if group:
                     yield batch(group)
 
@@ -213,7 +345,7 @@ def warc_files(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([format_warc(rows)], pa.binary())], ["file_no", "content"])
 
     ship(records.sparkSession)
-    return records.select(*[f.split()[0] for f in RECORD.split(", ")]).mapInArrow(run, "file_no int, content binary")
+    return records.select(*[f.split()[0] for f in RECORD.split(", ") if f != "error string"]).mapInArrow(run, "file_no int, content binary")
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -62,4 +63,55 @@ def test_files_round_trip(spark, tmp_path):
         b = back[r["record_id"]]
         assert (b["type"], b["target_uri"], b["date"], b["status"], b["payload"], b["payload_digest"]) == (r["type"], r["target_uri"], r["date"], r["status"], r["payload"], r["payload_digest"])
         assert b["headers"] == {k.lower(): v for k, v in r["headers"].items() if v is not None} or None in r["headers"].values()
-    assert list(W.parse_warc(b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort")) == [] and list(W.parse_warc(b"")) == []
+    assert all(b["error"] is None for b in back.values())
+
+
+def plain(*bodies, length=None):
+    return b"".join(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n" % (i, length or str(len(x)).encode(), x) for i, x in enumerate(bodies))
+
+
+def read(content):
+    return [(r["record_id"], r["payload"], (r["error"] or "")[:12]) for r in W.parse_warc(content)]
+
+
+def test_what_cannot_be_read_is_a_row(monkeypatch):
+    good = plain(b"one", b"WARC/1.0 inside", b"")
+    want = [("urn:0", b"one", ""), ("urn:1", b"WARC/1.0 inside", ""), ("urn:2", b"", "")]
+    packed = [gzip.compress(plain(b"one")), gzip.compress(plain(b"two" * 5000))]
+    for step in (1, 7, 1 << 20):
+        monkeypatch.setattr(W, "STEP", step)
+        assert read(good) == want == read(gzip.compress(good)) and read(b"") == []
+        assert [r[1:] for r in read(b"".join(packed))] == [(b"one", ""), (b"two" * 5000, "")]
+        cut = read(packed[0] + packed[1][:-20])
+        assert cut[0] == ("urn:0", b"one", "") and cut[1][1] is None and cut[1][2] == "EOFError: th" and len(cut) == 2
+        broken = bytearray(packed[1])
+        broken[30:40] = bytes(10)
+        assert [r[2][:5] for r in read(packed[0] + bytes(broken))] in (["", "error"], ["", "zlib."], ["", "EOFEr"])
+    assert read(plain(b"abc", length=b"many") + plain(b"next")) == [("urn:0", None, "Content-Leng"), ("urn:0", b"next", "")]
+    assert read(plain(b"abc", length=b"-5"))[0][2] == "Content-Leng"
+    assert read(good + b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort")[3:] == [(None, None, "the record i")]
+    assert read(good + b"WARC/1.0\r\nContent-Le")[3:] == [(None, None, "a record's h")]
+    assert read(b"no archive at all")[0][2] == "what follows"
+    monkeypatch.setattr(W, "MAX_RECORD", 10)
+    assert read(plain(b"x" * 50, b"y")) == [("urn:0", None, "the record h"), ("urn:1", b"y", "")]
+
+
+def test_files_of_all_kinds_in_one_job(spark, tmp_path):
+    files = {"a.warc.gz": gzip.compress(plain(b"one"))[:-15], "b.warc": plain(b"x", length=b"?"), "c.warc": plain(b"fine"), "d.warc": b""}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = W.read_warc(spark, f"{tmp_path}/*.warc*").collect()
+    assert sorted((r["error"] or "")[:4] for r in rows) == ["", "Cont", "EOFE"]
+
+
+def test_default_ports_and_parameters(spark):
+    urls = ["http://a.org:80/x", "https://a.org:443/x", "http://www.a.org/x/", "http://a.org:443/x", "https://a.org:80/x", "http://a.org/x?ref=1", "http://a.org/x?ref=2&utm_medium=z"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", W.canonical_url(F.col("u")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in rows] == ["a.org/x"] * 3 + ["a.org:443/x", "a.org:80/x", "a.org/x?ref=1", "a.org/x?ref=2"]
+
+
+def test_one_url_in_one_second_is_dealt_to_several_cells(spark, monkeypatch):
+    monkeypatch.setattr(W, "CELL_ROWS", 20)
+    rows = [rec(f"r{i:03}", "response", 1, {"etag": '"e"'}) for i in range(90)] + [rec(f"v{i:03}", "revisit", 1 + i % 3, {"etag": '"e"'}) for i in range(90)]
+    found = resolve(spark, rows)
+    assert {k: r["response_id"] for k, r in found.items()} == {f"v{i:03}": "r089" if i % 3 else None for i in range(90)}
