@@ -17,7 +17,8 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _op1(alpha: float = 0.0125, delta: float = 0.05) -> str:
+def _op1(alpha: float = quality_rules.ALPHA, delta: float = quality_rules.DELTA) -> str:
+    alpha /= len(quality_rules.RULES)
     ratios = {
         "symbol_ratio": "n_symbols / greatest(word_chars, 1)",
         "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
@@ -25,7 +26,7 @@ def _op1(alpha: float = 0.0125, delta: float = 0.05) -> str:
         "upper_ratio": "n_upper / greatest(word_chars, 1)",
         "shout_ratio": "n_shouts / greatest(n_words, 1)",
     }
-    long = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {x} AS ratio FROM base" for r, x in ratios.items())
+    long = lambda source, keep: " UNION ALL ".join(f"SELECT {keep}, stratum, '{r}' AS rule, {x} AS ratio FROM {source}" for r, x in ratios.items())
     cuts = ", ".join(f"('{r}', {i}, {c})" for r, cs in quality_rules.RULES.items() for i, c in enumerate(cs))
     pmf = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln({1 - alpha}))"
     return f"""WITH w AS (
@@ -36,11 +37,13 @@ def _op1(alpha: float = 0.0125, delta: float = 0.05) -> str:
   SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS ks(k) GROUP BY 1), base AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM (
     SELECT w.doc_id, stratum, len(ws) AS n_words, length(regexp_replace(t, '{WS}+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
-      (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_shouts
-    FROM w LEFT JOIN cov USING (doc_id))), ratios AS ({long}), marks AS (
-  SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1), cuts AS (SELECT * FROM (VALUES {cuts}) AS c(rule, step, cutoff)), tests AS (
+      (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_shouts,
+      md5(t) AS text_key FROM w LEFT JOIN cov USING (doc_id))), ratios AS ({long('base', 'doc_id')}), marks AS (
+  SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1), labelled AS (
+  SELECT * FROM base JOIN marks USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text_key, stratum) = 1), units AS (
+  SELECT *, max(q) OVER (PARTITION BY stratum, text_key) AS good FROM labelled WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY stratum, text_key ORDER BY doc_id) = 1), trials AS ({long('units', 'good AS q')}), cuts AS (SELECT * FROM (VALUES {cuts}) AS c(rule, step, cutoff)), tests AS (
   SELECT stratum, rule, step, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND ratio > cutoff) AS k, count(*) FILTER (q <> 1 AND ratio > cutoff) AS bad
-  FROM ratios JOIN marks USING (doc_id) JOIN cuts USING (rule) WHERE NOT base_failed GROUP BY ALL), pairs AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, rule FROM tests)), proved AS (
+  FROM trials JOIN cuts USING (rule) GROUP BY ALL), pairs AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, rule FROM tests)), proved AS (
   SELECT *, CASE WHEN k > n * {alpha} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: {pmf})) END <= {delta} / m AS ok FROM tests, pairs), certified AS (
   SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS held FROM proved), chosen AS (
   SELECT stratum, rule, cutoff FROM certified WHERE held AND bad > k QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, step) = 1), broken AS (

@@ -1,19 +1,24 @@
 """Quality rules whose cutoffs are certified on labelled documents (DataFrame expressions only).
 
-A rule rejects a document when a measured ratio exceeds its cutoff. For each stratum (language) and
-rule, cutoffs are tried from the laxest to the strictest. A cutoff is certified while the exact
-binomial tail rules out, at the corrected level, that more than ``alpha`` of the good documents are
-rejected: with ``k`` of ``n`` good labelled documents rejected, P(Bin(n, alpha) <= k) must not exceed
-``delta`` divided by the number of (stratum, rule) pairs. Within a pair the cutoffs form a fixed
-sequence that stops at the first failure, so no further correction is due; this bounds the
-family-wise error by ``delta``. Among the certified cutoffs the one with the best surplus of bad over
-good rejections is taken (ties: the laxest), and none if no cutoff has a surplus. The grid of cutoffs
-is fixed beforehand, so every labelled document serves as holdout.
+A rule rejects a document when a measured ratio exceeds its cutoff. In each stratum (language) at most
+``alpha`` of the good documents may be rejected by all rules together; each rule is given an equal share
+of it, so that the shares of a document's rules add up to ``alpha`` whichever of them reject it. For each
+stratum and rule, cutoffs are tried from the laxest to the strictest. A cutoff is certified while the
+exact binomial tail rules out, at the corrected level, that more than the rule's share of the good
+documents are rejected: with ``k`` of ``n`` good labelled documents rejected, P(Bin(n, share) <= k) must
+not exceed ``delta`` divided by the number of (stratum, rule) pairs. Within a pair the cutoffs form a
+fixed sequence that stops at the first failure, so no further correction is due: with probability
+1 - ``delta`` no stratum loses more than ``alpha`` of its good documents to certified cutoffs. Among the
+certified cutoffs the one with the best surplus of bad over good rejections is taken (ties: the laxest),
+and none if no cutoff has a surplus. The grid of cutoffs is fixed beforehand, so every labelled document
+serves as holdout. What is counted are different documents: each labelled id once, and each text once in
+a stratum (good if any of its labels says so).
 
 Defined results: a null text has no words; a null language is a stratum of its own; repeated labels of
-a document count once and as good if any of them says so; labels without a document, or with a null
-id or quality, are ignored; with no labels nothing but the base rules rejects. Documents with equal
-ids are judged row by row. Extra columns are carried and never looked at.
+a document count once and as good if any of them says so; of different texts under one labelled id the
+one with the smallest MD5 counts; labels without a document, or with a null id or quality, are ignored;
+with no labels nothing but the base rules rejects. Documents with equal ids are judged row by row. An
+empty table gives no rows. Extra columns are carried and never looked at.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WS_RUN, durable, let, words
+from ._common import WS_RUN, durable, let, words, written
 
 WINDOW = 5
+#: The share of a stratum's good documents that certified cutoffs may reject, and the risk of more.
+ALPHA, DELTA = 0.05, 0.05
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rule -> (ratio over the measures, cutoffs from the laxest to the strictest).
 RULES: dict[str, tuple[float, ...]] = {
@@ -84,6 +91,7 @@ def measure(text: Column) -> Column:
     return F.struct(
         by_words.alias("w"),
         by_lines.alias("l"),
+        F.md5(text.cast("binary")).alias("text_key"),
         F.length(F.regexp_replace(text, WS_RUN, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long").alias("n_upper"),
@@ -98,6 +106,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("lang"), F.lit(NO_STRATUM)).alias("stratum"), measure(F.col("text")).alias("__m")).select(
         *keep,
         "stratum",
+        m["text_key"].alias("text_key"),
         m["w"]["n"].alias("n_words"),
         m["word_chars"].alias("word_chars"),
         m["n_symbols"].alias("n_symbols"),
@@ -143,10 +152,12 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float, delt
             for rule, cuts in RULES.items()
         )
     )
+    # One row for an id, and then one for a text: repeats are no trials of their own.
+    first = F.min(F.struct("text_key", "stratum", "base_failed", *RULES)).alias("f")
+    by_id = features.join(marks, "doc_id").groupBy("doc_id").agg(first, F.max("good").alias("good")).select("good", "f.*")
+    trials = by_id.filter(~F.col("base_failed")).groupBy("stratum", "text_key").agg(F.max("good").alias("good"), *(F.max(r).alias(r) for r in RULES))
     hits = (
-        features.filter(~F.col("base_failed"))
-        .join(marks, "doc_id")
-        .select("stratum", "good", F.explode(steps).alias("s"))
+        trials.select("stratum", "good", F.explode(steps).alias("s"))
         .groupBy("stratum", F.col("s.rule").alias("rule"), F.col("s.level").alias("level"))
         .agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad"))
     )
@@ -162,7 +173,7 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float, delt
     tried = (
         cells.withColumn("k", F.sum(F.coalesce("good", F.lit(0))).over(laxer))
         .withColumn("caught", F.sum(F.coalesce("bad", F.lit(0))).over(laxer))
-        .withColumn("ok", (binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / F.col("n_pairs")).cast("int"))
+        .withColumn("ok", (binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.lit(delta) / F.col("n_pairs")).cast("int"))
         .withColumn("certified", F.min("ok").over(laxer) == 1)
     )
     best = (
@@ -188,15 +199,18 @@ def judge(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
     )
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.0125, delta: float = 0.05) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Every document's measures, broken rules and verdict. ``docs``: doc_id, text, lang and any others."""
     features = durable(measured(docs, "doc_id"))
     return judge(features, certified_cutoffs(features, labels, alpha, delta))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.0125, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, with their columns; the texts are never shuffled."""
-    cutoffs = certified_cutoffs(durable(measured(docs, "doc_id")), labels, alpha, delta)
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The documents that pass, with their columns.
+
+    Documents are written with their measures once, so that each text is measured once and never shuffled.
+    """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")
-    rows = docs.select(whole, "lang", "text")
-    return judge(measured(rows, "__doc"), cutoffs).filter("kept").select("__doc.*")
+    rows = written(measured(docs.select(whole, "doc_id", "lang", "text"), "__doc", "doc_id"))
+    cutoffs = certified_cutoffs(rows.drop("__doc"), labels, alpha, delta)
+    return judge(rows, cutoffs).filter("kept").select("__doc.*")

@@ -74,10 +74,47 @@ def test_certified_cutoff_rejects_what_is_bad_only(spark):
 def test_no_cutoff_without_enough_labels_or_with_too_many_false_rejections(spark):
     docs, labels = corpus(spark, 60, 40)
     assert len(kept_ids(R.apply_quality_rules(docs, labels))) == 100
-    docs, labels = corpus(spark, 900, 100, noisy=45)
+    docs, labels = corpus(spark, 900, 100, noisy=45)  # good documents that look bad
     assert len(kept_ids(R.apply_quality_rules(docs, labels))) == 1000
 
 
+def test_repeats_are_no_trials_of_their_own(spark):
+    docs, labels = corpus(spark, 200, 100)  # 200 good documents are too few to certify anything
+    again = docs
+    for k in range(1, 6):  # rows repeated, and texts repeated under ids that are labelled as well
+        again = again.unionByName(docs).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000 * k))
+    marks = labels
+    for k in range(1, 6):
+        marks = marks.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 10_000 * k))
+    assert R.apply_quality_rules(again, marks).filter("NOT kept").count() == 0
+    marked = R.certified_cutoffs(R.measured(again, "doc_id"), marks, 0.99, 0.5).collect()
+    assert len(marked) == 1  # the same rows are enough for a lax bound
+
+
+def test_no_stratum_loses_more_good_documents_than_stated(spark):
+    """Ratios of good documents are uniform, so that what a cutoff rejects in truth is known."""
+    n_strata, n_good, n_bad = 40, 4000, 300
+    rare = 0.02  # of good documents have a ratio above zero
+    draw = lambda seed, top: F.when(F.rand(seed) < rare, F.rand(seed + 50) * top).otherwise(0.0)
+    rows = spark.range(n_strata * (n_good + n_bad)).select(
+        F.col("id").alias("doc_id"),
+        F.md5(F.col("id").cast("string").cast("binary")).alias("text_key"),
+        (F.col("id") % n_strata).cast("string").alias("stratum"),
+        F.lit(False).alias("base_failed"),
+        (F.floor(F.col("id") / n_strata) < n_good).cast("int").alias("quality"),
+        *(F.when(F.floor(F.col("id") / n_strata) < n_good, draw(11 * i, cuts[0] * 1.02)).otherwise(cuts[0] * 2).alias(r) for i, (r, cuts) in enumerate(R.RULES.items())),
+    )
+    chosen = R.certified_cutoffs(rows, rows.select("doc_id", "quality"), R.ALPHA, R.DELTA).collect()
+    assert len(chosen) == n_strata
+    for c in chosen:
+        lost = [max(0.0, rare * (1 - c[f"cut_{r}"] / (cuts[0] * 1.02))) for r, cuts in R.RULES.items() if c[f"cut_{r}"] is not None]
+        kept = 1.0
+        for x in lost:
+            kept *= 1 - x
+        assert 1 - kept <= R.ALPHA and max(lost) <= R.ALPHA / len(R.RULES)
+    assert any(c["cut_symbol_ratio"] < 0.5 for c in chosen)  # and cutoffs do get certified
+
+
 def test_strata_are_certified_one_by_one(spark):
     docs, labels = corpus(spark)
     other = docs.withColumns({"doc_id": F.col("doc_id") + 5000, "lang": F.lit(None).cast("string")})
