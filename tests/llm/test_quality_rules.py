@@ -102,7 +102,7 @@ def test_no_stratum_loses_more_good_documents_than_stated(spark):
         (F.col("id") % n_strata).cast("string").alias("stratum"),
         F.lit(False).alias("base_failed"),
         (F.floor(F.col("id") / n_strata) < n_good).cast("int").alias("quality"),
-        *(F.when(F.floor(F.col("id") / n_strata) < n_good, draw(11 * i, cuts[0] * 1.02)).otherwise(cuts[0] * 2).alias(r) for i, (r, cuts) in enumerate(R.RULES.items())),
+        *(F.when(F.floor(F.col("id") / n_strata) < n_good, draw(11 * i, cuts[0] * 1.02)).otherwise(F.rand(500 + i) * cuts[0] * 2).alias(r) for i, (r, cuts) in enumerate(R.RULES.items())),
     )
     chosen = R.certified_cutoffs(rows, rows.select("doc_id", "quality"), R.ALPHA, R.DELTA).collect()
     assert len(chosen) == n_strata
