@@ -105,7 +105,7 @@ def _op10() -> str:
     known = [(i, t) for i, ts in licenses.NOTICES.items() for t in ts] + list(licenses.TEXTS.items())
     rows = ", ".join(f"({_q(i)}, {_q(t)})" for i, t in known)
     return rf"""WITH lib AS (SELECT sha256({flat('c')}) AS digest, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM (SELECT id, {canonical('t')} AS c FROM (VALUES {rows}) AS k(id, t)) GROUP BY 1), d AS (
-  SELECT doc_id, {canonical('text')} AS c FROM documents), ls AS (SELECT doc_id, unnest(string_split(c, chr(10))) AS l FROM d), hits AS (
+  SELECT doc_id, {canonical('text')} AS c FROM documents), ls AS (SELECT doc_id, unnest(list_concat(string_split(c, chr(10)), regexp_split_to_array(c, '\n\n+'))) AS l FROM d), hits AS (
   SELECT doc_id, unnest(string_split(ids, ',')) AS id FROM ls JOIN lib ON sha256({flat('l')}) = digest WHERE trim(l) <> ''), notes AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT id)), ',') AS notice_licenses FROM hits GROUP BY 1)
 SELECT d.doc_id, sha256({flat('d.c')}) AS canonical_sha256, lib.ids AS whole_license, notice_licenses FROM d LEFT JOIN lib ON sha256({flat('d.c')}) = digest LEFT JOIN notes ON notes.doc_id = d.doc_id"""
 
