@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import durable, join_frequent, shared_folder, spread, tables_removed, written
+from ..shared import durable, join_frequent, remove, shared_folder, spread, tables_removed, written
 
-__all__ = ["durable", "join_frequent", "let", "shared_folder", "spread", "table", "tables_removed", "word_count", "words", "written"]
+__all__ = ["durable", "join_frequent", "let", "remove", "shared_folder", "spread", "table", "tables_removed", "word_count", "words", "written"]
 
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WS_CHARS = " \t\n\x0b\x0c\r"

@@ -57,3 +57,46 @@ def test_classifier_stage_rejects_what_the_rules_let_pass(spark, tmp_path):
     unlabelled.write.parquet(f"{tmp_path}/few/labels.parquet")
     kept = {r["doc_id"] for r in P.quality_classifier_stage(spark, passed, f"{tmp_path}/few").select("doc_id").collect()}
     assert kept == set(range(1200))
+
+
+def words_by_text(spark, folder):
+    """Rows that the pipeline keeps, by id, with their words."""
+    out = {}
+    for r in P.run(spark, str(folder)).collect():
+        out[r["doc_id"]] = out.get(r["doc_id"], 0) + r["n_words"]
+    return out
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    good = corpus(spark, tmp_path)
+    rnd = random.Random(8)
+    lone, other, third = prose(rnd, 90), prose(rnd, 80), prose(rnd, 70)
+    rows = [(None, lone, "en", "s", 0, ""), (None, lone, "en", "s", 0, ""), (None, good[3], "en", "s", 0, ""), (7, other, "en", "s", 0, ""), (7, other, "en", "s", 0, ""), (3001, third, "en", None, 0, ""), (3001, third, "en", None, 0, "")]
+    more = spark.createDataFrame(rows, DOCS)
+    (tmp_path / "more").mkdir()
+    spark.read.parquet(f"{tmp_path}/documents.parquet").unionByName(more).write.parquet(f"{tmp_path}/more/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/more/labels.parquet")
+    want = {i: len(t.split()) for i, t in good.items()}
+    want[7] += 80  # a different text under an id that is there already
+    assert words_by_text(spark, tmp_path / "more") == want | {None: 90, 3001: 70}
+
+
+def test_empty_tables(spark, tmp_path):
+    good = corpus(spark, tmp_path)
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    for name, d, x in (("a", docs.limit(0), labels), ("b", docs.filter("doc_id < 40"), labels.limit(0)), ("c", docs.limit(0), labels.limit(0))):
+        (tmp_path / name).mkdir()
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        x.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert words_by_text(spark, tmp_path / name) == ({i: len(good[i].split()) for i in range(40)} if name == "b" else {})
+
+
+def test_nothing_is_left_of_the_stages(spark, tmp_path):
+    import os
+
+    corpus(spark, tmp_path)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    P.run(spark, str(tmp_path))
+    new = [f for f in set(os.listdir(folder)) - before if not os.path.isdir(f"{folder}/{f}") or f.startswith(("table-", "pipeline-"))]
+    assert len(new) == 1 and os.listdir(f"{folder}/{new[0]}") == ["packing"]
