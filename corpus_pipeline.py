@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again before the
 next one. All stages but the last return the columns of ``documents``.
+
+Defined results: rows are documents, whatever their ids. Null or blank texts fail the base rules; of rows
+that share an id each is judged by its own text, and where their texts are not linked all stay; rows
+without an id stay unless an equal or near text stays for them. Without labels only the base rules reject
+and every document scores 0.5, which is kept. Empty documents give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.llm import classifier, packing, quality_rules, simhash
-from concordat.llm._common import shared_folder
+from concordat.llm._common import remove, shared_folder, tables_removed
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
+    """All stages over ``documents``; what lies between them is written to the shared folder.
+
+    A stage's input, and the tables that it wrote for itself, are removed once its output is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with tables_removed(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last is not None:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
