@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import context, extract, facts, pages, planner, relations
+from .shared import durable
 from .sources import documents
 from .sources.store import Store, summarize
 
@@ -30,20 +31,26 @@ class Config:
     def __post_init__(self) -> None:
         if self.batch_size < 1:
             raise ValueError("batch_size must be positive")
+        if self.budget is not None and self.budget < 1:
+            raise ValueError("budget must be positive")
         if self.radius < 0:
             raise ValueError("radius must not be negative")
         object.__setattr__(self, "workers", max(1, min(2, self.workers)))
 
     @classmethod
     def from_env(cls, **given) -> Config:
-        """Arguments first, then the environment, then the defaults; values that cannot be read are passed over."""
+        """Arguments first, then the environment, then the defaults; a value that cannot be read is an error."""
         kinds = {"batch_size": int, "budget": int, "workers": int, "threshold": float, "radius": int}
         out = cls()
         for name, kind in kinds.items():
-            try:
-                out = replace(out, **{name: kind(os.environ[f"CONCORDAT_{name.upper()}"].strip())})
-            except (KeyError, ValueError):
-                continue
+            variable = f"CONCORDAT_{name.upper()}"
+            told = os.environ.get(variable, "").strip()
+            if told and given.get(name) is None:
+                try:
+                    value = kind(told)
+                except ValueError:
+                    raise ValueError(f"{variable} must be {'an integer' if kind is int else 'a number'}, got {told!r}") from None
+                out = replace(out, **{name: value})
         return replace(out, **{k: v for k, v in given.items() if v is not None})
 
 
@@ -68,22 +75,33 @@ class Engine:
             chosen = scored.filter("selected") if c.by_relevance else scored
         return planner.plan_pages(chosen, c.budget, c.batch_size)
 
-    def extract(self, page_rows: DataFrame) -> DataFrame:
-        """Claims grounded on their pages: by the caller's model if there is one, else by rule."""
-        plan = self.plan(page_rows)
+    def extraction(self, page_rows: DataFrame) -> dict[str, DataFrame]:
+        """claims (each with its reject_reason, null if accepted), plan, batches (with their outcomes) and statuses.
+
+        Claims are grounded on their pages: by the caller's model if there is one, else by rule. What a model has
+        said is written once and read from there, so that no batch is asked twice.
+        """
+        plan = durable(self.plan(page_rows))
         planned = plan.filter("planned").select("document_id", "page_number", "batch_id")
         if self.caller is None:
             chosen = page_rows.join(planned.select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
             claims = extract.rule_claims(chosen)
             order = F.struct("document_id", "page_number", "segment", "value_no")
+            batches = planned.select("document_id", "batch_id", F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("error")).distinct()
         else:
             texts = context.prompt_text(context.page_context(page_rows, self.config.radius))
-            output = extract.call_model(planner.batch_prompts(plan, texts), self.caller, self.config.workers)
-            claims = extract.read_candidates(output.filter("output IS NOT NULL"))
+            said = durable(extract.call_model(planner.batch_prompts(plan, texts), self.caller, self.config.workers))
+            claims = extract.read_candidates(said.filter("output IS NOT NULL"))
             order = F.struct("document_id", "batch_id", "candidate_no")
+            batches = said.drop("output")
         key = F.conv(F.substring(F.sha2(F.to_json(order), 256), 1, 15), 16, 10).cast("long")
         checked = extract.with_grounding(claims.withColumn("pos", key), page_rows)
-        return extract.reject_reason(checked, planned).filter("reject_reason IS NULL")
+        claims = durable(extract.reject_reason(checked, planned))
+        return {"claims": claims, "plan": plan, "batches": batches, "statuses": extract.extraction_status(batches, plan)}
+
+    def extract(self, page_rows: DataFrame) -> DataFrame:
+        """The accepted claims."""
+        return self.extraction(page_rows)["claims"].filter("reject_reason IS NULL")
 
     def normalize(self, claims: DataFrame, calendar: str | None = None) -> DataFrame:
         return facts.normalize_facts(claims, calendar)
@@ -96,16 +114,30 @@ class Engine:
         return relations.classify(relations.compare(pairs))
 
     def analyze(self, page_rows: DataFrame, claims: DataFrame | None = None) -> dict[str, DataFrame]:
-        """From pages to relations; stored if the engine has a store."""
-        normalized = self.normalize(self.extract(page_rows) if claims is None else claims)
-        related = self.relate(normalized)
+        """From pages to relations; stored if the engine has a store.
+
+        Facts and relations are computed once, and all tables and counts are derived from these. Beside them
+        come, where claims are not given, the documents' extraction statuses and their sum (``statuses``,
+        ``status``) and the counts of rejected claims; and the errors of documents that were not read.
+        """
+        out: dict[str, DataFrame] = {}
+        if claims is None:
+            done = self.extraction(page_rows)
+            claims = done["claims"].filter("reject_reason IS NULL")
+            rejected = done["claims"].filter("reject_reason IS NOT NULL").groupBy("document_id", "reject_reason").agg(F.count("*").alias("n"))
+            out = {"statuses": done["statuses"], "status": extract.overall_status(done["statuses"]), "rejected": rejected, "batches": done["batches"]}
+        if "error" in page_rows.columns:
+            out["errors"] = page_rows.filter("error IS NOT NULL").select("document_id", "error")
+            page_rows = page_rows.filter("error IS NULL")
+        normalized = durable(self.normalize(claims))
+        related = durable(self.relate(normalized))
         docs = page_rows.groupBy("document_id").agg(F.count("*").alias("total_pages"))
         analysis_id = str(uuid.uuid4())
         if self.store is not None:
             summary = self.store.save(analysis_id, docs, normalized, related)
         else:
             summary = summarize(docs, normalized, related).select(F.lit(analysis_id).alias("analysis_id"), "*")
-        return {"documents": docs, "facts": normalized, "relationships": related, "summary": summary}
+        return out | {"documents": docs, "facts": normalized, "relationships": related, "summary": summary}
 
     def load(self, analysis_id: str) -> dict[str, DataFrame] | None:
         return self.store.load(analysis_id) if self.store is not None else None

@@ -112,18 +112,18 @@ def period(label: Column, calendar: Column | None = None, start: Column | None =
     result = lambda a, b, w=none: F.struct(a.alias("start"), b.alias("end"), w.alias("warning"))
     month = F.create_map(*(F.lit(x) for pair in V.MONTH_NUMBER.items() for x in pair))
 
-    iso = r"\b(\d{4})-(\d{2})-(\d{2})\b"
+    iso = V.DAY_ISO
     on = F.concat_ws("-", part(iso, 1), part(iso, 2), part(iso, 3))
-    by_month = r"(?:as\s+of\s+)?([a-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-    by_day = r"(?:as\s+of\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]+),?\s+(\d{4})"
+    by_month = V.DAY_MONTH_FIRST
+    by_day = V.DAY_DAY_FIRST
     m1, m2 = F.try_element_at(month, F.lower(part(by_month, 1))), F.try_element_at(month, F.lower(part(by_day, 2)))
     d1 = F.concat_ws("-", part(by_month, 3), m1, F.lpad(part(by_month, 2), 2, "0"))
     d2 = F.concat_ws("-", part(by_day, 3), m2, F.lpad(part(by_day, 1), 2, "0"))
-    cy = r"^(?:cy|calendar\s+year)\s*(\d{4})$"
-    span = r"^(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})"
-    q_span = r"^q([1-4])\s*(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})"
-    q_bare = r"^q([1-4])\s*(?:fy\s*)?(\d{2,4})"
-    fy = r"^fy\s*(\d{2,4})$"
+    cy = V.YEAR_CALENDAR
+    span = V.YEAR_SPAN
+    q_span = V.QUARTER_SPAN
+    q_bare = V.QUARTER_BARE
+    fy = V.YEAR_FISCAL
     year = lambda p, i: _year(part(p, i))
     before = lambda p, i: F.lpad((year(p, i).cast("int") - 1).cast("string"), 4, "0")
     unclear_q = F.concat(F.lit("Fiscal quarter '"), raw, F.lit("' convention not explicitly established (requires April-March context)."))

@@ -95,21 +95,20 @@ NOTE_NO_PERCENT = "Failed to parse numeric value for percentage."
 NOTE_NO_NUMBER = "Unable to extract numeric component from raw value."
 NOTE_DOLLAR = "Ambiguous currency symbol '$' without explicit country code."
 
-MONTHS = {
-    "01": ("january", "jan"),
-    "02": ("february", "feb"),
-    "03": ("march", "mar"),
-    "04": ("april", "apr"),
-    "05": ("may",),
-    "06": ("june", "jun"),
-    "07": ("july", "jul"),
-    "08": ("august", "aug"),
-    "09": ("september", "sep", "sept"),
-    "10": ("october", "oct"),
-    "11": ("november", "nov"),
-    "12": ("december", "dec"),
-}
-MONTH_NUMBER = {name: number for number, names in MONTHS.items() for name in names}
+MONTH_NUMBER = {
+    "january": "01", "jan": "01", "february": "02", "feb": "02", "march": "03", "mar": "03", "april": "04", "apr": "04", "may": "05",
+    "june": "06", "jun": "06", "july": "07", "jul": "07", "august": "08", "aug": "08", "september": "09", "sep": "09", "sept": "09",
+    "october": "10", "oct": "10", "november": "11", "nov": "11", "december": "12", "dec": "12",
+}
+#: Patterns of period labels.
+DAY_ISO = r"\b(\d{4})-(\d{2})-(\d{2})\b"
+DAY_MONTH_FIRST = r"(?:as\s+of\s+)?([a-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
+DAY_DAY_FIRST = r"(?:as\s+of\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]+),?\s+(\d{4})"
+YEAR_CALENDAR = r"^(?:cy|calendar\s+year)\s*(\d{4})$"
+YEAR_SPAN = r"^(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})"
+QUARTER_SPAN = r"^q([1-4])\s*(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})"
+QUARTER_BARE = r"^q([1-4])\s*(?:fy\s*)?(\d{2,4})"
+YEAR_FISCAL = r"^fy\s*(\d{2,4})$"
 
 LEGAL_SUFFIX = (
     r"[\s,]+(?:private\s+limited|pvt\.?\s*ltd\.?|limited|ltd\.?|incorporated|inc\.?|corporation|corp\.?|llc|plc|gmbh"

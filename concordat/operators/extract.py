@@ -62,6 +62,16 @@ def line_values(line: Column) -> Column:
 
 def rule_claims(pages: DataFrame) -> DataFrame:
     """Claims read off lines by patterns and keyword ladders, one for each value of a line."""
+    return name_claims(read_lines(pages))
+
+
+def name_claims(claims: DataFrame) -> DataFrame:
+    own = fact_id(*(F.col(c) for c in ("document_id", "page_number", "entity", "metric", "value_raw", "period_label")))
+    return claims.withColumn("fact_id", own)
+
+
+def read_lines(pages: DataFrame) -> DataFrame:
+    """Claims of pages that have no ``fact_id`` yet."""
     able = lambda x: F.length(strip(x)) > 3
     digits = lambda x: F.regexp_like(x, F.lit("[0-9,]"))  # noqa: E731  no value without
     rows = pages.select("document_id", "page_number", F.posexplode(F.filter(F.filter(lines(F.col("text")), able), digits)).alias("segment", "raw"))
@@ -79,7 +89,7 @@ def rule_claims(pages: DataFrame) -> DataFrame:
     )
     fiscal = F.regexp_extract("supporting_text", "(?i)" + V.RULE_FISCAL, 1)
     label = F.coalesce(F.nullif(strip(fiscal), F.lit("")), F.nullif(F.regexp_extract("supporting_text", V.RULE_CALENDAR, 1), F.lit("")), F.lit(V.NO_PERIOD))
-    out = rows.select(
+    return rows.select(
         "document_id",
         "page_number",
         "segment",
@@ -97,8 +107,6 @@ def rule_claims(pages: DataFrame) -> DataFrame:
         "supporting_text",
         F.lit(0.88).alias("extraction_confidence"),
     )
-    own = fact_id(*(F.col(c) for c in ("document_id", "page_number", "entity", "metric", "value_raw", "period_label")))
-    return out.withColumn("fact_id", own)
 
 
 def grounded(target: Column, page_text: Column) -> Column:
@@ -183,38 +191,47 @@ def read_candidates(raw: DataFrame, lenient: bool = False) -> DataFrame:
     return out.withColumn("fact_id", fact_id(*(F.col(c) for c in ("document_id", "page_number", "entity", "metric", "value_raw", "period_label"))))
 
 
+class QuotaExhausted(Exception):
+    """Raised by a model's caller where its quota is used up."""
+
+
 def call_model(prompts: DataFrame, caller: Callable[[str], str], partitions: int = 2, attempts: int = 3) -> DataFrame:
-    """document_id, batch_id, output and error of a model called for each prompt, by at most ``partitions`` at a time.
+    """document_id, batch_id, outcome, output and error of a model called for each prompt, by at most ``partitions`` at a time.
 
-    ``caller`` takes a prompt and returns JSON. A ``ConnectionError`` is tried again, after one and two
-    seconds; any other error is recorded with the batch.
+    ``caller`` takes a prompt and returns JSON. A document's batches run in order up to the first that fails, with
+    outcome ``quota`` (``QuotaExhausted``) or ``error``; those after it are ``skipped`` and cost no call. A
+    ``ConnectionError`` is tried again, after one and two seconds.
     """
     import pandas as pd
 
-    def run(batches):
+    def ask(prompt: str) -> tuple[str, str | None, str | None]:
         import time
 
+        for k in range(attempts):
+            try:
+                return "ok", caller(prompt), None
+            except QuotaExhausted as e:
+                return "quota", None, f"{type(e).__name__}: {e}"
+            except Exception as e:  # noqa: BLE001  kept with the batch, as the caller may raise anything
+                if not isinstance(e, ConnectionError) or k + 1 == attempts:
+                    return "error", None, f"{type(e).__name__}: {e}"
+                time.sleep(2**k)
+        raise ValueError("attempts must be positive")
+
+    def run(batches):
+        stopped = None  # the document whose batches are skipped
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                output, error = None, None
-                for k in range(attempts):
-                    try:
-                        output, error = caller(r.prompt), None
-                        break
-                    except ConnectionError as e:
-                        error = f"{type(e).__name__}: {e}"
-                        if k + 1 < attempts:
-                            time.sleep(2**k)
-                    except Exception as e:  # noqa: BLE001  kept with the batch, as the caller may raise anything
-                        error = f"{type(e).__name__}: {e}"
-                        break
-                rows.append((r.document_id, r.batch_id, output, error))
-            yield pd.DataFrame(rows, columns=["document_id", "batch_id", "output", "error"])
+                outcome, output, error = ("skipped", None, None) if r.document_id == stopped else ask(r.prompt)
+                if outcome != "ok":
+                    stopped = r.document_id
+                rows.append((r.document_id, r.batch_id, outcome, output, error))
+            yield pd.DataFrame(rows, columns=["document_id", "batch_id", "outcome", "output", "error"])
 
     ship(prompts.sparkSession)
-    dealt = prompts.select("document_id", "batch_id", "prompt").repartition(partitions, "document_id", "batch_id")
-    return dealt.mapInPandas(run, "document_id string, batch_id int, output string, error string")
+    dealt = prompts.select("document_id", "batch_id", "prompt").repartition(partitions, "document_id").sortWithinPartitions("document_id", "batch_id")
+    return dealt.mapInPandas(run, "document_id string, batch_id int, outcome string, output string, error string")
 
 
 def extraction_status(batches: DataFrame, plan: DataFrame) -> DataFrame:

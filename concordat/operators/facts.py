@@ -118,9 +118,8 @@ def _side(facts: DataFrame, prefix: str) -> DataFrame:
 def pair_up(facts: DataFrame, exact_metric: bool) -> DataFrame:
     """Pairs of different facts of one entity, the earlier first; with ``exact_metric`` also of one metric.
 
-    Only pairs of one metric can surface, so relations need the join on two keys alone; the join on the
-    entity is for listing candidates. Both are hash-partitioned equi-joins that adaptive execution
-    splits where an entity is skewed.
+    A hash-partitioned equi-join that adaptive execution splits where an entity is skewed. All pairs of a
+    key are made, so that it serves to list pairs; relations are found by ``surfacing_pairs``.
     """
     able = facts.filter("ekey <> '' AND mkey <> ''")
     a, b = _side(able, "a_"), _side(able, "b_")
@@ -130,6 +129,38 @@ def pair_up(facts: DataFrame, exact_metric: bool) -> DataFrame:
     return a.hint("merge").join(b, on).filter(units_agree())  # a broadcast side would leave the pairs to few tasks
 
 
+def pairs_by_period(left: DataFrame, right: DataFrame, extra: Column, surfaces: Column) -> DataFrame:
+    """Pairs (``CARRIED`` of each side) of one entity and metric that can surface, by what can make them do so.
+
+    A pair surfaces if its periods are equal, or one is missing, or its texts compare times. So facts meet
+
+    * by entity, metric and period, which takes all pairs with equal periods;
+    * by entity and metric where the left one has no period or its text may open a comparison;
+    * by entity and metric where that holds for the right one only.
+
+    The facts of many periods under one key, which are the most, never meet one another but by period.
+    ``extra`` and ``surfaces`` are conditions of the pair, evaluated inside of the joins.
+    """
+    bounded = F.col("norm_start").isNotNull() & F.col("norm_end").isNotNull()
+    says = lambda bit: F.col("time_marks").bitwiseAND(bit) != 0
+    years = F.shiftright("time_marks", 3)
+    free_left = ~bounded | says(SAYS_TIME) | says(OPENS_TIME) | (says(SAYS_WAS) & (years >= 1))
+    free_right = ~bounded | says(SAYS_TIME) | (years >= 2)
+    able = lambda df: df.filter("ekey <> '' AND mkey <> ''")
+    a, b = _side(able(left), "a_"), _side(able(right), "b_")
+    has = lambda p: F.col(f"{p}norm_start").isNotNull() & F.col(f"{p}norm_end").isNotNull()
+    one_key = (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_mkey") == F.col("b_mkey"))
+    one_period = (F.col("a_norm_start") == F.col("b_norm_start")) & (F.col("a_norm_end") == F.col("b_norm_end"))
+    apart = ~(has("a_") & has("b_") & F.coalesce(one_period, F.lit(False)))
+    both = extra & units_agree() & surfaces
+    by_period = a.filter(has("a_")).hint("merge").join(b.filter(has("b_")), one_key & one_period & both)
+    left_free, right_free = able(left).filter(free_left), able(right).filter(free_right)
+    left_bound = able(left).filter(~F.coalesce(free_left, F.lit(True)))
+    by_left = _side(left_free, "a_").hint("merge").join(b, one_key & apart & both)
+    by_right = _side(left_bound, "a_").hint("merge").join(_side(right_free, "b_"), one_key & apart & both)
+    return by_period.unionByName(by_left).unionByName(by_right)
+
+
 def units_agree() -> Column:
     """False if one side of a pair is in a currency and the other in percent."""
     a, b = F.col("a_unit_kind"), F.col("b_unit_kind")

@@ -49,7 +49,8 @@ def score_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Relevance of every page: score, selected, the triggered signals and what each adds.
 
     Neighbours are the pages before and after among those given. Scores are counted in hundredths, so
-    they are exact.
+    they are exact. Signals are read before pages are brought to their neighbours; a caller that drops the
+    text (or never asks for it) keeps it out of that shuffle.
     """
     order = Window.partitionBy("document_id").orderBy("page_number")
     near = lambda f: F.coalesce(f((F.size("metrics") > 0) & F.col("has_text")).over(order), F.lit(False))
@@ -71,6 +72,7 @@ def score_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hundredths = F.coalesce(F.when(F.col("has_text"), total), F.lit(0))
     first = lambda c, k: F.array_join(F.slice(c, 1, k), ",")
     named = lambda test, name, inside=None: F.when(F.col("has_text") & test, F.lit(name) if inside is None else F.concat(F.lit(name + "("), inside, F.lit(")")))
+    # Names of the signals and what is said of a page.
     triggered = F.array_compact(
         F.array(
             named(n > 0, "numeric_density", n.cast("string")),
@@ -102,7 +104,10 @@ def score_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def select_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return score_pages(pages, threshold).filter("selected")
+    """Pages whose score reaches the threshold, with all that ``score_pages`` adds; only scores meet neighbours."""
+    added = ["score", "selected", "breakdown", "signals_triggered", "explanation"]
+    found = score_pages(pages, threshold).filter("selected").select("document_id", "page_number", *added)
+    return pages.join(found, ["document_id", "page_number"]).select(*pages.columns, *added)
 
 
 def limit_pages(pages: DataFrame, numbers_: list[int] | None = None, first: int | None = None) -> DataFrame:

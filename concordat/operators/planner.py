@@ -55,6 +55,7 @@ def batch_prompts(plan: DataFrame, texts: DataFrame, document_date: str | None =
     batches = rows.groupBy("document_id", "batch_id").agg(pages.alias("pages"))
     number = lambda p: p["page_number"].cast("string")
     section = lambda p: F.concat(F.lit("===== DOCUMENT PAGE "), number(p), F.lit(" START =====\n"), p["t"], F.lit("\n===== DOCUMENT PAGE "), number(p), F.lit(" END =====\n"))
+    # The wording of a prompt.
     prompt = F.concat(
         F.lit("Document: "),
         F.col("document_id"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import short_hash
-from .facts import OPENS_TIME, SAYS_TIME, SAYS_WAS, pair_up
+from ..shared import durable
+from .facts import OPENS_TIME, SAYS_TIME, SAYS_WAS, pairs_by_period
 
 #: What is said of each surfacing decision.
 SURFACE_TEXTS = {
@@ -99,6 +100,7 @@ def compare(pairs: DataFrame) -> DataFrame:
         F.when(flags[k][1], F.concat(F.lit(f"Conflicting {many}: "), versus(c(f"a_{k}_key"), c(f"b_{k}_key"))))
         .when(flags[k][0], f"{one} is specified on one claim but unspecified on the other.")
     )
+    # What is noted of each dimension.
     notes = [
         differs("entity", F.concat(F.lit("Different entities: "), versus(c("a_ekey"), c("b_ekey")))),
         differs("metric", F.concat(F.lit("Different metrics: "), versus(c("a_mkey"), c("b_mkey")))),
@@ -235,6 +237,7 @@ def classify(compared: DataFrame) -> DataFrame:
     listed = F.array_join("codes", ", ")
     newer, older = F.when(c("b_restates"), "Fact B").otherwise("Fact A"), F.when(c("b_restates"), "Fact A").otherwise("Fact B")
     money = lambda v: F.format_number(v, 2)
+    # How each relation is explained.
     told = by(
         {
             "gate": _quote("Claims cannot be compared because the Comparability Gate identified incompatibility (", listed, "). Fact A: '", c("a_metric"), "' (", c("a_period_label"), "), Fact B: '", c("b_metric"), "' (", c("b_period_label"), ")."),
@@ -263,4 +266,6 @@ def _by_step(table: dict, default) -> Column:
 
 def relate(normalized: DataFrame) -> DataFrame:
     """Relations that surface among normalised facts: the pipeline from claims to audited edges."""
-    return classify(compare(pair_up(normalized, exact_metric=True).filter(surfaces())))
+    normalized = durable(normalized)  # what pairs are found by is made once, for all joins
+    order = (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id"))
+    return classify(compare(pairs_by_period(normalized, normalized, order, surfaces())))

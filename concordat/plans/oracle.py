@@ -220,11 +220,11 @@ def periods(source: str, calendar: str = "NULL") -> str:
     month = lambda x: "CASE lower(" + x + ") " + " ".join(f"WHEN {q(n)} THEN {q(k)}" for n, k in V.MONTH_NUMBER.items()) + " END"
     year = lambda x: f"lpad((CASE WHEN TRY_CAST({x} AS INT) < 100 THEN TRY_CAST({x} AS INT) + 2000 ELSE TRY_CAST({x} AS INT) END)::VARCHAR, 4, '0')"
     last = lambda x: f"lpad((TRY_CAST({year(x)} AS INT) - 1)::VARCHAR, 4, '0')"
-    iso = r"\b(\d{4})-(\d{2})-(\d{2})\b"
-    md = r"(?:as\s+of\s+)?([a-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-    dm = r"(?:as\s+of\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]+),?\s+(\d{4})"
-    cy, span = r"^(?:cy|calendar\s+year)\s*(\d{4})$", r"^(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})"
-    qs, qb, fy = r"^q([1-4])\s*(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})", r"^q([1-4])\s*(?:fy\s*)?(\d{2,4})", r"^fy\s*(\d{2,4})$"
+    iso = V.DAY_ISO
+    md = V.DAY_MONTH_FIRST
+    dm = V.DAY_DAY_FIRST
+    cy, span = V.YEAR_CALENDAR, V.YEAR_SPAN
+    qs, qb, fy = V.QUARTER_SPAN, V.QUARTER_BARE, V.YEAR_FISCAL
     april = f"coalesce({calendar} = 'april-march', false)"
 
     def quarter(n: str, a: str, b: str) -> tuple[str, str]:
@@ -265,151 +265,6 @@ def metric(x: str) -> str:
     return f"lower({collapse('coalesce(' + x + ', ' + q('') + ')')})"
 
 
-RES = LINES + f""", tabular AS (
-  SELECT document_id, page_number, count(*) AS n FROM (SELECT *, {strip('raw')} AS line FROM lines_v)
-  WHERE len({numbers('line')}) >= 2 AND len(regexp_split_to_array(line, '{SP}+')) >= 3 GROUP BY ALL), sig AS (
-  SELECT p.*, coalesce(t.n, 0)::INT AS table_rows, {numbers('text')} AS nums, {tokens('text', V.CURRENCY)} AS currencies, {tokens('text', V.PAGE_UNIT, True)} AS units,
-    {tokens('text', V.PAGE_METRIC, True)} AS metrics, {tokens('text', V.PAGE_TIME)} AS temporals, {tokens('text', V.BOILERPLATE, True)} AS boilerplates
-  FROM pages_v p LEFT JOIN tabular t USING (document_id, page_number)), near AS (
-  SELECT *, coalesce(lag(len(metrics) > 0 AND has_text) OVER w, false) OR coalesce(lead(len(metrics) > 0 AND has_text) OVER w, false) AS beside
-  FROM sig WINDOW w AS (PARTITION BY document_id ORDER BY page_number)), points AS (
-  SELECT *, least(5 * len(nums), 30) AS p1, least(15 * len(currencies), 25) AS p2, least(10 * len(units), 20) AS p3, least(10 * len(metrics), 25) AS p4,
-    CASE WHEN table_rows >= 3 THEN 15 ELSE least(5 * table_rows, 10) END AS p5, least(5 * len(temporals), 10) AS p6,
-    CASE WHEN len(nums) >= 2 AND len(metrics) = 0 AND beside THEN 5 ELSE 0 END AS p7,
-    CASE WHEN len(boilerplates) > 0 AND len(currencies) = 0 AND len(metrics) = 0 AND len(nums) <= 4 THEN -30 ELSE 0 END AS p8 FROM near), scored AS (
-  SELECT *, CASE WHEN has_text THEN greatest(0, least(100, p1 + p2 + p3 + p4 + p5 + p6 + p7 + p8)) ELSE 0 END::INT AS h FROM points)"""
-
-
-def plan(budget: int = 3, size: int = 5, source: str = "SELECT document_id, page_number, h / 100 AS score FROM scored WHERE has_text") -> str:
-    return f""", elig AS ({source}), ranked AS (
-  SELECT *, count(*) OVER (PARTITION BY document_id) AS n_eligible, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, page_number) AS r FROM elig), took AS (
-  SELECT *, r <= {budget * size} AS planned FROM ranked), plan_v AS (
-  SELECT document_id, page_number, n_eligible, planned, CASE WHEN planned THEN (sum(planned::INT) OVER (PARTITION BY document_id ORDER BY page_number) - 1) // {size} END::INT AS batch_id FROM took)"""
-
-
-REPORTS = "(VALUES (0, 'annual-report'), (1, 'presentation'), (2, 'press-note')) AS rep(r, document_id)"
-FACT_ID = "'fact-' || substr(sha256(concat_ws('|', {d}, {p}, {e}, {m}, {v}, {l})), 1, 16)"
-
-
-def claims(by: str = "nation") -> str:
-    name = ("n_nationkey", "n_name") if by == "nation" else ("c_custkey", "c_name")
-    tail = " ".join(("JOIN nation ON c_nationkey = n_nationkey",)) if by == "nation" else ""
-    fid = FACT_ID.format(d="document_id", p="page_number", e="entity", m="metric", v="value_raw", l="period_label")
-    return f"""sums AS (
-  SELECT {name[0]} AS k, {name[1]} AS name, year(o_orderdate) AS y, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS c, count(*) AS n
-  FROM orders JOIN customer ON o_custkey = c_custkey {tail} GROUP BY ALL), grid AS (
-  SELECT *, k % 5 AS k5, (c + 50000000) // 100000000 AS cr, (CASE WHEN k % 5 = 1 THEN c + c // 5 ELSE c END + 500000) // 1000000 AS mi
-  FROM sums, {REPORTS}, (VALUES (0), (1), (2), (3)) AS kinds(kind)), said AS (
-  SELECT *, CASE WHEN kind IN (0, 3) THEN CASE WHEN r = 0 THEN '₹' || cr // 10 || '.' || cr % 10 || ' crore' ELSE '₹' || mi // 100 || '.' || lpad((mi % 100)::VARCHAR, 2, '0') || ' million' END
-      WHEN kind = 1 THEN n || CASE WHEN r = 2 THEN '+' ELSE '' END || ' orders' ELSE n % 17 || '.' || n % 10 || '%' END AS value_raw,
-    CASE WHEN kind IN (0, 3) THEN 'Order Value' WHEN kind = 1 THEN CASE WHEN r = 1 THEN 'Number of orders' ELSE 'Order  Count' END
-      ELSE CASE WHEN r = 0 THEN 'total order value growth' ELSE 'Order value growth' END END AS metric,
-    CASE WHEN kind = 3 THEN 'FY' ELSE 'FY ' || y || '-' END || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS period_label,
-    name || CASE r WHEN 0 THEN ' Limited' WHEN 1 THEN ' Ltd.' ELSE '' END AS entity FROM grid), claims_0 AS (
-  SELECT r::BIGINT * 1000000000 + k * 1000 + (y - 1970) * 4 + kind AS pos, document_id, (k + 1)::INT AS page_number, entity, metric, value_raw, NULL::DOUBLE AS value_numeric,
-    CASE WHEN kind = 2 THEN 'percent' WHEN kind = 1 AND r = 1 THEN 'orders' END AS unit, period_label, CASE WHEN k5 = 2 AND r = 1 THEN 'Consolidated' END AS scope,
-    CASE WHEN k % 11 = 4 THEN CASE WHEN r = 0 THEN 'Asia' ELSE 'World' END END AS geography, CASE WHEN k5 = 4 AND r = 1 THEN 'target' ELSE 'reported' END AS epistemic_status,
-    CASE WHEN k5 = 3 THEN CASE r WHEN 0 THEN 'First Advance Estimate' WHEN 1 THEN 'Second Advance Estimate' ELSE 'Flash' END END AS data_vintage,
-    metric || ' of ' || entity || ' was ' || value_raw || ' in ' || period_label || CASE WHEN k5 = 0 AND y % 3 = 0 AND r = 2 THEN ', as restated'
-      WHEN k % 7 = 3 AND r = 1 THEN ', compared to the year before' ELSE '' END || '.' AS supporting_text FROM said), claims_v AS (
-  SELECT *, {fid} AS fact_id FROM claims_0)"""
-
-
-# -- normalisation ----------------------------------------------------------------------------------
-
-
-def number(x: str) -> str:
-    kept = f"regexp_replace(regexp_replace({x}, '{V.DASHES_RE2}', '-', 'g'), '[^0-9.\\-+]', '', 'g')"
-    return f"TRY_CAST(regexp_replace(regexp_replace({kept}, '^\\++', ''), '\\++$', '') AS DECIMAL(24,8))"
-
-
-def qualifier(x: str) -> str:
-    s = strip(x)
-    cases = [f"WHEN starts_with({s}, {q(a)}) THEN {q(b)}" for a, b in V.QUALIFIER_SYMBOLS]
-    cases += [f"WHEN starts_with({s}, '+') OR ends_with({s}, '+') THEN '>='", f"WHEN starts_with({s}, '~') THEN '~'"]
-    cases += [f"WHEN starts_with(lower({s}), {q(a)}) THEN {q(b)}" for a, b in V.QUALIFIER_WORDS]
-    return f"CASE {' '.join(cases)} END"
-
-
-def _list(words) -> str:
-    return ", ".join(q(w) for w in words)
-
-
-def semantic(x: str) -> str:
-    words = f"list_transform(regexp_extract_all(coalesce({x}, ''), '[a-zA-Z]+'), lambda w: lower(w))"
-    kept = f"list_filter({words}, lambda w: w NOT IN ({_list((*V.SCALE_OF_TOKEN, *V.CURRENCY_WORDS))}) AND NOT regexp_full_match(w, {q(V.DECLINE)}))"
-    return f"CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, ' ') END"
-
-
-def values(source: str, keep: str = "*") -> str:
-    """CTEs val_1 .. val_v over rows with value_raw, unit and value_numeric."""
-    scale = "CASE " + " ".join(f"WHEN token IN ({_list(ts)}) THEN {q(k)}" for k, (_, ts) in V.SCALES.items()) + " END"
-    power = "CASE scale_0 " + " ".join(f"WHEN {q(k)} THEN {10**p}" for k, (p, _) in V.SCALES.items()) + " ELSE 1 END"
-    money = "CASE " + " ".join(f"WHEN {matches('comb', p)} THEN {q(k)}" for k, p in V.CURRENCIES.items()) + " END"
-    return f"""val_1 AS (
-  SELECT *, lower({strip("value_raw || ' ' || coalesce(unit, '')")}) AS comb, coalesce({number('value_raw')}, TRY_CAST(value_numeric AS DECIMAL(24,8))) AS num_0 FROM {source}), val_2 AS (
-  SELECT *, list_filter(regexp_extract_all(comb, '[a-z]+'), lambda t: t IN ({_list(V.SCALE_OF_TOKEN)}))[1] AS token, {money} AS cur_0, {matches('comb', V.PERCENT)} AS pct,
-    {matches('comb', chr(92) + 'b' + V.DECLINE + chr(92) + 'b')} OR coalesce(value_numeric < 0, false) AS down FROM val_1), val_3 AS (
-  SELECT *, {scale} AS scale_0, CASE WHEN down AND num_0 > 0 THEN -num_0 ELSE num_0 END AS num, cur_0 IS NULL AND contains(comb, '$') AS dollar FROM val_2), val_v AS (
-  SELECT *, CASE WHEN pct THEN num::DOUBLE ELSE (num * {power})::DOUBLE END AS numeric_value,
-    CASE WHEN num IS NULL THEN NULL WHEN pct THEN 'percent' WHEN cur_0 IS NOT NULL THEN cur_0 WHEN dollar THEN NULL ELSE coalesce({semantic('unit')}, {semantic('value_raw')}, 'count') END AS canonical_unit,
-    CASE WHEN num IS NOT NULL AND NOT pct THEN scale_0 END AS scale, {qualifier('value_raw')} AS value_qualifier, CASE WHEN num IS NOT NULL AND NOT pct THEN cur_0 END AS currency,
-    CASE WHEN num IS NULL THEN 'unresolved' WHEN NOT pct AND dollar THEN 'partial' ELSE 'normalized' END AS status,
-    CASE WHEN pct AND num IS NOT NULL THEN {q(V.NOTE_PERCENT)} WHEN pct THEN {q(V.NOTE_NO_PERCENT)} WHEN num IS NULL THEN {q(V.NOTE_NO_NUMBER)} WHEN dollar THEN {q(V.NOTE_DOLLAR)} END AS note FROM val_3)"""
-
-
-def periods(source: str, calendar: str = "NULL") -> str:
-    """CTE per_v over rows with a label: start, end, warning."""
-    ex = lambda p, i: f"regexp_extract(raw, {q('(?i)' + p)}, {i})"
-    has = lambda p: matches("raw", "(?i)" + p)
-    month = lambda x: "CASE lower(" + x + ") " + " ".join(f"WHEN {q(n)} THEN {q(k)}" for n, k in V.MONTH_NUMBER.items()) + " END"
-    year = lambda x: f"lpad((CASE WHEN TRY_CAST({x} AS INT) < 100 THEN TRY_CAST({x} AS INT) + 2000 ELSE TRY_CAST({x} AS INT) END)::VARCHAR, 4, '0')"
-    last = lambda x: f"lpad((TRY_CAST({year(x)} AS INT) - 1)::VARCHAR, 4, '0')"
-    iso = r"\b(\d{4})-(\d{2})-(\d{2})\b"
-    md = r"(?:as\s+of\s+)?([a-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-    dm = r"(?:as\s+of\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]+),?\s+(\d{4})"
-    cy, span = r"^(?:cy|calendar\s+year)\s*(\d{4})$", r"^(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})"
-    qs, qb, fy = r"^q([1-4])\s*(?:fy|fiscal\s+year)?\s*(\d{4})\s*[-/]\s*(\d{2,4})", r"^q([1-4])\s*(?:fy\s*)?(\d{2,4})", r"^fy\s*(\d{2,4})$"
-    april = f"coalesce({calendar} = 'april-march', false)"
-
-    def quarter(n: str, a: str, b: str) -> tuple[str, str]:
-        return (
-            f"CASE {n} WHEN '1' THEN {a} || '-04-01' WHEN '2' THEN {a} || '-07-01' WHEN '3' THEN {a} || '-10-01' ELSE {b} || '-01-01' END",
-            f"CASE {n} WHEN '1' THEN {a} || '-06-30' WHEN '2' THEN {a} || '-09-30' WHEN '3' THEN {a} || '-12-31' ELSE {b} || '-03-31' END",
-        )
-
-    d_iso = f"concat_ws('-', {ex(iso, 1)}, {ex(iso, 2)}, {ex(iso, 3)})"
-    d_md = f"concat_ws('-', {ex(md, 3)}, {month(ex(md, 1))}, lpad({ex(md, 2)}, 2, '0'))"
-    d_dm = f"concat_ws('-', {ex(dm, 3)}, {month(ex(dm, 2))}, lpad({ex(dm, 1)}, 2, '0'))"
-    cases = [
-        ("raw = ''", "NULL", "NULL", "'Empty temporal label.'"),
-        (has(iso), d_iso, d_iso, "NULL"),
-        (f"{has(md)} AND {month(ex(md, 1))} IS NOT NULL", d_md, d_md, "NULL"),
-        (f"{has(dm)} AND {month(ex(dm, 2))} IS NOT NULL", d_dm, d_dm, "NULL"),
-        (has(cy), f"{ex(cy, 1)} || '-01-01'", f"{ex(cy, 1)} || '-12-31'", "NULL"),
-        (has(span), f"{ex(span, 1)} || '-04-01'", f"{year(ex(span, 2))} || '-03-31'", "NULL"),
-        (has(qs), *quarter(ex(qs, 1), ex(qs, 2), year(ex(qs, 3))), "NULL"),
-        (f"{has(qb)} AND {april}", *quarter(ex(qb, 1), last(ex(qb, 2)), year(ex(qb, 2))), "NULL"),
-        (has(qb), "NULL", "NULL", "'Fiscal quarter ''' || raw || ''' convention not explicitly established (requires April-March context).'"),
-        (f"{has(fy)} AND {april}", f"{last(ex(fy, 1))} || '-04-01'", f"{year(ex(fy, 1))} || '-03-31'", "NULL"),
-        (has(fy), "NULL", "NULL", "'Fiscal-year convention not explicitly established for bare label ''' || raw || '''.'"),
-        (has(r"^\d{4}$"), "raw || '-01-01'", "raw || '-12-31'", "NULL"),
-    ]
-    pick = lambda i, other: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[i]}" for c in cases) + f" ELSE {other} END"
-    return f"""per_0 AS (SELECT *, {strip("coalesce(period_label, '')")} AS raw FROM {source}), per_v AS (
-  SELECT *, {pick(1, 'NULL')} AS norm_start, {pick(2, 'NULL')} AS norm_end, {pick(3, "'Unresolvable temporal label: ''' || raw || '''.'")} AS warning FROM per_0)"""
-
-
-def entity(x: str) -> str:
-    clean = collapse(f"coalesce({x}, '')")
-    base = f"regexp_replace(trim(regexp_replace({clean}, {q('(?i)' + V.LEGAL_SUFFIX)}, '')), '[,. ]+$', '')"
-    return f"CASE WHEN {base} = '' THEN {clean} ELSE {base} END"
-
-
-def metric(x: str) -> str:
-    return f"lower({collapse(f'coalesce({x}, {q(chr(0))[:-2]}{chr(39)})')})" if False else f"lower({collapse('coalesce(' + x + ', ' + q('') + ')')})"
-
-
 RES = "(10.0 ** -length(coalesce(string_split(regexp_replace(regexp_replace({v}, '[^0-9.\\-+]', '', 'g'), '^\\++', ''), '.')[2], ''))) * (CASE {s} " + " ".join(f"WHEN {q(k)} THEN {10**p}" for k, (p, _) in V.SCALES.items()) + " ELSE 1 END)"
 
 
@@ -660,24 +515,27 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["candidate_pairs"] = w(candidates(), "SELECT a_ekey, candidate_score, count(*) AS n FROM cand_v GROUP BY 1, 2")
     out["candidate_scores"] = w(candidates(), "SELECT a_pos, b_pos, candidate_score, reasons FROM cand_v")
     out["unit_veto"] = w(facts(), f"SELECT a.canonical_unit AS unit_a, b.canonical_unit AS unit_b, {UNITS_AGREE} AS agree, count(*) AS n FROM facts_v a JOIN facts_v b ON a.ekey = b.ekey AND a.pos < b.pos GROUP BY 1, 2, 3")
-    out["comparability"] = w(compared(), f"SELECT a_pos, b_pos, status, {bar('codes')} AS codes, dim_unit, dim_time_period, dim_scope, dim_geography, dim_epistemic_status, dim_data_vintage FROM compared_v")
-    out["comparability_reasons"] = w(compared(), "SELECT status, code, count(*) AS n FROM (SELECT status, unnest(codes) AS code FROM compared_v) GROUP BY 1, 2")
-    out["surfaced_pairs"] = w(compared() + SURFACED, "SELECT a_pos, b_pos, surface_code, surface_code IN ('MEANINGFUL_COMPARISON', 'EXPLICIT_TEMPORAL_COMPARISON', 'INSUFFICIENT_CONTEXT_MEANINGFUL') AS should_surface FROM surfaced")
+    near = candidates() + compared("nation", "a.ekey = b.ekey").removeprefix(facts()) + ", near AS (SELECT c.* FROM compared_v c JOIN cand_v USING (a_pos, b_pos))"
+    near_surfaced = near + SURFACED.replace("FROM compared_v)", "FROM near)")
+    out["comparability"] = w(near, f"SELECT a_pos, b_pos, status, {bar('codes')} AS codes, dim_unit, dim_time_period, dim_scope, dim_geography, dim_epistemic_status, dim_data_vintage FROM near")
+    out["comparability_reasons"] = w(near, "SELECT status, code, count(*) AS n FROM (SELECT status, unnest(codes) AS code FROM near) GROUP BY 1, 2")
+    out["surfaced_pairs"] = w(near_surfaced, "SELECT a_pos, b_pos, surface_code, surface_code IN ('MEANINGFUL_COMPARISON', 'EXPLICIT_TEMPORAL_COMPARISON', 'INSUFFICIENT_CONTEXT_MEANINGFUL') AS should_surface FROM surfaced")
     why = {
+        "METRIC_MISMATCH_SUPPRESSED": "Claims represent different metrics/measurements.",
         "MEANINGFUL_COMPARISON": "Claims are comparable across all verified dimensions.",
         "EXPLICIT_TEMPORAL_COMPARISON": "Source evidence explicitly contains temporal comparison language connecting the periods.",
         "DIFFERENT_TIME_PERIOD_NO_LINK": "Claims describe different bounded time periods without explicit comparative language in source text.",
         "INSUFFICIENT_CONTEXT_MEANINGFUL": "Meaningful claim comparison with unresolved missing contextual dimensions.",
     }
     texts = "CASE surface_code " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in why.items()) + " ELSE 'Claims are fundamentally non-comparable (' || array_to_string(codes, ', ') || ').' END"
-    out["surfacing_texts"] = w(compared() + SURFACED, f"SELECT {texts} AS surface_explanation, surface_code || CASE surface_code WHEN 'DIFFERENT_TIME_PERIOD_NO_LINK' THEN '|NON_COMPARABLE_NOT_MEANINGFUL' WHEN 'NON_COMPARABLE_NOT_MEANINGFUL' THEN '|' || array_to_string(codes, '|') ELSE '' END AS reasons, count(*) AS n FROM surfaced GROUP BY 1, 2")
+    out["surfacing_texts"] = w(near_surfaced, f"SELECT {texts} AS surface_explanation, surface_code || CASE surface_code WHEN 'DIFFERENT_TIME_PERIOD_NO_LINK' THEN '|NON_COMPARABLE_NOT_MEANINGFUL' WHEN 'METRIC_MISMATCH_SUPPRESSED' THEN '|NON_COMPARABLE_NOT_MEANINGFUL' WHEN 'NON_COMPARABLE_NOT_MEANINGFUL' THEN '|' || array_to_string(codes, '|') ELSE '' END AS reasons, count(*) AS n FROM surfaced GROUP BY 1, 2")
     pair = lambda k: f"'''' || fa.{k} || ''' vs ''' || fb.{k} || '''.'"
-    note = f"""concat_ws(' ', CASE c_uni WHEN 'MISSING_UNIT' THEN 'Unit/currency could not be safely resolved on one or both facts.' WHEN 'UNIT_MISMATCH' THEN 'Incompatible units: ' || {pair('canonical_unit')} END,
+    note = f"""concat_ws(' ', CASE WHEN c_met IS NOT NULL THEN 'Different metrics: ' || {pair('mkey')} END, CASE c_uni WHEN 'MISSING_UNIT' THEN 'Unit/currency could not be safely resolved on one or both facts.' WHEN 'UNIT_MISMATCH' THEN 'Incompatible units: ' || {pair('canonical_unit')} END,
       CASE c_tim WHEN 'MISSING_TIME_PERIOD' THEN 'Time period interval not safely bounded on one or both facts.' WHEN 'TIME_MISMATCH' THEN 'Different measurement periods: [' || fa.norm_start || ' to ' || fa.norm_end || '] vs [' || fb.norm_start || ' to ' || fb.norm_end || '].' END,
       CASE c_sco WHEN 'SCOPE_MISMATCH' THEN 'Conflicting scopes: ' || {pair('sk')} WHEN 'MISSING_SCOPE' THEN 'Scope is specified on one claim but unspecified on the other.' END,
       CASE c_geo WHEN 'GEOGRAPHY_MISMATCH' THEN 'Conflicting geographies: ' || {pair('gk')} WHEN 'MISSING_GEOGRAPHY' THEN 'Geography is specified on one claim but unspecified on the other.' END,
       CASE WHEN c_epi IS NOT NULL THEN 'Epistemic status differs: ' || {pair('epistemic_status')} END, CASE WHEN c_vin IS NOT NULL THEN 'Data vintage differs: ' || {pair('vk')} END)"""
-    out["comparability_notes"] = w(compared(), f"SELECT a_pos, b_pos, {note} AS notes FROM compared_v")
+    out["comparability_notes"] = w(near, f"SELECT a_pos, b_pos, {note} AS notes FROM near")
     cut = "supporting_text || CASE pos_ % 3 WHEN 0 THEN ' rose' WHEN 1 THEN ' was 5 in 2001' ELSE '' END"
     out["temporal_language"] = w(claims(), f"""SELECT pos_ AS pos, case_id, {temporal('x', 'told')} AS linked FROM (SELECT pos AS pos_, supporting_text, {cut.replace('pos_', 'pos')} AS x FROM (SELECT pos, supporting_text FROM claims_v UNION ALL SELECT -1 - doc_id, text FROM documents)), (VALUES (0, 'From 3 to 5.'), (1, 'and 6 in 2002'), (2, 'plain')) AS told_v(case_id, told)""")
     out["relationships"] = w(RELATED, "SELECT relationship_id, a_fact_id, b_fact_id, relationship_type, confidence, reason_codes, contextual_factors, explanation FROM related")

@@ -43,13 +43,15 @@ def newline_clean(spark, d):
 
 @query
 def page_signals(spark, d):
-    rows = pages.page_signals(views.pages(spark, d))
+    rows = pages.page_signals(views.unnumbered(spark, d))
     lists = ("currencies", "units", "metrics", "temporals", "boilerplates")
-    return rows.select("document_id", "page_number", "n_numbers", F.array_join("sample_numbers", "|").alias("sample_numbers"), "table_rows", *(joined(c) for c in lists))
+    rows = rows.select("document_id", "page_number", "n_numbers", F.array_join("sample_numbers", "|").alias("sample_numbers"), "table_rows", *(joined(c) for c in lists))
+    return views.numbered(rows, spark, d)
 
 
 def _scored(spark, d, threshold=pages.THRESHOLD):
-    return pages.score_pages(views.pages(spark, d), threshold)
+    """Scores of all pages, without their texts."""
+    return views.numbered(pages.score_pages(views.unnumbered(spark, d), threshold).drop("text"), spark, d)
 
 
 @query
@@ -66,7 +68,7 @@ def page_explanations(spark, d):
 
 @query
 def page_selected(spark, d):
-    return pages.select_pages(views.pages(spark, d), 0.30).select("document_id", "page_number", "score")
+    return _scored(spark, d, 0.30).filter("selected").select("document_id", "page_number", "score")
 
 
 @query
@@ -89,7 +91,7 @@ def layout_blocks(spark, d):
 
 @query
 def page_complexity(spark, d):
-    return pages.page_complexity(views.pages(spark, d))
+    return views.numbered(pages.page_complexity(views.unnumbered(spark, d)), spark, d)
 
 
 # -- context ----------------------------------------------------------------------------------------
@@ -97,25 +99,28 @@ def page_complexity(spark, d):
 
 @query
 def line_regions(spark, d):
-    rows = context.line_regions(views.pages(spark, d))
-    return rows.select("document_id", "page_number", "line_no", "anchor_text", F.array_join("signals", "|").alias("signals"), F.length("line_text").alias("n_chars"))
+    rows = context.line_regions(views.unnumbered(spark, d))
+    rows = rows.select("document_id", "page_number", "line_no", "anchor_text", F.array_join("signals", "|").alias("signals"), F.length("line_text").alias("n_chars"))
+    return views.numbered(rows, spark, d)
 
 
 @query
 def context_windows(spark, d):
-    rows = context.context_windows(views.pages(spark, d))
-    return rows.select("document_id", "page_number", "start_line", "end_line", joined("anchors", "\n"), joined("signals"), "char_count", F.sha2("source_text", 256).alias("digest"))
+    rows = context.context_windows(views.unnumbered(spark, d))
+    rows = rows.select("document_id", "page_number", "start_line", "end_line", joined("anchors", "\n"), joined("signals"), "char_count", F.sha2("source_text", 256).alias("digest"))
+    return views.numbered(rows, spark, d)
 
 
 @query
 def page_context(spark, d):
-    rows = context.page_context(views.pages(spark, d))
-    return rows.select("document_id", "page_number", "original_chars", "selected_chars", "compression_ratio", F.size("windows").alias("n_windows"), joined("signals"), F.length("combined_text").alias("combined_chars"), "is_empty")
+    rows = context.page_context(views.unnumbered(spark, d))
+    rows = rows.select("document_id", "page_number", "original_chars", "selected_chars", "compression_ratio", F.size("windows").alias("n_windows"), joined("signals"), F.length("combined_text").alias("combined_chars"), "is_empty")
+    return views.numbered(rows, spark, d)
 
 
 @query
 def radius_sweep(spark, d):
-    return context.radius_sweep(views.pages(spark, d))
+    return context.radius_sweep(views.unnumbered(spark, d))
 
 
 @query
@@ -148,22 +153,36 @@ def quota_summary(spark, d):
     return planner.plan_summary(_plan(spark, d), 3, 5)
 
 
+def _planned_texts(spark, d, plan):
+    """Contexts of the pages that are planned, which are few; all others stay where they are read."""
+    texts = context.prompt_text(context.page_context(views.unnumbered(spark, d))).withColumnRenamed("page_number", "__doc").drop("document_id")
+    asked = plan.filter("planned").select("document_id", "page_number", "doc_id")
+    return texts.join(asked.withColumnRenamed("doc_id", "__asked"), F.col("__doc") == F.col("__asked"))
+
+
+def _plan_of_docs(spark, d):
+    """The plan with the document of each page, for which texts are read."""
+    plan = _plan(spark, d)
+    named = views.numbered(views.table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "doc_id"), spark, d)
+    return plan.join(named, ["document_id", "page_number"])
+
+
 @query
 def batch_prompt(spark, d):
-    texts = context.prompt_text(context.page_context(views.pages(spark, d)))
-    rows = planner.batch_prompts(_plan(spark, d), texts)
+    plan = _plan_of_docs(spark, d)
+    rows = planner.batch_prompts(plan, _planned_texts(spark, d, plan))
     return rows.select("document_id", "batch_id", "n_pages", F.length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("digest"))
 
 
 @query
 def batch_payload(spark, d):
-    texts = context.prompt_text(context.page_context(views.pages(spark, d)))
-    return planner.batch_payload(_plan(spark, d), texts)
+    plan = _plan_of_docs(spark, d)
+    return planner.batch_payload(plan.drop("doc_id"), _planned_texts(spark, d, plan))
 
 
 @query
 def batch_sweep(spark, d):
-    return planner.batch_sweep(context.page_context(views.pages(spark, d)))
+    return planner.batch_sweep(context.page_context(views.unnumbered(spark, d)))
 
 
 @query
@@ -184,8 +203,8 @@ def latency_projection(spark, d):
 
 @query
 def input_fingerprint(spark, d):
-    texts = context.prompt_text(context.page_context(views.pages(spark, d)))
-    rows = planner.batch_prompts(_plan(spark, d), texts)
+    plan = _plan_of_docs(spark, d)
+    rows = planner.batch_prompts(plan, _planned_texts(spark, d, plan))
     key = F.concat_ws("\n", "document_id", F.col("batch_id").cast("string"), "prompt")
     return rows.select("document_id", "batch_id", F.sha2(key, 256).alias("fingerprint"), short_hash(key).alias("short_fingerprint"))
 
@@ -195,7 +214,8 @@ def input_fingerprint(spark, d):
 
 @query
 def rule_extract(spark, d):
-    rows = extract.rule_claims(views.pages(spark, d))
+    # The page number is part of a claim's id, so that pages are numbered before claims are named.
+    rows = extract.name_claims(views.numbered(extract.read_lines(views.unnumbered(spark, d)), spark, d))
     return rows.select("document_id", "page_number", "value_raw", "entity", "metric", "value_numeric", "unit", "period_label", "epistemic_status", F.length("supporting_text").alias("n_chars"), "fact_id")
 
 
@@ -406,7 +426,12 @@ def unit_veto(spark, d):
 
 
 def _compared(spark, d):
-    return relations.compare(facts.pair_up(_facts(spark, d), exact_metric=True))
+    """All candidate pairs, near metrics too, as they come before the gate."""
+    return relations.compare(_candidates(spark, d))
+
+
+def _surfaced(spark, d):
+    return relations.surface(_compared(spark, d), F.col("candidate_score") > 0)
 
 
 @query
@@ -421,12 +446,12 @@ def comparability_reasons(spark, d):
 
 @query
 def surfaced_pairs(spark, d):
-    return relations.surface(_compared(spark, d)).select("a_pos", "b_pos", "surface_code", "should_surface")
+    return _surfaced(spark, d).select("a_pos", "b_pos", "surface_code", "should_surface")
 
 
 @query
 def surfacing_texts(spark, d):
-    rows = relations.surface(_compared(spark, d))
+    rows = _surfaced(spark, d)
     return rows.groupBy("surface_explanation", F.array_join("surface_reasons", "|").alias("reasons")).agg(F.count("*").alias("n"))
 
 

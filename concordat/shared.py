@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: At most so many frequent keys are set apart (and broadcast) in a join; how frequent these are follows from it.
 MOST_HOT_KEYS = 50_000
 #: A key with fewer rows is never set apart.
-LEAST_HOT_ROWS = 1_000
+LEAST_HOT_ROWS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,12 +1,16 @@
 """Stored analyses: documents, facts, relations and analyses as Parquet tables with native arrays and maps.
 
-Each table is partitioned by what is replaced together: facts and relations by document or analysis. A
-save writes to the partitions of its documents only, so analysing a document anew drops what was
-stored for it before, and leaves the rest alone.
+An analysis is written into folders of its own and published by its row in ``analyses``, which is one
+file and is written last: a save that fails leaves what was stored before as it was. A document belongs
+to the last published analysis that has it. Facts of earlier analyses of the document, and relations that
+point to such facts, are no longer part of the store; nothing is rewritten for that.
 """
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,9 @@ TABLES = ("documents", "facts", "relationships", "analyses")
 
 
 def latest_per_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Of the rows with one key the last in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
+    """Of the rows with one key the last in the given order; of equal ones there the same one in every run."""
+    tie = F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order), tie))
     return rows.withColumn("__n", rank).filter("__n = 1").drop("__n")
 
 
@@ -33,28 +38,49 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def _write(self, df: DataFrame, name: str, partition: str) -> None:
-        writer = df.repartition(partition).write.mode("overwrite").partitionBy(partition)
-        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path(name))
+    def _write(self, df: DataFrame, name: str, analysis_id: str) -> None:
+        df.withColumn("analysis_id", F.lit(analysis_id)).write.parquet(f"{self.path(name)}/run=r-{analysis_id}")
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path(name)).drop("run")
 
     def save(self, analysis_id: str, documents: DataFrame, facts: DataFrame, relations: DataFrame) -> DataFrame:
-        """Stores an analysis; of facts with one id the last one. Returns the summary's row."""
-        key = F.lit(analysis_id).alias("analysis_id")
-        summary = summarize(documents, facts, relations).select(key, "*")
-        self._write(documents, "documents", "document_id")
-        self._write(latest_per_key(facts, ["fact_id"], "pos"), "facts", "document_id")
-        self._write(relations.select(key, "*"), "relationships", "analysis_id")
-        self._write(summary, "analyses", "analysis_id")
-        return summary
+        """Stores and publishes an analysis; of facts with one id the last one. Returns the summary's row.
+
+        The analysis must not be stored yet. Of two analyses with one document the later by the driver's clock counts.
+        """
+        self._write(documents, "documents", analysis_id)
+        self._write(latest_per_key(facts, ["fact_id"], "pos"), "facts", analysis_id)
+        self._write(relations, "relationships", analysis_id)
+        own = lambda name: self._read(name).filter(F.col("analysis_id") == analysis_id)
+        count = lambda name, c: own(name).agg(F.count("*").alias(c))
+        one = count("documents", "n_documents").crossJoin(count("facts", "n_facts")).crossJoin(count("relationships", "n_relationships"))  # one row each
+        self._write(one.withColumn("published_at", F.lit(time.time_ns())).coalesce(1), "analyses", analysis_id)
+        return own("analyses")
+
+    def owners(self) -> DataFrame:
+        """document_id and the analysis_id that it belongs to."""
+        known = self._read("documents").join(self._read("analyses").select("analysis_id", "published_at"), "analysis_id")
+        last = known.groupBy("document_id").agg(F.max(F.struct("published_at", "analysis_id")).alias("o"))
+        return last.select("document_id", F.col("o.analysis_id").alias("analysis_id"))
 
     def load(self, analysis_id: str) -> dict[str, DataFrame] | None:
-        """The tables of a stored analysis, or None."""
-        found = self.spark.read.parquet(self.path("analyses")).filter(F.col("analysis_id") == analysis_id)
+        """The tables of a stored analysis, or None: its documents with their current facts, and relations that still hold."""
+        try:
+            found = self._read("analyses").filter(F.col("analysis_id") == analysis_id)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
         if found.isEmpty():
             return None
-        relations = self.spark.read.parquet(self.path("relationships")).filter(F.col("analysis_id") == analysis_id)
-        ids = found.select(F.explode("document_ids").alias("document_id"))
-        read = lambda name: self.spark.read.parquet(self.path(name)).withColumn("document_id", F.col("document_id").cast("string")).join(ids, "document_id", "left_semi")
+        ids = self._read("documents").filter(F.col("analysis_id") == analysis_id).select("document_id")
+        live = self.owners().join(ids, "document_id", "left_semi")
+        read = lambda name: self._read(name).join(live, ["document_id", "analysis_id"], "left_semi")
+        held = live.filter(F.col("analysis_id") == analysis_id).select("document_id")
+        relations = self._read("relationships").filter(F.col("analysis_id") == analysis_id)
+        for side in ("a_document_id", "b_document_id"):
+            relations = relations.join(held.withColumnRenamed("document_id", side), side, "left_semi")
         return {"analyses": found, "documents": read("documents"), "facts": read("facts"), "relationships": relations}
 
 

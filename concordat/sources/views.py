@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.extract import fact_id
 from ..operators.pages import with_metadata
+from ..shared import spread
 
 #: Report -> (suffix of entity names, epistemic status); they are numbered in this order.
 REPORTS = ("annual-report", "presentation", "press-note")
@@ -16,11 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, page_number, doc_id, text, char_count, has_text: each document is a page of its source.
+
+    ``page_number`` is the document's own id, which orders pages as well; ``numbered`` gives the number from 1
+    on. What is read off a text is read before that, so that texts are in no shuffle.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("document_id"), "text"))
+    return with_metadata(docs.select("document_id", F.col("doc_id").alias("page_number"), "doc_id", "text"))
+
+
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """of_doc and number: the page number, from 1 on, of each document in its source."""
+    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source").select(F.col("doc_id").alias("of_doc"), number.alias("number"))
+
+
+def numbered(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read off ``unnumbered`` pages with their page numbers from 1 on."""
+    found = rows.join(numbers(spark, sf_dir), F.col("page_number") == F.col("of_doc"))
+    return found.select(*(F.col("number").alias(c) if c == "page_number" else F.col(c) for c in rows.columns))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, page_number, text, char_count, has_text: each document is a page of its source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("document_id"), "text")
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("doc_id"))
-    return with_metadata(docs.select("document_id", number.alias("page_number"), "doc_id", "text"))
+    """Numbered pages with their texts: document_id, page_number, doc_id, text, char_count, has_text."""
+    return numbered(unnumbered(spark, sf_dir), spark, sf_dir)
 
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

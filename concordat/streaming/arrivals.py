@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.facts import CARRIED, normalize_facts, units_agree
+from ..operators.facts import normalize_facts, pairs_by_period
 from ..operators.relations import classify, compare, surfaces
+from ..shared import durable
+from ..shared import durable
 
 
 def distinct_claims(stream: DataFrame, time: str = "arrived", delay: str = "1 hour") -> DataFrame:
@@ -17,10 +19,7 @@ def distinct_claims(stream: DataFrame, time: str = "arrived", delay: str = "1 ho
 
 def relate_to(arrived: DataFrame, stored: DataFrame) -> DataFrame:
     """Relations between facts that have arrived and stored ones, both normalised; the stored come first."""
-    a = stored.filter("ekey <> '' AND mkey <> ''").select(*(F.col(c).alias("a_" + c) for c in CARRIED))
-    b = arrived.filter("ekey <> '' AND mkey <> ''").select(*(F.col(c).alias("b_" + c) for c in CARRIED))
-    on = (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_mkey") == F.col("b_mkey")) & (F.col("a_fact_id") != F.col("b_fact_id"))
-    return classify(compare(a.hint("merge").join(b, on).filter(units_agree() & surfaces())))
+    return classify(compare(pairs_by_period(stored, arrived, F.col("a_fact_id") != F.col("b_fact_id"), surfaces())))
 
 
 def relate_batch(arrived: DataFrame, stored: DataFrame) -> DataFrame:
@@ -29,21 +28,30 @@ def relate_batch(arrived: DataFrame, stored: DataFrame) -> DataFrame:
     return relate_to(arrived, stored).unionByName(relate_to(arrived, arrived).filter(first))
 
 
+#: Stored facts lie in so many parts by what they are about; a batch reads those that its own facts are in.
+PARTS = 64
+
+
+#: Stored facts lie in so many parts by what they are about; a batch reads those that its own facts are in.
+PARTS = 64
+
+
 def run(stream: DataFrame, facts_path: str, relations_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Appends each batch's facts and relations; a batch that is run again writes the same partition again."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("batch_id", F.lit(batch_id))
-        facts = normalize_facts(batch)
+        part = F.pmod(F.xxhash64("ekey", "mkey"), F.lit(PARTS)).cast("int")
+        facts = durable(normalize_facts(batch).withColumns({"part": part, "batch_id": F.lit(batch_id)}))
+        arrived = [r["part"] for r in facts.select("part").distinct().collect()]  # at most PARTS numbers
         try:
-            stored = spark.read.parquet(facts_path).filter(F.col("batch_id") < batch_id)
+            stored = spark.read.parquet(facts_path).filter(F.col("part").isin(arrived) & (F.col("batch_id") < batch_id))
         except Exception as e:  # noqa: BLE001  the first batch finds no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             stored = facts.limit(0)
-        overwrite = lambda df, path: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-        overwrite(relate_batch(facts, stored).withColumn("batch_id", F.lit(batch_id)), relations_path)
-        overwrite(facts, facts_path)
+        overwrite = lambda df, path, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        overwrite(relate_batch(facts, stored).withColumn("batch_id", F.lit(batch_id)), relations_path, "batch_id")
+        overwrite(facts.repartition("part"), facts_path, "part", "batch_id")
 
     return distinct_claims(stream).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -42,7 +42,72 @@ def test_analyze_store_and_load(spark, folder, tmp_path):
     assert n_facts == done["facts"].select("fact_id").distinct().count()
     assert engine.load("unknown") is None
     engine.analyze(pages)  # the same documents again: replaced and not doubled
-    assert engine.load(analysis_id)["facts"].count() == n_facts
+    again = engine.load(analysis_id)
+    assert again["facts"].count() == n_facts
+    assert again["relationships"].count() == 0  # they point to facts that have been replaced
+
+
+def test_a_failed_save_leaves_the_store_as_it_was(spark, folder, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    engine = Engine(spark, store=store)
+    pages = engine.parse(f"{folder}/*.txt")
+    done = engine.analyze(pages)
+    assert [r["error"][:12] for r in done["errors"].collect()] == ["UnicodeDecod"] and done["status"].first()["status"] == "COMPLETE"
+    first = done["summary"].first()["analysis_id"]
+    before = {k: v.count() for k, v in engine.load(first).items()}
+    broken = done["relationships"].withColumn("explanation", F.raise_error(F.lit("disk full")).cast("string"))
+    with pytest.raises(Exception, match="disk full"):
+        store.save("second", done["documents"], done["facts"], broken)
+    assert engine.load("second") is None and {k: v.count() for k, v in engine.load(first).items()} == before
+    assert Store(spark, f"{tmp_path}/nothing").load("x") is None
+
+
+def test_a_model_is_asked_once_for_a_batch(spark, folder, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def caller(prompt: str) -> str:
+        import random
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text(prompt)
+        fact = {"page_number": 1, "entity": "Acme", "metric": "Revenue", "value_raw": f"{random.random()} crore", "supporting_text": "Revenue was ₹12", "time_period": {"label": "2023-24"}}
+        return json.dumps({"facts": [fact, fact | {"supporting_text": "made up"}]})
+
+    engine = Engine(spark, Config(batch_size=5, by_relevance=False), caller=caller, store=Store(spark, f"{tmp_path}/store"))
+    done = engine.analyze(engine.parse(f"{folder}/*.txt").filter("error IS NULL"))
+    stored = engine.load(done["summary"].first()["analysis_id"])
+    value = lambda df: sorted(r["value_raw"] for r in df.collect())
+    assert value(stored["facts"]) == value(done["facts"]) == value(done["facts"]) and len(value(done["facts"])) == 2
+    assert stored["relationships"].count() == done["relationships"].count() == 1
+    assert {r["reject_reason"]: r["n"] for r in done["rejected"].groupBy("reject_reason").agg(F.sum("n").alias("n")).collect()} == {"not_grounded": 2}
+    assert len(list(asked.iterdir())) == 2
+
+
+def test_extraction_stops_at_the_first_failure(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def caller(prompt: str) -> str:
+        from concordat.operators.extract import QuotaExhausted
+
+        page = prompt.split("Pages in this batch: ")[1].split("\n")[0]
+        doc = prompt.split("Document: ")[1].split("\n")[0]
+        (asked / f"{doc}-{page}").write_text("")
+        if (doc, page) == ("a", "2"):
+            raise QuotaExhausted("no more")
+        if (doc, page) == ("b", "1"):
+            raise RuntimeError("broken")
+        return json.dumps({"facts": []})
+
+    rows = [(d, p, f"Revenue was ₹{p} crore in 2023-24") for d in "abc" for p in (1, 2, 3, 4)]
+    pages = documents.with_metadata(spark.createDataFrame(rows, "document_id string, page_number int, text string"))
+    done = Engine(spark, Config(batch_size=1, by_relevance=False), caller=caller).analyze(pages)
+    status = {r["document_id"]: (r["status"], r["n_processed"], r["requests_used"]) for r in done["statuses"].collect()}
+    assert status == {"a": ("PARTIAL_QUOTA", 1, 1), "b": ("FAILED", 0, 0), "c": ("COMPLETE", 4, 4)}
+    assert {p.name for p in asked.iterdir()} == {"a-1", "a-2", "b-1", "c-1", "c-2", "c-3", "c-4"}
+    outcomes = {(r["document_id"], r["batch_id"]): r["outcome"] for r in done["batches"].collect()}
+    assert [outcomes["a", k] for k in range(4)] == ["ok", "quota", "skipped", "skipped"] and done["status"].first()["status"] == "FAILED"
 
 
 def test_extraction_by_a_model(spark, folder):
@@ -60,11 +125,15 @@ def test_extraction_by_a_model(spark, folder):
 
 def test_config(monkeypatch):
     monkeypatch.setenv("CONCORDAT_BATCH_SIZE", "7")
-    monkeypatch.setenv("CONCORDAT_BUDGET", "many")
     c = Config.from_env(workers=9)
     assert (c.batch_size, c.budget, c.workers) == (7, None, 2)
-    with pytest.raises(ValueError):
-        Config(batch_size=0)
+    monkeypatch.setenv("CONCORDAT_BUDGET", "many")
+    with pytest.raises(ValueError, match="CONCORDAT_BUDGET must be an integer, got 'many'"):
+        Config.from_env()
+    assert Config.from_env(budget=3).budget == 3  # an argument comes first
+    for wrong in ({"batch_size": 0}, {"budget": 0}, {"radius": -1}):
+        with pytest.raises(ValueError):
+            Config(**wrong)
 
 
 def test_cases_and_samples(spark, tmp_path):
@@ -92,7 +161,7 @@ def test_stream(spark, tmp_path):
     once()
     assert spark.read.parquet(f"{tmp_path}/facts").count() == 3
     got = {(r["a_fact_id"], r["b_fact_id"]): r["relationship_type"] for r in spark.read.parquet(f"{tmp_path}/relations").collect()}
-    assert got == {("f1", "f2"): "CORROBORATES", ("f1", "f3"): "CONTRADICTS"}
+    assert got == {("f1", "f2"): "CORROBORATES", ("f1", "f3"): "CONTRADICTS", ("f2", "f3"): "CONTRADICTS"}
 
 
 def test_facts_that_arrive_together_are_related(spark):

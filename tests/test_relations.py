@@ -56,6 +56,15 @@ def test_surfacing_inside_of_the_join_is_the_ladder(spark):
     assert full == key(pairs.filter(relations.surfaces())) and 0 < len(full) < pairs.count()
 
 
+def test_pairs_by_period_are_all_that_surface(spark):
+    texts = ("plain", "was 3 in 2001 and", "it rose", "from 1 to 2", "was 1 in 2001 and 2 in 2002", "grew in 2003 and fell in 2004", "compared to 2001", "in 2009 it was")
+    rows = [claim(i, value=v, period=p, text=t) for i, (v, p, t) in enumerate((v, p, t) for v in ("₹1 crore", "5%") for p in ("FY 2023-24", "FY 2022-23", "FY24", "2024") for t in texts)]
+    n = facts.normalize_facts(spark.createDataFrame(rows + rows[:3], CLAIM))
+    order = (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id"))
+    every = sorted((r["a_pos"], r["b_pos"]) for r in facts.pair_up(n, exact_metric=True).filter(relations.surfaces()).collect())
+    assert sorted((r["a_pos"], r["b_pos"]) for r in facts.pairs_by_period(n, n, order, relations.surfaces()).collect()) == every
+
+
 def test_candidates(spark):
     metrics = ["Revenue", "Revenue from operations", "Number of employees", "Employee count", "Gross margin growth rate", "Margin growth", "Unrelated"]
     n = facts.normalize_facts(spark.createDataFrame([claim(i, metric=m) for i, m in enumerate(metrics)], CLAIM))
