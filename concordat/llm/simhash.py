@@ -266,8 +266,10 @@ def links(nodes: DataFrame) -> DataFrame:
     value = lambda bits: sum((F.shiftleft(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long")), i) for i, b in enumerate(bits)), F.lit(0).cast("long"))
     counts = np.zeros((PARTS, 1 << WIDTH), np.float64)
     keys = F.array(*(value(bits) + F.lit(k << WIDTH) for k, bits in enumerate(parts)))
-    for row in nodes.select(F.explode(keys).alias("key")).groupBy("key").count().collect():
-        counts[row["key"] >> WIDTH, row["key"] & ((1 << WIDTH) - 1)] = row["count"]  # at most 4 x 65,536 rows
+    found = nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).toArrow()  # at most 4 x 65,536 rows
+    key = found["key"].to_numpy()
+    counts[key >> WIDTH, key & ((1 << WIDTH) - 1)] = found["n"].to_numpy()
+    del found, key
     filed = nodes.mapInArrow(_file(parts, spark.sparkContext.broadcast(counts)), "key long, used long, fp long, rep long")
     around = [counts[k] + sum(counts[k][np.arange(1 << WIDTH) ^ (1 << bit)] for bit in range(WIDTH)) for k in range(PARTS)]
     if np.max(around) > SPLIT_ROWS:  # some key may be too full: a value's nodes and all that could probe it
