@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from concordat.llm import chat as C
 
@@ -68,6 +69,48 @@ def test_deep_thread_beside_a_fork(spark):
     assert found[0]["formatted"].count("<|im_start|>") == n and found[1]["formatted"].count("<|im_start|>") == 12
 
 
+def walked(rows, branches):
+    """Best branches by walking up from every leaf, as {(conv, branch): (leaf, score, formatted)}."""
+    nodes = {}
+    for c, n, p, s, r, t in rows:
+        if c is None or n is None:
+            continue
+        new = ((p is not None, p or 0), (r is not None, r or ""), (t is not None, t or ""), (s is not None, s or 0.0))
+        nodes[c, n] = min(nodes.get((c, n), new), new)
+    out = {}
+    for conv in {c for c, _ in nodes}:
+        own = {n: v for (c, n), v in nodes.items() if c == conv}
+        up = {n: v[0][1] if v[0][0] and v[0][1] in own else None for n, v in own.items()}
+        found = []
+        for leaf in set(own) - set(up.values()):
+            path, at = [], leaf
+            while at is not None and len(path) <= len(own):
+                path.append(at)
+                at = up[at]
+            if at is None:
+                found.append((-sum(own[n][3][1] for n in path), -len(path), leaf, path[::-1]))
+        for i, (score, _, leaf, path) in enumerate(sorted(found)[:branches]):
+            out[conv, i + 1] = (leaf, -score, "".join(f"<|im_start|>{own[n][1][1]}\n{own[n][2][1]}<|im_end|>\n" for n in path))
+    return out
+
+
+def test_random_forests(spark):
+    """Cycles, orphans, ties, repeats, nulls and several roots, against a walk from every leaf."""
+    rnd, rows = random.Random(7), []
+    for conv in range(60):
+        n = rnd.randint(1, 14)
+        for node in range(n):
+            parent = rnd.choice([None, n + 5, node, *range(n)]) if rnd.random() < 0.25 else (rnd.randrange(node) if node else None)
+            rows.append((conv, node, parent, rnd.choice([None, 0.0, 1.0, 2.0, -1.0]), rnd.choice(["user", "assistant", None]), rnd.choice([f"n{node}", "", None])))
+            if rnd.random() < 0.2:  # the same node again, with another parent or text
+                rows.append((conv, node, rnd.choice([parent, None, 0]), rnd.choice([0.0, 3.0]), "user", "again"))
+    rows += [(None, 1, None, 1.0, "user", "no conversation"), (1, None, None, 1.0, "user", "no node")]
+    df = spark.createDataFrame(rows, NODES)
+    found = {(r["conv_id"], r["branch"]): (r["leaf"], r["score"], r["formatted"]) for r in C.format_trees(df, branches=3).collect()}
+    want = walked(rows, 3)
+    assert len(want) > 80 and found == want
+
+
 def test_empty_table(spark):
     assert C.format_trees(spark.createDataFrame([], NODES)).count() == 0
     assert C.digests(C.format_trees(C.as_threads(spark.createDataFrame([], TURNS)), distinct_nodes=True)).count() == 0
