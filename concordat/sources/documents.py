@@ -1,7 +1,8 @@
 """Documents from files: bytes to pages.
 
 Files are read by Spark's own binary source, so that any store works that Spark reaches. Text files are
-paged at form feeds; files of no bytes give no row, as Spark's reader passes them over. PDF needs a parser, which is given as a function from bytes to page texts; the
+paged at form feeds. Spark's reader passes over files of no bytes; these are listed beside it, so that each
+is a document with an error. PDF needs a parser, which is given as a function from bytes to page texts; the
 library brings none.
 """
 
@@ -27,9 +28,26 @@ def split_form_feeds(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def read_documents(spark: SparkSession, path: str, parser: Parser = split_form_feeds) -> DataFrame:
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files of no bytes at ``path`` (a file, folder or pattern); hidden ones are passed over, as Spark does."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    for root in store.globStatus(where) or ():
+        files = store.listFiles(root.getPath(), True)
+        while files.hasNext():
+            one = files.next()
+            if one.getLen() == 0 and not one.getPath().getName().startswith(("_", ".")):
+                found.append(one.getPath().toString())
+    return found
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """document_id, document_name, path and content of the files at ``path``; equal bytes have equal ids."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    empty = empty_files(spark, path)
+    if empty:
+        none = spark.createDataFrame([(p,) for p in empty], "path string")
+        files = files.unionByName(none.withColumn("content", F.lit("").cast("binary")))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(short_hash(F.col("content")).alias("document_id"), name.alias("document_name"), "path", "content")
 

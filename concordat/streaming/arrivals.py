@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.facts import normalize_facts, pairs_by_period
 from ..operators.relations import classify, compare, surfaces
 from ..shared import durable
-from ..shared import durable
 
 
 def distinct_claims(stream: DataFrame, time: str = "arrived", delay: str = "1 hour") -> DataFrame:
@@ -32,10 +31,6 @@ def relate_batch(arrived: DataFrame, stored: DataFrame) -> DataFrame:
 PARTS = 64
 
 
-#: Stored facts lie in so many parts by what they are about; a batch reads those that its own facts are in.
-PARTS = 64
-
-
 def run(stream: DataFrame, facts_path: str, relations_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Appends each batch's facts and relations; a batch that is run again writes the same partition again."""
 

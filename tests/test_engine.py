@@ -25,8 +25,16 @@ def folder(tmp_path):
 
 def test_parse(spark, folder):
     rows = Engine(spark).parse(f"{folder}/*.txt").orderBy("document_name", "page_number").collect()
-    assert [(r["document_name"], r["page_number"]) for r in rows] == [("annual.txt", 1), ("annual.txt", 2), ("deck.txt", 1), ("deck.txt", 2), ("odd.txt", None)]
-    assert "\r" not in rows[2]["text"] and rows[4]["error"].startswith("UnicodeDecodeError") and rows[0]["has_text"]
+    assert [(r["document_name"], r["page_number"]) for r in rows] == [("annual.txt", 1), ("annual.txt", 2), ("deck.txt", 1), ("deck.txt", 2), ("none.txt", None), ("odd.txt", None)]
+    assert "\r" not in rows[2]["text"] and rows[5]["error"].startswith("UnicodeDecodeError") and rows[0]["has_text"]
+    assert rows[4]["error"] == "ValueError: the document is empty"
+
+
+def test_only_empty_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"")
+    (tmp_path / "_hidden").write_bytes(b"")
+    for path in (tmp_path, f"{tmp_path}/*.txt", f"{tmp_path}/a.txt"):
+        assert [(r["document_name"], r["error"]) for r in Engine(spark).parse(str(path)).collect()] == [("a.txt", "ValueError: the document is empty")]
 
 
 def test_analyze_store_and_load(spark, folder, tmp_path):
@@ -52,7 +60,7 @@ def test_a_failed_save_leaves_the_store_as_it_was(spark, folder, tmp_path):
     engine = Engine(spark, store=store)
     pages = engine.parse(f"{folder}/*.txt")
     done = engine.analyze(pages)
-    assert [r["error"][:12] for r in done["errors"].collect()] == ["UnicodeDecod"] and done["status"].first()["status"] == "COMPLETE"
+    assert sorted(r["error"][:12] for r in done["errors"].collect()) == ["UnicodeDecod", "ValueError: "] and done["status"].first()["status"] == "COMPLETE"
     first = done["summary"].first()["analysis_id"]
     before = {k: v.count() for k, v in engine.load(first).items()}
     broken = done["relationships"].withColumn("explanation", F.raise_error(F.lit("disk full")).cast("string"))
