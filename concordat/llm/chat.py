@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, let
+from ._common import durable, let, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns are ranked and texts joined in runs of about so many turns before the runs are.
 RUN = 128
+#: The run of rows without a turn, which come first.
+NO_TURN = -(1 << 63)
 
 
 def escape(text: Column) -> Column:
@@ -50,12 +52,13 @@ def unescape_role(role: Column) -> Column:
 
 def as_threads(turns: DataFrame) -> DataFrame:
     """A table of turns (conv_id, turn, role, text) as trees without branches; all rows are kept."""
-    rows = turns.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / RUN).alias("run"))
+    rows = turns.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(NO_TURN)).alias("run"))
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = rows.groupBy("conv_id", "run").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
     runs = runs.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), "before")
     within = F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text")) - 1
-    placed = rows.withColumn("at", within).join(runs, (F.col("conv_id") == F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
+    # The join's keys are the window's, so that texts are dealt once.
+    placed = rows.withColumn("at", within).join(runs, (F.col("conv_id") == F.col("c")) & (F.col("run") == F.col("r")))
     node = (F.col("before") + F.col("at")).cast("long")
     return placed.select("conv_id", node.alias("node"), F.when(node > 0, node - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
@@ -112,6 +115,7 @@ def format_trees(nodes: DataFrame, branches: int = 1, distinct_nodes: bool = Fal
     if not distinct_nodes:
         least = F.min(F.struct("parent", "role", "text", "score")).alias("m")
         nodes = nodes.groupBy("conv_id", "node").agg(least).select("conv_id", "node", "m.parent", "m.score", "m.role", "m.text")
+    nodes = written(nodes)  # each round reads ids alone, and texts are neither ordered nor deduplicated again
     paths = best_paths(nodes, branches)
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
