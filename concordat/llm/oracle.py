@@ -1,8 +1,8 @@
 """DuckDB SQL for the training-data queries that SQL can express.
 
-There is none for op3 (best-fit search), op6 (a trained model), op7 (pair merging), op9 (XXH64 and
-transitive links) and the pipeline, which uses three of these; tests hold them against brute force,
-exact round trips or held-out accuracy.
+There is none for op3 (best-fit search), op6 (a trained model), op7 and op13 (pair merging), op9 (XXH64 and
+transitive links), op11 (eigenvectors) and the pipeline, which uses three of these; tests hold them
+against brute force, exact round trips or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -110,6 +110,18 @@ def _op10() -> str:
 SELECT d.doc_id, sha256({flat('d.c')}) AS canonical_sha256, lib.ids AS whole_license, notice_licenses FROM d LEFT JOIN lib ON sha256({flat('d.c')}) = digest LEFT JOIN notes ON notes.doc_id = d.doc_id"""
 
 
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask, count(*) AS n FROM w LEFT JOIN l USING (doc_id) GROUP BY ALL), letters AS (SELECT unnest(range(5)) AS x), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5), f AS (
+  SELECT part, o, s, o[s] AS bit, n, good, toxic, mask, mask >> o[s] & 1 = 1 AS fails, coalesce(list_sum(list_transform(o[1:s - 1], lambda i: mask >> i & 1)), 0) > 0 AS gone FROM m, orders, range(1, 6) AS steps(s)), sums AS (
+  SELECT part, o, s, bit, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = 1 << bit), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost FROM f GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda x: chr((65 + x)::INT)), '') AS filter_order, s::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM sums"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _op1(),
@@ -118,4 +130,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_revisits": _op5(),
         "op8_nearest_neighbours": OP8,
         "op10_license_scan": _op10(),
+        "op12_filter_audit": OP12,
     }

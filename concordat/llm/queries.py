@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, classifier, licenses, packing, quality_rules, simhash, url_filter, warc
+from . import ann, bpe, bpe_fragments, chat, classifier, filter_audit, licenses, packing, quality_rules, simhash, url_filter, warc, whitening
 from ._common import table
 
 
@@ -69,6 +69,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.known_licenses(spark))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op13_bpe_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query and op7 need the vocabulary files
+
+    return bpe_fragments.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_rules,
@@ -81,5 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_simhash,
         op10_license_scan,
+        op11_embedding_whitening,
+        op12_filter_audit,
+        op13_bpe_fragments,
     )
     return {f.__name__: f for f in own}
