@@ -58,45 +58,48 @@ def canonical_table(rules: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Host labels from the right, then path segments; a node holds the entries that end there."""
+    """Host labels from the right, then path segments; a node holds the entries that end there.
+
+    Nodes are numbers and edges one flat table, so that a rule of any depth can be sent to the executors.
+    """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
-        self.root: dict = {}
-        ends: list[dict] = []
+        self.edges: dict[tuple[int, str], int] = {}
+        self.ends: dict[int, dict[str, tuple[str, str]]] = {}
         for action, host, path in rules:
-            node = self.root
+            node = 0
             for label in reversed(host.split(".") if host else []):
-                node = node.setdefault(("h", label), {})
+                node = self._below(node, "." + label)
             *whole, rest = path.split("/")
             for segment in whole:  # segments that a slash ends
-                node = node.setdefault(("p", segment), {})
-            if "ends" not in node:
-                node["ends"] = {}
-                ends.append(node)
-            node["ends"][rest] = (f"{host}{path}", action)  # by what the next segment must start with
-        for node in ends:  # the lengths that occur, longest first, so that a look-up needs no pass over the entries
-            node["lengths"] = tuple(sorted({len(e) for e in node["ends"]}, reverse=True))
+                node = self._below(node, "/" + segment)
+            self.ends.setdefault(node, {})[rest] = (f"{host}{path}", action)  # by what the next segment must start with
+        # The lengths that occur, longest first, so that a look-up needs no pass over the entries.
+        self.lengths = {node: tuple(sorted({len(e) for e in ends}, reverse=True)) for node, ends in self.ends.items()}
+
+    def _below(self, node: int, label: str) -> int:
+        return self.edges.setdefault((node, label), len(self.edges) + 1)
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
         """The rule and action of the longest match: deepest host first, then longest path."""
-        best, node = (None, None), self.root
+        best, node = (None, None), 0
         segments = path.split("/")
         for label in [None, *reversed(host.split("."))]:
             if label is not None:
-                node = node.get(("h", label))
+                node = self.edges.get((node, "." + label))
                 if node is None:
                     break
             at = node
             for k, segment in enumerate(segments):
-                if "ends" in at:
-                    ends = at["ends"]
-                    for n in at["lengths"]:
+                if at in self.ends:
+                    ends = self.ends[at]
+                    for n in self.lengths[at]:
                         if n <= len(segment) and segment[:n] in ends:
                             best = ends[segment[:n]]
                             break
                 if k == len(segments) - 1:
                     break
-                at = at.get(("p", segment))
+                at = self.edges.get((at, "/" + segment))
                 if at is None:
                     break
         return best

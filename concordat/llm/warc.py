@@ -12,8 +12,10 @@ Outcomes: ``resolved``; ``changed`` (the ETags, or without both of these the Las
 differ); ``unvalidated`` (nothing on both sides to compare); ``no_response`` (none is earlier).
 
 ``parse_warc`` unpacks a file member by member and holds one record at a time; what cannot be read (a
-file cut off, a length that is no number, a record of over ``MAX_RECORD`` bytes, bad compression) is a
-row of its own with its ``error``, and reading goes on at the next record where there is one.
+file cut off, a length that is no number, a record of over ``MAX_RECORD`` bytes, a damaged member) is a
+row of its own with its ``error``, and reading goes on at the next record where there is one. A damaged
+member is one error; a record whose length was met before the damage is given with it, and the next
+member is looked for in the packed bytes by how one begins.
 
 Defined results: only responses with status 200 are full; of responses at the same time the greater
 record id is the later; a response at the revisit's own time is not earlier; a record without a date
@@ -28,6 +30,7 @@ import gzip
 import io
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -142,45 +145,118 @@ def _parse_headers(block: bytes) -> tuple[str, dict[str, str]]:
     return first, out
 
 
-def _unpacked(content: bytes) -> Iterator[bytes]:
-    """The bytes of a file, gzipped by record, as a whole, or not at all, in steps of bounded size."""
-    if content[:2] != b"\x1f\x8b":
+@dataclass
+class Damage:
+    """What stands between the bytes of a file where a compressed member is damaged."""
+
+    error: str
+    gave: bool
+    """Whether the member gave any bytes before."""
+
+
+MAGIC = b"\x1f\x8b\x08"
+
+
+def _member_head(content: memoryview, at: int) -> int:
+    """Where a gzip member's data begin; raises ValueError if none begins at ``at``."""
+    if content[at : at + 3] != MAGIC or len(content) < at + 10:
+        raise ValueError("no compressed member begins here")
+    flags, data = content[at + 3], at + 10
+    if flags & 4:
+        data += 2 + int.from_bytes(content[data : data + 2], "little")
+    for flag in (8, 16):  # a name and a comment, each ended by a zero
+        if flags & flag:
+            while data < len(content) and content[data]:
+                data += 1
+            data += 1
+    return data + 2 * bool(flags & 2)
+
+
+def _next_member(packed: bytes, at: int) -> int:
+    """The next place at which a member begins that holds a record; the file's length if there is none."""
+    while (at := packed.find(MAGIC, at)) >= 0:
+        try:
+            start = _member_head(memoryview(packed), at)
+            if zlib.decompressobj(-15).decompress(packed[start : start + 4096], 5) == b"WARC/":
+                return at
+        except (ValueError, zlib.error):
+            pass
+        at += 1
+    return len(packed)
+
+
+def _salvaged(member, part: bytes) -> Iterator[bytes]:
+    """What a damaged part gives up to the damage."""
+    try:
+        for k in range(len(part)):
+            yield member.decompress(part[k : k + 1])
+    except zlib.error:
+        return
+
+
+def _unpacked(content: bytes) -> Iterator[bytes | Damage]:
+    """The bytes of a file, gzipped by record, as a whole, or not at all, in steps of bounded size.
+
+    Where a member is damaged, what it gave is followed by a ``Damage``, and the next whole member goes on.
+    """
+    if content[:2] != MAGIC[:2]:
         for at in range(0, len(content), STEP):
             yield content[at : at + STEP]
         return
-    view, at = memoryview(content), 0
-    while at < len(content):
-        member = zlib.decompressobj(31)
-        while not member.eof:
-            if at >= len(content):
-                raise EOFError("the file is cut off inside of a compressed member")
-            part = view[at : at + STEP]
-            at += len(part)
-            out = member.decompress(part, STEP)
-            while out or member.unconsumed_tail:
-                if out:
-                    yield out
-                out = member.decompress(member.unconsumed_tail, STEP) if member.unconsumed_tail else b""
-        at -= len(member.unused_data)
-        while at < len(content) and content[at] == 0:  # padding between members
-            at += 1
+    view, begin = memoryview(content), 0
+    while begin < len(content):
+        check, size = 0, 0
+        try:
+            at = _member_head(view, begin)
+            member = zlib.decompressobj(-15)
+            while not member.eof:
+                part, before = bytes(view[at : at + max(1, STEP // 4)]), member.copy()
+                at += len(part)
+                try:
+                    out = member.decompress(part, STEP)
+                    if not (part or out or member.eof):
+                        raise EOFError("the file is cut off inside of a compressed member")
+                    while out or member.unconsumed_tail:
+                        check, size = zlib.crc32(out, check), size + len(out)
+                        yield out
+                        part, before = member.unconsumed_tail, member.copy() if member.unconsumed_tail else before
+                        out = member.decompress(part, STEP) if part else b""
+                except zlib.error:
+                    for out in _salvaged(before, part):
+                        size += len(out)
+                        yield out
+                    raise
+            at -= len(member.unused_data)
+            if view[at : at + 8] != check.to_bytes(4, "little") + (size & 0xFFFFFFFF).to_bytes(4, "little"):
+                raise ValueError("a compressed member does not have its checksum")
+            begin = at + 8
+            while begin < len(content) and content[begin] == 0:  # padding between members
+                begin += 1
+        except (ValueError, EOFError, zlib.error) as e:
+            yield Damage(f"{type(e).__name__}: {e}", size > 0)
+            begin = _next_member(content, begin + 1)
 
 
 class _Reader:
-    """Bytes of a file taken as they are asked for."""
+    """Bytes of a file taken as they are asked for, up to the next damage."""
 
     def __init__(self, content: bytes):
-        self.parts, self.held, self.fault = _unpacked(content), bytearray(), None
+        self.parts, self.held, self.fault, self.own = _unpacked(content), bytearray(), None, False
 
     def more(self) -> bool:
-        try:
-            self.held += next(self.parts)
-        except StopIteration:
-            return False
-        except (zlib.error, EOFError) as e:
-            self.fault = self.fault or f"{type(e).__name__}: {e}"
-            return False
-        return True
+        part = next(self.parts, None) if self.fault is None else None
+        if isinstance(part, Damage):
+            self.fault, self.own = part.error, part.gave
+        elif part is not None:
+            self.held += part
+            return True
+        return False
+
+    def resume(self) -> bool:
+        """Goes on after a damage; False at the file's end."""
+        self.held.clear()
+        damaged, self.fault = self.fault is not None, None
+        return damaged
 
     def find(self, mark: bytes, most: int) -> int:
         """Where ``mark`` begins, reading on as needed; -1 if it doesn't within ``most`` bytes."""
@@ -231,45 +307,52 @@ def parse_warc(content: bytes) -> Iterator[dict]:
     while True:
         start = source.find(b"WARC/", MAX_HEAD)
         if start < 0:
-            left = bytes(source.held).strip(b"\r\n\0 ")
             if len(source.held) > MAX_HEAD:  # no record begins here: on to where one may
                 del source.held[: len(source.held) - 5]
                 continue
-            if source.fault or (left and not told):
+            if source.fault or (bytes(source.held).strip(b"\r\n\0 ") and not told):
                 yield _failed(source.fault or "what follows the last record is none")
-            return
+            if not source.resume():
+                return
+            told = False
+            continue
         del source.held[:start]
         told = False
         stop = source.find(b"\r\n\r\n", MAX_HEAD)
         if stop < 0:
             yield _failed(source.fault or "a record's headers have no end")
-            if len(source.held) <= MAX_HEAD:
+            if len(source.held) > MAX_HEAD:
+                del source.held[:5]
+                told = True
+            elif not source.resume():
                 return
-            del source.held[:5]
-            told = True
             continue
         _, head = _parse_headers(source.take(stop + 4)[:-4])
         length = head.get("content-length", "0")
         if not (length.isascii() and length.isdigit()):
-            yield _failed(f"Content-Length is no number: {length!r}", head)
+            yield _failed(f"Content-Length is no number: {length[:100]!r}", head)
             told = True
             continue
-        if int(length) > MAX_RECORD:
-            yield _failed(f"the record has {length} bytes, more than {MAX_RECORD}", head)
-            if not source.skip(int(length)):
+        if len(length.lstrip("0")) > len(str(MAX_RECORD)) or int(length.lstrip("0") or 0) > MAX_RECORD:
+            yield _failed(f"the record has more than {MAX_RECORD} bytes: {length[:100]}", head)
+            if len(length) > 18:  # no such record is there to be passed over
+                told = True
+            elif not source.skip(int(length)) and not source.resume():
                 return
             continue
-        body = source.take(int(length))
+        body = source.take(int(length.lstrip("0") or 0))
         if body is None:
             yield _failed(source.fault or "the record is cut off", head)
-            return
+            if not source.resume():
+                return
+            continue
         status, headers, payload = None, {}, body
         if body.startswith(b"HTTP/"):
             top, _, payload = body.partition(b"\r\n\r\n")
             line, headers = _parse_headers(top)
             code = line.split()[1] if len(line.split()) > 1 else ""
             status = int(code) if code.isascii() and code.isdigit() and len(code) <= 9 else None
-        yield {
+        row = {
             "record_id": head.get("warc-record-id", "").strip("<>"),
             "type": head.get("warc-type"),
             "target_uri": head.get("warc-target-uri"),
@@ -281,6 +364,13 @@ def parse_warc(content: bytes) -> Iterator[dict]:
             "refers_to": head.get("warc-refers-to", "").strip("<>") or None,
             "error": None,
         }
+        if source.find(b"WARC/", MAX_HEAD) < 0 and source.fault and source.own and not bytes(source.held).strip(b"\r\n\0 "):
+            row["error"] = source.fault  # it came whole, but its member is damaged
+            yield row
+            if not source.resume():
+                return
+            continue
+        yield row
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -289,6 +379,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A file's packed bytes are held by its task, so its size is bounded by ``spark.sql.sources.binaryFile.maxLength``
     and the worker's memory; unpacked, one record is held at a time. Rows with ``error`` tell what could not be read.
     """
+    return records_of(spark.read.format("binaryFile").load(path))
+
+
+def records_of(files: DataFrame) -> DataFrame:
+    """All records of WARC files given as rows with their ``content``."""
     fields = [f.split()[0] for f in RECORD.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.string(), pa.string()]
 
@@ -309,9 +404,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         columns = [[list(r[f].items()) if f == "headers" else r[f] for r in rows] for f in fields]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
-    ship(spark)
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    parsed = raw.mapInArrow(run, RECORD.replace("date timestamp", "date string"))
+    ship(files.sparkSession)
+    parsed = files.select("content").mapInArrow(run, RECORD.replace("date timestamp", "date string"))
     return parsed.withColumn("date", F.try_to_timestamp("date")).select(*fields)
 
 

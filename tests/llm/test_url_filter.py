@@ -59,8 +59,15 @@ def test_many_rules_by_trie_and_by_join(spark, monkeypatch):
 def test_many_paths_of_one_host_are_not_searched_one_by_one():
     trie = U.Trie([("block", "x.org", f"/a/{i:05}") for i in range(20_000)])
     assert trie.find("www.x.org", "/a/01234/more") == ("x.org/a/01234", "block") and trie.find("x.org", "/a/x") == (None, None)
-    node = trie.root["h", "org"]["h", "x"]["p", ""]["p", "a"]
-    assert node["lengths"] == (5,) and len(node["ends"]) == 20_000
+    assert list(trie.lengths.values()) == [(5,)] and [len(e) for e in trie.ends.values()] == [20_000] and len(trie.edges) == 4
+
+
+def test_rules_of_any_depth(spark):
+    path, host = "/" + "a/" * 100_000, ".".join(["b"] * 5_000)
+    rules = [("block", "x.org", path), ("allow", host, "/")]
+    pages = spark.createDataFrame([(1, "http://x.org" + path + "c"), (2, "http://x.org" + path[:-1]), (3, f"http://www.{host}/p"), (4, "http://b.b/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.filter_urls(pages, rules, default="none").collect()}
+    assert got == {1: ("x.org" + path, "block"), 2: (None, "none"), 3: (host + "/", "allow"), 4: (None, "none")}
 
 
 def test_no_rules_and_no_pages(spark):

@@ -1,4 +1,6 @@
 import gzip
+import io
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -96,6 +98,48 @@ def test_what_cannot_be_read_is_a_row(monkeypatch):
     assert read(plain(b"x" * 50, b"y")) == [("urn:0", None, "the record h"), ("urn:1", b"y", "")]
 
 
+def test_records_after_a_damaged_member_are_read(monkeypatch):
+    rnd = random.Random(3)
+    bodies = ["".join(rnd.choice("abcdef ") for _ in range(6000)).encode() for _ in range(4)]
+    packed = [gzip.compress(plain(b)) for b in bodies]
+    for step in (5, 100, 1 << 20):
+        monkeypatch.setattr(W, "STEP", step)
+        wrong_sum = bytearray(packed[1])
+        wrong_sum[-6] ^= 1
+        got = read(b"".join([packed[0], bytes(wrong_sum), packed[2], packed[3]]))
+        assert [r[1] for r in got] == bodies  # its own record came whole
+        assert [bool(r[2]) for r in got] == [False, True, False, False]
+        torn = packed[1][:900]  # the next member begins inside of it
+        got = read(b"".join([packed[0], torn, packed[2], packed[3]]))
+        assert [r[1] for r in got[:1] + got[2:]] == [bodies[0], bodies[2], bodies[3]] and [bool(r[2]) for r in got] == [False, True, False, False]
+        headless = b"\x1f\x8b\x09" + packed[1][3:]
+        assert [r[1] for r in read(b"".join([packed[0], headless, packed[2]]))] == [bodies[0], None, bodies[2]]
+        assert [r[1] for r in read(b"".join([packed[0], b"junk between" * 40, packed[2]]))] == [bodies[0], None, bodies[2]]
+    two = gzip.compress(plain(b"first", bodies[0][:3000], b"last" * 100))
+    hurt = bytearray(two)
+    hurt[len(two) // 2] ^= 255
+    got = read(bytes(hurt) + packed[3])
+    assert got[0][1] == b"first" and got[-1][1] == bodies[3] and any(r[2] for r in got)
+
+
+def test_names_in_member_heads_and_padding():
+    named = io.BytesIO()
+    with gzip.GzipFile("some name", "wb", fileobj=named) as f:
+        f.write(plain(b"x"))
+    extra = bytearray(gzip.compress(plain(b"y")))
+    extra[3] |= 4 | 16
+    extra[10:10] = b"\x03\x00abc" + b"a comment\0"
+    got = read(named.getvalue() + bytes(12) + bytes(extra) + gzip.compress(b"") + gzip.compress(plain(b"z")))
+    assert [r[1:] for r in got] == [(b"x", ""), (b"y", ""), (b"z", "")]
+
+
+def test_lengths_of_any_number_of_digits():
+    for digits in (19, 5000, 100_000):
+        got = read(plain(b"abc", length=b"9" * digits) + plain(b"next"))
+        assert [(r[1], bool(r[2])) for r in got] == [(None, True), (b"next", False)]
+    assert read(plain(b"abc", length=b"0" * 5000 + b"3")) == [("urn:0", b"abc", "")]
+
+
 def test_files_of_all_kinds_in_one_job(spark, tmp_path):
     files = {"a.warc.gz": gzip.compress(plain(b"one"))[:-15], "b.warc": plain(b"x", length=b"?"), "c.warc": plain(b"fine"), "d.warc": b""}
     for name, content in files.items():
