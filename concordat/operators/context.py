@@ -70,9 +70,18 @@ def with_regions(pages: DataFrame) -> DataFrame:
     return pages.withColumn("lines", lines(F.col("text"))).withColumn("regions", regions(F.col("lines")))
 
 
+def _each(pages: DataFrame, column: str, name: str) -> DataFrame:
+    """A row for each entry of an array.
+
+    From a plain ``explode`` follows a filter on the array's size, which would evaluate all that makes the
+    array once more for every condition; of an outer one the empty rows are dropped afterwards.
+    """
+    return pages.select("document_id", "page_number", F.explode_outer(column).alias(name)).filter(F.col(name).isNotNull())
+
+
 def line_regions(pages: DataFrame) -> DataFrame:
     """One row for every fact-bearing line."""
-    rows = with_regions(pages).select("document_id", "page_number", F.explode("regions").alias("r"))
+    rows = _each(with_regions(pages), "regions", "r")
     return rows.select("document_id", "page_number", "r.line_no", F.col("r.anchor").alias("anchor_text"), "r.signals", F.col("r.line").alias("line_text"))
 
 
@@ -86,7 +95,7 @@ def with_windows(pages: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def context_windows(pages: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row for every window."""
-    rows = with_windows(pages, radius).select("document_id", "page_number", F.explode("windows").alias("w"))
+    rows = _each(with_windows(pages, radius), "windows", "w")
     return rows.select("document_id", "page_number", "w.start_line", "w.end_line", "w.anchors", "w.signals", "w.source_text", F.length("w.source_text").alias("char_count"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import vocab as V
 from ..functions.text import strip
+from ..shared import durable
 
 #: What a pair carries of each side, with the prefix a_ or b_.
 CARRIED = (
@@ -185,55 +186,95 @@ def metric_tokens(metric: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*V.METRIC_STOPWORDS)), singular))
 
 
-def candidate_pairs(facts: DataFrame) -> DataFrame:
-    """Pairs of one entity whose metrics are near enough, with score and reasons."""
-    tokens = facts.withColumn("tokens", metric_tokens(F.col("mkey"))).select(F.col("pos").alias("__pos"), "tokens")
-    # Tokens ride along on both sides, so they are made once for a fact and not once for a pair.
-    sides = facts.join(tokens, facts["pos"] == tokens["__pos"]) if "tokens" not in facts.columns else facts
-    able = sides.filter("ekey <> '' AND mkey <> ''")
-    a = able.select(*(F.col(c).alias("a_" + c) for c in (*CARRIED, "tokens")))
-    b = able.select(*(F.col(c).alias("b_" + c) for c in (*CARRIED, "tokens")))
-    on = (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id"))
-    pairs = a.hint("merge").join(b, on).filter(units_agree())
-    ta, tb = F.col("a_tokens"), F.col("b_tokens")
-    core = lambda t: F.filter(t, lambda x: ~x.isin(*V.QUANTITY_WORDS))
-    pairs = pairs.withColumns({"common": F.array_intersect(ta, tb), "n_union": F.size(F.array_union(ta, tb)), "core_a": core(ta), "core_b": core(tb)})
-    pairs = pairs.withColumn("common_core", F.array_intersect("core_a", "core_b"))
-    n, na, nb = F.size("common"), F.size("a_tokens"), F.size("b_tokens")
-    nc, ca, cb = F.size("common_core"), F.size("core_a"), F.size("core_b")
-    listed = lambda c: F.array_join(F.array_sort(c), ", ")
-    jaccard = n / F.col("n_union")
+def metric_terms(facts: DataFrame) -> DataFrame:
+    """ekey, mkey, tokens and core of every distinct metric of an entity; tokens stand from rare to frequent.
+
+    How frequent a token is follows from all distinct metrics. Words are read off each distinct metric once.
+    """
+    able = facts.filter("ekey <> '' AND mkey <> ''").select("ekey", "mkey").distinct()
+    words = able.select("mkey").distinct().select("mkey", F.explode(metric_tokens(F.col("mkey"))).alias("token"))
+    counts = words.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = words.join(counts, "token").groupBy("mkey").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o"))
+    named = ordered.select("mkey", F.transform("o", lambda x: x["token"]).alias("tokens"))
+    core = F.filter("tokens", lambda x: ~x.isin(*V.QUANTITY_WORDS))
+    return able.join(named, "mkey").select("ekey", "mkey", "tokens", core.alias("core"))
+
+
+def metric_candidates(terms: DataFrame) -> DataFrame:
+    """Pairs of different metrics of one entity that can be near each other, by tokens that both have.
+
+    A set-similarity join by prefixes: of two sets with at least half of all their tokens in common, each has
+    one of its ``size // 2 + 1`` rarest tokens in common with the other's; a set within another has its own
+    rarest token there. A pair may be found in several ways, and the side a is the smaller metric.
+    """
+
+    def filed(tokens: Column, name: str) -> DataFrame:
+        kept = [F.col(c).alias(f"{name}_{c}") for c in ("mkey", "tokens", "core")]
+        return terms.select("ekey", F.explode(tokens).alias("token"), *kept)
+
+    t, c = F.col("tokens"), F.col("core")
+    size = lambda side, of="tokens": F.size(f"{side}_{of}")
+    prefix = F.slice(t, F.lit(1), F.floor(F.size(t) / 2).cast("int") + 1)
+    on = ["ekey", "token"]
+    alike = filed(prefix, "a").join(filed(prefix, "b"), on).filter("a_mkey < b_mkey")
+    alike = alike.filter((2 * size("a") >= size("b")) & (2 * size("b") >= size("a")))
+
+    def within(tokens: Column, of: str) -> DataFrame:
+        """One set's rarest token among another's, put in order."""
+        found = filed(F.slice(tokens, 1, 1), "a").join(filed(tokens, "b"), on).filter("a_mkey <> b_mkey").filter(size("a", of) <= size("b", of))
+        turned = F.col("a_mkey") > F.col("b_mkey")
+        sides = [(F.when(turned, F.col(f"{y}_{k}")).otherwise(F.col(f"{x}_{k}"))).alias(f"{x}_{k}") for x, y in ("ab", "ba") for k in ("mkey", "tokens", "core")]
+        return found.select("ekey", *sides)
+
+    columns = ["ekey", *(f"{x}_{k}" for x in "ab" for k in ("mkey", "tokens", "core"))]
+    return alike.select(*columns).unionByName(within(t, "tokens")).unionByName(within(c, "core"))
+
+
+def near_metrics(terms: DataFrame) -> DataFrame:
+    """ekey, a_mkey, b_mkey (the greater one), candidate_score and reasons of different metrics that are near enough."""
+    ta, tb, ca_, cb_ = F.col("a_tokens"), F.col("b_tokens"), F.col("a_core"), F.col("b_core")
+    pairs = metric_candidates(terms).withColumns({"common": F.array_intersect(ta, tb), "common_core": F.array_intersect(ca_, cb_)})
+    n, na, nb = F.size("common"), F.size(ta), F.size(tb)
+    nc, ca, cb = F.size("common_core"), F.size(ca_), F.size(cb_)
+    union = na + nb - n
     cores = (ca > 0) & (cb > 0)
     kind = (
-        F.when(F.col("a_mkey") == F.col("b_mkey"), "exact")
-        .when((na == 0) | (nb == 0), None)
+        F.when((na == 0) | (nb == 0), None)
         .when((n == na) & (n == nb), "tokens")
         .when((n == na) | (n == nb), "subset")
         .when(cores & (nc == ca) & (nc == cb), "core")
         .when(cores & ((nc == ca) | (nc == cb)), "core_subset")
-        .when(2 * n >= F.col("n_union"), "overlap")
+        .when(2 * n >= union, "overlap")
     )
     # Hundredths of (1 + n / union) / 2, ties to even, in whole numbers.
-    twice = 100 * (F.col("n_union") + n)
-    unit = 2 * F.col("n_union")
+    twice, unit = 100 * (union + n), 2 * union
     whole, rest = F.floor(twice / unit), F.pmod(twice, unit)
     rounded = whole + F.when(2 * rest > unit, 1).when((2 * rest == unit) & (whole % 2 == 1), 1).otherwise(0)
-    score = (
-        F.when(F.col("kind") == "exact", F.lit(1.0))
-        .when(F.col("kind") == "tokens", 0.95)
-        .when(F.col("kind") == "subset", 0.85)
-        .when(F.col("kind") == "core", 0.80)
-        .when(F.col("kind") == "core_subset", 0.75)
-        .otherwise(rounded / 100)
-    )
+    score = F.when(F.col("kind") == "tokens", 0.95).when(F.col("kind") == "subset", 0.85).when(F.col("kind") == "core", 0.80).when(F.col("kind") == "core_subset", 0.75).otherwise(rounded / 100)
+    listed = lambda c: F.array_join(F.array_sort(c), ", ")
     reason = (
-        F.when(F.col("kind") == "exact", "EXACT_METRIC_MATCH")
-        .when(F.col("kind") == "tokens", "CANONICAL_METRIC_TOKEN_MATCH")
+        F.when(F.col("kind") == "tokens", "CANONICAL_METRIC_TOKEN_MATCH")
         .when(F.col("kind") == "subset", F.concat(F.lit("METRIC_SUBSET_MATCH: "), listed("common")))
-        .when(F.col("kind") == "core", F.concat(F.lit("METRIC_CORE_NOUN_MATCH: "), listed("core_a")))
+        .when(F.col("kind") == "core", F.concat(F.lit("METRIC_CORE_NOUN_MATCH: "), listed("common_core")))
         .when(F.col("kind") == "core_subset", F.concat(F.lit("METRIC_CORE_SUBSET_MATCH: "), listed("common_core")))
-        .otherwise(F.concat(F.lit("HIGH_PRECISION_METRIC_OVERLAP (Jaccard "), F.format_number(jaccard, 2), F.lit("): "), listed("common")))
+        .otherwise(F.concat(F.lit("HIGH_PRECISION_METRIC_OVERLAP (Jaccard "), F.format_number(n / union, 2), F.lit("): "), listed("common")))
     )
-    found = pairs.withColumn("kind", kind).filter("kind IS NOT NULL")
-    drop = ("a_tokens", "b_tokens", "common", "n_union", "core_a", "core_b", "common_core", "kind")
-    return found.withColumns({"candidate_score": score, "reasons": F.array(F.lit("ENTITY_MATCH"), reason)}).drop(*drop)
+    found = pairs.withColumn("kind", kind).filter("kind IS NOT NULL").withColumns({"candidate_score": score, "reasons": F.array(F.lit("ENTITY_MATCH"), reason)})
+    return found.select("ekey", "a_mkey", "b_mkey", "candidate_score", "reasons").dropDuplicates(["ekey", "a_mkey", "b_mkey"])
+
+
+def candidate_pairs(facts: DataFrame) -> DataFrame:
+    """Pairs of one entity whose metrics are near enough, with score and reasons.
+
+    Which metrics of an entity are near is found among its distinct metrics, by shared tokens; facts then meet
+    by metrics that are equal or near, so that hardly more pairs are made than are given.
+    """
+    facts = durable(facts)  # read for the terms and for both sides
+    able = facts.filter("ekey <> '' AND mkey <> ''")
+    exact = pair_up(facts, exact_metric=True).withColumns({"candidate_score": F.lit(1.0), "reasons": F.array(F.lit("ENTITY_MATCH"), F.lit("EXACT_METRIC_MATCH"))})
+    near = near_metrics(metric_terms(facts)).select(F.col("ekey").alias("of"), F.col("a_mkey").alias("one"), F.col("b_mkey").alias("other"), "candidate_score", "reasons")
+    first = _side(able, "a_").hint("merge").join(near, (F.col("a_ekey") == F.col("of")) & (F.col("a_mkey") == F.col("one")))
+    met = first.hint("merge").join(_side(able, "b_"), (F.col("of") == F.col("b_ekey")) & (F.col("other") == F.col("b_mkey")) & (F.col("a_fact_id") != F.col("b_fact_id")) & (F.col("a_pos") != F.col("b_pos")) & units_agree())
+    turned = F.col("a_pos") > F.col("b_pos")  # the earlier fact comes first, whichever metric it has
+    sides = [F.when(turned, F.col(y + c)).otherwise(F.col(x + c)).alias(x + c) for x, y in (("a_", "b_"), ("b_", "a_")) for c in CARRIED]
+    return exact.unionByName(met.select(*sides, "candidate_score", "reasons"))

@@ -1,5 +1,10 @@
+import random
+from collections import Counter
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
+from concordat.functions import vocab as V
 from concordat.operators import facts, relations
 
 CLAIM = "pos long, fact_id string, document_id string, page_number int, entity string, metric string, value_raw string, value_numeric double, unit string, period_label string, scope string, geography string, epistemic_status string, data_vintage string, supporting_text string"
@@ -72,6 +77,66 @@ def test_candidates(spark):
     assert got == {(0, 1): 0.85, (2, 3): 0.8, (4, 5): 0.85}
 
 
+def naive_kind(a, b, tokens, core):
+    if a == b:
+        return 1.0
+    ta, tb, ca, cb = tokens[a], tokens[b], core[a], core[b]
+    if not ta or not tb:
+        return None
+    n, union = len(ta & tb), len(ta | tb)
+    if ta == tb:
+        return 0.95
+    if ta <= tb or tb <= ta:
+        return 0.85
+    if ca and cb and ca == cb:
+        return 0.80
+    if ca and cb and (ca <= cb or cb <= ca):
+        return 0.75
+    return float(round(Fraction(100 * (union + n), 2 * union))) / 100 if 2 * n >= union else None
+
+
+def random_metrics(n, seed, words):
+    rnd = random.Random(seed)
+    pool = [f"word{k}" for k in range(words)] + ["growth", "total", "number", "of", "rate", "count", "amount"]
+    return sorted({" ".join(rnd.sample(pool, rnd.randrange(1, 6))) for _ in range(n)} | {"of", "total", "rate growth"})
+
+
+def sets_of(spark, metrics):
+    rows = spark.createDataFrame([(m,) for m in metrics], "m string").select("m", facts.metric_tokens(F.col("m")).alias("t")).collect()
+    tokens = {r["m"]: set(r["t"]) for r in rows}
+    return tokens, {m: t - set(V.QUANTITY_WORDS) for m, t in tokens.items()}
+
+
+def test_near_metrics_are_those_of_all_pairs(spark):
+    metrics = random_metrics(160, 1, 12)
+    tokens, core = sets_of(spark, metrics)
+    rnd = random.Random(2)
+    rows = [claim(i, metric=rnd.choice(metrics), entity=rnd.choice(["Acme", "Bolt"]), value=rnd.choice(["5%", "₹1 crore", "7 km"])) for i in range(400)]
+    n = facts.normalize_facts(spark.createDataFrame(rows + rows[:5], CLAIM))
+    money = {r["pos"]: r["unit_kind"] for r in n.collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            kinds = {money[a[0]], money[b[0]]}
+            if a[0] < b[0] and a[4] == b[4] and kinds != {"money", "percent"} and (score := naive_kind(a[5], b[5], tokens, core)):
+                want[a[0], b[0]] = score
+    got = facts.candidate_pairs(n.dropDuplicates(["pos"])).collect()
+    assert len(got) == len(want) and {(r["a_pos"], r["b_pos"]): r["candidate_score"] for r in got} == want
+
+
+def test_few_pairs_are_examined_beside_those_that_are_given(spark):
+    metrics = random_metrics(1000, 3, 400)[:1000]
+    tokens, core = sets_of(spark, metrics)
+    rows = [claim(i, metric=metrics[i % len(metrics)]) for i in range(10_000)]
+    terms = facts.metric_terms(facts.normalize_facts(spark.createDataFrame(rows, CLAIM)))
+    near = {(r["a_mkey"], r["b_mkey"]) for r in facts.near_metrics(terms).collect()}
+    assert near == {(a, b) for a in metrics for b in metrics if a < b and naive_kind(a, b, tokens, core)}
+    held = Counter(r[5] for r in rows)
+    given = sum(held[a] * held[b] for a, b in near) + sum(n * (n - 1) // 2 for n in held.values())
+    examined = sum(held[a] * held[b] for a, b in near) + sum(n * n for n in held.values()) + facts.metric_candidates(terms).count()
+    assert given < examined < 2.2 * given < 10_000 * 9_999 / 40
+
+
 def test_relation_is_an_equi_join(spark):
     n = facts.normalize_facts(spark.createDataFrame([claim(1)], CLAIM))
     plan = relations.relate(n)._jdf.queryExecution().executedPlan().toString()
