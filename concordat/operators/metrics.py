@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.text import strip
+from ..shared import durable
+from .ranks import median, middle_ranks, values_at
 
 
 def quality_metrics(claims: DataFrame, n_candidates: Column | None = None) -> DataFrame:
@@ -72,29 +74,32 @@ def recall_precision(found: DataFrame, gold: DataFrame, on: list[str]) -> DataFr
     return n.select("*", pct("n_gold").alias("recall_pct"), pct("n_found").alias("precision_pct"))
 
 
-def latency_stats(requests: DataFrame, by: str = "batch_id", ok: str = "view") -> DataFrame:
-    """Counts and latencies (in whole milliseconds) by batch."""
+def _latency_counts(requests: DataFrame, by: str, ok: str) -> DataFrame:
     return requests.groupBy(by).agg(
         F.count("*").alias("n_requests"),
         F.count_if(F.col("outcome") == ok).alias("n_ok"),
         F.count_if(F.col("outcome") != ok).alias("n_failed"),
         F.avg("latency_ms").alias("mean_ms"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("median_ms"),
         F.max("latency_ms").alias("max_ms"),
         F.min("latency_ms").alias("min_ms"),
     )
 
 
+def latency_stats(requests: DataFrame, by: str = "batch_id", ok: str = "view") -> DataFrame:
+    """Counts and latencies (in whole milliseconds) by batch; medians are found by counting."""
+    at = values_at(requests, by, "latency_ms", middle_ranks()).select(by, median().alias("median_ms"))
+    return _latency_counts(requests, by, ok).join(at, by, "left").select(by, "n_requests", "n_ok", "n_failed", "mean_ms", "median_ms", "max_ms", "min_ms")
+
+
 def provider_summary(requests: DataFrame, by: str = "run_id", ok: str = "view") -> DataFrame:
     """Mean, median and 95th percentile by run: the value at rank 0.95 (n - 1), rounded half to even.
 
-    The rank is found by counting, so that no group's latencies are gathered in one place.
+    Ranks are found by counting, so that no group's latencies are gathered in one place.
     """
-    per_value = requests.groupBy(by, "latency_ms").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = per_value.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy(by))})
-    p95 = ranked.filter(F.col("upto") > F.bround(0.95 * (F.col("n") - 1))).groupBy(by).agg(F.min("latency_ms").alias("p95_ms"))
-    return latency_stats(requests, by, ok).join(p95, by).select(by, "n_requests", "n_ok", "n_failed", F.bround("mean_ms", 1).alias("mean_ms"), "median_ms", "p95_ms")
+    ranks = middle_ranks() | {"p95_ms": F.bround(0.95 * (F.col("n") - 1))}
+    at = values_at(requests, by, "latency_ms", ranks).select(by, median().alias("median_ms"), "p95_ms")
+    rows = _latency_counts(requests, by, ok).join(at, by, "left")
+    return rows.select(by, "n_requests", "n_ok", "n_failed", F.bround("mean_ms", 1).alias("mean_ms"), "median_ms", "p95_ms")
 
 
 def failure_histogram(requests: DataFrame, ok: str = "view") -> DataFrame:
@@ -111,12 +116,15 @@ def run_pivot(requests: DataFrame, runs: Sequence[int] = (0, 1, 2)) -> DataFrame
 
 def speed_summary(requests: DataFrame, one: int = 0, other: int = 1) -> DataFrame:
     """How much faster a run is than another, by mean latency."""
-    own = lambda r, f: f(F.when(F.col("run_id") == r, F.col("latency_ms")))
-    rows = requests.agg(
-        own(one, F.avg).alias("mean_one"),
-        own(other, F.avg).alias("mean_other"),
-        F.percentile(F.when(F.col("run_id") == one, F.col("latency_ms")), F.lit(0.5)).alias("median_one"),
-        F.percentile(F.when(F.col("run_id") == other, F.col("latency_ms")), F.lit(0.5)).alias("median_other"),
+    both = requests.filter(F.col("run_id").isin(one, other))
+    means = both.groupBy("run_id").agg(F.avg("latency_ms").alias("mean"))
+    medians = values_at(both, "run_id", "latency_ms", middle_ranks()).select("run_id", median().alias("median"))
+    own = lambda r, c: F.max(F.when(F.col("run_id") == r, F.col(c)))  # noqa: E731  one row for a run
+    rows = means.join(medians, "run_id", "left").agg(
+        own(one, "mean").alias("mean_one"),
+        own(other, "mean").alias("mean_other"),
+        own(one, "median").alias("median_one"),
+        own(other, "median").alias("median_other"),
     )
     return rows.withColumns({"speedup": F.bround(F.col("mean_one") / F.col("mean_other"), 4), "reduction_pct": F.bround(100 * (1 - F.col("mean_other") / F.col("mean_one")), 2)})
 
@@ -167,6 +175,52 @@ def signature_sets(sigs: DataFrame, one: str, other: str, how: str) -> DataFrame
     return a.union(b).distinct().subtract(a.intersect(b))
 
 
+#: Runs of one word of a bitmap.
+WORD = 62
+
+
+def signature_runs(sigs: DataFrame, run: str = "document_id") -> DataFrame:
+    """signature, runs (a bitmap in words of ``WORD`` runs), n_runs (how many have it), n_all and only_run of each signature.
+
+    One aggregation over all runs, of any number, from which their set algebra is read: the union is every row,
+    the intersection is ``n_runs = n_all``, what only one run has is ``only_run``, and ``in_runs`` asks for others.
+    Runs are numbered from 0 in the order of their names.
+    """
+    order = Window.orderBy("__run")
+    named = sigs.select(F.col(run).alias("__run")).distinct()
+    numbers = durable(named.select("__run", (F.row_number().over(order) - 1).alias("__no")))  # one row for a run
+    n = numbers.count()
+    word = lambda k: F.bit_or(F.when(F.floor(F.col("__no") / WORD) == k, F.expr(f"shiftleft(1L, __no - {k * WORD})")).otherwise(F.lit(0).cast("long")))
+    bits = sigs.join(numbers, F.col(run).eqNullSafe(F.col("__run"))).groupBy("signature").agg(F.array(*(word(k) for k in range(max(1, -(-n // WORD))))).alias("runs"), F.min("__run").alias("__first"))
+    held = F.aggregate("runs", F.lit(0), lambda a, w: a + F.bit_count(w))
+    rows = bits.withColumn("n_runs", held)
+    return rows.select("signature", "runs", "n_runs", F.lit(n).alias("n_all"), F.when(F.col("n_runs") == 1, F.col("__first")).alias("only_run"))
+
+
+def in_runs(numbers: Sequence[int], every: bool = False) -> Column:
+    """Whether a signature's bitmap has any (or every) of the runs of these numbers."""
+    has = [F.get(F.col("runs"), F.lit(k // WORD)).bitwiseAND(F.lit(1 << (k % WORD))) != 0 for k in numbers]
+    out = F.lit(every)
+    for h in has:
+        out = (out & h) if every else (out | h)
+    return F.coalesce(out, F.lit(False))
+
+
+def signature_consistency(found: DataFrame, ones: Sequence[int], others: Sequence[int]) -> DataFrame:
+    """Of two groups of runs, how many signatures all runs have, only the one or only the other group has, and not all have.
+
+    ``found``: as of ``signature_runs``; runs by number.
+    """
+    one, other, common = in_runs(ones), in_runs(others), in_runs([*ones, *others], every=True)
+    return found.agg(
+        F.count_if(one | other).alias("n_union"),
+        F.count_if(common).alias("n_common"),
+        F.count_if(one & ~other).alias("n_only_one"),
+        F.count_if(other & ~one).alias("n_only_other"),
+        F.count_if((one | other) & ~common).alias("n_inconsistent"),
+    )
+
+
 def run_agreement(batches: DataFrame, one: int, other: int) -> DataFrame:
     """Batches of two runs side by side and whether their fingerprints are equal. ``batches``: run_id, batch_id, fingerprint."""
     a = batches.filter(F.col("run_id") == one).select("batch_id", F.col("fingerprint").alias("fingerprint_one"))

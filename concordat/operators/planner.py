@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import durable
+from .ranks import running_sums
+
 BATCH_SIZE = 5
 
 
@@ -15,18 +18,33 @@ def plan_pages(eligible: DataFrame, budget: int | None = None, size: int = BATCH
 
     Pages are distinct and from 1 on. A short budget takes the pages of the best scores (0.5 where a
     score is missing, smaller pages first), in the order of the document; without scores the first.
+
+    No task sorts a document: the score at which the budget ends follows from the number of pages of each
+    score, and which pages of that score are still taken, and a page's place among those planned, from running
+    sums that are carried from one range of pages to the next.
     """
     size = size if size > 0 else BATCH_SIZE
-    score = F.max("score") if scored and "score" in eligible.columns else F.lit(None).cast("double")
-    pages = eligible.filter("page_number >= 1").groupBy("document_id", "page_number").agg(score.alias("score"))
-    doc = Window.partitionBy("document_id")
-    n = F.count("*").over(doc)
-    order = [F.desc(F.coalesce("score", F.lit(0.5))), "page_number"] if scored and "score" in eligible.columns else ["page_number"]
-    ranked = pages.withColumns({"n_eligible": n, "__rank": F.row_number().over(doc.orderBy(*order))})
-    room = F.col("n_eligible") if budget is None or budget <= 0 else F.lit(budget * size)
-    placed = ranked.withColumn("planned", F.col("__rank") <= room)
-    place = F.sum(F.col("planned").cast("int")).over(doc.orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return placed.select("document_id", "page_number", "n_eligible", "planned", F.when(F.col("planned"), F.floor(place / size)).cast("int").alias("batch_id"))
+    best = scored and "score" in eligible.columns
+    score = F.coalesce(F.max("score"), F.lit(0.5)) if best else F.lit(0.0)
+    pages = durable(eligible.filter("page_number >= 1").groupBy("document_id", "page_number").agg(score.alias("s")))
+    unbounded = budget is None or budget <= 0
+    levels = pages.groupBy("document_id", "s").agg(F.count("*").alias("c"))
+    down = Window.partitionBy("document_id").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    room = F.lit(None).cast("long") if unbounded else F.lit(budget * size).cast("long")
+    ends = levels.withColumn("upto", F.sum("c").over(down)).groupBy("document_id").agg(
+        F.sum("c").alias("n_eligible"),
+        # The first score by which the budget is reached, and how many of its pages are still taken.
+        F.max(F.when(F.col("upto") >= room, F.struct("s", (room - F.col("upto") + F.col("c")).alias("left")))).alias("end"),
+    )
+    ends = ends.select(F.col("document_id").alias("__of"), "n_eligible", "end")
+    placed = pages.join(ends, F.col("document_id").eqNullSafe(F.col("__of"))).drop("__of")
+    over = F.col("end").isNull() | (F.col("s") > F.col("end.s"))
+    tied = F.col("end").isNotNull() & (F.col("s") == F.col("end.s"))
+    sums = running_sums(placed, ["document_id"], "page_number", {"n_over": over.cast("int"), "n_tied": tied.cast("int")})
+    planned = over | (tied & (F.col("n_tied") <= F.col("end.left")))
+    place = F.col("n_over") + F.least(F.col("n_tied"), F.coalesce("end.left", F.lit(0))) - 1
+    out = sums.withColumns({"planned": planned, "place": place})
+    return out.select("document_id", "page_number", F.col("n_eligible"), "planned", F.when(F.col("planned"), F.floor(F.col("place") / size)).cast("int").alias("batch_id"))
 
 
 def plan_summary(plan: DataFrame, budget: int | None = None, size: int = BATCH_SIZE) -> DataFrame:
@@ -125,12 +143,12 @@ def budget_simulation(eligible: DataFrame, budgets: Sequence[int] = (10, 20, 50,
     )
 
 
-def size_projection(spark: SparkSession, documents: Sequence[int] = (50, 100, 200, 500), sizes: Sequence[int] = (1, 2, 3, 5), density_pct: int = 60) -> DataFrame:
-    """Requests for documents of given sizes of which a share has facts."""
-    grid = _literals(spark, "total_pages", documents).crossJoin(_literals(spark, "batch_size", sizes))
+def size_projection(documents: DataFrame, sizes: Sequence[int] = (1, 2, 3, 5), density_pct: int = 60) -> DataFrame:
+    """Requests for documents (document_id, total_pages) of which a share of the pages has facts."""
+    grid = documents.select("document_id", "total_pages", F.explode(F.array(*(F.lit(v) for v in sizes))).alias("batch_size"))
     eligible = F.floor(F.col("total_pages") * density_pct / 100)
     requests = F.ceil(eligible / F.col("batch_size"))
-    return grid.select("total_pages", "batch_size", eligible.alias("eligible_pages"), requests.alias("requests"), F.bround(100 * (1 - requests / F.col("total_pages")), 1).alias("reduction_pct"), (eligible - requests).alias("saved_requests"))
+    return grid.select("document_id", "total_pages", "batch_size", eligible.alias("eligible_pages"), requests.alias("requests"), F.bround(100 * (1 - requests / F.col("total_pages")), 1).alias("reduction_pct"), (eligible - requests).alias("saved_requests"))
 
 
 def latency_projection(spark: SparkSession, mean_latency: DataFrame, milestones: Sequence[int] = (50, 100, 184, 300, 500)) -> DataFrame:

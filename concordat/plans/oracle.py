@@ -456,7 +456,7 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
   SELECT batch_size, sum(n)::BIGINT AS total_pages, sum(ceil(n / batch_size))::BIGINT AS requests, sum(raw)::BIGINT AS raw_chars, sum(sel)::BIGINT AS selected_chars FROM (SELECT document_id, count(*) AS n, sum(original_chars) AS raw, sum(selected_chars) AS sel FROM ctx GROUP BY 1), (SELECT unnest([1, 2, 3, 5])::INT AS batch_size) GROUP BY 1)""")
     out["budget_simulation"] = w(SCORES, f"""SELECT budget, batch_size, ceil(n / batch_size)::BIGINT AS requests_needed, least(n, budget * batch_size) AS processable_pages, n - least(n, budget * batch_size) AS deferred_pages, {round_even('100 * least(n, budget * batch_size) / n', 1)} AS coverage_pct,
   CASE WHEN least(n, budget * batch_size) = n THEN 'COMPLETE' ELSE 'PARTIAL_QUOTA' END AS status FROM (SELECT count(*) AS n FROM scored WHERE has_text AND h >= 30), (SELECT unnest([10, 20, 50, 100])::INT AS budget), (SELECT unnest([1, 2, 3, 5])::INT AS batch_size)""")
-    out["size_projection"] = f"SELECT total_pages, batch_size, e AS eligible_pages, r AS requests, {round_even('100 * (1 - r / total_pages)', 1)} AS reduction_pct, e - r AS saved_requests FROM (SELECT *, floor(total_pages * 60 / 100)::BIGINT AS e, ceil(floor(total_pages * 60 / 100) / batch_size)::BIGINT AS r FROM (SELECT unnest([50, 100, 200, 500])::INT AS total_pages), (SELECT unnest([1, 2, 3, 5])::INT AS batch_size))"
+    out["size_projection"] = f"SELECT document_id, total_pages, batch_size, e AS eligible_pages, r AS requests, {round_even('100 * (1 - r / total_pages)', 1)} AS reduction_pct, e - r AS saved_requests FROM (SELECT *, floor(total_pages * 60 / 100)::BIGINT AS e, ceil(floor(total_pages * 60 / 100) / batch_size)::BIGINT AS r FROM (SELECT source AS document_id, count(*) AS total_pages FROM documents GROUP BY 1), (SELECT unnest([1, 2, 3, 5])::INT AS batch_size))"
     out["latency_projection"] = w(REQUESTS, "SELECT batch_size, pages, ceil(pages / batch_size)::BIGINT AS requests, (ceil(pages / batch_size) * m)::BIGINT AS projected_ms FROM (SELECT batch_id AS batch_size, floor(avg(latency_ms))::BIGINT AS m FROM req WHERE batch_id > 0 GROUP BY 1), (SELECT unnest([50, 100, 184, 300, 500])::INT AS pages)")
 
     low = "lower(line)"
@@ -501,11 +501,11 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
 
     lit = lambda x: "NULL" if x is None else q(x) if isinstance(x, str) else repr(x)
     cases = "edge AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(v)}, {lit(u)}::VARCHAR, {lit(n_)}::DOUBLE)" for i, (v, u, n_) in enumerate(EDGE_VALUES)) + ") AS e(case_id, value_raw, unit, value_numeric))"
-    out["value_normalize"] = w(cases + ", " + values("edge"), "SELECT case_id, numeric_value, canonical_unit, scale, value_qualifier, currency, status, note FROM val_v")
+    out["value_normalize"] = w(claims() + ", " + cases + ", told AS (SELECT pos AS case_id, value_raw, unit, value_numeric FROM claims_v UNION ALL SELECT (-1 - case_id)::BIGINT, value_raw, unit, value_numeric FROM edge), " + values("told"), "SELECT case_id, numeric_value, canonical_unit, scale, value_qualifier, currency, status, note FROM val_v")
     out["value_qualifier"] = w(claims() + ", " + cases, f"SELECT pos, {qualifier('value_raw')} AS value_qualifier FROM claims_v UNION ALL SELECT (-1 - case_id)::BIGINT, {qualifier('value_raw')} FROM edge")
     out["semantic_unit"] = f"SELECT doc_id, {semantic('text')} AS semantic_unit FROM documents"
     labels = "edge AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(p)}, {lit(c)}::VARCHAR)" for i, (p, c) in enumerate(EDGE_PERIODS)) + ") AS e(case_id, period_label, calendar))"
-    out["period_normalize"] = w(labels + ", " + periods("edge", "calendar"), 'SELECT case_id, norm_start AS "start", norm_end AS "end", warning FROM per_v')
+    out["period_normalize"] = w(claims() + ", " + labels + ", told AS (SELECT pos AS case_id, period_label, CASE WHEN pos % 2 = 0 THEN 'april-march' END AS calendar FROM claims_v UNION ALL SELECT (-1 - case_id)::BIGINT, period_label, calendar FROM edge), " + periods("told", "calendar"), 'SELECT case_id, norm_start AS "start", norm_end AS "end", warning FROM per_v')
     suffixes = [" Limited", ", Inc.", " Pvt. Ltd", "  S.A.", " plc.", " Holdings,", " GmbH"]
     named = f"' ' || s_name || ([{_list(suffixes)}])[(s_suppkey % 7 + 1)::INT]"
     out["entity_normalize"] = f"SELECT s_suppkey, {entity(named)} AS entity FROM supplier"
@@ -583,6 +583,9 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     out["signature_intersect"] = w(sig, "SELECT * FROM one INTERSECT SELECT * FROM two")
     out["signature_except"] = w(sig, "SELECT * FROM one EXCEPT SELECT * FROM two")
     out["signature_symmetric"] = w(sig, "(SELECT * FROM one EXCEPT SELECT * FROM two) UNION (SELECT * FROM two EXCEPT SELECT * FROM one)")
+    runs = sig + ", bits AS (SELECT signature, bit_or(CASE document_id WHEN 'annual-report' THEN 1 WHEN 'presentation' THEN 2 ELSE 4 END)::BIGINT AS bitmap, min(document_id) AS first_run FROM sigs GROUP BY 1)"
+    out["signature_runs"] = w(runs, "SELECT signature, bitmap, bit_count(bitmap)::INT AS n_runs, bitmap = 7 AS in_all, CASE WHEN bit_count(bitmap) = 1 THEN first_run END AS only_run FROM bits")
+    out["signature_consistency"] = w(runs, "SELECT count(*) AS n_union, count(*) FILTER (bitmap = 7) AS n_common, count(*) FILTER (bitmap & 4 = 0) AS n_only_one, count(*) FILTER (bitmap & 3 = 0) AS n_only_other, count(*) FILTER (bitmap <> 7) AS n_inconsistent FROM bits")
     out["run_agreement"] = w(REQUESTS + ", fp AS (SELECT run_id, batch_id, substr(sha256((sum(latency_ms) % 2)::BIGINT::VARCHAR), 1, 16) AS f FROM req WHERE outcome = 'purchase' GROUP BY 1, 2)", "SELECT coalesce(a.batch_id, b.batch_id) AS batch_id, a.f AS fingerprint_one, b.f AS fingerprint_other, coalesce(a.f = b.f, false) AS is_equal FROM (SELECT * FROM fp WHERE run_id = 0) a FULL JOIN (SELECT * FROM fp WHERE run_id = 1) b ON a.batch_id = b.batch_id")
 
     out["read_analysis"] = w(RELATED, "SELECT relationship_id, relationship_type, a_fact_id AS fact_a_id, b_fact_id AS fact_b_id, fa.entity AS entity_a, fa.value_raw AS value_a, fb.entity AS entity_b, fb.value_raw AS value_b FROM related WHERE fa.canonical_unit = 'INR' AND fb.canonical_unit = 'INR'")

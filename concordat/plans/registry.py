@@ -192,7 +192,8 @@ def budget_simulation(spark, d):
 
 @query
 def size_projection(spark, d):
-    return planner.size_projection(spark)
+    counts = views.table(spark, d, "documents").groupBy(F.col("source").alias("document_id")).agg(F.count("*").alias("total_pages"))
+    return planner.size_projection(counts)
 
 
 @query
@@ -355,7 +356,11 @@ def _edge_values(spark):
 
 @query
 def value_normalize(spark, d):
-    return _edge_values(spark).select("case_id", N.value(F.col("value_raw"), F.col("unit"), F.col("value_numeric")).alias("v")).select("case_id", "v.*")
+    """All claims' values, and the cases at the edges under negative numbers."""
+    columns = ("value_raw", "unit", "value_numeric")
+    told = views.claims(spark, d).select(F.col("pos").alias("case_id"), *columns)
+    rows = told.unionByName(_edge_values(spark).select((-1 - F.col("case_id")).cast("long").alias("case_id"), *columns))
+    return rows.select("case_id", N.value(*(F.col(c) for c in columns)).alias("v")).select("case_id", "v.*")
 
 
 @query
@@ -373,7 +378,9 @@ def semantic_unit(spark, d):
 @query
 def period_normalize(spark, d):
     rows = F.array(*(F.struct(F.lit(i).alias("case_id"), F.lit(p).alias("label"), F.lit(c).cast("string").alias("calendar")) for i, (p, c) in enumerate(EDGE_PERIODS)))
-    cases = spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+    edges = spark.range(1).select(F.explode(rows).alias("r")).select((-1 - F.col("r.case_id")).cast("long").alias("case_id"), "r.label", "r.calendar")
+    told = views.claims(spark, d).select(F.col("pos").alias("case_id"), F.col("period_label").alias("label"), F.when(F.col("pos") % 2 == 0, "april-march").alias("calendar"))
+    cases = told.unionByName(edges)
     return cases.select("case_id", N.period(F.col("label"), F.col("calendar")).alias("p")).select("case_id", "p.*")
 
 
@@ -651,6 +658,18 @@ for _how in ("union", "intersect", "except", "symmetric"):
     _signature_query(_how)
 
 
+@query
+def signature_runs(spark, d):
+    """All reports at once: which signatures all have, and which only one has."""
+    return metrics.signature_runs(_signatures(spark, d)).select("signature", F.element_at("runs", 1).alias("bitmap"), "n_runs", (F.col("n_runs") == F.col("n_all")).alias("in_all"), "only_run")
+
+
+@query
+def signature_consistency(spark, d):
+    """The annual report and the presentation against the press note."""
+    return metrics.signature_consistency(metrics.signature_runs(_signatures(spark, d)), [0, 1], [2])
+
+
 @query
 def run_agreement(spark, d):
     r = views.requests(spark, d).filter("outcome = 'purchase'")
