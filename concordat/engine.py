@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import context, extract, facts, pages, planner, relations
-from .shared import durable
+from .shared import durable, sound
 from .sources import documents
 from .sources.store import Store, summarize
 
@@ -56,6 +56,7 @@ class Config:
 
 class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None, caller: Callable[[str], str] | None = None, store: Store | None = None, parser: documents.Parser = documents.split_form_feeds):
+        sound(spark)
         self.spark, self.config, self.caller, self.store, self.parser = spark, config or Config(), caller, store, parser
 
     def about(self) -> dict[str, str]:

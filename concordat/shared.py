@@ -16,8 +16,19 @@ MOST_HOT_KEYS = 50_000
 LEAST_HOT_ROWS = 256
 
 
+def sound(spark: SparkSession) -> None:
+    """Unions are planned as of no partitioning.
+
+    Spark 4.1 takes a union of equally partitioned sides as partitioned alike. Where a join in one side then
+    becomes a broadcast join at run time, that side is not, and a join or aggregate above the union on the
+    same keys, which has no shuffle of its own, meets only a part of a key's rows: its result is wrong.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Where it is unset, a temporary folder, on one machine only (tests)."""
+    sound(spark)
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
@@ -92,5 +103,6 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is one row group, which one task reads; large tables have partitions enough and stay as they are.
     """
+    sound(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.extract import fact_id
 from ..operators.pages import with_metadata
-from ..shared import spread
+from ..shared import sound, spread
 
 #: Report -> (suffix of entity names, epistemic status); they are numbered in this order.
 REPORTS = ("annual-report", "presentation", "press-note")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
