@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import collapse, lines, short_hash, strip
+from ..shared import durable
 from ..shipping import ship
 
 #: The schema that model output is read by.
@@ -123,14 +124,54 @@ def with_grounding(claims: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumns({"is_grounded": grounded(F.col("supporting_text"), F.col("__page")), "is_exact": exact}).drop("__page")
 
 
+#: Bits of a page's set of words.
+WORD_BITS = 4_096
+
+
+def _words(text: Column) -> Column:
+    return F.split(strip(F.coalesce(text, F.lit(""))), V.SPACE + "+")
+
+
+def _word_bits(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_BITS)).cast("int")))
+
+
+def page_filters(pages: DataFrame) -> DataFrame:
+    """document_id, page_number and ``bits``: a Bloom filter of each page's words, as 62-bit numbers by their place."""
+    rows = pages.select("document_id", "page_number", F.array_sort(_word_bits(_words(F.col("text")))).alias("b"))
+    kind = "struct<done:array<struct<k:int,w:bigint>>,k:int,w:bigint>"
+    start = F.struct(F.array().cast("array<struct<k:int,w:bigint>>").alias("done"), F.lit(-1).alias("k"), F.lit(0).cast("long").alias("w"))
+    entry = lambda acc: F.array(F.struct(acc["k"].alias("k"), acc["w"].alias("w")))
+
+    def add(acc: Column, x: Column) -> Column:
+        """The bits are sorted, so that a number is done when the next one begins."""
+        k, bit = F.floor(x / 62).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (x % 62).cast("int"))
+        more = F.struct(acc["done"].alias("done"), k.alias("k"), acc["w"].bitwiseOR(bit).alias("w"))
+        fresh = F.struct(F.concat(acc["done"], entry(acc)).alias("done"), k.alias("k"), bit.alias("w"))
+        return F.when(acc["k"] == k, more).otherwise(fresh).cast(kind)
+
+    words = F.aggregate("b", start.cast(kind), add, lambda acc: F.map_from_entries(F.concat(acc["done"], entry(acc))))
+    return rows.select("document_id", "page_number", words.alias("bits"))
+
+
 def with_contamination(claims: DataFrame, pages: DataFrame, batches: DataFrame) -> DataFrame:
-    """Claims with ``is_contaminated``: not on the cited page, but on another page of its batch."""
+    """Claims with ``is_contaminated``: not on the cited page, but on another page of its batch.
+
+    A text that stands on a page has all of its words there but the first and last, which may be cut off. So a
+    claim meets its batch's pages by Bloom filters of their words, half a kilobyte each, and only pages that can
+    hold it are fetched with their texts.
+    """
     own = with_grounding(claims, pages)
-    texts = batches.join(pages.select("document_id", "page_number", "text"), ["document_id", "page_number"])
-    others = texts.select("document_id", "batch_id", F.col("page_number").alias("__other"), F.col("text").alias("__text"))
-    lost = own.filter(~F.col("is_grounded")).join(batches, ["document_id", "page_number"])
-    hits = lost.join(others, ["document_id", "batch_id"]).filter((F.col("__other") != F.col("page_number")) & grounded(F.col("supporting_text"), F.col("__text")))
-    found = hits.select("pos").distinct().withColumn("__hit", F.lit(True))
+    filters = batches.join(page_filters(pages), ["document_id", "page_number"])
+    others = filters.select("document_id", "batch_id", F.col("page_number").alias("__other"), "bits")
+    lost = durable(own.filter(~F.col("is_grounded") & (strip(F.coalesce("supporting_text", F.lit(""))) != "")).select("pos", "document_id", "page_number", "supporting_text"))
+    inner = _words(F.col("supporting_text"))
+    asked = lost.join(batches, ["document_id", "page_number"]).select("pos", "document_id", "batch_id", "page_number", _word_bits(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).alias("__asked"))
+    has = lambda x: F.coalesce(F.call_function("shiftright", F.try_element_at("bits", F.floor(x / 62).cast("int")), (x % 62).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    able = asked.join(others, ["document_id", "batch_id"]).filter((F.col("__other") != F.col("page_number")) & F.forall("__asked", has))
+    texts = pages.select("document_id", F.col("page_number").alias("__other"), F.col("text").alias("__text"))
+    met = able.select("pos", "document_id", "__other").join(texts, ["document_id", "__other"]).join(lost.select("pos", "supporting_text"), "pos")
+    found = met.filter(grounded(F.col("supporting_text"), F.col("__text"))).select("pos").distinct().withColumn("__hit", F.lit(True))
     return own.join(found, "pos", "left").withColumn("is_contaminated", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 

@@ -592,6 +592,7 @@ SELECT page_id, count(*) FILTER (NOT contains(trim(c), chr(10)) AND length(trim(
     whole = "lower(explanation || chr(10) || fa.entity || chr(10) || fa.metric || chr(10) || fa.value_raw || chr(10) || fb.entity || chr(10) || fb.metric || chr(10) || fb.value_raw)"
     out["relationship_search"] = w(RELATED, f"SELECT relationship_id, relationship_type FROM related WHERE contains({whole}, 'cror') UNION ALL SELECT relationship_id, relationship_type FROM related WHERE contains({whole}, 'limited') AND relationship_type = 'CONTRADICTS'")
     out["fact_search"] = w(claims(), "SELECT pos FROM claims_v WHERE contains(lower(supporting_text), 'restated') UNION ALL SELECT pos FROM claims_v WHERE contains(lower(supporting_text), 'crore') AND epistemic_status = 'reported'")
+    out["indexed_relationship_search"], out["indexed_fact_search"] = out["relationship_search"], out["fact_search"]
     out["latest_per_key"] = w(claims(), "SELECT pos, value_raw, metric || '|' || period_label || '|' || page_number AS key FROM claims_v QUALIFY row_number() OVER (PARTITION BY metric, period_label, page_number ORDER BY pos DESC) = 1")
     out["document_overwrite"] = w(claims(), "SELECT document_id, CASE WHEN document_id = 'presentation' THEN 2 ELSE 1 END AS run, count(*) AS n, sum(pos)::BIGINT AS sum_pos FROM claims_v WHERE document_id <> 'presentation' OR scope IS NULL GROUP BY 1, 2")
     out["union_all_facts"] = w(claims(), "SELECT document_id, pos FROM claims_v")

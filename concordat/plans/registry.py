@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions.text import short_hash
 from ..operators import context, extract, facts, metrics, pages, planner, provider, relations
-from ..sources import store, views
+from ..shared import durable, shared_folder
+from ..sources import search, store, views
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -699,6 +701,29 @@ def fact_search(spark, d):
     return store.search_facts(c, "RESTATED").unionByName(store.search_facts(c, "crore", "reported")).select("pos")
 
 
+def _indexed(texts, key):
+    """An index of trigrams in the shared folder."""
+    path = f"{shared_folder(texts.sparkSession)}/grams-{uuid.uuid4().hex}"
+    search.write_index(texts, [key], "text", path)
+    return texts.sparkSession.read.parquet(path)
+
+
+@query
+def indexed_fact_search(spark, d):
+    c = views.claims(spark, d).withColumn("fact_id", F.col("pos").cast("string"))
+    index = _indexed(c.withColumn("text", store.fact_text()), "fact_id")
+    return store.search_facts(c, "RESTATED", None, index).unionByName(store.search_facts(c, "crore", "reported", index)).select("pos")
+
+
+@query
+def indexed_relationship_search(spark, d):
+    f = _facts(spark, d)
+    related = durable(relations.relate(f))
+    index = _indexed(store.relation_texts(related, f), "relationship_id")
+    rows = store.search_relations(related, f, "CROR", None, index).unionByName(store.search_relations(related, f, "limited", "CONTRADICTS", index))
+    return rows.select("relationship_id", "relationship_type")
+
+
 @query
 def latest_per_key(spark, d):
     c = views.claims(spark, d).select("pos", "value_raw", F.concat_ws("|", "metric", "period_label", F.col("page_number").cast("string")).alias("key"))

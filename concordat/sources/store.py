@@ -17,14 +17,18 @@ import json
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import remove, sound
+from .search import candidates, search, write_index
 
 TABLES = ("documents", "facts", "relationships")
+#: Trigrams of what is searched, by fact_id and relationship_id.
+INDEXES = ("fact_grams", "relation_grams")
 SUMMARY = "analysis_id string, version long, published_at long, n_documents long, n_facts long, n_relationships long"
 
 
@@ -170,17 +174,45 @@ class Store:
         for name, rows in zip(TABLES, (documents, latest_per_key(facts, ["fact_id"], "pos"), relations)):
             rows.withColumn("analysis_id", F.lit(analysis_id)).write.parquet(self._run(name, analysis_id))
             counts[f"n_{name}"] = self.spark.read.parquet(self._run(name, analysis_id)).count()
+        self._write_indexes(lambda name: self._run(name, analysis_id))
         own = self.spark.read.parquet(self._run("documents", analysis_id))
         while True:
             at = self.snapshot()
             if not retry and at.version > since and self._shares_documents(own, at, since):
-                for name in TABLES:
+                for name in TABLES + INDEXES:
                     remove(self.spark, self._run(name, analysis_id))
                 raise Conflict(f"a document of {analysis_id} was published after version {since}")
             entry = {"analysis_id": analysis_id, "version": at.version + 1, "published_at": time.time_ns(), **counts}
             if self.log.put(f"v-{entry['version']:020}.json", entry):
                 return self.spark.createDataFrame([entry], SUMMARY)
 
+    def _write_indexes(self, path) -> None:
+        """The trigrams of facts and relations that are written; tables without what is searched have no index."""
+        facts, relations = (self.spark.read.parquet(path(name)) for name in ("facts", "relationships"))
+        if {"fact_id", "entity", "metric", "value_raw", "supporting_text"} <= set(facts.columns):
+            write_index(facts.withColumn("text", fact_text()), ["fact_id"], "text", path("fact_grams"))
+            if {"a_fact_id", "b_fact_id", "explanation"} <= set(relations.columns):
+                write_index(relation_texts(relations, facts), ["relationship_id"], "text", path("relation_grams"))
+
+    def _index(self, name: str, at: Snapshot) -> DataFrame:
+        paths = [self._run(name, r["analysis_id"]) for r in at.runs] + ([f"{at.base}/{name}"] if at.base else [])
+        parts = [self.spark.read.parquet(p) for p in paths]
+        return reduce(DataFrame.unionByName, parts)
+
+    def search_facts(self, query: str = "", status: str | None = None, version: int | None = None) -> DataFrame:
+        """Facts that the store holds at a version, by a text in them; only postings of the query's trigrams are read."""
+        at = self.snapshot(version)
+        live = self._read("facts", at).join(self._owners(self._read("documents", at)), ["document_id", "analysis_id"], "left_semi")
+        return search_facts(live, query, status, self._index("fact_grams", at))
+
+    def search_relations(self, query: str = "", kind: str | None = None, version: int | None = None) -> DataFrame:
+        at = self.snapshot(version)
+        owners, held = self._owners(self._read("documents", at)), self._read("relationships", at)
+        for side in ("a_document_id", "b_document_id"):
+            held = held.join(owners.withColumnRenamed("document_id", side), [side, "analysis_id"], "left_semi")
+        facts = self._read("facts", at).join(owners, ["document_id", "analysis_id"], "left_semi")
+        return search_relations(held, facts, query, kind, self._index("relation_grams", at))
+
     def analyses(self, version: int | None = None) -> DataFrame:
         """The summary of every published analysis."""
         at = self.snapshot(version)
@@ -232,6 +264,7 @@ class Store:
         for side in ("a_document_id", "b_document_id"):
             relations = relations.join(owners.withColumnRenamed("document_id", side), [side, "analysis_id"], "left_semi")
         relations.write.parquet(f"{folder}/relationships")
+        self._write_indexes(lambda name: f"{folder}/{name}")
         self.analyses(at.version).write.parquet(f"{folder}/analyses")
         if not self.log.put(f"c-{at.version:020}.json", {"version": at.version, "folder": folder}):
             remove(self.spark, folder)  # another compaction was first
@@ -246,7 +279,7 @@ class Store:
         old = [n for n in names if n[2:] <= compacted[2:] and n != compacted]
         gone = self.log.read(old)
         for name, entry in gone.items():
-            for path in [entry["folder"]] if "folder" in entry else [self._run(t, entry["analysis_id"]) for t in TABLES]:
+            for path in [entry["folder"]] if "folder" in entry else [self._run(t, entry["analysis_id"]) for t in TABLES + INDEXES]:
                 remove(self.spark, path)
             self.log.delete(name)
         return sum("folder" not in e for e in gone.values())
@@ -274,17 +307,40 @@ def read_back(facts: DataFrame, relations: DataFrame, fact_ids: DataFrame) -> Da
     return relations.select("relationship_id", "relationship_type", F.col("a_fact_id").alias("fact_a_id"), F.col("b_fact_id").alias("fact_b_id")).join(side("a"), "fact_a_id").join(side("b"), "fact_b_id")
 
 
-def search_facts(facts: DataFrame, query: str = "", status: str | None = None) -> DataFrame:
-    """Facts of an epistemic status that hold a text in entity, metric, value or evidence, without regard to case."""
-    q = F.lit(query.lower())
-    held = F.greatest(*(F.contains(F.lower(F.coalesce(c, F.lit(""))), q) for c in ("entity", "metric", "value_raw", "supporting_text")))
-    return facts.filter(held if status is None else held & (F.col("epistemic_status") == status))
+#: Between the fields of a text that is searched; no query holds it.
+FIELD = "\x00"
+
+
+def fact_text() -> Column:
+    """All of a fact that is searched: a query is held by one of the fields."""
+    return F.concat_ws(FIELD, *(F.coalesce(c, F.lit("")) for c in ("entity", "metric", "value_raw", "supporting_text")))
+
 
+def search_facts(facts: DataFrame, query: str = "", status: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Facts of an epistemic status that hold a text in entity, metric, value or evidence, without regard to case.
 
-def search_relations(relations: DataFrame, facts: DataFrame, query: str = "", kind: str | None = None) -> DataFrame:
-    """Relations of a type that hold a text in the explanation or in either fact, without regard to case."""
+    ``index``: postings of ``fact_text`` by fact_id; without it all facts are read.
+    """
+    able = facts if status is None else facts.filter(F.col("epistemic_status") == status)
+    if index is not None:
+        return search(able, index, query, ["fact_id"], fact_text())
+    return able.filter(F.contains(F.lower(fact_text()), F.lit(query.lower())))
+
+
+def relation_texts(relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """Relations with all that is searched of them as ``text``: explanation and both facts."""
     side = lambda p: facts.select(F.col("fact_id").alias(f"{p}_fact_id"), F.concat_ws("\n", "entity", "metric", "value_raw").alias(f"text_{p}"))
     rows = relations.join(side("a"), "a_fact_id", "left").join(side("b"), "b_fact_id", "left")
-    whole = F.lower(F.concat_ws("\n", "explanation", "text_a", "text_b"))
-    held = F.contains(whole, F.lit(query.lower()))
-    return rows.filter(held if kind is None else held & (F.col("relationship_type") == kind)).drop("text_a", "text_b")
+    return rows.withColumn("text", F.concat_ws("\n", "explanation", "text_a", "text_b")).drop("text_a", "text_b")
+
+
+def search_relations(relations: DataFrame, facts: DataFrame, query: str = "", kind: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Relations of a type that hold a text in the explanation or in either fact, without regard to case.
+
+    ``index``: postings of ``relation_texts`` by relationship_id; with it only relations that can hold the text meet their facts.
+    """
+    able = relations if kind is None else relations.filter(F.col("relationship_type") == kind)
+    found = None if index is None else candidates(index, query, ["relationship_id"])
+    if found is not None:
+        able = able.join(found, "relationship_id", "left_semi")
+    return relation_texts(able, facts).filter(F.contains(F.lower("text"), F.lit(query.lower()))).drop("text")

@@ -100,3 +100,51 @@ def test_a_commit_that_was_not_written_is_none(spark, tmp_path):
         store.save("bad", spark.createDataFrame([("a", 1)], DOCS), spark.createDataFrame([], FACTS), spark.createDataFrame([("r", "a", "b")], RELATIONS).withColumn("x", F.raise_error(F.lit("broken")).cast("string")))
     assert store.load("bad") is None and store.begin() == 0
     assert store.log.put("v-x", {"a": 1}) and not store.log.put("v-x", {"a": 2}) and store.log.read(["v-x"]) == {"v-x": {"a": 1}}
+
+
+TEXTS = "fact_id string, document_id string, pos long, entity string, metric string, value_raw string, supporting_text string, epistemic_status string"
+LINKS = "relationship_id string, relationship_type string, explanation string, a_document_id string, b_document_id string, a_fact_id string, b_fact_id string"
+
+
+def test_search_by_trigrams_is_a_search_of_all_texts(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    names = ["Acme Ltd", "ÄCME", "Bolt", "Zürich Re", "acme", "", None]
+    facts = [(f"f{i}", f"d{i % 3}", i, names[i % 7], "Revenue Growth", f"{i} crore", "It ROSE\nfast" if i % 2 else None, "reported" if i % 3 else "target") for i in range(40)]
+    links = [(f"r{i}", "CONTRADICTS" if i % 2 else "CORROBORATES", f"Values of {names[i % 7]} differ", f"d{i % 3}", f"d{(i + 1) % 3}", f"f{i}", f"f{i + 1}") for i in range(30)]
+    docs = spark.createDataFrame([(f"d{k}", 1) for k in range(3)], DOCS)
+    store.save("one", docs, spark.createDataFrame(facts, TEXTS), spark.createDataFrame(links, LINKS))
+    store.save("two", docs.filter("document_id = 'd1'"), spark.createDataFrame([f for f in facts if f[1] == "d1"][:4], TEXTS), spark.createDataFrame([], LINKS))
+
+    def all_at(version):
+        at = store.snapshot(version)
+        live = store._read("facts", at).join(store.owners(version), ["document_id", "analysis_id"], "left_semi")
+        return live
+
+    for version in (1, 2):
+        live = all_at(version)
+        for q in ("acme", "ÄCME", "e\nf", "crore", "9 c", "ro", "", "no such text", "Ltd", "growth", "zürich", "LtdRev", "se\nfast"):
+            for status in (None, "reported"):
+                want = sorted(r["fact_id"] for r in S.search_facts(live, q, status).collect())
+                assert sorted(r["fact_id"] for r in store.search_facts(q, status, version).collect()) == want, q
+    for q in ("differ", "bolt", "Growth", "of ac", "x", "39 crore", "nothing of it"):
+        held = [r["relationship_id"] for r in store.search_relations(q, "CONTRADICTS", 1).collect()]
+        assert sorted(held) == sorted(r["relationship_id"] for r in S.search_relations(spark.createDataFrame(links, LINKS), spark.createDataFrame(facts, TEXTS), q, "CONTRADICTS").collect()), q
+    store.compact()
+    store.vacuum()
+    assert sorted(r["fact_id"] for r in store.search_facts("acme").collect()) == sorted(r["fact_id"] for r in S.search_facts(all_at(2), "acme").collect())
+
+
+def test_a_search_reads_the_folders_of_its_own_trigrams_only(spark, tmp_path):
+    from concordat.sources import search
+
+    texts = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    search.write_index(texts, ["id"], "t", f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    wanted = texts.filter("id = '77'").first()["t"][10:20]
+    found = search.candidates(index, wanted, ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan parquet" in x)
+    assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [bucket" in scan and "IN" in scan.upper()
+    files = {f for f in found.inputFiles()}
+    assert [r["id"] for r in search.search(texts, index, wanted, ["id"], F.col("t")).collect()] == ["77"]
+    assert search.candidates(index, "zz", ["id"]) is None and search.candidates(index, "zzzz", ["id"]).count() == 0 and files
