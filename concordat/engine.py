@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import context, extract, facts, pages, planner, relations
+from .operators.journal import Journal
 from .shared import durable, sound
 from .sources import documents
 from .sources.store import Store, summarize
@@ -27,6 +28,9 @@ class Config:
     by_relevance: bool = True
     radius: int = context.RADIUS
     page_numbers: tuple[int, ...] = field(default=())
+    journal: str | None = None
+    """A folder in which a model's answers are kept as they come, so that none is asked for twice."""
+    stop_at_quota: bool = True
 
     def __post_init__(self) -> None:
         if self.batch_size < 1:
@@ -55,15 +59,22 @@ class Config:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config | None = None, caller: Callable[[str], str] | None = None, store: Store | None = None, parser: documents.Parser = documents.split_form_feeds):
+    def __init__(self, spark: SparkSession, config: Config | None = None, caller: Callable[[str], str] | None = None, store: Store | None = None, parser: documents.Parser = documents.split_form_feeds, kinds: tuple[str, ...] = ()):
         sound(spark)
+        self.kinds = kinds  # endings of file names; none: any
         self.spark, self.config, self.caller, self.store, self.parser = spark, config or Config(), caller, store, parser
 
     def about(self) -> dict[str, str]:
         return {"status": "healthy", "service": "concordat"}
 
     def parse(self, path: str) -> DataFrame:
-        """Pages of the files at ``path``."""
+        """Pages of the files at ``path``; raises ValueError if there are none, or one is of no kind in ``kinds``."""
+        files = documents.listed(self.spark, path)
+        if not files:
+            raise ValueError(f"no files at {path}")
+        other = [f for f in files if self.kinds and not f.lower().endswith(tuple(self.kinds))]
+        if other:
+            raise ValueError(f"{other[0]} is of no kind that is read ({', '.join(self.kinds)})")
         return documents.parse(documents.read_documents(self.spark, path), self.parser)
 
     def plan(self, page_rows: DataFrame) -> DataFrame:
@@ -91,7 +102,8 @@ class Engine:
             batches = planned.select("document_id", "batch_id", F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("error")).distinct()
         else:
             texts = context.prompt_text(context.page_context(page_rows, self.config.radius))
-            said = durable(extract.call_model(planner.batch_prompts(plan, texts), self.caller, self.config.workers))
+            kept = Journal(self.config.journal) if self.config.journal else None
+            said = durable(extract.call_model(planner.batch_prompts(plan, texts), self.caller, self.config.workers, journal=kept, stop_at_quota=self.config.stop_at_quota))
             claims = extract.read_candidates(said.filter("output IS NOT NULL"))
             order = F.struct("document_id", "batch_id", "candidate_no")
             batches = said.drop("output")
@@ -126,7 +138,8 @@ class Engine:
             done = self.extraction(page_rows)
             claims = done["claims"].filter("reject_reason IS NULL")
             rejected = done["claims"].filter("reject_reason IS NOT NULL").groupBy("document_id", "reject_reason").agg(F.count("*").alias("n"))
-            out = {"statuses": done["statuses"], "status": extract.overall_status(done["statuses"]), "rejected": rejected, "batches": done["batches"]}
+            statuses = extract.document_summaries(done["statuses"], done["claims"], done["batches"], self.config.budget)
+            out = {"statuses": statuses, "status": extract.overall_status(done["statuses"]), "rejected": rejected, "batches": done["batches"]}
         if "error" in page_rows.columns:
             out["errors"] = page_rows.filter("error IS NOT NULL").select("document_id", "error")
             page_rows = page_rows.filter("error IS NULL")

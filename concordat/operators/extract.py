@@ -11,6 +11,7 @@ from ..functions import vocab as V
 from ..functions.text import collapse, lines, short_hash, strip
 from ..shared import durable
 from ..shipping import ship
+from .journal import Journal, fingerprint
 
 #: The schema that model output is read by.
 CANDIDATES = (
@@ -236,37 +237,59 @@ class QuotaExhausted(Exception):
     """Raised by a model's caller where its quota is used up."""
 
 
-def call_model(prompts: DataFrame, caller: Callable[[str], str], partitions: int = 2, attempts: int = 3) -> DataFrame:
+def call_model(prompts: DataFrame, caller: Callable[[str], str], partitions: int = 2, attempts: int = 3, journal: Journal | None = None, stop_at_quota: bool = True) -> DataFrame:
     """document_id, batch_id, outcome, output and error of a model called for each prompt, by at most ``partitions`` at a time.
 
     ``caller`` takes a prompt and returns JSON. A document's batches run in order up to the first that fails, with
     outcome ``quota`` (``QuotaExhausted``) or ``error``; those after it are ``skipped`` and cost no call. A
-    ``ConnectionError`` is tried again, after one and two seconds.
+    ``ConnectionError`` is tried again, after one and two seconds. After an end of quota no further call is made
+    in that partition (with ``stop_at_quota``), and with a journal in none: the documents' next batches have the
+    outcome ``quota`` too. Answers in the journal are not asked for again, also where a task is run again.
     """
     import pandas as pd
 
-    def ask(prompt: str) -> tuple[str, str | None, str | None]:
+    def ask(document: str, prompt: str) -> tuple[str, str | None, str | None]:
         import time
 
+        key = fingerprint(document, prompt)
+        if journal is not None and (known := journal.answer(key)) is not None:
+            return "ok", known, None
+        if journal is not None and stop_at_quota and (why := journal.stopped()) is not None:
+            return "quota", None, why
         for k in range(attempts):
             try:
-                return "ok", caller(prompt), None
+                output = caller(prompt)
             except QuotaExhausted as e:
-                return "quota", None, f"{type(e).__name__}: {e}"
+                why = f"{type(e).__name__}: {e}"
+                if journal is not None:
+                    journal.stop(why)
+                return "quota", None, why
             except Exception as e:  # noqa: BLE001  kept with the batch, as the caller may raise anything
                 if not isinstance(e, ConnectionError) or k + 1 == attempts:
                     return "error", None, f"{type(e).__name__}: {e}"
                 time.sleep(2**k)
+            else:
+                if journal is not None:
+                    journal.keep(key, output)
+                return "ok", output, None
         raise ValueError("attempts must be positive")
 
     def run(batches):
-        stopped = None  # the document whose batches are skipped
+        stopped, ended = None, None  # the document whose batches are skipped; why no more calls are made
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                outcome, output, error = ("skipped", None, None) if r.document_id == stopped else ask(r.prompt)
+                if r.document_id == stopped:
+                    outcome, output, error = "skipped", None, None
+                elif ended is not None:
+                    known = journal.answer(fingerprint(r.document_id, r.prompt)) if journal is not None else None
+                    outcome, output, error = ("ok", known, None) if known is not None else ("quota", None, ended)
+                else:
+                    outcome, output, error = ask(r.document_id, r.prompt)
                 if outcome != "ok":
                     stopped = r.document_id
+                if outcome == "quota" and stop_at_quota:
+                    ended = error
                 rows.append((r.document_id, r.batch_id, outcome, output, error))
             yield pd.DataFrame(rows, columns=["document_id", "batch_id", "outcome", "output", "error"])
 
@@ -299,9 +322,12 @@ def extraction_status(batches: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.select("document_id", "n_eligible", "n_processed", left.alias("n_unprocessed"), "requests_used", status.alias("status"))
 
 
-def overall_status(statuses: DataFrame) -> DataFrame:
-    """Sums over documents and the status of all: failed if any is, else the last that is not complete."""
-    last = F.max_by("status", F.when(F.col("status") != "COMPLETE", F.col("document_id")))
+def overall_status(statuses: DataFrame, order: str = "document_id") -> DataFrame:
+    """Sums over documents and the status of all: failed if any is, else the last that is not complete.
+
+    ``order`` is the column by which documents follow one another, as the order in which their files were given.
+    """
+    last = F.max_by("status", F.when(F.col("status") != "COMPLETE", F.col(order)))
     return statuses.agg(
         F.count("*").alias("n_documents"),
         F.sum("n_eligible").alias("n_eligible"),
@@ -312,5 +338,28 @@ def overall_status(statuses: DataFrame) -> DataFrame:
     )
 
 
+#: What is told of a document by its status.
+STATUS_MESSAGES = {
+    "COMPLETE": "All eligible pages were processed.",
+    "PARTIAL_QUOTA": "Some pages were left out for lack of requests.",
+    "QUOTA_EXHAUSTED": "No page was processed, as no requests were left.",
+    "FAILED": "Extraction stopped at an error.",
+}
+
+
+def document_summaries(statuses: DataFrame, claims: DataFrame, batches: DataFrame, budget: int | None = None) -> DataFrame:
+    """Statuses with each document's requests_available, facts_extracted, facts_rejected_grounding, user_message and error_message.
+
+    ``claims``: with their reject_reason; ``batches``: with outcomes and errors.
+    """
+    counts = claims.groupBy("document_id").agg(F.count_if(F.col("reject_reason").isNull()).alias("facts_extracted"), F.count_if(F.col("reject_reason") == "not_grounded").alias("facts_rejected_grounding"))
+    errors = batches.filter("error IS NOT NULL").groupBy("document_id").agg(F.min_by("error", "batch_id").alias("error_message"))
+    rows = statuses.join(counts, "document_id", "left").join(errors, "document_id", "left")
+    said = F.create_map(*(F.lit(x) for pair in STATUS_MESSAGES.items() for x in pair))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    left = F.greatest(F.lit(budget).cast("long") - F.col("requests_used"), F.lit(0)).alias("requests_available")
+    return rows.select(*statuses.columns, left, none("facts_extracted"), none("facts_rejected_grounding"), said[F.col("status")].alias("user_message"), "error_message")
+
+
 def unprocessed_pages(plan: DataFrame, processed: DataFrame) -> DataFrame:
     return plan.select("document_id", "page_number").join(processed, ["document_id", "page_number"], "left_anti")

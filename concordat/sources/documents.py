@@ -28,15 +28,15 @@ def split_form_feeds(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of the files of no bytes at ``path`` (a file, folder or pattern); hidden ones are passed over, as Spark does."""
+def listed(spark: SparkSession, path: str, empty_only: bool = False) -> list[str]:
+    """Paths of the files at ``path`` (a file, folder or pattern), or of those of no bytes; hidden ones are passed over, as Spark does."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
     for root in store.globStatus(where) or ():
         files = store.listFiles(root.getPath(), True)
         while files.hasNext():
             one = files.next()
-            if one.getLen() == 0 and not one.getPath().getName().startswith(("_", ".")):
+            if (one.getLen() == 0 or not empty_only) and not one.getPath().getName().startswith(("_", ".")):
                 found.append(one.getPath().toString())
     return found
 
@@ -44,7 +44,7 @@ def empty_files(spark: SparkSession, path: str) -> list[str]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """document_id, document_name, path and content of the files at ``path``; equal bytes have equal ids."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    empty = empty_files(spark, path)
+    empty = listed(spark, path, empty_only=True)
     if empty:
         none = spark.createDataFrame([(p,) for p in empty], "path string")
         files = files.unionByName(none.withColumn("content", F.lit("").cast("binary")))

@@ -1,9 +1,13 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from concordat.engine import Config, Engine
+from concordat.operators import extract, planner
+from concordat.operators.journal import Journal
+from concordat.shared import durable
 from concordat.sources import documents
 from concordat.sources.store import Store
 from concordat.streaming import arrivals
@@ -110,7 +114,7 @@ def test_extraction_stops_at_the_first_failure(spark, tmp_path):
 
     rows = [(d, p, f"Revenue was ₹{p} crore in 2023-24") for d in "abc" for p in (1, 2, 3, 4)]
     pages = documents.with_metadata(spark.createDataFrame(rows, "document_id string, page_number int, text string"))
-    done = Engine(spark, Config(batch_size=1, by_relevance=False), caller=caller).analyze(pages)
+    done = Engine(spark, Config(batch_size=1, by_relevance=False, stop_at_quota=False), caller=caller).analyze(pages)
     status = {r["document_id"]: (r["status"], r["n_processed"], r["requests_used"]) for r in done["statuses"].collect()}
     assert status == {"a": ("PARTIAL_QUOTA", 1, 1), "b": ("FAILED", 0, 0), "c": ("COMPLETE", 4, 4)}
     assert {p.name for p in asked.iterdir()} == {"a-1", "a-2", "b-1", "c-1", "c-2", "c-3", "c-4"}
@@ -118,6 +122,74 @@ def test_extraction_stops_at_the_first_failure(spark, tmp_path):
     assert [outcomes["a", k] for k in range(4)] == ["ok", "quota", "skipped", "skipped"] and done["status"].first()["status"] == "FAILED"
 
 
+def test_no_answer_is_asked_for_twice(spark, tmp_path):
+    asked, fail = tmp_path / "asked", tmp_path / "fail"
+    asked.mkdir()
+    fail.write_text("")
+
+    def caller(prompt: str) -> str:
+        import os
+        import uuid
+
+        doc = prompt.split("Document: ")[1].split("\n")[0]
+        page = prompt.split("Pages in this batch: ")[1].split("\n")[0]
+        (asked / f"{doc}-{page}-{uuid.uuid4().hex}").write_text("")
+        if (doc, page) == ("a", "3") and fail.exists():
+            fail.unlink()
+            os._exit(1)  # the worker dies half-way, and its task is run again
+        return json.dumps({"facts": [{"page_number": int(page)}]})
+
+    rows = [(d, p, f"Revenue was ₹{p} crore in 2023-24") for d in "ab" for p in (1, 2, 3, 4)]
+    pages = documents.with_metadata(spark.createDataFrame(rows, "document_id string, page_number int, text string"))
+    prompts = durable(planner.batch_prompts(planner.plan_pages(pages, size=1), pages.withColumn("prompt_text", F.col("text"))))
+    journal = Journal(f"{tmp_path}/journal")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+
+    def once(run):
+        try:
+            return extract.call_model(prompts, caller, 1, journal=run).collect()
+        except Exception:  # noqa: BLE001  a local session does not run tasks again
+            return extract.call_model(prompts, caller, 1, journal=run).collect()
+
+    try:
+        first = once(journal)
+        again = once(Journal(f"{tmp_path}/journal"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["outcome"] for r in first} == {"ok"} and sorted(map(tuple, first)) == sorted(map(tuple, again))
+    calls = Counter("-".join(p.name.split("-")[:2]) for p in asked.iterdir())
+    assert calls == {f"{d}-{p}": 1 + ((d, p) == ("a", 3)) for d in "ab" for p in (1, 2, 3, 4)}
+
+
+def test_no_call_is_made_after_the_end_of_a_quota(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def caller(prompt: str) -> str:
+        import uuid
+
+        from concordat.operators.extract import QuotaExhausted
+
+        (asked / uuid.uuid4().hex).write_text("")
+        raise QuotaExhausted("no more")
+
+    rows = [(f"d{k:02}", 1, "Revenue was ₹1 crore in 2023-24") for k in range(40)]
+    pages = documents.with_metadata(spark.createDataFrame(rows, "document_id string, page_number int, text string"))
+    done = Engine(spark, Config(by_relevance=False, journal=f"{tmp_path}/journal", budget=9), caller=caller).analyze(pages)
+    told = done["statuses"].collect()
+    assert {r["status"] for r in told} == {"QUOTA_EXHAUSTED"} and len(told) == 40 and 1 <= len(list(asked.iterdir())) <= 2  # one for a partition at most
+    r = told[0]
+    assert (r["requests_available"], r["facts_extracted"], r["facts_rejected_grounding"], r["error_message"]) == (9, 0, 0, "QuotaExhausted: no more") and "no requests" in r["user_message"]
+
+
+def test_which_files_are_refused(spark, folder, tmp_path):
+    with pytest.raises(ValueError, match="no files"):
+        Engine(spark).parse(f"{tmp_path}/nothing/*.txt")
+    with pytest.raises(ValueError, match="of no kind"):
+        Engine(spark, kinds=(".pdf",)).parse(f"{folder}/annual.txt")
+    assert Engine(spark, kinds=(".txt", ".pdf")).parse(f"{folder}/annual.txt").count() == 2
+
+
 def test_extraction_by_a_model(spark, folder):
     def caller(prompt: str) -> str:
         if "Outlook" in prompt:
