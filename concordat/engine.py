@@ -139,7 +139,7 @@ class Engine:
             claims = done["claims"].filter("reject_reason IS NULL")
             rejected = done["claims"].filter("reject_reason IS NOT NULL").groupBy("document_id", "reject_reason").agg(F.count("*").alias("n"))
             statuses = extract.document_summaries(done["statuses"], done["claims"], done["batches"], self.config.budget)
-            out = {"statuses": statuses, "status": extract.overall_status(done["statuses"]), "rejected": rejected, "batches": done["batches"]}
+            out = {"statuses": statuses, "status": self._status(page_rows, done["statuses"]), "rejected": rejected, "batches": done["batches"]}
         if "error" in page_rows.columns:
             out["errors"] = page_rows.filter("error IS NOT NULL").select("document_id", "error")
             page_rows = page_rows.filter("error IS NULL")
@@ -153,5 +153,13 @@ class Engine:
             summary = summarize(docs, normalized, related).select(F.lit(analysis_id).alias("analysis_id"), "*")
         return out | {"documents": docs, "facts": normalized, "relationships": related, "summary": summary}
 
+    @staticmethod
+    def _status(page_rows: DataFrame, statuses: DataFrame) -> DataFrame:
+        """The status of all documents, in the order of their files' names where these are known."""
+        if "document_name" not in page_rows.columns:
+            return extract.overall_status(statuses)
+        names = page_rows.groupBy("document_id").agg(F.min("document_name").alias("document_name"))
+        return extract.overall_status(statuses.join(names, "document_id", "left"), F.struct("document_name", "document_id"))
+
     def load(self, analysis_id: str) -> dict[str, DataFrame] | None:
         return self.store.load(analysis_id) if self.store is not None else None

@@ -322,12 +322,12 @@ def extraction_status(batches: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.select("document_id", "n_eligible", "n_processed", left.alias("n_unprocessed"), "requests_used", status.alias("status"))
 
 
-def overall_status(statuses: DataFrame, order: str = "document_id") -> DataFrame:
+def overall_status(statuses: DataFrame, order: Column | str = "document_id") -> DataFrame:
     """Sums over documents and the status of all: failed if any is, else the last that is not complete.
 
-    ``order`` is the column by which documents follow one another, as the order in which their files were given.
+    ``order`` is what documents follow one another by, as the names of their files.
     """
-    last = F.max_by("status", F.when(F.col("status") != "COMPLETE", F.col(order)))
+    last = F.max_by("status", F.when(F.col("status") != "COMPLETE", F.col(order) if isinstance(order, str) else order))
     return statuses.agg(
         F.count("*").alias("n_documents"),
         F.sum("n_eligible").alias("n_eligible"),
@@ -340,10 +340,10 @@ def overall_status(statuses: DataFrame, order: str = "document_id") -> DataFrame
 
 #: What is told of a document by its status.
 STATUS_MESSAGES = {
-    "COMPLETE": "All eligible pages were processed.",
-    "PARTIAL_QUOTA": "Some pages were left out for lack of requests.",
-    "QUOTA_EXHAUSTED": "No page was processed, as no requests were left.",
-    "FAILED": "Extraction stopped at an error.",
+    "COMPLETE": "Extraction completed successfully for all eligible pages.",
+    "PARTIAL_QUOTA": "Extraction partially completed within the quota limit; some eligible pages were left out.",
+    "QUOTA_EXHAUSTED": "The quota limit was reached before any page was processed.",
+    "FAILED": "Extraction failed at an error.",
 }
 
 

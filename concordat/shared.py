@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -57,28 +58,34 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-_written: list[str] = []
+#: The open scopes of a thread, each with the tables written inside.
+_scopes = threading.local()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, of which later reads take only the columns they need."""
+    """``df`` as a Parquet table in the shared folder, of which later reads take only the columns they need.
+
+    It is removed at the end of the innermost ``tables_removed`` of this thread; outside of any it stays.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if open_ := getattr(_scopes, "open", None):
+        open_[-1].append(path)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.parquet(path)
 
 
 @contextmanager
 def tables_removed(spark: SparkSession) -> Iterator[None]:
-    """Tables that are ``written`` inside are removed at the end, when their readers have been written too."""
-    first = len(_written)
+    """Tables that this thread writes inside are removed at the end, when their readers have been written too."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _written[first:]:
+        for path in _scopes.open.pop():
             remove(spark, path)
-        del _written[first:]
 
 
 def join_frequent(rows: DataFrame, named: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:

@@ -179,7 +179,7 @@ def test_no_call_is_made_after_the_end_of_a_quota(spark, tmp_path):
     told = done["statuses"].collect()
     assert {r["status"] for r in told} == {"QUOTA_EXHAUSTED"} and len(told) == 40 and 1 <= len(list(asked.iterdir())) <= 2  # one for a partition at most
     r = told[0]
-    assert (r["requests_available"], r["facts_extracted"], r["facts_rejected_grounding"], r["error_message"]) == (9, 0, 0, "QuotaExhausted: no more") and "no requests" in r["user_message"]
+    assert (r["requests_available"], r["facts_extracted"], r["facts_rejected_grounding"], r["error_message"]) == (9, 0, 0, "QuotaExhausted: no more") and "quota limit" in r["user_message"]
 
 
 def test_which_files_are_refused(spark, folder, tmp_path):
