@@ -29,6 +29,7 @@ table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -279,14 +280,16 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def _split_full(filed: DataFrame) -> DataFrame:
-    """Filed rows of which no key has over ``SPLIT_ROWS`` rows, or more than a 50,000th of all, if its bits can be parted."""
+    """Filed rows of which no key has over ``SPLIT_ROWS`` rows, at any number of rows, if its bits can be parted.
+
+    Full keys are broadcast if they are few; else they are joined by a shuffle.
+    """
     done = None
     while True:
         filed = durable(filed)
         counts = filed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.bit_count("used")).alias("used"))
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        least = max(SPLIT_ROWS, -(-total // MOST_HOT_KEYS))  # so that full keys are few enough to broadcast
-        full = F.broadcast(counts.filter((F.col("n") > least) & (F.col("used") <= BITS - PARTS)).select("key"))
+        full = counts.filter((F.col("n") > SPLIT_ROWS) & (F.col("used") <= BITS - PARTS)).select("key")
+        full = F.broadcast(full) if full.count() <= MOST_HOT_KEYS else full
         again = filed.join(full, "key", "left_semi")
         rest = filed.join(full, "key", "left_anti")
         done = rest if done is None else done.unionByName(rest)
@@ -316,11 +319,15 @@ def _file_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (smallest node reachable) for every node of ``edges`` (u, v)."""
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """node, component (smallest node reachable) for every node of ``edges`` (u, v).
+
+    Rounds go on until nothing changes, which takes about the logarithm of the longest chain; a caller that
+    wants to bound them gets an error where they have not settled by then.
+    """
     edges = durable(edges.select("u", "v"))
     n, seen = edges.count(), None
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         large = join_frequent(both, least.select("u", F.least("u", "m").alias("m")), "u", least.select("u", "n"), 2 * n)
@@ -354,8 +361,6 @@ def fingerprint_hex(fp) -> F.Column:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one row of each group of linked texts left, rows without an id included."""
-    from pyspark.sql import Window
-
     # Two hashes of 128 bits together stand for a row, so that texts are neither compared nor carried along.
     columns = [F.col(f"`{c}`") for c in docs.columns]
     nulls = F.concat(*(c.isNull().cast("int").cast("string") for c in columns))  # xxhash64 passes over nulls
@@ -367,10 +372,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     grouped = join_frequent(own, found, "fp", counts, own.count(), "left").withColumn("__group", F.coalesce("component", "fp"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__h0", "__h1")
     first = grouped.groupBy("__group").agg(F.min(order).alias("m")).select(F.col("m.__h0").alias("__f0"), F.col("m.__h1").alias("__f1"))
-    kept = marked.join(first, (F.col("__h0") == F.col("__f0")) & (F.col("__h1") == F.col("__f1")), "left_semi")
-    whole = F.struct(*columns).alias("__doc")
-    same = Window.partitionBy("__h0", "__h1").orderBy("__h0")  # rows that are equal in all columns
-    return kept.select("__h0", "__h1", whole).withColumn("__n", F.row_number().over(same)).filter("__n = 1").select("__doc.*")
+    # Of rows that are equal in all columns each task passes on one, before texts are shuffled.
+    different = marked.select("__h0", "__h1", F.struct(*columns).alias("__doc")).dropDuplicates(["__h0", "__h1"])
+    return different.join(first, (F.col("__h0") == F.col("__f0")) & (F.col("__h1") == F.col("__f1")), "left_semi").select("__doc.*")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
