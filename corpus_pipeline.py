@@ -58,11 +58,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
-    for name, stage in STAGES:
-        with tables_removed(spark):
-            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if last is not None:
-            remove(spark, last)
-        last = f"{folder}/{name}"
+    try:
+        for name, stage in STAGES:
+            with tables_removed(spark):
+                stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if last is not None:
+                remove(spark, last)
+            last = f"{folder}/{name}"
+    except BaseException:
+        remove(spark, folder)  # nothing of a run that failed stays behind
+        raise
     return docs
