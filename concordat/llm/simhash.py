@@ -325,21 +325,21 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     Rounds go on until nothing changes, which takes about the logarithm of the longest chain; a caller that
     wants to bound them gets an error where they have not settled by then.
     """
-    edges = durable(edges.select("u", "v"))
-    n, seen = edges.count(), None
+    edges, seen = durable(edges.select("u", "v")), None
     for _ in itertools.count() if max_rounds is None else range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        large = join_frequent(both, least.select("u", F.least("u", "m").alias("m")), "u", least.select("u", "n"), 2 * n)
-        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_frequent(large, least.select("u", "m"), "u", least.select("u", "n"), 2 * n)
+        # Least neighbours are kept first, so that both sides of a join are dealt anew and a hub's rows can be split.
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.join(least.select("u", F.least("u", "m").alias("m")), "u")
+        large = durable(large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = durable(small.filter("u <> v").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state == seen:
             break
-        n, seen = state["n"], state
+        seen = state
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
