@@ -14,6 +14,7 @@ from .operators import context, extract, facts, pages, planner, relations
 from .operators.journal import Journal
 from .shared import durable, sound
 from .sources import documents
+from .sources.files import FormFeeds, Paged, list_files
 from .sources.store import Store, summarize
 
 
@@ -59,7 +60,7 @@ class Config:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config | None = None, caller: Callable[[str], str] | None = None, store: Store | None = None, parser: documents.Parser = documents.split_form_feeds, kinds: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, config: Config | None = None, caller: Callable[[str], str] | None = None, store: Store | None = None, parser: documents.Parser | FormFeeds | Paged = documents.split_form_feeds, kinds: tuple[str, ...] = ()):
         sound(spark)
         self.kinds = kinds  # endings of file names; none: any
         self.spark, self.config, self.caller, self.store, self.parser = spark, config or Config(), caller, store, parser
@@ -69,13 +70,16 @@ class Engine:
 
     def parse(self, path: str) -> DataFrame:
         """Pages of the files at ``path``; raises ValueError if there are none, or one is of no kind in ``kinds``."""
-        files = documents.listed(self.spark, path)
-        if not files:
+        files = list_files(self.spark, path)
+        if files.isEmpty():
             raise ValueError(f"no files at {path}")
-        other = [f for f in files if self.kinds and not f.lower().endswith(tuple(self.kinds))]
-        if other:
-            raise ValueError(f"{other[0]} is of no kind that is read ({', '.join(self.kinds)})")
-        return documents.parse(documents.read_documents(self.spark, path), self.parser)
+        kind = F.lit(not self.kinds)
+        for ending in self.kinds:
+            kind = kind | F.endswith(F.lower("name"), F.lit(ending))
+        other = files.filter(~kind).select(F.min("path")).first()[0]
+        if other is not None:
+            raise ValueError(f"{other} is of no kind that is read ({', '.join(self.kinds)})")
+        return documents.parse_files(self.spark, path, self.parser, files)
 
     def plan(self, page_rows: DataFrame) -> DataFrame:
         c = self.config

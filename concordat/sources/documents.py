@@ -1,9 +1,9 @@
 """Documents from files: bytes to pages.
 
-Files are read by Spark's own binary source, so that any store works that Spark reaches. Text files are
-paged at form feeds. Spark's reader passes over files of no bytes; these are listed beside it, so that each
-is a document with an error. PDF needs a parser, which is given as a function from bytes to page texts; the
-library brings none.
+Text files are paged at form feeds, and read in ranges of pages (``files``). PDF needs a parser; the library
+brings none. One that reads single pages is given as ``files.Paged``, and its files too are read in ranges;
+one that is a function from bytes to page texts gets whole files from Spark's own binary source. That source
+passes over files of no bytes; these are listed beside it, so that each is a document with an error.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import short_hash
 from ..operators.pages import newline_clean, with_metadata
 from ..shipping import ship
+from .files import FormFeeds, Paged, list_files, page_ranges, read_pages
 
 Parser = Callable[[bytes], list[str]]
 
@@ -28,26 +29,11 @@ def split_form_feeds(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def listed(spark: SparkSession, path: str, empty_only: bool = False) -> list[str]:
-    """Paths of the files at ``path`` (a file, folder or pattern), or of those of no bytes; hidden ones are passed over, as Spark does."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
-    for root in store.globStatus(where) or ():
-        files = store.listFiles(root.getPath(), True)
-        while files.hasNext():
-            one = files.next()
-            if (one.getLen() == 0 or not empty_only) and not one.getPath().getName().startswith(("_", ".")):
-                found.append(one.getPath().toString())
-    return found
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """document_id, document_name, path and content of the files at ``path``; equal bytes have equal ids."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    empty = listed(spark, path, empty_only=True)
-    if empty:
-        none = spark.createDataFrame([(p,) for p in empty], "path string")
-        files = files.unionByName(none.withColumn("content", F.lit("").cast("binary")))
+    empty = list_files(spark, path).filter("size = 0").select("path", F.lit("").cast("binary").alias("content"))
+    files = files.unionByName(empty)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(short_hash(F.col("content")).alias("document_id"), name.alias("document_name"), "path", "content")
 
@@ -78,6 +64,16 @@ def parse(documents: DataFrame, parser: Parser = split_form_feeds) -> DataFrame:
     return with_metadata(pages.withColumn("text", newline_clean(F.col("text"))))
 
 
+def parse_files(spark: SparkSession, path: str, parser: Parser | FormFeeds | Paged = split_form_feeds, files: DataFrame | None = None) -> DataFrame:
+    """Pages of the files at ``path``, as ``parse`` gives them; ``files`` is their list, if it was made before."""
+    if parser is split_form_feeds:
+        parser = FormFeeds()
+    if not isinstance(parser, (FormFeeds, Paged)):
+        return parse(read_documents(spark, path), parser)
+    pages = read_pages(page_ranges(list_files(spark, path) if files is None else files, parser), parser)
+    return with_metadata(pages.withColumn("text", newline_clean(F.col("text"))))
+
+
 def read_cases(spark: SparkSession, path: str, field: str = "cases") -> DataFrame:
     """The rows of a nested JSON file of benchmark cases."""
     raw = spark.read.json(path, multiLine=True)
