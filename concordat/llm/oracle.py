@@ -18,7 +18,6 @@ def _q(text: str) -> str:
 
 
 def _op1(alpha: float = quality_rules.ALPHA, delta: float = quality_rules.DELTA) -> str:
-    alpha /= len(quality_rules.RULES)
     ratios = {
         "symbol_ratio": "n_symbols / greatest(word_chars, 1)",
         "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
@@ -27,7 +26,7 @@ def _op1(alpha: float = quality_rules.ALPHA, delta: float = quality_rules.DELTA)
         "shout_ratio": "n_shouts / greatest(n_words, 1)",
     }
     long = lambda source, keep: " UNION ALL ".join(f"SELECT {keep}, stratum, '{r}' AS rule, {x} AS ratio FROM {source}" for r, x in ratios.items())
-    cuts = ", ".join(f"('{r}', {i}, {c})" for r, cs in quality_rules.RULES.items() for i, c in enumerate(cs))
+    cuts = ", ".join(f"('{r}', {i}, {c})" for i, (r, c) in enumerate(quality_rules.STEPS))
     pmf = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln({1 - alpha}))"
     return f"""WITH w AS (
   SELECT doc_id, coalesce(lang, {_q(quality_rules.NO_STRATUM.replace(chr(0), ''))}) AS stratum, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda x: x <> '') AS ws,
@@ -41,13 +40,15 @@ def _op1(alpha: float = quality_rules.ALPHA, delta: float = quality_rules.DELTA)
       md5(t) AS text_key FROM w LEFT JOIN cov USING (doc_id))), ratios AS ({long('base', 'doc_id')}), marks AS (
   SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1), labelled AS (
   SELECT * FROM base JOIN marks USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text_key, stratum) = 1), units AS (
-  SELECT *, max(q) OVER (PARTITION BY stratum, text_key) AS good FROM labelled WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY stratum, text_key ORDER BY doc_id) = 1), trials AS ({long('units', 'good AS q')}), cuts AS (SELECT * FROM (VALUES {cuts}) AS c(rule, step, cutoff)), tests AS (
-  SELECT stratum, rule, step, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND ratio > cutoff) AS k, count(*) FILTER (q <> 1 AND ratio > cutoff) AS bad
-  FROM trials JOIN cuts USING (rule) GROUP BY ALL), pairs AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, rule FROM tests)), proved AS (
-  SELECT *, CASE WHEN k > n * {alpha} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: {pmf})) END <= {delta} / m AS ok FROM tests, pairs), certified AS (
-  SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS held FROM proved), chosen AS (
-  SELECT stratum, rule, cutoff FROM certified WHERE held AND bad > k QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, step) = 1), broken AS (
-  SELECT DISTINCT doc_id FROM ratios JOIN chosen USING (stratum, rule) WHERE ratio > cutoff)
+  SELECT *, max(q) OVER (PARTITION BY stratum, text_key) AS good FROM labelled WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY stratum, text_key ORDER BY doc_id) = 1), cuts AS (SELECT * FROM (VALUES {cuts}) AS c(rule, step, cutoff)), firsts AS (
+  SELECT doc_id, min(step) AS step FROM ratios JOIN cuts USING (rule) WHERE ratio > cutoff GROUP BY 1), trials AS (
+  SELECT units.stratum, good AS q, firsts.step AS first FROM units LEFT JOIN firsts USING (doc_id)), tests AS (
+  SELECT stratum, step, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND first <= step) AS k, count(*) FILTER (q <> 1 AND first <= step) AS bad
+  FROM trials, cuts GROUP BY ALL), proved AS (
+  SELECT *, CASE WHEN k > n * {alpha} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: {pmf})) END <= {delta} / (SELECT count(DISTINCT stratum) FROM trials) AS ok FROM tests), certified AS (
+  SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS held FROM proved), chosen AS (
+  SELECT stratum, step FROM certified WHERE held AND bad > k QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad - k DESC, step) = 1), broken AS (
+  SELECT doc_id FROM base JOIN firsts USING (doc_id) JOIN chosen USING (stratum) WHERE firsts.step <= chosen.step)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM base"""
 
 

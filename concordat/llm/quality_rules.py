@@ -1,18 +1,18 @@
 """Quality rules whose cutoffs are certified on labelled documents (DataFrame expressions only).
 
 A rule rejects a document when a measured ratio exceeds its cutoff. In each stratum (language) at most
-``alpha`` of the good documents may be rejected by all rules together; each rule is given an equal share
-of it, so that the shares of a document's rules add up to ``alpha`` whichever of them reject it. For each
-stratum and rule, cutoffs are tried from the laxest to the strictest. A cutoff is certified while the
-exact binomial tail rules out, at the corrected level, that more than the rule's share of the good
-documents are rejected: with ``k`` of ``n`` good labelled documents rejected, P(Bin(n, share) <= k) must
-not exceed ``delta`` divided by the number of (stratum, rule) pairs. Within a pair the cutoffs form a
-fixed sequence that stops at the first failure, so no further correction is due: with probability
-1 - ``delta`` no stratum loses more than ``alpha`` of its good documents to certified cutoffs. Among the
-certified cutoffs the one with the best surplus of bad over good rejections is taken (ties: the laxest),
-and none if no cutoff has a surplus. The grid of cutoffs is fixed beforehand, so every labelled document
-serves as holdout. What is counted are different documents: each labelled id once, and each text once in
-a stratum (good if any of its labels says so).
+``alpha`` of the good documents may be rejected by all rules together. Joint cutoffs are tried along one
+sequence, fixed beforehand: it begins with no cutoff and tightens one rule after the other by one place of
+its grid (``STEPS``). So each document has one step from which on it is rejected, by whichever rule. A step is
+certified while the exact binomial tail rules out, at the corrected level, that more than ``alpha`` of the
+good documents are rejected by its joint cutoffs: with ``k`` of ``n`` good labelled documents rejected,
+P(Bin(n, alpha) <= k) must not exceed ``delta`` divided by the number of strata. As the sequence is fixed and
+stops at the first failure, no further correction is due: with probability 1 - ``delta`` no stratum loses
+more than ``alpha`` of its good documents. No share of ``alpha`` goes to rules that reject nothing: with four
+strata, 86 good documents of which none is rejected are enough. Among the certified steps the one with the
+best surplus of bad over good rejections is taken (ties: the laxest), and none if no step has a surplus. The
+grid is fixed beforehand, so every labelled document serves as holdout. What is counted are different
+documents: each labelled id once, and each text once in a stratum (good if any of its labels says so).
 
 Defined results: a null text has no words; a null language is a stratum of its own; repeated labels of
 a document count once and as good if any of them says so; of different texts under one labelled id the
@@ -40,6 +40,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
     "shout_ratio": (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2),
 }
+#: The fixed sequence: (rule, cutoff) tightened at steps 1, 2, ...; all rules' first places, then all second ones.
+STEPS = tuple((r, cuts[i]) for i in range(max(map(len, RULES.values()))) for r, cuts in RULES.items() if i < len(cuts))
 NO_STRATUM = "\u0000none"
 #: Above this many strata the cutoffs are joined by a shuffle and no longer broadcast.
 MAX_BROADCAST_STRATA = 20_000
@@ -140,48 +142,40 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """One row for each stratum with labels: ``stratum`` and ``cut_<rule>`` (null: none certified)."""
+    """One row for each stratum with a certified step: ``stratum`` and ``cut_<rule>`` (null: the step has none)."""
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    steps = F.array(
-        *(
-            F.struct(
-                F.lit(rule).alias("rule"),
-                # the first cutoff from the laxest that the ratio exceeds, or one past the last
-                (F.lit(len(cuts) + 1) - sum(((F.col(rule) > c).cast("int") for c in cuts), F.lit(0))).alias("level"),
-            )
-            for rule, cuts in RULES.items()
-        )
-    )
     # One row for an id, and then one for a text: repeats are no trials of their own.
     first = F.min(F.struct("text_key", "stratum", "base_failed", *RULES)).alias("f")
     by_id = features.join(marks, "doc_id").groupBy("doc_id").agg(first, F.max("good").alias("good")).select("good", "f.*")
     trials = by_id.filter(~F.col("base_failed")).groupBy("stratum", "text_key").agg(F.max("good").alias("good"), *(F.max(r).alias(r) for r in RULES))
+    # the first step that rejects, or one past the last
+    past = len(STEPS) + 1
+    step = F.least(*(F.when(F.col(r) > c, i + 1).otherwise(past) for i, (r, c) in enumerate(STEPS)))
+    good = F.col("good") == 1
     hits = (
-        trials.select("stratum", "good", F.explode(steps).alias("s"))
-        .groupBy("stratum", F.col("s.rule").alias("rule"), F.col("s.level").alias("level"))
-        .agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad"))
+        trials.groupBy("stratum", step.alias("step"))
+        .agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
     )
-    grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i + 1).alias("level"), F.lit(float(c)).alias("cutoff")) for r, cuts in RULES.items() for i, c in enumerate(cuts)))
-    strata = hits.groupBy("stratum", "rule").agg(F.sum("good").alias("n"))
-    pairs = strata.agg(F.count("*").alias("n_pairs"))
+    strata = hits.groupBy("stratum").agg(F.sum("good").alias("n"))
     cells = (
-        strata.join(strata.select("stratum").distinct().select("stratum", F.explode(grid).alias("g")).select("stratum", "g.*"), ["stratum", "rule"])
-        .join(hits, ["stratum", "rule", "level"], "left")
-        .crossJoin(F.broadcast(pairs))
+        strata.select("stratum", "n", F.explode(F.sequence(F.lit(1), F.lit(past - 1))).alias("step"))
+        .join(hits, ["stratum", "step"], "left")
+        .crossJoin(F.broadcast(strata.agg(F.count("*").alias("n_strata"))))
     )
-    laxer = Window.partitionBy("stratum", "rule").orderBy("level")
+    laxer = Window.partitionBy("stratum").orderBy("step")
     tried = (
         cells.withColumn("k", F.sum(F.coalesce("good", F.lit(0))).over(laxer))
         .withColumn("caught", F.sum(F.coalesce("bad", F.lit(0))).over(laxer))
-        .withColumn("ok", (binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.lit(delta) / F.col("n_pairs")).cast("int"))
+        .withColumn("ok", (binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / F.col("n_strata")).cast("int"))
         .withColumn("certified", F.min("ok").over(laxer) == 1)
     )
     best = (
         tried.filter("certified AND caught > k")
-        .groupBy("stratum", "rule")
-        .agg(F.max(F.struct((F.col("caught") - F.col("k")).alias("surplus"), (-F.col("level")).alias("lax"), "cutoff"))["cutoff"].alias("cutoff"))
+        .groupBy("stratum")
+        .agg(F.max(F.struct((F.col("caught") - F.col("k")).alias("surplus"), (-F.col("step")).alias("lax")))["lax"].alias("lax"))
     )
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    reached = lambda r: F.least(*(F.when(-F.col("lax") >= i + 1, F.lit(float(c))) for i, (x, c) in enumerate(STEPS) if x == r))
+    return best.select("stratum", *(reached(r).alias(f"cut_{r}") for r in RULES))
 
 
 def judge(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
