@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .text import blank, collapse, strip
+from .text import blank, collapse, let, strip
 
 
 def _like(x: Column, pattern: str) -> Column:
@@ -22,7 +22,10 @@ def _first(*cases: tuple[Column, Column | str], default: Column | None = None) -
 
 
 def qualifier(raw: Column) -> Column:
-    x = strip(raw)
+    return let(strip(raw), _qualifier)
+
+
+def _qualifier(x: Column) -> Column:
     low = F.lower(x)
     return _first(
         *((F.startswith(x, F.lit(s)), F.lit(q)) for s, q in V.QUALIFIER_SYMBOLS),
@@ -35,14 +38,14 @@ def qualifier(raw: Column) -> Column:
 def number(raw: Column) -> Column:
     """The number in a raw value as an exact decimal, or null."""
     kept = F.regexp_replace(F.regexp_replace(raw, V.DASHES, "-"), r"[^0-9.\-+]", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"^\+*", ""), r"\++$", "").try_cast("decimal(24,8)")
+    return F.regexp_replace(kept, r"^\++|\++$", "").try_cast("decimal(24,8)")
 
 
 def semantic_unit(unit: Column) -> Column:
     """The words of a unit that are neither scales nor currencies nor say a decline; null if none."""
     words = F.transform(F.regexp_extract_all(F.coalesce(unit, F.lit("")), F.lit("[a-zA-Z]+"), F.lit(0)), F.lower)
     kept = F.filter(words, lambda w: ~w.isin(*V.SCALE_OF_TOKEN, *V.CURRENCY_WORDS) & ~F.regexp_like(w, F.lit(rf"^{V.DECLINE}$")))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " "))
+    return let(F.array_join(kept, " "), lambda said: F.when(said != "", said))
 
 
 def scale(combined: Column) -> Column:
@@ -58,37 +61,52 @@ def power_of_ten(label: Column) -> Column:
 
 
 def value(raw: Column, unit: Column, numeric: Column) -> Column:
-    """numeric_value, canonical_unit, scale, value_qualifier, currency, status and note of a raw value."""
+    """numeric_value, canonical_unit, scale, value_qualifier, currency, status and note of a raw value.
+
+    What several of these ask for is bound once, since patterns cost far more than all else.
+    """
     combined = F.lower(strip(F.concat(raw, F.lit(" "), F.coalesce(unit, F.lit("")))))
-    down = F.regexp_like(combined, F.lit(rf"\b{V.DECLINE}\b")) | F.coalesce(numeric < 0, F.lit(False))
     num = F.coalesce(number(raw), numeric.try_cast("decimal(24,8)"))
-    signed = F.when(down & (num > 0), -num).otherwise(num)
-    percent = F.regexp_like(combined, F.lit(V.PERCENT))
-    currency = _first(*((F.regexp_like(combined, F.lit(p)), F.lit(code)) for code, p in V.CURRENCIES.items()))
-    dollar = currency.isNull() & F.contains(combined, F.lit("$"))
-    label = scale(combined)
-    some = num.isNotNull()
-    plain = some & ~percent
-    return F.struct(
-        F.when(percent, signed.cast("double")).otherwise((signed * power_of_ten(label)).cast("double")).alias("numeric_value"),
-        _first(
-            (~some, F.lit(None).cast("string")),
-            (percent, F.lit("percent")),
-            (currency.isNotNull(), currency),
-            (dollar, F.lit(None).cast("string")),
-            default=F.coalesce(semantic_unit(unit), semantic_unit(raw), F.lit("count")),
-        ).alias("canonical_unit"),
-        F.when(plain, label).alias("scale"),
-        qualifier(raw).alias("value_qualifier"),
-        F.when(plain, currency).alias("currency"),
-        _first((~some, F.lit("unresolved")), (~percent & dollar, F.lit("partial")), default=F.lit("normalized")).alias("status"),
-        _first(
-            (percent & some, F.lit(V.NOTE_PERCENT)),
-            (percent, F.lit(V.NOTE_NO_PERCENT)),
-            (~some, F.lit(V.NOTE_NO_NUMBER)),
-            (dollar, F.lit(V.NOTE_DOLLAR)),
-        ).alias("note"),
-    )
+
+    def told(x: Column) -> Column:
+        said = x["combined"]
+        down = F.coalesce(numeric < 0, F.lit(False)) | F.regexp_like(said, F.lit(rf"\b{V.DECLINE}\b"))
+        currency = _first(*((F.regexp_like(said, F.lit(p)), F.lit(code)) for code, p in V.CURRENCIES.items()))
+        return F.struct(
+            said.alias("combined"),
+            F.when((x["num"] > 0) & down, -x["num"]).otherwise(x["num"]).alias("num"),
+            F.regexp_like(said, F.lit(V.PERCENT)).alias("percent"),
+            currency.alias("currency"),
+            scale(said).alias("label"),
+        )
+
+    def fields(x: Column) -> Column:
+        num, percent, currency, label = x["num"], x["percent"], x["currency"], x["label"]
+        dollar = currency.isNull() & F.contains(x["combined"], F.lit("$"))
+        some = num.isNotNull()
+        plain = some & ~percent
+        return F.struct(
+            F.when(percent, num.cast("double")).otherwise((num * power_of_ten(label)).cast("double")).alias("numeric_value"),
+            _first(
+                (~some, F.lit(None).cast("string")),
+                (percent, F.lit("percent")),
+                (currency.isNotNull(), currency),
+                (dollar, F.lit(None).cast("string")),
+                default=F.coalesce(semantic_unit(unit), semantic_unit(raw), F.lit("count")),
+            ).alias("canonical_unit"),
+            F.when(plain, label).alias("scale"),
+            qualifier(raw).alias("value_qualifier"),
+            F.when(plain, currency).alias("currency"),
+            _first((~some, F.lit("unresolved")), (~percent & dollar, F.lit("partial")), default=F.lit("normalized")).alias("status"),
+            _first(
+                (percent & some, F.lit(V.NOTE_PERCENT)),
+                (percent, F.lit(V.NOTE_NO_PERCENT)),
+                (~some, F.lit(V.NOTE_NO_NUMBER)),
+                (dollar, F.lit(V.NOTE_DOLLAR)),
+            ).alias("note"),
+        )
+
+    return let(let(F.struct(combined.alias("combined"), num.alias("num")), told), fields)
 
 
 def _year(digits: Column) -> Column:
@@ -107,7 +125,12 @@ def period(label: Column, calendar: Column | None = None, start: Column | None =
     none = F.lit(None).cast("string")
     start, end = (none if start is None else start), (none if end is None else end)
     april = F.coalesce((none if calendar is None else calendar) == "april-march", F.lit(False))
-    raw = strip(F.coalesce(label, F.lit("")))
+    return let(strip(F.coalesce(label, F.lit(""))), lambda raw: _period(raw, april, start, end))
+
+
+def _period(raw: Column, april: Column, start: Column, end: Column) -> Column:
+    """``period`` of a stripped label."""
+    none = F.lit(None).cast("string")
     part = lambda p, i: F.regexp_extract(raw, "(?i)" + p, i)
     result = lambda a, b, w=none: F.struct(a.alias("start"), b.alias("end"), w.alias("warning"))
     month = F.create_map(*(F.lit(x) for pair in V.MONTH_NUMBER.items() for x in pair))

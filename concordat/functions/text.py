@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{V.SPACE}+|[\s\x1c-\x1f]+$", "")
 
 
+def let(bound: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once for a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(bound), body), 1)
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(x, V.SPACE + "+", " "))

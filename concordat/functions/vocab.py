@@ -138,6 +138,11 @@ TEMPORAL_PATTERNS = (
     r"\bwas\s+.+?\s+in\s+\d{4}\s+and\s+.+?\s+in\s+\d{4}\b",
     r"\b(?:year[- ]on[- ]year|yoy|annualized|quarter[- ]on[- ]quarter|qoq)\b",
 )
+#: For each of these patterns the words of which a text that it matches holds at least one.
+TEMPORAL_NEEDS = (
+    ("from",), ("compared",), ("versus", "vs"), ("previously", "earlier"), ("from",), ("was",),
+    ("year", "yoy", "annualized", "quarter", "qoq"),
+)
 SUPERSESSION = (
     "superseded", "supersedes", "restated", "restatement", "revised actuals", "subsequently restated", "superseding",
 )

@@ -58,7 +58,7 @@ def with_pair_keys(facts: DataFrame) -> DataFrame:
         .when(unit.isin(*V.CURRENCY_UNITS) | F.col("currency").isNotNull(), "money")
         .otherwise("other")
     )
-    return facts.withColumns(
+    return facts.withColumn("evidence", evidence).withColumns(
         {
             "scope_key": said("scope"),
             "geography_key": said("geography"),
@@ -66,9 +66,8 @@ def with_pair_keys(facts: DataFrame) -> DataFrame:
             "vintage_label": F.lower(strip(F.coalesce("data_vintage", F.lit("")))),
             "restates": F.greatest(*(F.contains(context, F.lit(w)) for w in V.SUPERSESSION)),
             "resolution": resolution(F.col("value_raw"), F.col("scale")),
-            "evidence": evidence,
             "unit_kind": kind,
-            "time_marks": time_marks(evidence),
+            "time_marks": time_marks(F.col("evidence")),
         }
     )
 
@@ -79,6 +78,9 @@ _OPENS = (
     r"|from\s+\S+|from\s+\S+\s+to)$"
 )
 
+#: One of these ends a text with such an end, unless it holds "from".
+_OPENS_WITH = ("up", "down", "increased", "decreased", "rose", "fell", "grown", "declined", "compared", "year", "quarter", "on")
+
 
 #: Bits of a text's time marks; above them stands how often it says "in" a year.
 SAYS_TIME, OPENS_TIME, SAYS_WAS, IN_YEAR = 1, 2, 4, 8
@@ -90,17 +92,26 @@ def time_marks(text: Column) -> Column:
     Both sides of a pair carry the same columns, so that one shuffle can serve both sides of the join.
     """
     bit = lambda test, b: F.when(test, b).otherwise(0)
-    was = F.regexp_like(text, F.lit(r"\bwas\b"))
-    return bit(says_time(text), SAYS_TIME) + bit(F.regexp_like(text, F.lit(_OPENS)), OPENS_TIME) + bit(was, SAYS_WAS) + IN_YEAR * F.regexp_count(text, F.lit(r"\bin(?:\s+\d{4}\b|$)"))
+    has = lambda w: F.contains(text, F.lit(w))
+    opens = (has("from") | F.greatest(*(F.endswith(text, F.lit(w)) for w in _OPENS_WITH))) & F.regexp_like(text, F.lit(_OPENS))
+    was = has("was") & F.regexp_like(text, F.lit(r"\bwas\b"))
+    years = F.when(has("in"), F.regexp_count(text, F.lit(r"\bin(?:\s+\d{4}\b|$)"))).otherwise(0)
+    return bit(says_time(text), SAYS_TIME) + bit(opens, OPENS_TIME) + bit(was, SAYS_WAS) + IN_YEAR * years
 
 
 def says_time(text: Column) -> Column:
-    """Whether a lower-case text compares times by itself."""
+    """Whether a lower-case text compares times by itself.
+
+    A pattern is run only over texts with a word that it needs, which few have.
+    """
     out = F.lit(False)
     for phrase in V.TEMPORAL_PHRASES:
         out = out | F.contains(text, F.lit(phrase))
-    for pattern in V.TEMPORAL_PATTERNS:
-        out = out | F.regexp_like(text, F.lit(pattern))
+    for pattern, needed in zip(V.TEMPORAL_PATTERNS, V.TEMPORAL_NEEDS, strict=True):
+        able = F.lit(False)
+        for word in needed:
+            able = able | F.contains(text, F.lit(word))
+        out = out | (able & F.regexp_like(text, F.lit(pattern)))
     return out
 
 

@@ -69,6 +69,8 @@ def claims(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFrame:
     else:
         joined = joined.withColumns({"k": F.col("c_custkey"), "name": F.col("c_name")})
     sums = joined.groupBy("k", "name", "y").agg(F.sum("cents").alias("c"), F.count("*").alias("n"))
+    # Sums are small and are merged into few partitions at run time; the claims made of them, and what is read off these, are not small.
+    sums = sums.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "y")
     report = F.explode(F.array(*(F.struct(F.lit(i).alias("r"), F.lit(name).alias("document_id")) for i, name in enumerate(REPORTS)))).alias("s")
     kinds = F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("kind")
     rows = sums.select("*", report).select("k", "name", "y", "c", "n", "s.*").select("*", kinds)
