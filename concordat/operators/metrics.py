@@ -134,20 +134,26 @@ def interval_overlap(requests: DataFrame, bucket_ms: int = 600_000) -> DataFrame
 
     Overlapping intervals are counted as those that have started by its end less those that had ended
     before its start, by two running sums over a time line; no pairs are formed. The time line is cut
-    into buckets whose totals are summed first, so a run is not bound to one task.
+    into buckets whose totals are summed first, so a run is not bound to one task. Rows that repeat a
+    request_id are intervals of their own, whose counts are added. A row without a start or an end overlaps
+    nothing. One that ends before it starts overlaps those that hold all of the time between; these alone are paired.
     """
-    r = requests.select("run_id", "request_id", "start_ms", "end_ms")
+    r = requests.select("run_id", "request_id", "start_ms", "end_ms").filter("start_ms IS NOT NULL AND end_ms IS NOT NULL")
+    forward, turned = r.filter("end_ms >= start_ms"), r.filter("end_ms < start_ms")
     mark = lambda at, kind, s, e: F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"), F.lit(s).alias("started"), F.lit(e).alias("ended"))
     # At one time: starts count before what asks for them; ends count only after what asks for earlier ones.
     events = F.array(mark("start_ms", 0, 1, 0), mark("end_ms", 1, 0, 0), mark("start_ms", 2, 0, 0), mark("end_ms", 3, 0, 1))
-    line = r.select("run_id", "request_id", F.explode(events).alias("e")).select("run_id", "request_id", "e.*").withColumn("bucket", F.floor(F.col("at") / bucket_ms))
+    line = forward.select("run_id", "request_id", F.explode(events).alias("e")).select("run_id", "request_id", "e.*").withColumn("bucket", F.floor(F.col("at") / bucket_ms))
     before = Window.partitionBy("run_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = line.groupBy("run_id", "bucket").agg(F.sum("started").alias("s"), F.sum("ended").alias("e"))
     totals = totals.select("run_id", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"))
     upto = Window.partitionBy("run_id", "bucket").orderBy("at", "kind")
     seen = line.withColumns({"s1": F.sum("started").over(upto), "e1": F.sum("ended").over(upto)}).filter("kind IN (1, 2)").join(totals, ["run_id", "bucket"])
-    both = seen.groupBy("run_id", "request_id").agg(F.max(F.when(F.col("kind") == 1, F.col("s0") + F.col("s1"))).alias("s"), F.max(F.when(F.col("kind") == 2, F.col("e0") + F.col("e1"))).alias("e"))
-    return both.select("run_id", "request_id", (F.col("s") - F.col("e")).alias("n_active"))
+    counted = seen.select("run_id", "request_id", F.when(F.col("kind") == 1, F.col("s0") + F.col("s1")).otherwise(-F.col("e0") - F.col("e1")).alias("n"))
+    held = turned.select(F.col("run_id").alias("__run"), F.col("request_id").alias("__id"), F.col("start_ms").alias("__start"), F.col("end_ms").alias("__end"))
+    paired = held.join(forward, (F.col("run_id") == F.col("__run")) & (F.col("start_ms") <= F.col("__end")) & (F.col("end_ms") >= F.col("__start")))
+    paired = paired.select("run_id", F.explode(F.array("request_id", "__id")).alias("request_id"), F.lit(1).cast("long").alias("n"))
+    return counted.unionByName(paired).groupBy("run_id", "request_id").agg(F.sum("n").alias("n_active"))
 
 
 def last_known(requests: DataFrame, by: str = "batch_id", ok: str = "purchase") -> DataFrame:
