@@ -27,7 +27,7 @@ def collapse(x: Column) -> Column:
 
 def blank(x: Column) -> Column:
     """Null, empty or white space only."""
-    return x.isNull() | (strip(x) == "")
+    return x.isNull() | ~F.regexp_like(x, F.lit(V.NO_SPACE))
 
 
 def lines(text: Column) -> Column:

@@ -42,11 +42,17 @@ PLAIN_NUMBER = r"\b\d+(?:,\d{3})*(?:\.\d+)?\b"
 PLAIN_PERCENT = r"\b\d+(?:\.\d+)?\s*(?:%|percent(?:age)?)\b"
 PLAIN_CURRENCY = r"(?:₹|\$|USD|INR|EUR|GBP|Rs\.?|dollars?|rupees?|crores?|lakhs?|billions?|millions?)"
 
+#: What most texts hold of CURRENCY, as parts of other words, and all else of it.
+CURRENCY_COMMON = r"[IiRr](?:(?<=[Ii])[Nn][Rr]|(?<=[Rr])[Ss]\.?)"
+CURRENCY_OTHER = r"₹|USD|EUR|GBP|\$|crore|illion|lakh"
+
 #: Where a text is broken into lines.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LINE_BREAK_RE2 = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 #: White space of any script.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: Any other character.
+NO_SPACE = r"(?U)[^\s\x1c-\x1f]"
 SPACE_RE2 = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
 # -- fixed values: normalisation -----------------------------------------------------------------

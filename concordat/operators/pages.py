@@ -29,20 +29,21 @@ def with_metadata(pages: DataFrame) -> DataFrame:
 
 def page_signals(pages: DataFrame) -> DataFrame:
     """All signals of every page, as sorted distinct tokens and counts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    nums = numbers(text)
-    return pages.withColumns(
+    text, gate = F.coalesce(F.col("text"), F.lit("")), F.col("__gates")
+    nums = S.page_numbers(text, gate)
+    marked = pages.withColumn("__gates", S.gates(F.col("text"))).withColumns(
         {
             "n_numbers": F.size(nums),
             "sample_numbers": F.slice(nums, 1, 10),
-            "currencies": S.currency(text),
-            "units": S.unit(text),
-            "metrics": S.metric(text),
-            "temporals": S.temporal(text),
-            "table_rows": S.table_rows(text),
-            "boilerplates": S.boilerplate(text),
+            "currencies": S.currency(text, gate),
+            "units": S.unit(text, gate),
+            "metrics": S.metric(text, gate),
+            "temporals": S.temporal(text, gate),
+            "table_rows": S.table_rows(text, gate),
+            "boilerplates": S.boilerplate(text, gate),
         }
     )
+    return marked.drop("__gates")
 
 
 def score_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,8 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from concordat.functions import text as T
+from concordat.functions import vocab as V
 from concordat.functions.text import lines
 from concordat.operators import context, extract, pages, planner
+from concordat.plans import registry
 
 PAGE = "document_id string, page_number int, text string"
 
@@ -76,3 +79,33 @@ def test_status(spark):
     assert {r["document_id"]: (r["status"], r["n_processed"]) for r in got.collect()} == {"a": ("COMPLETE", 4), "b": ("PARTIAL_QUOTA", 2), "c": ("QUOTA_EXHAUSTED", 0), "d": ("FAILED", 0)}
     assert extract.overall_status(got).first()["status"] == "FAILED"
     assert extract.overall_status(got.filter("document_id < 'c'")).first()["status"] == "PARTIAL_QUOTA"
+
+
+def test_gates_pass_every_text_that_a_pattern_matches(spark):
+    """Matches with white space and letters around them that RE2 takes otherwise than Java."""
+    told = [
+        "5 tons", "tonne", "12%", "sq.ft.é", "sq\x0bft", "é km", "pin\x0bcodes", "ékm", "squåre feet", "basis points", "BPS",
+        "cash\x0bflow", "Advance  Estimates", "ratés rate", "pat", "paté", "gdpé", "_loss", "operating\tleverage",
+        "FY\x0b24", "Q1 é", "q3", "2024-25", "May 1,\x0b2024", "éFY24", "all\x0brights reserved", "Forward-Looking Statements", "directoryé",
+        "₹5", "rs. 5", "RS", "hours", "Inr", "iNR.", "us$", "Usd", "eUR", "gbp", "$", "crores", "millionth trillion", "Lakh rs", "inrs", "5 6\n7 8 x", "", "  \x0b", "plain",
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*told, None])], "i int, text string")
+    own = {"currencies": (V.CURRENCY, False), "units": (V.PAGE_UNIT, True), "metrics": (V.PAGE_METRIC, True), "temporals": (V.PAGE_TIME, False), "boilerplates": (V.BOILERPLATE, True)}
+    text = F.coalesce("text", F.lit(""))
+    read = pages.page_signals(frame).select("*", *(T.distinct(T.found(text, p), lower=low).alias(f"all_{k}") for k, (p, low) in own.items()), F.size(T.numbers(text)).alias("all_numbers"))
+    for r in read.collect():
+        assert r.n_numbers == r.all_numbers
+        for k in own:
+            assert r[k] == r[f"all_{k}"], (r.text, k)
+    assert {r.i for r in pages.with_metadata(frame).filter("has_text").collect()} == {i for i, t in enumerate(told) if t.strip()}
+
+
+def test_contexts_are_read_of_planned_pages_only(spark):
+    plan = registry.batch_prompt(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
+
+
+def test_eligible_pages_are_found_before_they_are_numbered(spark, monkeypatch):
+    """Numbers are joined to pages that are selected, and not to texts."""
+    monkeypatch.setattr(registry.views, "pages", None)
+    assert registry.eligible_pages(spark, "/root/testdata/sf0.001").count() == 15
