@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import short_hash
-from ..shared import durable
-from .facts import OPENS_TIME, SAYS_TIME, SAYS_WAS, pairs_by_period
+from ..shared import small_methods, written
+from .facts import CARRIED, OPENS_TIME, SAYS_TIME, SAYS_WAS, pairs_by_period
 
 #: What is said of each surfacing decision.
 SURFACE_TEXTS = {
@@ -266,6 +266,7 @@ def _by_step(table: dict, default) -> Column:
 
 def relate(normalized: DataFrame) -> DataFrame:
     """Relations that surface among normalised facts: the pipeline from claims to audited edges."""
-    normalized = durable(normalized)  # what pairs are found by is made once, for all joins
+    with small_methods(normalized.sparkSession):
+        normalized = written(normalized.select(*CARRIED))  # what pairs are made of is made once, for all joins, which read what they need
     order = (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id"))
     return classify(compare(pairs_by_period(normalized, normalized, order, surfaces())))

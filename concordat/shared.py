@@ -75,6 +75,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside have no generated method of over 8,000 bytes, which the JVM would only interpret.
+
+    A projection of many patterns is one such method; with this limit its expressions are compiled in parts.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def tables_removed(spark: SparkSession) -> Iterator[None]:
     """Tables that this thread writes inside are removed at the end, when their readers have been written too."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import vocab as V
 from concordat.operators import facts, relations
+from concordat.sources import views
 
 CLAIM = "pos long, fact_id string, document_id string, page_number int, entity string, metric string, value_raw string, value_numeric double, unit string, period_label string, scope string, geography string, epistemic_status string, data_vintage string, supporting_text string"
 
@@ -143,3 +144,12 @@ def test_relation_is_an_equi_join(spark):
     assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert relations.relate(n.limit(0)).count() == 0
     assert relations.relate(n.withColumn("value_raw", F.lit(None).cast("string"))).count() == 0
+
+
+def test_pairs_are_made_of_a_table_of_what_they_carry(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(relations, "written", lambda df: kept.append((df.columns, spark.conf.get("spark.sql.codegen.hugeMethodLimit"))) or df)
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    relations.relate(facts.normalize_facts(views.claims(spark, "/root/testdata/sf0.001")))
+    assert kept == [(list(facts.CARRIED), "8000")]
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
