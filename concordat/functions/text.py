@@ -15,6 +15,13 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{V.SPACE}+|[\s\x1c-\x1f]+$", "")
 
 
+def bare(column: str) -> Column:
+    """``strip`` of a column, nothing for a null; most texts begin and end with a plain character and stay as they are."""
+    x = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    plain = F.ascii(x).between(33, 126) & F.ascii(F.right(x, F.lit(1))).between(33, 126)
+    return F.when(plain, x).otherwise(strip(x))
+
+
 def let(bound: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once for a row, however often the body names it."""
     return F.element_at(F.transform(F.array(bound), body), 1)

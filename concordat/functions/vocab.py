@@ -146,12 +146,23 @@ TEMPORAL_PATTERNS = (
 )
 #: For each of these patterns the words of which a text that it matches holds at least one.
 TEMPORAL_NEEDS = (
-    ("from",), ("compared",), ("versus", "vs"), ("previously", "earlier"), ("from",), ("was",),
+    ("from",), ("compared",), ("versus", "vs"), ("previously", "earlier"), ("from",), ("and",),
     ("year", "yoy", "annualized", "quarter", "qoq"),
 )
 SUPERSESSION = (
     "superseded", "supersedes", "restated", "restatement", "revised actuals", "subsequently restated", "superseding",
 )
+#: The phrases above by a word that they need; where it is itself one of them, the others hold it and need not be asked for.
+TEMPORAL_PHRASES_BY_WORD = {
+    "from": tuple(p for p in TEMPORAL_PHRASES if p.endswith(" from")),
+    "compared": tuple(p for p in TEMPORAL_PHRASES if p.startswith("compared ")),
+    "versus": ("versus",), "vs": ("vs.", "vs"), "previously": ("previously",), "earlier": ("earlier",),
+}
+SUPERSESSION_BY_WORD = {
+    "supersed": tuple(p for p in SUPERSESSION if p.startswith("supersed")),
+    "restate": ("restated", "restatement", "subsequently restated"),
+    "revised actuals": ("revised actuals",),
+}
 #: Data vintages of which one is known to follow the other.
 VINTAGE_STEPS = (
     ("first advance estimate", "second advance estimate"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import vocab as V
-from ..functions.text import strip
-from ..shared import durable
+from ..functions.text import bare, strip
+from ..shared import MOST_HOT_KEYS, durable, small_methods, written
 
 #: What a pair carries of each side, with the prefix a_ or b_.
 CARRIED = (
@@ -46,10 +49,47 @@ def normalize_facts(facts: DataFrame, calendar: str | None = None) -> DataFrame:
     return with_pair_keys(out)
 
 
+def id_hash() -> Column:
+    """Facts of one entity and id have the same; facts of others hardly ever."""
+    return F.xxhash64(F.lit("fact_id"), "ekey", "fact_id")
+
+
+#: What the value of a fact is read from, and what its period, metric and other terms are read from.
+_VALUE = ("value_raw", "unit", "value_numeric")
+_TERMS = ("period_label", "period_start", "period_end", "metric", "scope", "geography", "data_vintage")
+
+
+def countable_facts(facts: DataFrame, calendar: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What the kind of a relation depends on, of every fact that can be paired, with no text; and the table it is read from.
+
+    The columns are as of ``normalize_facts``, but for a hash in place of the id, and of the times that a text compares
+    whether it does so by itself (``says``) or can begin a comparison (``begins``). Facts are written with what only
+    their own text tells; their values and their terms, which many facts share, are normalised once for each that differs and joined to them, by a broadcast
+    unless there are many.
+    """
+    none = lambda c: F.lit(None).cast("double" if c == "value_numeric" else "string").alias(c)
+    facts = facts.select("*", *(none(c) for c in ("period_start", "period_end") if c not in facts.columns))
+    text = F.col("evidence")
+    able = _opens(text) | (F.contains(text, F.lit("in")) & F.regexp_like(text, F.lit(_IN_YEAR)))
+    own = {"id_hash": id_hash(), "says": says_time(text), "begins": able}
+    kept = ("pos", "ekey", "epistemic_status", "restates", *own, *_VALUE, *_TERMS)
+    with small_methods(facts.sparkSession):
+        rows = written(normalize_facts(facts, calendar).filter("pos IS NOT NULL AND fact_id IS NOT NULL AND ekey <> ''").withColumns(own).select(*kept))
+    found = rows
+    for by, made in ((_VALUE, ("numeric_value", "canonical_unit", "unit_kind", "resolution")), (_TERMS, ("mkey", "norm_start", "norm_end", "scope_key", "geography_key", "vintage_key", "vintage_label"))):
+        blank = [none(c) for c in (*_VALUE, *_TERMS, "entity", "supporting_text") if c not in by]
+        different = rows.select(*by).distinct().select(*by, *blank)
+        told = written(normalize_facts(different, calendar).select(*(F.col(c).alias(f"__{c}") for c in by), *made))
+        told = F.broadcast(told) if told.count() <= MOST_HOT_KEYS else told
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+        found = found.join(told, reduce(and_, same)).drop(*(f"__{c}" for c in by))
+    return found.filter("mkey <> ''").drop(*_VALUE, *_TERMS), rows
+
+
 def with_pair_keys(facts: DataFrame) -> DataFrame:
     """What pairs are compared by, made once for a fact and not once for a pair."""
     said = lambda c: F.when(F.col(c) != "", F.lower(strip(F.col(c))))  # noqa: E731  white space only stays an empty text
-    evidence = F.lower(strip(F.coalesce("supporting_text", F.lit(""))))
+    evidence = F.lower(bare("supporting_text"))
     context = F.lower(F.concat(F.coalesce("data_vintage", F.lit("")), F.lit(" "), F.coalesce("supporting_text", F.lit(""))))
     unit = F.lower(strip(F.coalesce("canonical_unit", F.lit(""))))
     kind = (
@@ -64,7 +104,7 @@ def with_pair_keys(facts: DataFrame) -> DataFrame:
             "geography_key": said("geography"),
             "vintage_key": said("data_vintage"),
             "vintage_label": F.lower(strip(F.coalesce("data_vintage", F.lit("")))),
-            "restates": F.greatest(*(F.contains(context, F.lit(w)) for w in V.SUPERSESSION)),
+            "restates": _holds(context, V.SUPERSESSION_BY_WORD),
             "resolution": resolution(F.col("value_raw"), F.col("scale")),
             "unit_kind": kind,
             "time_marks": time_marks(F.col("evidence")),
@@ -86,6 +126,14 @@ _OPENS_WITH = ("up", "down", "increased", "decreased", "rose", "fell", "grown",
 SAYS_TIME, OPENS_TIME, SAYS_WAS, IN_YEAR = 1, 2, 4, 8
 
 
+#: A text that says "in" a year, or ends before it.
+_IN_YEAR = r"\bin(?:\s+\d{4}\b|$)"
+
+
+def _opens(text: Column) -> Column:
+    return (F.contains(text, F.lit("from")) | F.greatest(*(F.endswith(text, F.lit(w)) for w in _OPENS_WITH))) & F.regexp_like(text, F.lit(_OPENS))
+
+
 def time_marks(text: Column) -> Column:
     """All that pairs ask about the times in a lower-case text, as one number.
 
@@ -93,20 +141,24 @@ def time_marks(text: Column) -> Column:
     """
     bit = lambda test, b: F.when(test, b).otherwise(0)
     has = lambda w: F.contains(text, F.lit(w))
-    opens = (has("from") | F.greatest(*(F.endswith(text, F.lit(w)) for w in _OPENS_WITH))) & F.regexp_like(text, F.lit(_OPENS))
+    opens = _opens(text)
     was = has("was") & F.regexp_like(text, F.lit(r"\bwas\b"))
-    years = F.when(has("in"), F.regexp_count(text, F.lit(r"\bin(?:\s+\d{4}\b|$)"))).otherwise(0)
+    years = F.when(has("in"), F.regexp_count(text, F.lit(_IN_YEAR))).otherwise(0)
     return bit(says_time(text), SAYS_TIME) + bit(opens, OPENS_TIME) + bit(was, SAYS_WAS) + IN_YEAR * years
 
 
+def _holds(text: Column, phrases: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a text holds any of the phrases, which are asked for only where it holds the word they need."""
+    has = lambda w: F.contains(text, F.lit(w))
+    return reduce(or_, (has(word) if word in said else has(word) & reduce(or_, map(has, said)) for word, said in phrases.items()))
+
+
 def says_time(text: Column) -> Column:
     """Whether a lower-case text compares times by itself.
 
     A pattern is run only over texts with a word that it needs, which few have.
     """
-    out = F.lit(False)
-    for phrase in V.TEMPORAL_PHRASES:
-        out = out | F.contains(text, F.lit(phrase))
+    out = _holds(text, V.TEMPORAL_PHRASES_BY_WORD)
     for pattern, needed in zip(V.TEMPORAL_PATTERNS, V.TEMPORAL_NEEDS, strict=True):
         able = F.lit(False)
         for word in needed:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import short_hash
-from ..shared import small_methods, written
-from .facts import CARRIED, OPENS_TIME, SAYS_TIME, SAYS_WAS, pairs_by_period
+from ..shared import MOST_HOT_KEYS, small_methods, written
+from .facts import CARRIED, OPENS_TIME, SAYS_TIME, SAYS_WAS, countable_facts, id_hash, normalize_facts, pairs_by_period, units_agree
 
 #: What is said of each surfacing decision.
 SURFACE_TEXTS = {
@@ -270,3 +273,104 @@ def relate(normalized: DataFrame) -> DataFrame:
         normalized = written(normalized.select(*CARRIED))  # what pairs are made of is made once, for all joins, which read what they need
     order = (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id"))
     return classify(compare(pairs_by_period(normalized, normalized, order, surfaces())))
+
+
+def relation_counts(facts: DataFrame) -> DataFrame:
+    """relationship_type, confidence and n, how many relations of each ``relate`` finds, without listing them.
+
+    Whether a pair surfaces, and as what, depends on a few columns of either side and not on which comes first, but
+    for texts that compare times only together. So facts of one entity and metric that agree in these columns are
+    counted, and pairs of such cells are multiplied:
+
+    * of pairs of equal periods each is of the kind that ``classify`` tells of its cells;
+    * of the others, those where one has no period are UNRESOLVED if unit, scope and geography do not conflict, and
+      those where both have one are if either text compares times, whatever their values;
+    * pairs whose texts compare times only together are listed, if any text can begin such a comparison.
+
+    A fact makes no pair with one of the same place or id: such pairs are counted alike and taken off.
+    """
+    found, rows = countable_facts(facts)
+    found = found.withColumn("bounded", F.col("norm_start").isNotNull() & F.col("norm_end").isNotNull())
+    counts = [_counted(found).withColumn("sign", F.lit(1))]
+    # Pairs with the same id, and with the same place, less those counted twice with that.
+    for rows_of, keys, sign in _repeated(facts, found, rows):
+        counts.append(_counted(rows_of, *keys).withColumn("sign", F.lit(sign)))
+    if not rows.filter("begins AND NOT says").isEmpty():
+        counts.append(_across_texts(facts, rows.filter("begins AND NOT says").select("ekey").distinct()).withColumn("sign", F.lit(1)))
+    total = reduce(DataFrame.unionByName, counts).groupBy("relationship_type", "confidence").agg(F.sum(F.col("n") * F.col("sign")).cast("long").alias("n"))
+    return total.filter("n > 0")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(*(F.col(c).alias(p + c) for c in rows.columns)) for p in ("a_", "b_"))
+
+
+def _unresolved(pairs: DataFrame) -> DataFrame:
+    """What ``classify`` says of pairs that lack context, and of those of different periods."""
+    return pairs.select(F.lit("UNRESOLVED").alias("relationship_type"), F.lit(0.0).alias("confidence"), "n")
+
+
+def _counted(found: DataFrame, *more: str) -> DataFrame:
+    """relationship_type, confidence, n (exact) of pairs of rows with equal entity, metric and ``more``."""
+    keys = ("ekey", "mkey", *more)
+    flags = gates()
+    clear = ~_any(flags[k][1] for k in ("unit", "scope", "geography"))
+    says = F.col("a_says") | F.col("b_says")
+    loose = ("canonical_unit", "unit_kind", "scope_key", "geography_key", "bounded", "says")
+    period = ("norm_start", "norm_end")
+    deciding = ("canonical_unit", "unit_kind", "scope_key", "geography_key", "says", "epistemic_status", "vintage_key", "vintage_label", "restates", "numeric_value", "resolution")
+    any_period = _pairs_of_cells(found, keys, loose)
+    surfaces = F.when(F.col("a_bounded") & F.col("b_bounded"), says).otherwise(clear)
+    apart = _unresolved(any_period.filter(surfaces).agg(F.sum("met").alias("n")))
+    equal = _pairs_of_cells(found.filter("bounded"), (*keys, *period), deciding)
+    # What only explanations need is there to be named, and not read.
+    equal = classify(compare(equal.withColumns({p + c: F.lit(None).cast("string") for p in ("a_", "b_") for c in CARRIED if p + c not in equal.columns})))
+    equal = equal.groupBy("relationship_type", "confidence", clear.alias("clear"), says.alias("says")).agg(F.sum("met").alias("n"))
+    equal = written(equal)  # as many rows as there are kinds
+    # Among any periods those that are equal have been met too.
+    off = _unresolved(equal.filter("says").select((-F.col("n")).alias("n")))
+    both = equal.filter("clear").select("relationship_type", "confidence", "n").unionByName(apart).unionByName(off)
+    # Each pair has been met from both sides.
+    return both.groupBy("relationship_type", "confidence").agg((F.sum("n") / 2).cast("decimal(38,0)").alias("n")).filter("n IS NOT NULL")
+
+
+def _pairs_of_cells(rows: DataFrame, keys: tuple[str, ...], cell: tuple[str, ...]) -> DataFrame:
+    """Pairs (a_, b_) of cells with equal ``keys`` whose units agree, and ``met``: how often rows of them meet others."""
+    # One number is dealt and sorted faster than several texts; it puts cells of a key together before they are counted.
+    dealt = rows.select(F.xxhash64(*keys).alias("h"), *keys, *cell).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+    a, b = _sides(dealt.groupBy("h", *keys, *cell).agg(F.count("*").alias("n")))
+    same = lambda of: reduce(and_, (F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in of))
+    equal = reduce(and_, (F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys))
+    pairs = a.hint("merge").join(b, (F.col("a_h") == F.col("b_h")) & equal & units_agree())
+    met = F.col("a_n").cast("decimal(19,0)") * F.col("b_n").cast("decimal(19,0)") - F.when(same(cell), F.col("a_n")).otherwise(0).cast("decimal(19,0)")
+    return pairs.withColumn("met", met.cast("decimal(28,0)"))
+
+
+def _repeated(facts: DataFrame, found: DataFrame, rows: DataFrame) -> list[tuple[DataFrame, tuple[str, ...], int]]:
+    """Rows among which are all with the same id or place, by which keys they agree, and with what sign pairs count."""
+    by_pos = F.xxhash64(F.lit("pos"), "ekey", "pos")
+    often = written(rows.select(F.explode(F.array("id_hash", by_pos)).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    n = often.count()
+    if not n:
+        return []
+    often = F.broadcast(often) if n <= MOST_HOT_KEYS else often
+    of_pos = written(found.withColumn("h", by_pos).join(often, "h", "left_semi"))
+    # The ids themselves are asked for only where hashes are equal.
+    named = normalize_facts(facts).filter("pos IS NOT NULL AND fact_id IS NOT NULL AND ekey <> '' AND mkey <> ''").withColumn("h", id_hash())
+    named = named.withColumns({"says": F.col("time_marks").bitwiseAND(SAYS_TIME) != 0, "bounded": F.col("norm_start").isNotNull() & F.col("norm_end").isNotNull()})
+    of_id = written(named.join(often, "h", "left_semi").select("fact_id", *(c for c in found.columns if c in named.columns)))
+    return [(of_id, ("fact_id",), -1), (of_pos, ("pos",), -1), (of_id, ("fact_id", "pos"), 1)]
+
+
+def _across_texts(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """Counts of pairs of different periods whose texts compare times together, and neither by itself."""
+    kept = ("pos", "fact_id", "ekey", "mkey", "norm_start", "norm_end", "unit_kind", "time_marks", "evidence")
+    rows = written(normalize_facts(facts).join(entities, "ekey", "left_semi").select(*kept))
+    rows = rows.filter("mkey <> '' AND norm_start IS NOT NULL AND norm_end IS NOT NULL").filter(F.col("time_marks").bitwiseAND(SAYS_TIME) == 0)
+    bit, years = lambda b: F.col("time_marks").bitwiseAND(b) != 0, F.shiftright("time_marks", 3)
+    free = bit(OPENS_TIME) | (bit(SAYS_WAS) & (years >= 1))
+    one = (F.col("a_ekey") == F.col("b_ekey")) & (F.col("a_mkey") == F.col("b_mkey")) & ((F.col("a_norm_start") != F.col("b_norm_start")) | (F.col("a_norm_end") != F.col("b_norm_end")))
+    on = one & (F.col("a_pos") < F.col("b_pos")) & (F.col("a_fact_id") != F.col("b_fact_id")) & units_agree() & temporal_language()
+    sides = ((rows.filter(free), rows), (rows.filter(~free & bit(SAYS_WAS)), rows.filter(years >= 2)))
+    counts = [_sides(x)[0].hint("merge").join(_sides(y)[1], on).agg(F.count("*").cast("decimal(38,0)").alias("n")) for x, y in sides]
+    return _unresolved(counts[0].unionByName(counts[1]))

@@ -153,3 +153,33 @@ def test_pairs_are_made_of_a_table_of_what_they_carry(spark, monkeypatch):
     relations.relate(facts.normalize_facts(views.claims(spark, "/root/testdata/sf0.001")))
     assert kept == [(list(facts.CARRIED), "8000")]
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
+def test_counts_are_those_of_the_listed_relations(spark):
+    rnd = random.Random(4)
+    texts = ("as restated", "up from last year", "it rose", "from 3 to 5", "was 5 in 2001", "and 6 in 2002 it ended", "  was it superseding ", None)
+
+    def pick(usual, *others, share=0.25):
+        return rnd.choice(others) if rnd.random() < share else usual
+
+    rows = []
+    for i in range(300):
+        c = claim(
+            pick(i, 7, 8, None, share=0.05), pick("₹1 crore", "₹10.04 million", "5%", "$5", "many", "12 km", share=0.5), pick("Revenue", "revenue ", "Profit", ""),
+            pick("Acme Limited", "Acme", "Zeta", ""), pick("FY 2023-24", "2024", "FY24", None), pick(None, "x", "y", " "), pick(None, "India", share=0.1), pick("reported", "target"),
+            pick(None, "Flash", "Provisional Actuals", "First Advance Estimate"), pick("It was so.", *texts),
+        )
+        rows.append((c[0], pick(c[1], "f1", "f2", None, share=0.05), *c[2:]))
+    table = spark.createDataFrame(rows + rows[:9], CLAIM).repartition(5)  # some rows twice
+    listed = Counter((r["relationship_type"], r["confidence"]) for r in relations.relate(facts.normalize_facts(table)).collect())
+    counted = relations.relation_counts(table)
+    assert len(listed) >= 6 and counted.dtypes == [("relationship_type", "string"), ("confidence", "double"), ("n", "bigint")]
+    assert {(r["relationship_type"], r["confidence"]): r["n"] for r in counted.collect()} == dict(listed)
+
+
+def test_copies_of_facts_are_counted_and_not_paired_one_by_one(spark):
+    """6,000 facts of one entity and metric make 18 million pairs, which come of a few cells."""
+    rows = [claim(i, value="₹1 crore" if i % 2 else "₹2 crore", period="FY24" if i % 3 == 0 else "FY 2023-24") for i in range(6000)]
+    found = {(r["relationship_type"], r["confidence"]): r["n"] for r in relations.relation_counts(spark.createDataFrame(rows, CLAIM)).collect()}
+    same, pairs = 2 * (2000 * 1999 // 2), 4000 * 3999 // 2
+    assert found == {("CORROBORATES", 1.0): same, ("CONTRADICTS", 0.95): pairs - same, ("UNRESOLVED", 0.0): 6000 * 5999 // 2 - pairs}
