@@ -130,7 +130,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of requests from events: whole milliseconds of latency, batch, run and outcome."""
     e = table(spark, sf_dir, "events")
     latency = F.round(F.col("value") * 10).cast("long")
-    start = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    # whole milliseconds, rounded to the nearest one
+    start = F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
     return e.select(
         F.col("event_id").alias("request_id"),
         (F.col("user_id") % 7).cast("int").alias("batch_id"),

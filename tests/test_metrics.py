@@ -1,6 +1,9 @@
 from collections import Counter
 
+import duckdb
+
 from concordat.operators import metrics
+from concordat.plans import oracle, registry
 
 
 def test_overlaps_of_repeated_missing_and_turned_intervals(spark):
@@ -16,3 +19,14 @@ def test_overlaps_of_repeated_missing_and_turned_intervals(spark):
     found = metrics.interval_overlap(spark.createDataFrame(rows, "run_id int, request_id long, start_ms long, end_ms long")).collect()
     assert len(found) == len(want)
     assert {(r.run_id, r.request_id): r.n_active for r in found} == dict(want)
+
+
+def test_overlaps_of_parts_of_milliseconds_are_those_of_the_sql(spark, tmp_path):
+    """Starts are whole milliseconds, rounded to the nearest one, before 1970 too."""
+    times = ["1969-12-31 23:59:57.9999", "1969-12-31 23:59:58.0001", "1969-12-31 23:59:59.9995", "1970-01-01 00:00:00.0005", "1970-01-01 00:00:00.001", "2024-01-01 00:00:00.0006", "2024-01-01 00:00:00.0014", "2024-01-01 00:00:00.0015"]
+    rows = ", ".join(f"({3 * i}::BIGINT, TIMESTAMP '{t}', 1::BIGINT, 'view', 0::DOUBLE)" for i, t in enumerate(times))
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value)")
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = sorted(db.execute(oracle.oracle_sql()["interval_overlap"]).fetchall())
+    assert sorted(map(tuple, registry.queries()["interval_overlap"](spark, str(tmp_path)).collect())) == want
